@@ -169,7 +169,7 @@ def hash_files(paths: DataFrame, column: str = "path") -> DataFrame:
     """
     from pyspark.sql.types import StringType, StructType
 
-    schema = StructType(paths.schema.fields).add("computed_hash", StringType()).add("error", StringType())
+    schema = StructType(list(paths.schema.fields)).add("computed_hash", StringType()).add("error", StringType())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

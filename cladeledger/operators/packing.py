@@ -14,6 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from cladeledger.ordering import largest_group, with_row_number
 from cladeledger.workspace import materialize
@@ -33,6 +34,8 @@ def pack(
 
     Items are taken by size descending, ties by ``item``.
     """
+    # The items are read several times; what they come from should run only once.
+    items = materialize(items, "items")
     placed = _place(items.filter(F.col(size) <= capacity), capacity, size, item, list(keys), chunk_rows)
     oversized = items.filter(F.col(size) > capacity).withColumn("bin", F.lit(None).cast("bigint"))
     return placed.unionByName(oversized)
@@ -79,7 +82,8 @@ def _place(
         after = {**fixed, "_chunk": int(fixed["_chunk"]) + 1, "_free": [free.tolist()]}
         return pd.concat([rows, pd.DataFrame(after)])[[*batch.columns, "bin", "_free"]]
 
-    empty_state = chunks.limit(0).select(*group, F.array().cast("array<bigint>").alias("_free"))
+    state_fields = [chunks.schema[c] for c in group] + [StructField("_free", ArrayType(LongType()))]
+    empty_state = items.sparkSession.createDataFrame([], StructType(state_fields))
     placed, waiting, state, wave = None, None, empty_state, 0
     while True:
         active = chunks.filter(F.col("_chunk") == wave)

@@ -8,12 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.fixed_values import CHECKSUM_LIST_NAME, DEFAULT_BATCH_SIZE
+from cladeledger.fixed_values import DEFAULT_BATCH_SIZE
 from cladeledger.functions.checksums import display_path, file_state_message
 from cladeledger.functions.names import is_valid_binomial
 from cladeledger.operators import integrity, layout, manifest, repair, reports, resume
 from cladeledger.sources.inventory import checksum_lists, list_tree, requested_files
-from cladeledger.sources.lines import read_checksums
+from cladeledger.sources.lines import checksum_entries, read_many_lists
 from cladeledger.workspace import materialize
 
 
@@ -27,13 +27,8 @@ def verify_tree(spark: SparkSession, root: str) -> Verification:
     """Hash every file named in the checksum lists below ``root`` and compare (PL-2)."""
     files = list_tree(spark, root)
     chosen = checksum_lists(files)
-    flat = not chosen.filter("layout = 'accession'").isEmpty()
-    base = root.rstrip("/")
-    if flat:
-        entries = read_checksums(spark, f"{base}/{CHECKSUM_LIST_NAME}")
-    else:
-        entries = read_checksums(spark, base, recursiveFileLookup=True, pathGlobFilter=CHECKSUM_LIST_NAME)
-    return verify_entries(entries, files, base)
+    entries = checksum_entries(read_many_lists(chosen))
+    return verify_entries(entries, files, root.rstrip("/"))
 
 
 def verify_entries(entries: DataFrame, files: DataFrame, root: str) -> Verification:

@@ -47,7 +47,7 @@ def plan_split(
     capacity = int(split_size_gb * BASES_PER_GB)
     chosen = materialize(hierarchy.filter_source(genomes, source), "genomes")
     pairs = hierarchy.closure(hierarchy.edges(nodes), hierarchy.nodes_at_rank(nodes, rank))
-    taxa = materialize(sized_taxa(nodes, chosen, pairs, names_only), "taxa")
+    taxa = sized_taxa(nodes, chosen, pairs, names_only)
     packed = materialize(pack(taxa, capacity, chunk_rows=chunk_rows), "packed")
     exceeded = packed.filter("bin IS NULL").select(F.col("tax_id").alias("ancestor"), "name")
     members = pairs.join(exceeded, "ancestor")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +13,8 @@ from cladeledger.functions.checksums import parse_checksum_line, resolve_path
 from cladeledger.functions.text import dirname, strip
 from cladeledger.operators.dedup import first_wins
 
+LARGE_LIST_BYTES = 128 * 1024**2
+
 
 def position() -> Column:
     """Order of a line over all files of a scan: file, place of its split, place in the split."""
@@ -62,9 +67,41 @@ def read_taxa(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return require_rows(taxa, f"no taxon in {path}")
 
 
+def read_many_lists(lists: DataFrame) -> DataFrame:
+    """Lines of the files in ``lists`` (path, size), as ``read_lines`` gives them.
+
+    Small files are read whole by one task each, found by path and not by a listing on the driver.
+    Files above ``LARGE_LIST_BYTES``, of which there are few, are read in splits.
+    """
+    spark = lists.sparkSession
+    large = [row.path for row in lists.filter(F.col("size") > LARGE_LIST_BYTES).select("path").collect()]
+    small = lists.filter(F.col("size") <= LARGE_LIST_BYTES).select("path")
+    tasks = spark.sparkContext.defaultParallelism
+    lines = small.repartition(tasks, "path").mapInPandas(_read_small, "value STRING, list_path STRING, row BIGINT")
+    place = F.struct(
+        F.col("list_path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("row")
+    )
+    read = lines.select("value", "list_path", place.alias("line"))
+    return read.unionByName(read_lines(spark, large)) if large else read
+
+
+def _read_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        for path in batch["path"]:
+            system, inner = FileSystem.from_uri(path)
+            with system.open_input_stream(inner) as stream:
+                values = stream.read().decode("utf-8", "replace").splitlines()
+            yield pd.DataFrame({"value": values, "list_path": path, "row": range(len(values))})
+
+
 def read_checksums(spark: SparkSession, path: str | list[str], dialect: str = "strict", **options) -> DataFrame:
     """Entries of checksum lists with the absolute path each one means (SRC-5)."""
-    lines = read_lines(spark, path, **options)
+    return checksum_entries(read_lines(spark, path, **options), dialect)
+
+
+def checksum_entries(lines: DataFrame, dialect: str = "strict") -> DataFrame:
     parsed = lines.withColumn("entry", parse_checksum_line(F.col("value"), dialect)).filter("entry IS NOT NULL")
     return parsed.select(
         F.col("entry.hash").alias("expected_hash"),
