@@ -168,7 +168,7 @@ def _(spark, sf):
     return documents.read_task_state(spark, path).select("task_id", "status", "accession_id", "original_path", "expected_hash", "attempts")
 
 
-@query("snk_9_task_summaries", "tasks", "select count(*) as total, count_if(status = 'FIXED') as fixed from tasks")
+@query("snk_9_task_summaries", "tasks", "select count(*) as total, count(case when status = 'FIXED' then 1 end) as fixed from tasks")
 def _(spark, sf):
     path = new_path(spark, "tasks")
     document_sinks.write_task_state(ops.tasks(spark, sf), path, "run", "/data", "now", rows_per_document=3000)
@@ -384,7 +384,7 @@ _REPORT = (
     "select case status when 'pass' then '✓' when 'fail' then '✗' when 'missing' then '?' else '!' end || ' [' || upper(status) || '] ' || file_path as line from v"
     " union all select '  Hash: ' || expected_hash from v where status = 'pass' union all select '  Expected: ' || expected_hash from v where status = 'fail'"
     " union all select '  Computed: ' || computed_hash from v where status = 'fail' union all select '  Expected hash: ' || expected_hash from v where status = 'missing'"
-    " union all select '  File not found' from v where status = 'missing' union all select 'Total Files: ' || count(*) from v union all select 'Passed: ' || count_if(status = 'pass') from v"
+    " union all select '  File not found' from v where status = 'missing' union all select 'Total Files: ' || count(*) from v union all select 'Passed: ' || count(case when status = 'pass' then 1 end) from v"
 )
 
 
@@ -410,7 +410,7 @@ def _(spark, sf):
     return read_back(spark, f"{path}/files").filter("line RLIKE '^[0-9]+[.] '")
 
 
-@query("snk_12_task_report", "tasks", "select status || ' | ' || original_path as line from tasks union all select '  accession: ' || accession_id from tasks where accession_id is not null union all select 'fixed: ' || count_if(status = 'FIXED') from tasks")
+@query("snk_12_task_report", "tasks", "select status || ' | ' || original_path as line from tasks union all select '  accession: ' || accession_id from tasks where accession_id is not null union all select 'fixed: ' || count(case when status = 'FIXED' then 1 end) from tasks")
 def _(spark, sf):
     path = new_path(spark, "repair-report")
     write_lines(document_sinks.task_report_lines(ops.tasks(spark, sf), "run"), path, document_sinks.REPORT_ORDER)

@@ -425,7 +425,7 @@ def _(spark, sf):
 
 @query(
     "ag_7_name_statistics", "names",
-    f"select count(*) as total, count_if({_VALID}) as valid, count(*) - count_if({_VALID}) as invalid, round(count_if({_VALID}) / count(*)::double * 100, 2) as valid_rate from t",
+    f"select count(*) as total, count(case when {_VALID} then 1 end) as valid, count(*) - count(case when {_VALID} then 1 end) as invalid, round(count(case when {_VALID} then 1 end) / count(*)::double * 100, 2) as valid_rate from t",
     f"t as (select p_partkey, {_TIDY} as n from names)",
 )
 def _(spark, sf):

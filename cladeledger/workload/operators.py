@@ -224,8 +224,8 @@ def packed_genera(spark, sf):
 
 _TOTALS = (
     "select 'group' as level, bin as group_id, count(*) as n_species, cast(sum(n_genomes) as bigint) as n_genomes, cast(sum(size_bp) as bigint) as size_bp from packed where bin is not null group by bin"
-    " union all select case when bin is null then 'exceeded' else 'grouped' end, null, count(*), sum(n_genomes), sum(size_bp) from packed group by 1"
-    " union all select 'overall', null, count(*), sum(n_genomes), sum(size_bp) from packed"
+    " union all select case when bin is null then 'exceeded' else 'grouped' end, null, count(*), cast(sum(n_genomes) as bigint), cast(sum(size_bp) as bigint) from packed group by 1"
+    " union all select 'overall', null, count(*), cast(sum(n_genomes) as bigint), cast(sum(size_bp) as bigint) from packed"
 )
 
 
@@ -394,7 +394,7 @@ def _(spark, sf):
     return resume.progress_state(progress_events(spark, sf), F.col("seq"))
 
 
-@query("ag_18_progress_summary", "", f"select count_if(state = 'completed') as completed_count, count_if(state = 'failed') as failed_count, 90.5::double as elapsed_seconds from ({_PROGRESS_STATE})", _PROGRESS)
+@query("ag_18_progress_summary", "", f"select count(case when state = 'completed' then 1 end) as completed_count, count(case when state = 'failed' then 1 end) as failed_count, 90.5::double as elapsed_seconds from ({_PROGRESS_STATE})", _PROGRESS)
 def _(spark, sf):
     states = resume.progress_state(progress_events(spark, sf), F.col("seq"))
     return resume.progress_summary(states, F.lit(10.0), F.lit(100.5))
@@ -451,8 +451,8 @@ _STATE = "case when computed_hash is null then 'missing' when computed_hash = ex
 
 @query(
     "ag_6_verification_totals", "files",
-    "select count(*) as total_files, count_if(s = 'pass') as passed, count_if(s = 'fail') as failed, count_if(s = 'missing') as missing, 0 as errors, count_if(s <> 'pass') = 0 as success,"
-    f" case when count_if(s <> 'pass') = 0 then 0 else 1 end as exit_code, true as counts_valid, count_if(s = 'pass') / count(*)::double * 100 as success_rate from (select {_STATE} as s from files)",
+    "select count(*) as total_files, count(case when s = 'pass' then 1 end) as passed, count(case when s = 'fail' then 1 end) as failed, count(case when s = 'missing' then 1 end) as missing, cast(0 as bigint) as errors, count(case when s <> 'pass' then 1 end) = 0 as success,"
+    f" case when count(case when s <> 'pass' then 1 end) = 0 then 0::bigint else 1::bigint end as exit_code, true as counts_valid, count(case when s = 'pass' then 1 end) / count(*)::double * 100 as success_rate from (select {_STATE} as s from files)",
 )
 def _(spark, sf):
     return integrity.count_states(verification(spark, sf))
@@ -583,7 +583,7 @@ def _(spark, sf):
     return imported.select("filename", "accession", "include_type")
 
 
-@query("ag_14_manifest_coverage", "files", "select count_if(doc_id % 3 <> 0) as tracked_artifacts, count(*) as discovered_artifacts, count_if(doc_id % 3 = 0) as untracked_artifacts from files where doc_id % 4 <> 1")
+@query("ag_14_manifest_coverage", "files", "select count(case when doc_id % 3 <> 0 then 1 end) as tracked_artifacts, count(*) as discovered_artifacts, count(case when doc_id % 3 = 0 then 1 end) as untracked_artifacts from files where doc_id % 4 <> 1")
 def _(spark, sf):
     files = derived(spark, sf, "files")
     name = F.translate("file_path", "/", "_")
@@ -597,7 +597,7 @@ def _(spark, sf):
 
 @query(
     "ag_19_accession_totals", "files",
-    f"select count(*) as n_files, count(distinct case when doc_id % 2 = 0 then substr(file_path, strpos(file_path, '/') + 1, 15) end) as n_accessions, count_if(doc_id % 2 = 1) as n_skipped from files where {_STATE} <> 'pass'",
+    f"select count(*) as n_files, count(distinct case when doc_id % 2 = 0 then substr(file_path, strpos(file_path, '/') + 1, 15) end) as n_accessions, count(case when doc_id % 2 = 1 then 1 end) as n_skipped from files where {_STATE} <> 'pass'",
 )
 def _(spark, sf):
     bad = integrity.failing(verification(spark, sf))
@@ -699,7 +699,7 @@ def _(spark, sf):
 
 @query(
     "ag_8_task_summary", "tasks",
-    "select count(*) as total, count_if(status = 'FIXED') as fixed, count_if(status = 'STILL_FAILED') as still_failed, count_if(status = 'SKIPPED_NO_ACCESSION') as skipped, count_if(status = 'FAILED_RETRYABLE') as retryable_failed, count_if(status = 'FAILED_FATAL') as fatal_failed from tasks",
+    "select count(*) as total, count(case when status = 'FIXED' then 1 end) as fixed, count(case when status = 'STILL_FAILED' then 1 end) as still_failed, count(case when status = 'SKIPPED_NO_ACCESSION' then 1 end) as skipped, count(case when status = 'FAILED_RETRYABLE' then 1 end) as retryable_failed, count(case when status = 'FAILED_FATAL' then 1 end) as fatal_failed from tasks",
 )
 def _(spark, sf):
     return repair.summarize(tasks(spark, sf))
@@ -717,9 +717,9 @@ def _(spark, sf):
 
 @query(
     "ag_17_repair_result", "tasks",
-    "select count(*) as total_failed, count_if(accession_id is not null and status <> 'SKIPPED_NO_ACCESSION') as redownloaded, count_if(status = 'FIXED') as successfully_fixed,"
-    " count_if(status in ('STILL_FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL')) as still_failed, count_if(status = 'SKIPPED_NO_ACCESSION') as skipped,"
-    " count_if(status = 'FIXED') / count_if(accession_id is not null and status <> 'SKIPPED_NO_ACCESSION')::double * 100 as success_rate from tasks",
+    "select count(*) as total_failed, count(case when accession_id is not null and status <> 'SKIPPED_NO_ACCESSION' then 1 end) as redownloaded, count(case when status = 'FIXED' then 1 end) as successfully_fixed,"
+    " count(case when status in ('STILL_FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL') then 1 end) as still_failed, count(case when status = 'SKIPPED_NO_ACCESSION' then 1 end) as skipped,"
+    " count(case when status = 'FIXED' then 1 end) / count(case when accession_id is not null and status <> 'SKIPPED_NO_ACCESSION' then 1 end)::double * 100 as success_rate from tasks",
 )
 def _(spark, sf):
     return repair.repair_result(tasks(spark, sf))
@@ -811,7 +811,7 @@ _GOOD_LINE = "(doc_id % 9 in (0, 1, 2, 6, 8))"
 
 @query(
     "ag_15_folder_validation", "paths",
-    "select source as folder, count_if(doc_id % 13 not in (11, 12)) as total_files, count_if(doc_id % 13 in (1, 2, 10)) as fna_files, source <> 'src3' as md5_file_exists,"
+    "select source as folder, count(case when doc_id % 13 not in (11, 12) then 1 end) as total_files, count(case when doc_id % 13 in (1, 2, 10) then 1 end) as fna_files, source <> 'src3' as md5_file_exists,"
     f" bool_or({_GOOD_LINE}) as md5_valid, bool_and(doc_id % 9 <> 8) as md5_uses_forward_slashes from documents group by source",
 )
 def _(spark, sf):
@@ -842,7 +842,7 @@ def _(spark, sf):
 
 @query(
     "ag_11_run_totals", "taxon_results",
-    "select count(*) as total_taxa, count_if(success) as successful, count_if(not success) as failed, cast(sum(case when success then files_found end) as bigint) as total_files, count_if(success) / count(*)::double * 100 as success_rate from taxon_results",
+    "select count(*) as total_taxa, count(case when success then 1 end) as successful, count(case when not success then 1 end) as failed, cast(sum(case when success then files_found end) as bigint) as total_files, count(case when success then 1 end) / count(*)::double * 100 as success_rate from taxon_results",
 )
 def _(spark, sf):
     return reports.run_totals(derived(spark, sf, "taxon_results"))
@@ -850,8 +850,8 @@ def _(spark, sf):
 
 @query(
     "ag_12_batch_totals", "",
-    "select cast(sum(case when ok then n end) as bigint) as total_files, count_if(ok) as successful_batches, count_if(not ok) as failed_batches, cast(sum(c) as bigint) as completed, cast(sum(n) as bigint) as expected, false as all_done"
-    " from (select floor(o_orderkey / 100) as b, count(*) as n, count_if(o_orderstatus = 'F') as c, count_if(o_orderstatus = 'F') > 30 as ok from orders group by 1)",
+    "select cast(sum(case when ok then n end) as bigint) as total_files, count(case when ok then 1 end) as successful_batches, count(case when not ok then 1 end) as failed_batches, cast(sum(c) as bigint) as completed, cast(sum(n) as bigint) as expected, false as all_done"
+    " from (select floor(o_orderkey / 100) as b, count(*) as n, count(case when o_orderstatus = 'F' then 1 end) as c, count(case when o_orderstatus = 'F' then 1 end) > 30 as ok from orders group by 1)",
 )
 def _(spark, sf):
     batches = given(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 100).alias("batch")).agg(
@@ -863,7 +863,7 @@ def _(spark, sf):
 # Levels --------------------------------------------------------------------------------------------
 
 _HYSTERESIS = (
-    "select entity, seq, a1 + a2 + a3 as level_rank, ['normal', 'warning', 'critical', 'paused'][a1 + a2 + a3 + 1] as level from ("
+    "select entity, seq, cast(a1 + a2 + a3 as bigint) as level_rank, ['normal', 'warning', 'critical', 'paused'][a1 + a2 + a3 + 1] as level from ("
     "select entity, seq, "
     + ", ".join(
         f"coalesce(last_value(case when f < {limit}::double then 1 when not (f - 0.02::double < {limit}::double) then 0 end ignore nulls)"
