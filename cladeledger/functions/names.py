@@ -98,8 +98,7 @@ def rejection_reason(name: Column) -> Column:
 
 def safe_directory_name(taxon: Column) -> Column:
     """The directory a taxon is written to: letters, digits and ``_-.()``, at most 200 long (FN-15)."""
-    kept = F.regexp_replace(taxon, r"[^\p{L}\p{N}_\-.()]", "_")
-    tidy = F.btrim(F.regexp_replace(kept, "_+", "_"), F.lit("_"))
+    tidy = F.btrim(F.regexp_replace(taxon, r"[^\p{L}\p{N}\-.()]+", "_"), F.lit("_"))
     cut = F.when(
         F.length(tidy) > 200, F.regexp_replace(F.substring(tidy, 1, 200), "_+$", "")
     ).otherwise(tidy)
@@ -108,14 +107,13 @@ def safe_directory_name(taxon: Column) -> Column:
 
 def resume_directory_name(taxon: Column) -> Column:
     """The more permissive rule of older runs: only separators and reserved characters go."""
-    kept = F.regexp_replace(taxon, r'[ <>:"/\\|?*]', "_")
-    tidy = F.btrim(F.regexp_replace(kept, "_+", "_"), F.lit("_"))
+    tidy = F.btrim(F.regexp_replace(taxon, r'[ <>:"/\\|?*_]+', "_"), F.lit("_"))
     return F.coalesce(F.nullif(tidy, F.lit("")), F.lit("unknown_taxon"))
 
 
 def ascii_file_name(name: Column) -> Column:
     """ASCII letters, digits and ``-_.`` only, at most 100 long."""
-    kept = F.regexp_replace(F.regexp_replace(name, " ", "_"), r"[^A-Za-z0-9\-_.]", "")
+    kept = F.regexp_replace(F.translate(name, " ", "_"), r"[^A-Za-z0-9\-_.]+", "")
     return F.substring(F.coalesce(F.nullif(kept, F.lit("")), F.lit("unknown")), 1, 100)
 
 

@@ -106,14 +106,19 @@ def expected_hash_of(paths: DataFrame, entries: DataFrame) -> DataFrame:
         .groupBy(basename(F.col("file_path")).alias("k_root"))
         .agg(F.min_by("expected_hash", "file_path").alias("h_root"))
     )
-    keyed = paths.withColumns(
-        {"k_exact": forward, "k_same": clean(forward), "k_root": basename(forward)}
-    )
+    def open_key(found: str, key: Column) -> Column:
+        # A resolved path gets a key of its own, so that a common file name does not gather them.
+        return F.when(F.col(found).isNull(), key).otherwise(F.concat(F.lit("/\0"), forward))
+
     return (
-        keyed.join(exact, "k_exact", "left")
+        paths.withColumn("k_exact", forward)
+        .join(exact, "k_exact", "left")
+        .withColumn("k_same", open_key("h_exact", clean(forward)))
         .join(same, "k_same", "left")
+        .withColumn("h_found", F.coalesce("h_exact", "h_same"))
+        .withColumn("k_root", open_key("h_found", basename(forward)))
         .join(root, "k_root", "left")
-        .withColumn("expected_hash", F.coalesce("h_exact", "h_same", "h_root"))
+        .withColumn("expected_hash", F.coalesce("h_found", "h_root"))
         .select(*paths.columns, "expected_hash")
     )
 

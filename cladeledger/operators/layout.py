@@ -60,9 +60,14 @@ def resolve_names(entries: DataFrame, mapping: DataFrame, keys: Sequence[str] =
         .filter("base_name = other_name")
         .drop("other_name")
     )
+    # Only unresolved paths look for a unique name; the others get a key of their own, so that a
+    # name shared by very many paths does not send them all to one task.
+    key = F.when(F.col("direct_name").isNull(), basename(path)).otherwise(
+        F.concat(F.lit("/"), F.col("file_path"))
+    )
     resolved = (
         paths.join(direct, [*keys, "file_path"], "left")
-        .withColumn("base", basename(path))
+        .withColumn("base", key)
         .join(unique, [*keys, "base"], "left")
         .select(*keys, "file_path", F.coalesce("direct_name", "base_name").alias("out_name"))
     )

@@ -33,7 +33,7 @@ def verify_tree(spark: SparkSession, root: str) -> Verification:
 
 def verify_entries(entries: DataFrame, files: DataFrame, root: str) -> Verification:
     """The same for parsed entries and an inventory."""
-    matched = integrity.match_inventory(entries, files)
+    matched = materialize(integrity.match_inventory(entries, files), "matched")
     checked = integrity.verify(matched, integrity.hash_existing(matched))
     result = materialize(
         checked.select(
