@@ -31,6 +31,7 @@ DIALECTS = ("strict", "flat", "package", "loose", "lower", "lenient")
 _TOKENS = r"^(\S+)\s+(.+)$"
 _STRICT = r"^([0-9a-fA-F]{32})\s+\*?(.+)$"
 _BSD = r"^MD5\s*\((.+?)\)\s*=\s*([a-fA-F0-9]{32})$"
+_URI_ROOT = "^([a-z][a-z0-9+.-]*://[^/]*)"
 _CHUNK_BYTES = 1 << 20
 
 
@@ -76,7 +77,7 @@ def parse_checksum_line(line: Column, dialect: str = "strict") -> Column:
 
 
 def normal_path(path: Column) -> Column:
-    """An absolute path without ``.``, ``..`` and empty parts."""
+    """An absolute path without ``.``, ``..`` and empty parts; a URI keeps its scheme and host."""
     def step(parts: Column, part: Column) -> Column:
         up = F.when(F.size(parts) > 0, F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
         return (
@@ -85,9 +86,10 @@ def normal_path(path: Column) -> Column:
             .otherwise(F.concat(parts, F.array(part)))
         )
 
+    root = F.regexp_extract(path, _URI_ROOT, 1)
+    parts = F.split(F.regexp_replace(path, _URI_ROOT, ""), "/")
     folded = F.concat(
-        F.lit("/"),
-        F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/"),
+        root, F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/")
     )
     # Most paths are already normal; only the others pay for the fold.
     plain = path.rlike(r"^(/(?!\.{1,2}(/|$))[^/]+)+$")
@@ -96,9 +98,8 @@ def normal_path(path: Column) -> Column:
 
 def resolve_path(directory: Column, path: Column) -> Column:
     """``path`` below ``directory`` unless it is absolute, made normal."""
-    return normal_path(
-        F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(directory, F.lit("/"), path))
-    )
+    absolute = path.rlike(r"^(/|[a-z][a-z0-9+.-]*://)")
+    return normal_path(F.when(absolute, path).otherwise(F.concat(directory, F.lit("/"), path)))
 
 
 def resolve_inside(root: Column, path: Column) -> Column:

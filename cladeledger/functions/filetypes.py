@@ -37,6 +37,17 @@ def normalized_include(requested: Column) -> Column:
     ).otherwise(known)
 
 
+def file_specs(requested: Column) -> Column:
+    """Array of (include_type, extensions) of a normalised include array."""
+    table = F.create_map(
+        *[x for t, exts in INCLUDE_EXTENSIONS.items() for x in (F.lit(t), literal_array(exts))]
+    )
+    return F.transform(
+        normalized_include(requested),
+        lambda t: F.struct(t.alias("include_type"), F.element_at(table, t).alias("extensions")),
+    )
+
+
 def include_extensions(requested: Column) -> Column:
     """Sorted distinct extensions of an include array (FN-11)."""
     table = F.create_map(

@@ -50,9 +50,9 @@ def resolve_names(entries: DataFrame, mapping: DataFrame, keys: Sequence[str] =
     paths = entries.select(*keys, "file_path").distinct()
     tried = paths.select(*keys, "file_path", F.posexplode(candidates).alias("priority", "source"))
     direct = (
-        tried.join(mapping, [*keys, "source"])
+        tried.join(mapping, [*keys, "source"], "left")
         .groupBy(*keys, "file_path")
-        .agg(F.min_by("out_name", "priority").alias("direct_name"))
+        .agg(F.min_by("out_name", F.when(F.col("out_name").isNotNull(), F.col("priority"))).alias("direct_name"))
     )
     unique = (
         mapping.groupBy(*keys, basename(F.col("source")).alias("base"))
@@ -66,8 +66,7 @@ def resolve_names(entries: DataFrame, mapping: DataFrame, keys: Sequence[str] =
         F.concat(F.lit("/"), F.col("file_path"))
     )
     resolved = (
-        paths.join(direct, [*keys, "file_path"], "left")
-        .withColumn("base", key)
+        direct.withColumn("base", key)
         .join(unique, [*keys, "base"], "left")
         .select(*keys, "file_path", F.coalesce("direct_name", "base_name").alias("out_name"))
     )

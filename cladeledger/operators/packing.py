@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from cladeledger.ordering import largest_group, with_row_number
 from cladeledger.workspace import materialize
 
-CHUNK_ROWS = 100_000
+CHUNK_ROWS = 200_000
 
 
 def pack(

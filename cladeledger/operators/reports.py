@@ -57,16 +57,28 @@ def top_failures(
     return first.join(totals, kind).withColumns({"place": F.col("place").cast("bigint"), "n_more": more}).drop("n_total")
 
 
-def run_totals(results: DataFrame) -> DataFrame:
-    """Successful and failed taxa, files of successful ones, rates (AG-11)."""
+def run_totals(results: DataFrame, seconds: float | None = None) -> DataFrame:
+    """Successful and failed taxa, files of successful ones, success rate (AG-11).
+
+    With the ``seconds`` of the run also the mean time per taxon and the taxa per minute.
+    """
     counts = results.agg(
         F.count("*").alias("total_taxa"),
         F.count_if("success").alias("successful"),
         F.count_if(~F.col("success")).alias("failed"),
         F.coalesce(F.sum(F.when(F.col("success"), F.col("files_found"))), F.lit(0)).alias("total_files"),
     )
-    rate = F.col("successful") / F.col("total_taxa") * 100
-    return counts.withColumn("success_rate", F.when(F.col("total_taxa") > 0, rate))
+    total = F.col("total_taxa")
+    rate = F.when(total > 0, F.col("successful") / total * 100)
+    counts = counts.withColumn("success_rate", rate)
+    if seconds is None:
+        return counts
+    return counts.withColumns(
+        {
+            "mean_seconds": F.when(total > 0, F.lit(seconds) / total),
+            "taxa_per_minute": F.when(F.lit(seconds > 0), total / F.lit(seconds) * 60),
+        }
+    )
 
 
 def batch_totals(batches: DataFrame) -> DataFrame:

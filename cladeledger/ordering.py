@@ -1,8 +1,8 @@
 """Numbering and running values over ordered rows, without one task per (hot) group.
 
-Every function first looks at the size of the largest group. Groups up to ``max_group_rows`` use a
-plain window. Beyond it rows are range-partitioned by group and order, so that a hot group spans
-many partitions, and only one small row per (group, partition) is combined across them.
+Groups up to ``max_group_rows`` use a plain window. Rows of larger groups, found by a count first, are
+range-partitioned by group and order, so that such a group spans many partitions, and only one small
+row per (group, partition) is combined across them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,21 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     return counts.agg(F.max("count")).first()[0] or 0
 
 
+def split_hot(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups within the limit, and rows of larger groups if there are any.
+
+    At most one key per ``max_group_rows`` rows is hot, so the table of hot keys stays small.
+    """
+    counts = df.groupBy(*keys).count().filter(F.col("count") > max_group_rows).drop("count")
+    hot = materialize(counts.withColumnsRenamed({k: f"_hot_{k}" for k in keys}), "hot-keys")
+    if hot.isEmpty():
+        return df, None
+    same = F.lit(True)
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_hot_{key}"))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
 def in_range_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """Write ``df`` in range order and add ``_part`` and ``_row``, the place of each row in it."""
     by = [F.col(k) for k in keys] + list(order)
@@ -38,7 +53,8 @@ def in_range_order(df: DataFrame, keys: Sequence[str], order: Sequence[Column])
 
 def _piece_window(keys: Sequence[str]) -> Window:
     # One row per group and partition reaches this window, never the rows themselves.
-    return Window.partitionBy(*(keys or [F.lit("all")])).orderBy("_part")
+    window = Window.partitionBy(*(keys or [F.lit("all")])).orderBy("_part")
+    return window.rowsBetween(Window.unboundedPreceding, -1)
 
 
 def with_row_number(
@@ -49,19 +65,19 @@ def with_row_number(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group; ``order`` must be total."""
-    if keys and largest_group(df, keys) <= max_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("bigint"))
+    if not keys:
+        return _row_number_by_range(df, keys, order, name)
+    cold, hot = split_hot(df, keys, max_group_rows)
+    window = Window.partitionBy(*keys).orderBy(*order)
+    numbered = cold.withColumn(name, F.row_number().over(window).cast("bigint"))
+    return numbered if hot is None else numbered.unionByName(_row_number_by_range(hot, keys, order, name))
+
+
+def _row_number_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
     ranged = in_range_order(df, keys, order)
-    pieces = ranged.groupBy(*keys, "_part").agg(
-        F.count("*").alias("_n"), F.min("_row").alias("_first")
-    )
-    before = _piece_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
-        *keys,
-        "_part",
-        (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_offset"),
-    )
+    pieces = ranged.groupBy(*keys, "_part").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    rows_before = F.coalesce(F.sum("_n").over(_piece_window(keys)), F.lit(0))
+    pieces = pieces.select(*keys, "_part", (rows_before - F.col("_first") + 1).alias("_offset"))
     return (
         _join_pieces(ranged, pieces, keys)
         .withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
@@ -77,28 +93,32 @@ def with_last_known(
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Add, per output name, the latest non-null value of its column up to and including each row."""
-    running = (Window.unboundedPreceding, Window.currentRow)
-    if keys and largest_group(df, keys) <= max_group_rows:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*running)
-        return df.withColumns({n: F.last(c, ignorenulls=True).over(window) for n, c in values.items()})
-    ranged = in_range_order(df.withColumns(values), keys, order)
-    inside = Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(*running)
-    pieces = ranged.groupBy(*keys, "_part").agg(
-        *[
-            F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_row"))).alias(f"_last_{n}")
-            for n in values
-        ]
-    )
-    before = _piece_window(keys).rowsBetween(Window.unboundedPreceding, -1)
-    pieces = pieces.select(
-        *keys,
-        "_part",
-        *[F.last(f"_last_{n}", ignorenulls=True).over(before).alias(f"_before_{n}") for n in values],
+    cold, hot = split_hot(df, keys, max_group_rows)
+    window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    filled = cold.withColumns({n: F.last(c, ignorenulls=True).over(window) for n, c in values.items()})
+    if hot is None:
+        return filled
+    return filled.unionByName(_last_known_by_range(hot.withColumns(values), keys, order, list(values)))
+
+
+def _last_known_by_range(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], names: Sequence[str]
+) -> DataFrame:
+    ranged = in_range_order(df, keys, order)
+    inside = (
+        Window.partitionBy(*keys, "_part").orderBy("_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    filled = ranged.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in values})
-    joined = _join_pieces(filled, pieces, keys)
-    return joined.withColumns({n: F.coalesce(n, f"_before_{n}") for n in values}).drop(
-        "_part", "_row", *[f"_before_{n}" for n in values]
+    last_rows = [
+        F.max_by(n, F.when(F.col(n).isNotNull(), F.col("_row"))).alias(f"_last_{n}") for n in names
+    ]
+    pieces = ranged.groupBy(*keys, "_part").agg(*last_rows)
+    carried = [
+        F.last(f"_last_{n}", ignorenulls=True).over(_piece_window(keys)).alias(f"_before_{n}") for n in names
+    ]
+    pieces = pieces.select(*keys, "_part", *carried)
+    filled = ranged.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
+    return _join_pieces(filled, pieces, keys).withColumns({n: F.coalesce(n, f"_before_{n}") for n in names}).drop(
+        "_part", "_row", *[f"_before_{n}" for n in names]
     )
 
 

@@ -26,8 +26,9 @@ def position() -> Column:
 
 
 def file_path() -> Column:
-    """Path of the scanned file without a URI scheme for local files."""
-    return F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    """Path of the scanned file, decoded, and without a URI scheme for local files."""
+    plus_kept = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    return F.regexp_replace(F.url_decode(plus_kept), "^file:/+", "/")
 
 
 def read_lines(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

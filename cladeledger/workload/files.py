@@ -106,7 +106,7 @@ _STRICT_SQL = "regexp_matches(trim(line), '^[0-9a-fA-F]{32}\\s+\\*?.+$')"
 )
 def _(spark, sf):
     path = checksum_list(spark, sf)
-    below = F.substr("abs_path", F.lit(len(path) + 1))
+    below = F.regexp_replace("abs_path", "^.*/lists-[0-9a-f]+", "")
     return lines.read_checksums(spark, path).select("expected_hash", "file_path", below.alias("below_list"))
 
 

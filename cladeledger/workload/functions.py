@@ -144,6 +144,16 @@ def _(spark, sf):
     return given(spark, sf, "documents").select("doc_id", F.array_join(filetypes.normalized_include(wanted), ",").alias("include"))
 
 
+@query(
+    "fn_10_file_specs", "",
+    "select doc_id, t as include_type, x as extensions from documents, (values (0, 'genome', '.fna,.fa,.fasta'), (1, 'gff3', '.gff,.gff3'), (1, 'gtf', '.gtf'), (2, 'genome', '.fna,.fa,.fasta'), (3, 'protein', '.faa'), (3, 'genome', '.fna,.fa,.fasta'), (4, 'genome', '.fna,.fa,.fasta')) v(k, t, x) where k = doc_id % 5",
+)
+def _(spark, sf):
+    wanted = F.split(F.expr(_INCLUDE), ",")
+    rows = given(spark, sf, "documents").select("doc_id", F.explode(filetypes.file_specs(wanted)).alias("s"))
+    return rows.select("doc_id", "s.include_type", F.array_join("s.extensions", ",").alias("extensions"))
+
+
 @query(
     "fn_11_include_extensions", "",
     "select doc_id, case doc_id % 5 when 0 then '.fa,.faa,.fasta,.fna' when 1 then '.gff,.gff3,.gtf' when 3 then '.fa,.faa,.fasta,.fna' else '.fa,.fasta,.fna' end as extensions from documents",

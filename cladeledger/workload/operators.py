@@ -248,18 +248,21 @@ def _(spark, sf):
 
 
 _INCLUDE = ["genome", "protein", "gff3"]
+_EXT = "case include_type when 'genome' then '.fna' when 'protein' then '.faa' when 'gff3' then '.gff' when 'cds' then '.cds' else '.gtf' end"
 
 
 def disk_files(spark, sf):
     """Files on disk: from the line items, one per order and include type."""
     saved = derived(spark, sf, "saved_files")
-    name = F.concat("accession", F.element_at(text.literal_map(fixed.OUTPUT_EXTENSIONS), F.col("include_type")))
+    name = F.concat("accession", F.expr(_EXT))
     return saved.select(name.alias("name"), F.concat(F.lit("/out/"), name).alias("path"), name.alias("rel_path"), "accession", "include_type")
 
 
 def trusted(spark, sf):
-    files = disk_files(spark, sf)
-    return files.select(F.col("name").alias("filename"), F.md5("name").alias("expected_md5")).filter("substr(expected_md5, 1, 1) <> '0'")
+    """Manifest rows of those files; an empty hash, by the last digit of the order, is not trusted."""
+    saved = derived(spark, sf, "saved_files")
+    digest = F.when(F.substr("accession", F.lit(13), F.lit(1)) == "7", "").otherwise(F.col("accession"))
+    return saved.select(F.concat("accession", F.expr(_EXT)).alias("filename"), digest.alias("expected_md5"))
 
 
 def order_accessions(spark, sf):
@@ -268,10 +271,9 @@ def order_accessions(spark, sf):
     )
 
 
-_EXT = "case include_type when 'genome' then '.fna' when 'protein' then '.faa' when 'gff3' then '.gff' when 'cds' then '.cds' else '.gtf' end"
 _COMPLETE = (
     "acc as (select 'GCA_' || lpad(cast(o_orderkey as varchar), 9, '0') || '.1' as accession, o_orderkey, o_orderstatus from orders),"
-    f" good as (select distinct accession || {_EXT} as filename from saved_files where substr(md5(accession || {_EXT}), 1, 1) <> '0'),"
+    f" good as (select distinct accession || {_EXT} as filename from saved_files where substr(accession, 13, 1) <> '7'),"
     " done as (select a.accession, count(*) as n_expected, count(g.filename) as n_found, count(*) = count(g.filename) as complete"
     "   from acc a, (values ('.fna'), ('.faa'), ('.gff')) e(x) left join good g on g.filename = a.accession || e.x group by 1)"
 )
@@ -299,6 +301,24 @@ def _(spark, sf):
     return resume.taxa_with_files(taxa, files, ["genome"])
 
 
+@query(
+    "jn_7_resume_taxa", "",
+    "select p_name || ' #' || p_size as taxon, count(*) as n from part where p_partkey % 3 = 0 or p_size % 3 = 0 or p_size % 4 = 1 group by 1",
+)
+def _(spark, sf):
+    part = given(spark, sf, "part")
+    taxon = F.concat("p_name", F.lit(" #"), F.col("p_size").cast("string"))
+    requested = part.select(taxon.alias("taxon"), "p_partkey", "p_size")
+    folder = F.concat(F.translate("p_name", " ", "_"), F.lit("_"), F.col("p_size").cast("string"))
+    name = F.expr("case when p_size % 4 = 1 then 'notes.txt' else 'GCA_000000001.1.fna' end")
+    files = part.filter("p_size % 3 <> 0").select(name.alias("name"), F.concat(folder, F.lit("/"), name).alias("rel_path"))
+    # Items are unique per part here, so that a taxon listed twice is not completed by its twin.
+    keyed = requested.withColumn("taxon", F.concat("taxon", F.when(F.col("p_partkey") % 3 == 0, "?").otherwise("")))
+    completed = keyed.filter("p_partkey % 3 <> 0").select("taxon").distinct()
+    left = resume.resume_taxa(keyed, completed, files, ["genome"])
+    return left.groupBy(F.replace("taxon", F.lit("?"), F.lit("")).alias("taxon")).agg(F.count("*").alias("n"))
+
+
 _REMAINING = "select accession from acc where not (o_orderstatus = 'F' and accession in (select accession from done where complete))"
 
 
@@ -842,10 +862,10 @@ def _(spark, sf):
 
 @query(
     "ag_11_run_totals", "taxon_results",
-    "select count(*) as total_taxa, count(case when success then 1 end) as successful, count(case when not success then 1 end) as failed, cast(sum(case when success then files_found end) as bigint) as total_files, count(case when success then 1 end) / count(*)::double * 100 as success_rate from taxon_results",
+    "select count(*) as total_taxa, count(case when success then 1 end) as successful, count(case when not success then 1 end) as failed, cast(sum(case when success then files_found end) as bigint) as total_files, count(case when success then 1 end) / count(*)::double * 100 as success_rate, 120.0::double / count(*) as mean_seconds, count(*) / 120.0::double * 60 as taxa_per_minute from taxon_results",
 )
 def _(spark, sf):
-    return reports.run_totals(derived(spark, sf, "taxon_results"))
+    return reports.run_totals(derived(spark, sf, "taxon_results"), 120.0)
 
 
 @query(

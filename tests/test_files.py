@@ -119,6 +119,21 @@ def test_verify_tree(spark, tmp_path):
     assert totals.counts_valid
 
 
+def test_paths_with_odd_characters(spark, tmp_path):
+    root = tmp_path / "a b+c%20é"
+    make_tree(root)
+    found = lines.read_checksums(spark, str(root / "t1" / "md5sum.txt")).collect()
+    assert {r.abs_path for r in found} == {str(root / "t1" / f"GCA_00000000{i}.1.fna") for i in (1, 2)}
+    assert audit.verify_tree(spark, str(root)).totals.first().passed == 3
+
+
+def test_uri_root(spark, tmp_path):
+    make_tree(tmp_path / "data")
+    result = audit.verify_tree(spark, f"file://{tmp_path}/data")
+    assert result.totals.first().passed == 3
+    assert "t1/GCA_000000001.1.fna" in {r.file_path for r in result.files.collect()}
+
+
 def test_flat_layout_reads_the_root_list_only(spark, tmp_path):
     root = tmp_path / "flat"
     (root / "a" / "b").mkdir(parents=True)

@@ -152,6 +152,8 @@ def test_paths(spark):
     assert apply(spark, lambda c: checksums.resolve_inside(F.lit("/data/root"), c), paths) == [
         "/data/root/a/b", None, "/data/root/b", "/data/root", None, "/data/root/y",
     ]
+    uris = ["hdfs://n:1/a/../b", "file:///a//b", "/a/b", "/a/./b/.."]
+    assert apply(spark, checksums.normal_path, uris) == ["hdfs://n:1/b", "file:///a/b", "/a/b", "/a"]
     assert apply(spark, checksums.strip_package_prefix, ["./ncbi_dataset/data/A/x", "data/A/x", "//A/x", '"/data/x"', "a\\b"]) == [
         "A/x", "A/x", "A/x", "x", "a/b",
     ]

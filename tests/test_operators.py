@@ -94,7 +94,7 @@ def series(spark):
     return rows, spark.createDataFrame(rows, "k STRING, seq BIGINT, v BIGINT, fraction DOUBLE")
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
+@pytest.mark.parametrize("limit", [10, 100, 100_000])
 def test_row_numbers(series, limit):
     rows, df = series
     found = {r.seq: r.n for r in with_row_number(df, ["k"], [F.col("seq")], "n", limit).collect()}
@@ -105,12 +105,18 @@ def test_row_numbers(series, limit):
     assert found == expected
 
 
+def test_missing_keys_form_a_group(spark):
+    df = spark.createDataFrame([(None, i) for i in range(20)] + [("a", i) for i in range(3)], "k STRING, seq INT")
+    rows = with_row_number(df, ["k"], [F.col("seq")], "n", 10).collect()
+    assert len(rows) == 23 and all(r.n == r.seq + 1 for r in rows)
+
+
 def test_global_row_numbers(series):
     _, df = series
     assert {r.seq: r.n for r in with_row_number(df, [], [F.col("seq")], "n").collect()} == {i: i + 1 for i in range(400)}
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
+@pytest.mark.parametrize("limit", [10, 100, 100_000])
 def test_last_known_values(series, limit):
     rows, df = series
     found = {r.seq: r.last for r in with_last_known(df, ["k"], [F.col("seq")], {"last": F.col("v")}, limit).collect()}
@@ -134,7 +140,7 @@ def python_levels(rows):
     return result
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
+@pytest.mark.parametrize("limit", [10, 100, 100_000])
 def test_levels_equal_the_step_rule(spark, series, limit):
     rows, _ = series
     rows = [(k, s, v, f * 0.3) for k, s, v, f in rows]
