@@ -34,22 +34,27 @@ def edges(nodes: DataFrame) -> DataFrame:
 def closure(edge_pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
     """(ancestor, descendant) for each given ancestor, itself included (GR-2).
 
-    Each round extends only the pairs found in the round before and drops those already known, so the
-    loop ends on cycles and does not walk a node twice. A round is written before the next starts.
+    Each round extends only the pairs found in the round before, and is written before the next starts.
+    With one parent per node each pair is met once, so a round is a single join. Otherwise pairs already
+    known are dropped, so the loop ends on cycles and does not walk a node twice.
     """
-    links = materialize(edge_pairs.filter("parent <> child"), "edges")
+    links = materialize(edge_pairs.filter("parent <> child").distinct(), "edges")
+    one_parent = links.groupBy("child").count().filter("count > 1").isEmpty()
     newest = materialize(
         ancestors.select(F.col("tax_id").alias("ancestor"), F.col("tax_id").alias("descendant")).distinct(),
         "closure",
     )
     known = newest
     while not newest.isEmpty():
+        # A cycle of single parents can only lead back to its own start.
         reached = (
             newest.join(links, F.col("descendant") == F.col("parent"))
+            .filter("ancestor <> child")
             .select("ancestor", F.col("child").alias("descendant"))
-            .distinct()
         )
-        newest = materialize(reached.join(known, ["ancestor", "descendant"], "left_anti"), "closure")
+        if not one_parent:
+            reached = reached.distinct().join(known, ["ancestor", "descendant"], "left_anti")
+        newest = materialize(reached, "closure")
         known = known.unionByName(newest)
     return known
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeledger.fixed_values import DEFAULT_BATCH_SIZE
+from cladeledger.fixed_values import DEFAULT_BATCH_SIZE, INCLUDE_EXTENSIONS
 from cladeledger.functions.filetypes import expected_names, file_type, include_types
 from cladeledger.functions.names import safe_directory_name
 from cladeledger.functions.text import literal_array
@@ -110,14 +110,21 @@ def progress_summary(states: DataFrame, start: Column, now: Column) -> DataFrame
 def accession_outcome(saved: DataFrame, include: Sequence[str]) -> DataFrame:
     """Saved and missing include types per accession; complete when none is missing (AG-13, SE-3).
 
-    A set holds at most one entry per include type, whatever the number of files.
+    The saved types of an accession are bits of one integer, so the aggregation stays a hash aggregation
+    with a fixed-size buffer.
     """
-    requested = literal_array(include_types(include))
-    types = saved.groupBy("accession").agg(F.collect_set("include_type").alias("saved"))
-    lacking = F.array_sort(F.array_except(requested, F.col("saved")))
-    return types.select(
+    types = sorted(INCLUDE_EXTENSIONS)
+    bits = F.create_map(*[x for i, t in enumerate(types) for x in (F.lit(t), F.lit(1 << i))])
+    wanted = sum(1 << types.index(t) for t in include_types(include))
+    masks = saved.groupBy("accession").agg(F.bit_or(F.element_at(bits, F.col("include_type"))).alias("mask"))
+
+    def names_of(mask: Column) -> Column:
+        return F.concat_ws(",", *[F.when(mask.bitwiseAND(F.lit(1 << i)) != 0, t) for i, t in enumerate(types)])
+
+    lacking = F.bitwise_not("mask").bitwiseAND(F.lit(wanted))
+    return masks.select(
         "accession",
-        F.array_join(F.array_sort("saved"), ",").alias("saved_types"),
-        F.array_join(lacking, ",").alias("missing_types"),
-        (F.size(lacking) == 0).alias("complete"),
+        names_of(F.col("mask")).alias("saved_types"),
+        names_of(lacking).alias("missing_types"),
+        (lacking == 0).alias("complete"),
     )

@@ -50,6 +50,13 @@ def _(spark, sf):
     return hierarchy.closure(hierarchy.edges(tree), tree)
 
 
+@query("gr_2_closure_of_direct_parents", "taxonomy", "select ancestor, descendant from c", _CLOSURE)
+def _(spark, sf):
+    flat = derived(spark, sf, "taxonomy")
+    pairs = flat.filter("parent IS NOT NULL").select("parent", F.col("tax_id").alias("child"))
+    return hierarchy.closure(pairs, flat)
+
+
 @query("se_4_descendant_union", "taxonomy", "select descendant, count(*) as n_ancestors from c group by 1", _CLOSURE)
 def _(spark, sf):
     tree = nodes(spark, sf)
@@ -396,7 +403,11 @@ def _(spark, sf):
     return resume.latest_state(derived(spark, sf, "task_events").drop("ts"), "task", F.col("seq"))
 
 
-_PROGRESS = "p as (select user_id as item, event_id as seq, case when event_type in ('view', 'click') then 'completed' when event_type = 'error' then 'failed' else 'other' end as state from events where event_id % 3 = user_id % 3 or event_type = 'error')"
+_PROGRESS_CASE = (
+    "case when event_type in ('view', 'click') and event_id % 9 = user_id % 9 then 'completed'"
+    " when event_type = 'error' then 'failed' else 'other' end"
+)
+_PROGRESS = f"p as (select user_id as item, event_id as seq, {_PROGRESS_CASE} as state from events)"
 _PROGRESS_STATE = (
     "select item, 'completed' as state from p where state = 'completed' group by 1"
     " union all select item, 'failed' from p where state in ('completed', 'failed') group by 1 having arg_max(state, seq) = 'failed'"
@@ -404,9 +415,8 @@ _PROGRESS_STATE = (
 
 
 def progress_events(spark, sf):
-    state = F.expr("case when event_type in ('view', 'click') then 'completed' when event_type = 'error' then 'failed' else 'other' end")
-    events = given(spark, sf, "events").filter("event_id % 3 = user_id % 3 or event_type = 'error'")
-    return events.select(F.col("user_id").alias("item"), F.col("event_id").alias("seq"), state.alias("state"))
+    columns = [F.col("user_id").alias("item"), F.col("event_id").alias("seq"), F.expr(_PROGRESS_CASE).alias("state")]
+    return given(spark, sf, "events").select(*columns)
 
 
 @query("snk_8_progress_state", "", _PROGRESS_STATE, _PROGRESS)
@@ -647,12 +657,12 @@ def task_hashes(spark, sf):
 
 @query(
     "jn_17_task_merge", "tasks",
-    "select task_id, case when event_id % 2 = 0 then status else 'PENDING' end as status, case when event_id % 2 = 0 and event_id % 4 = 0 then coalesce(accession_id, 'GCA_000000000.9') when event_id % 2 = 0 then accession_id else 'GCA_000000000.9' end as accession_id from tasks where event_id % 2 = 0 or event_id % 3 = 0",
+    "select task_id, case when event_id % 2 = 0 then status else 'PENDING' end as status, case when event_id % 2 = 0 and event_id % 4 = 0 then coalesce(accession_id, 'GCA_000000000.9') when event_id % 2 = 0 then accession_id else 'GCA_000000000.9' end as accession_id from tasks",
 )
 def _(spark, sf):
     all_tasks = tasks(spark, sf).join(derived(spark, sf, "tasks").select("task_id", "event_id"), "task_id")
     saved = all_tasks.filter("event_id % 2 = 0").drop("event_id")
-    fresh = all_tasks.filter("event_id % 4 = 0 OR (event_id % 2 = 1 AND event_id % 3 = 0)").drop("event_id")
+    fresh = all_tasks.filter("event_id % 4 = 0 OR event_id % 2 = 1").drop("event_id")
     fresh = fresh.withColumns({"status": F.lit("PENDING"), "accession_id": F.lit("GCA_000000000.9")})
     return repair.merge_tasks(saved, fresh).select("task_id", "status", "accession_id")
 

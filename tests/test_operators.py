@@ -82,6 +82,22 @@ def test_closure_equals_search_and_ends_on_cycles(spark, edges):
     assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
 
 
+def test_closure_of_single_parent_cycles(spark):
+    edges = [(0, 1), (1, 2), (2, 0), (2, 3), (5, 6), (7, 7)]
+    pairs = spark.createDataFrame(edges, "parent BIGINT, child BIGINT")
+    seeds = spark.createDataFrame([(i,) for i in range(8)], "tax_id BIGINT")
+    rows = hierarchy.closure(pairs, seeds).collect()
+    expected = {(a, d) for a in range(8) for d in reachable(edges, a)}
+    assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
+
+
+def test_source_filter_reaches_the_files(spark, tmp_path):
+    spark.createDataFrame([("GCF_1", 1), ("GCA_2", 2)], "accession STRING, tax_id BIGINT").write.parquet(str(tmp_path / "g"))
+    found = hierarchy.filter_source(spark.read.parquet(str(tmp_path / "g")), "refseq").select("accession")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(accession,GCF_)" in plan and "tax_id" not in plan
+
+
 def test_unknown_source_is_rejected(spark):
     with pytest.raises(ValueError):
         hierarchy.filter_source(spark.createDataFrame([("GCF_1",)], "accession STRING"), "other")
