@@ -67,46 +67,41 @@ def include_extensions(requested: Column) -> Column:
 def file_type(path: Column, allowed: Sequence[str] | None = None) -> Column:
     """Include type from the file name, null for other files or types not allowed (FN-6)."""
     name = F.lower(basename(path))
-
-    def ends(*extensions: str) -> Column:
-        match = F.endswith(name, F.lit(extensions[0]))
-        for extension in extensions[1:]:
-            match = match | F.endswith(name, F.lit(extension))
-        return match
-
     found = (
         F.when(name.isin(*METADATA_NAMES), F.lit(None))
-        .when(ends(".faa"), "protein")
+        .when(F.endswith(name, F.lit(".faa")), "protein")
         .when(F.contains(name, F.lit("cds")), "cds")
         .when(F.contains(name, F.lit("rna")), "rna")
-        .when(ends(".gff", ".gff3"), "gff3")
-        .when(ends(".gtf"), "gtf")
-        .when(ends(".gbff", ".gb"), "gbff")
-        .when(ends(".jsonl") | F.contains(name, F.lit("sequence_report")), "seq-report")
-        .when(ends(".fna", ".fa", ".fasta"), "genome")
+        .when(name.rlike(r"\.gff3?$"), "gff3")
+        .when(F.endswith(name, F.lit(".gtf")), "gtf")
+        .when(name.rlike(r"\.(gbff|gb)$"), "gbff")
+        .when(name.rlike(r"\.jsonl$|sequence_report"), "seq-report")
+        .when(name.rlike(r"\.(fna|fa|fasta)$"), "genome")
     )
     if allowed is None:
         return found
-    return F.when(found.isin(*include_types(allowed)), found)
+    kept = literal_map({t: t for t in include_types(allowed)})
+    return F.element_at(kept, found)
 
 
 def output_extension(path: Column, include_type: Column | None = None) -> Column:
     """The extension a file is stored under (FN-7)."""
     name = F.lower(basename(path))
-    kind = F.lit(None).cast("string") if include_type is None else include_type
+    is_cds, is_rna = F.contains(name, F.lit("cds")), F.contains(name, F.lit("rna"))
+    if include_type is not None:
+        is_cds, is_rna = is_cds | (include_type == "cds"), is_rna | (include_type == "rna")
     written = suffix(name)
-    return (
-        F.when((kind == "cds") | F.contains(name, F.lit("cds")), ".cds")
-        .when((kind == "rna") | F.contains(name, F.lit("rna")), ".rna.fna")
-        .otherwise(F.coalesce(F.element_at(literal_map(EXTENSION_SPELLINGS), written), written))
-    )
+    spelled = F.coalesce(F.element_at(literal_map(EXTENSION_SPELLINGS), written), written)
+    return F.when(is_cds, ".cds").when(is_rna, ".rna.fna").otherwise(spelled)
 
 
 def standard_name(path: Column, accession: Column | None = None, include_type: Column | None = None) -> Column:
-    """``accession`` plus output extension; null without an accession (FN-8)."""
+    """``accession`` plus output extension; null without an accession (FN-8).
+
+    A type found from the name never changes the extension, so only a given type is looked at.
+    """
     known = loose_accession(path) if accession is None else F.coalesce(accession, loose_accession(path))
-    kind = file_type(path) if include_type is None else F.coalesce(include_type, file_type(path))
-    return F.concat(known, output_extension(path, kind))
+    return F.concat(known, output_extension(path, include_type))
 
 
 def expected_names(accession: Column, requested: Column) -> Column:

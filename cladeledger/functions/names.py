@@ -111,15 +111,19 @@ def resume_directory_name(taxon: Column) -> Column:
     return F.coalesce(F.nullif(tidy, F.lit("")), F.lit("unknown_taxon"))
 
 
+def _replaced(text: Column, character: str) -> Column:
+    return F.replace(text, F.lit(character), F.lit("_"))
+
+
 def ascii_file_name(name: Column) -> Column:
     """ASCII letters, digits and ``-_.`` only, at most 100 long."""
-    kept = F.regexp_replace(F.translate(name, " ", "_"), r"[^A-Za-z0-9\-_.]+", "")
+    kept = F.regexp_replace(_replaced(name, " "), r"[^A-Za-z0-9\-_.]+", "")
     return F.substring(F.coalesce(F.nullif(kept, F.lit("")), F.lit("unknown")), 1, 100)
 
 
 def split_file_name(name: Column) -> Column:
     """The name part of second-level split files."""
-    return F.translate(name, " /", "__")
+    return _replaced(_replaced(name, " "), "/")
 
 
 def is_numeric_id(taxon: Column) -> Column:

@@ -17,6 +17,8 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Code that Spark cannot compile should fail here, not run interpreted.
+        .config("spark.sql.codegen.fallback", "false")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
