@@ -12,7 +12,7 @@ from cladeledger.fixed_values import DEFAULT_BATCH_SIZE
 from cladeledger.functions.checksums import display_path, file_state_message
 from cladeledger.functions.names import is_valid_binomial
 from cladeledger.operators import integrity, layout, manifest, repair, reports, resume
-from cladeledger.sources.inventory import checksum_lists, list_tree, requested_files
+from cladeledger.sources.inventory import checksum_lists, existing_files, list_tree, requested_files
 from cladeledger.sources.lines import checksum_entries, read_many_lists
 from cladeledger.workspace import materialize
 
@@ -32,7 +32,10 @@ def verify_tree(spark: SparkSession, root: str) -> Verification:
 
 
 def verify_entries(entries: DataFrame, files: DataFrame, root: str) -> Verification:
-    """The same for parsed entries and an inventory."""
+    """The same for parsed entries and an inventory of ``root``; entries may also point outside it."""
+    outside = entries.filter(~F.startswith("abs_path", F.lit(root.rstrip("/") + "/")))
+    elsewhere = existing_files(outside.select(F.col("abs_path").alias("path")).distinct())
+    files = files.select("path", "size").unionByName(elsewhere)
     matched = materialize(integrity.match_inventory(entries, files), "matched")
     checked = integrity.verify(matched, integrity.hash_existing(matched))
     result = materialize(

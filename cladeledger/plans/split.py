@@ -45,7 +45,8 @@ def plan_split(
     Taxa larger than that are packed by accession instead.
     """
     capacity = int(split_size_gb * BASES_PER_GB)
-    chosen = materialize(hierarchy.filter_source(genomes, source), "genomes")
+    columns = ["accession", "tax_id", "sequence_length"]
+    chosen = materialize(hierarchy.filter_source(genomes, source).select(*columns), "genomes")
     pairs = hierarchy.closure(hierarchy.edges(nodes), hierarchy.nodes_at_rank(nodes, rank))
     taxa = sized_taxa(nodes, chosen, pairs, names_only)
     packed = materialize(pack(taxa, capacity, chunk_rows=chunk_rows), "packed")

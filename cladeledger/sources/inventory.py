@@ -57,10 +57,17 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
 def _entries(directory: str) -> Iterator[tuple[str, bool, int, float]]:
     if "://" not in directory:
         plain = directory.removeprefix("file:")
-        with os.scandir(plain) as entries:
-            for entry in entries:
-                status = entry.stat()
-                yield f"{plain}/{entry.name}", entry.is_dir(), status.st_size, status.st_mtime
+        try:
+            with os.scandir(plain) as entries:
+                for entry in entries:
+                    # Links to directories are not followed, so that a listing ends.
+                    if entry.is_dir(follow_symlinks=False):
+                        yield f"{plain}/{entry.name}", True, 0, 0.0
+                    elif entry.is_file():
+                        status = entry.stat()
+                        yield f"{plain}/{entry.name}", False, status.st_size, status.st_mtime
+        except PermissionError:
+            return
         return
     from pyarrow.fs import FileSelector, FileSystem, FileType
 
@@ -70,6 +77,25 @@ def _entries(directory: str) -> Iterator[tuple[str, bool, int, float]]:
         yield f"{directory}/{info.base_name}", is_directory, info.size or 0, info.mtime_ns / 1e9
 
 
+def existing_files(paths: DataFrame) -> DataFrame:
+    """The given paths that exist as files, with their size."""
+    tasks = paths.sparkSession.sparkContext.defaultParallelism
+    return paths.select("path").repartition(tasks, "path").mapInPandas(_sizes, "path STRING, size BIGINT")
+
+
+def _sizes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem, FileType
+
+    for batch in batches:
+        rows = []
+        for path in batch["path"]:
+            system, inner = FileSystem.from_uri(path)
+            info = system.get_file_info(inner)
+            if info.type == FileType.File:
+                rows.append((path, info.size))
+        yield pd.DataFrame(rows, columns=["path", "size"])
+
+
 def requested_files(files: DataFrame, include: Sequence[str] | None) -> DataFrame:
     """Data files of the requested include types, with their type (SRC-13)."""
     kinds = include_types(include)

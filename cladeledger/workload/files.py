@@ -14,6 +14,7 @@ from cladeledger.sinks import checksums as checksum_sinks
 from cladeledger.sinks import documents as document_sinks
 from cladeledger.sinks import splits
 from cladeledger.sinks.lines import write_lines
+from cladeledger.sinks.reports import write_run_summary
 from cladeledger.sources import archives, catalogue, documents, inventory, lines
 from cladeledger.streaming import commits
 from cladeledger.workload import operators as ops
@@ -424,6 +425,24 @@ def _(spark, sf):
     return read_back(spark, path)
 
 
+@query(
+    "ag_10_summary_report", "errors",
+    "select 'Failed Downloads: ' || count(*) as line from t union all select upper(substr(error_type, 1, 1)) || substr(error_type, 2) || ' Errors (' || count(*) || ' taxa):' from t group by error_type"
+    " union all select '  - ' || taxon || ': ' || message from (select *, row_number() over (partition by error_type order by taxon, message) as p from t) where p <= 10"
+    " union all select '  ... and ' || (count(*) - 10) || ' more' from t group by error_type having count(*) > 10",
+    f"t as (select taxon || '-' || event_id as taxon, message, {ERROR_CLASS_SQL} as error_type from errors)",
+)
+def _(spark, sf):
+    path = new_path(spark, "run-summary")
+    taxon = F.concat("taxon", F.lit("-"), F.col("event_id").cast("string"))
+    failed = classified_errors(spark, sf).select(
+        taxon.alias("taxon"), F.lit(False).alias("success"), F.lit(0).cast("bigint").alias("files_found"), "error_type",
+        F.col("message").alias("error_message"),
+    )
+    write_run_summary(failed, path, 60.0)
+    return read_back(spark, path).filter("line RLIKE '^(Failed Downloads|.* Errors [(]|  - |  [.][.][.])'")
+
+
 # Whole split plan ----------------------------------------------------------------------------------
 
 

@@ -11,6 +11,7 @@ from cladeledger.plans import audit
 from cladeledger.sinks import checksums as checksum_sinks
 from cladeledger.sinks import documents as document_sinks
 from cladeledger.sinks.lines import write_lines
+from cladeledger.sinks.reports import run_summary_lines
 from cladeledger.sources import archives, catalogue, documents, inventory, lines
 from cladeledger.streaming import commits
 
@@ -119,6 +120,31 @@ def test_verify_tree(spark, tmp_path):
     assert totals.counts_valid
 
 
+def test_entries_outside_the_tree_and_links(spark, tmp_path):
+    make_tree(tmp_path / "data")
+    (tmp_path / "other.fna").write_text("")
+    (tmp_path / "data" / "loop").symlink_to(tmp_path / "data")
+    (tmp_path / "data" / "broken.fna").symlink_to(tmp_path / "none")
+    (tmp_path / "data" / "t3").mkdir()
+    (tmp_path / "data" / "t3" / "md5sum.txt").write_text(f"{EMPTY}  ../../other.fna\n{EMPTY}  {tmp_path}/absent.fna\n")
+    found = {r.file_path: r.status for r in audit.verify_tree(spark, str(tmp_path / "data")).files.collect()}
+    assert found["../../other.fna"] == "pass" and found[f"{tmp_path}/absent.fna"] == "missing" and len(found) == 6
+
+
+def test_run_summary(spark):
+    rows = [(f"t{i}", i % 2 == 0, i, "data" if i % 4 == 1 else "transient", "m") for i in range(60)]
+    df = spark.createDataFrame(rows, "taxon STRING, success BOOLEAN, files_found BIGINT, error_type STRING, error_message STRING")
+    lines_df = run_summary_lines(df, 120.0)
+    text = [r.line for r in lines_df.orderBy("section", "item", "part").collect()]
+    assert text[3:9] == [
+        "Total Taxa Processed: 60", "Successful Downloads: 30", "Failed Downloads: 30", "Success Rate: 50.0%",
+        "Total Files Downloaded: 870", "Total Processing Time: 120.00 seconds",
+    ]
+    assert "  Transient: 15 (50.0%) (RETRYABLE)" in text
+    data = text.index("Data Errors (15 taxa):")
+    assert text[data + 1] == "  - t1: m" and text[data + 11] == "  ... and 5 more"
+
+
 def test_paths_with_odd_characters(spark, tmp_path):
     root = tmp_path / "a b+c%20é"
     make_tree(root)
