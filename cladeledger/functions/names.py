@@ -6,13 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cladeledger.fixed_values import GENERIC_TERMS, SUBSPECIES_MARKERS, UNIDENTIFIED_MARKERS
-from cladeledger.functions.text import literal_alternation, literal_array, strip
+from cladeledger.functions.text import literal_alternation, literal_array, literal_map, strip
 
 VALID = "Valid"
 
 _CHARACTERS = r"^[A-Za-z]+([\s-][A-Za-z]+)*$"
-_GENUS = r"^[A-Z][a-z]{2,}$"
-_EPITHET = r"^[a-z]{3,}(-[a-z]+)*$"
 _BINOMIAL = r"^[A-Z][a-z]{2,} [a-z]{3,}(-[a-z]+)*$"
 _EXCLUDED = (
     rf"(?i)\b(?:(?:{literal_alternation(SUBSPECIES_MARKERS + UNIDENTIFIED_MARKERS)})\.?"
@@ -32,42 +30,30 @@ def is_valid_binomial(name: Column) -> Column:
     return F.coalesce(tidy.rlike(_BINOMIAL) & ~tidy.rlike(_EXCLUDED), F.lit(False))
 
 
+def _marker_messages() -> dict[str, str]:
+    lists = {
+        "Contains subspecies marker: ": SUBSPECIES_MARKERS,
+        "Contains unidentified marker: ": UNIDENTIFIED_MARKERS,
+        "Contains generic term: ": GENERIC_TERMS,
+    }
+    messages: dict[str, str] = {}
+    for label, words in lists.items():
+        for word in words:
+            messages.setdefault(word, label + word)
+    return messages
+
+
 def rejection_reason(name: Column) -> Column:
-    """The first rule a name breaks, or ``Valid`` (FN-3)."""
+    """The first rule a name breaks, or ``Valid`` (FN-3).
+
+    Each rule is one pattern on the whole name, which keeps the generated code small.
+    """
     tidy = single_spaced(name)
-    words = F.split(tidy, " ")
-    n_words = F.size(words).cast("string")
-    genus, epithet = F.get(words, F.lit(0)), F.get(words, F.lit(1))
-    # Only letters, spaces and hyphens are left here, so a word-bounded marker is a whole part.
+    messages = _marker_messages()
+    # Only letters, spaces and hyphens reach the markers, so a word-bounded marker is a whole part.
     parts = F.split(F.lower(tidy), "[ -]")
-
-    def first_of(markers: list[str]) -> Column:
-        return F.get(F.array_intersect(literal_array(markers), parts), F.lit(0))
-
-    genus_reason = (
-        F.when(~genus.rlike("^[A-Z]"), "Genus name must start with uppercase letter")
-        .when(F.contains(genus, F.lit("-")), "Genus name must not contain hyphens")
-        .when(~genus.rlike("^.[a-z]+$"), "Genus name must have lowercase letters after first")
-        .when(
-            F.length(genus) < 3,
-            F.concat(
-                F.lit("Genus name too short ("), F.length(genus).cast("string"),
-                F.lit(" chars), need ≥3"),
-            ),
-        )
-        .otherwise("Genus name format invalid")
-    )
-    epithet_reason = (
-        F.when(epithet.rlike("[A-Z]"), "Specific epithet must be all lowercase")
-        .when(
-            F.length(epithet) < 3,
-            F.concat(
-                F.lit("Specific epithet too short ("), F.length(epithet).cast("string"),
-                F.lit(" chars), need ≥3"),
-            ),
-        )
-        .otherwise("Specific epithet format invalid")
-    )
+    marker = F.get(F.array_intersect(literal_array(messages), parts), F.lit(0))
+    words = F.size(F.split(tidy, " ")).cast("string")
     return (
         F.when(name.isNull() | (name == ""), "Empty or invalid input")
         .when(tidy.rlike(r"(?U)\d"), "Contains numbers")
@@ -75,24 +61,17 @@ def rejection_reason(name: Column) -> Column:
             ~tidy.rlike(_CHARACTERS),
             "Contains invalid characters (only letters, spaces, hyphens allowed)",
         )
-        .when(
-            F.size(words) < 2,
-            F.concat(F.lit("Too few words ("), n_words, F.lit("), need exactly 2")),
-        )
-        .when(
-            F.size(words) > 2,
-            F.concat(F.lit("Too many words ("), n_words, F.lit("), need exactly 2")),
-        )
-        .when(~genus.rlike(_GENUS), genus_reason)
-        .when(~epithet.rlike(_EPITHET), epithet_reason)
-        .otherwise(
-            F.coalesce(
-                F.concat(F.lit("Contains subspecies marker: "), first_of(SUBSPECIES_MARKERS)),
-                F.concat(F.lit("Contains unidentified marker: "), first_of(UNIDENTIFIED_MARKERS)),
-                F.concat(F.lit("Contains generic term: "), first_of(GENERIC_TERMS)),
-                F.lit(VALID),
-            )
-        )
+        .when(~tidy.rlike(" "), "Too few words (1), need exactly 2")
+        .when(tidy.rlike(" .* "), F.concat(F.lit("Too many words ("), words, F.lit("), need exactly 2")))
+        .when(~tidy.rlike("^[A-Z]"), "Genus name must start with uppercase letter")
+        .when(tidy.rlike("^[^ ]*-"), "Genus name must not contain hyphens")
+        .when(~tidy.rlike("^.[a-z]+ "), "Genus name must have lowercase letters after first")
+        .when(tidy.rlike("^.. "), "Genus name too short (2 chars), need ≥3")
+        .when(tidy.rlike(" .*[A-Z]"), "Specific epithet must be all lowercase")
+        .when(tidy.rlike(" .$"), "Specific epithet too short (1 chars), need ≥3")
+        .when(tidy.rlike(" ..$"), "Specific epithet too short (2 chars), need ≥3")
+        .when(~tidy.rlike(_BINOMIAL), "Specific epithet format invalid")
+        .otherwise(F.coalesce(F.element_at(literal_map(messages), marker), F.lit(VALID)))
     )
 
 

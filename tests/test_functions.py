@@ -60,8 +60,9 @@ def test_rejection_reason(spark):
 
 def test_reason_is_valid_exactly_for_valid_names(spark, sf):
     from cladeledger.workload.fixtures import derived
+    from cladeledger.workspace import materialize
 
-    rows = derived(spark, sf, "names")
+    rows = materialize(derived(spark, sf, "names"), "names")
     differ = (names.rejection_reason(F.col("name")) == names.VALID) != names.is_valid_binomial(F.col("name"))
     assert rows.filter(differ).isEmpty()
 
