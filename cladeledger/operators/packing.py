@@ -45,7 +45,7 @@ def pack_all(
     items: DataFrame, capacity: int, size: str, item: str, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """As ``pack``, with each oversized item in a bin of its own after the others (WN-9)."""
-    packed = materialize(pack(items, capacity, size, item, keys, chunk_rows), "packed")
+    packed = pack(items, capacity, size, item, keys, chunk_rows)
     last = packed.groupBy(*keys).agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))
     over = with_row_number(packed.filter("bin IS NULL"), keys, [F.col(item)], "_extra")
     over = over.join(last, list(keys)).withColumn("bin", F.col("_last") + F.col("_extra"))

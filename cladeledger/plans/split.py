@@ -49,7 +49,7 @@ def plan_split(
     chosen = materialize(hierarchy.filter_source(genomes, source).select(*columns), "genomes")
     pairs = hierarchy.closure(hierarchy.edges(nodes), hierarchy.nodes_at_rank(nodes, rank))
     taxa = sized_taxa(nodes, chosen, pairs, names_only)
-    packed = materialize(pack(taxa, capacity, chunk_rows=chunk_rows), "packed")
+    packed = pack(taxa, capacity, chunk_rows=chunk_rows)
     exceeded = packed.filter("bin IS NULL").select(F.col("tax_id").alias("ancestor"), "name")
     members = pairs.join(exceeded, "ancestor")
     accessions = (

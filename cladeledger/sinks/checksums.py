@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cladeledger.fixed_values import FAILING_STATES
 from cladeledger.sinks.lines import REPORT_ORDER, exploded, fixed_lines, write_lines
 
+# Header lines of a merged checksum list.
 _LIST_HEADER = [
     "# MD5 checksums",
     "# Compatible with standard md5sum tools on Windows and Linux",
@@ -51,6 +52,7 @@ def failure_lines(verification: DataFrame, root: str, generated: str) -> DataFra
         F.coalesce("computed_hash", F.lit("N/A")),
         F.coalesce("error_message", F.lit("")),
     )
+    # Header lines of a failure list.
     head = ["# MD5 Verification Failed Files", f"# Generated: {generated}", f"# Verification Directory: {root}"]
     tail = [
         "#",
@@ -82,6 +84,7 @@ def report_lines(verification: DataFrame, totals: DataFrame, seconds: float = 0.
         F.col("total_files") > 0,
         F.concat(F.lit("Success Rate: "), F.format_string("%.1f", F.bround("success_rate", 1)), F.lit("%")),
     ).otherwise("Success Rate: N/A (no files processed)")
+    # Labels of the verification report.
     summary = [
         F.lit(_RULE), F.lit("MD5 VERIFICATION REPORT"), F.lit(_RULE),
         labelled("Total Files", "total_files"), labelled("Passed", "passed"), labelled("Failed", "failed"),

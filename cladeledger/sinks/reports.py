@@ -32,6 +32,7 @@ def run_summary_lines(results: DataFrame, seconds: float) -> DataFrame:
     rate = F.when(
         F.col("total_taxa") > 0, _labelled("Success Rate", _rounded(F.col("success_rate"), 1), "%")
     ).otherwise("Success Rate: N/A (no taxa processed)")
+    # Labels of the run summary.
     totals = [
         F.lit(_RULE), F.lit("SUMMARY REPORT"), F.lit(_RULE),
         _labelled("Total Taxa Processed", F.col("total_taxa")),

@@ -76,6 +76,7 @@ def summary_lines(totals: DataFrame, config: dict[str, object]) -> DataFrame:
     """The split summary as lines; ``totals`` comes from ``split_totals`` (SNK-4)."""
     spark = totals.sparkSession
     sized = totals.withColumn("gb", footprint(F.col("size_bp"))["size_gb"])
+    # Headings and labels of the split summary.
     head = [f"# Task Split Results: {config.get('taxon', '')}", "", "## Configuration", ""]
     head += [f"- **{k}**: {v}" for k, v in config.items()]
     head += ["", "## Overall Statistics", "", "| Metric | Value |", "|--------|-------|"]
