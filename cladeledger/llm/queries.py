@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cladeledger.llm import packing, token_files
+from cladeledger.llm import packing, simhash, token_files
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -40,3 +40,8 @@ def _(spark, sf):
 @query("op4_best_fit_packing")
 def _(spark, sf):
     return packing.pack(packing.cut_pieces(table(spark, sf, "documents"), tokenizer_path(), end_id=0))
+
+
+@query("op6_simhash")
+def _(spark, sf):
+    return simhash.near_duplicates(table(spark, sf, "documents"))
