@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cladeledger.llm import packing, simhash, token_files
+from cladeledger.llm import language_id, packing, simhash, token_files
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +46,10 @@ def _(spark, sf):
 @query("op6_simhash")
 def _(spark, sf):
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op8_language_id")
+def _(spark, sf):
+    learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
+    found = language_id.identify(table(spark, sf, "documents"), learn)
+    return found.select("doc_id", "held_out", "lang_pred", "score")
