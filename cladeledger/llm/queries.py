@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import language_id, packing, simhash, token_files
+from cladeledger.llm import decontaminate, language_id, packing, simhash, token_files
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,39 @@ def _(spark, sf):
     learn = F.crc32(F.col("doc_id").cast("string")) % 3 != 1
     found = language_id.identify(table(spark, sf, "documents"), learn)
     return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+_WORDS = (
+    "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),"
+    " '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+)
+
+
+@query(
+    "op3_decontamination",
+    f"""
+    with items as (select item_id::varchar as item_id, {_WORDS} as w from benchmark),
+    windows as (
+        select distinct item_id, list_slice(w, i, i + 9) as words
+        from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0)
+    ),
+    texts as (select doc_id, {_WORDS} as w from documents),
+    sizes as (select distinct len(words) as n from windows),
+    places as (
+        select doc_id, p, n, list_slice(w, p, p + n - 1) as words
+        from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as p from texts, sizes)
+    ),
+    found as (select doc_id, p, n, item_id from places join windows using (words)),
+    hit as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + n)) as q from found) group by 1),
+    named as (
+        select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as items
+        from (select distinct doc_id, item_id from found) group by 1
+    )
+    select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+        sha256(coalesce(items, '')) as items_sha256, n_hit is not null as contaminated
+    from texts left join hit using (doc_id) left join named using (doc_id)
+    """,
+)
+def _(spark, sf):
+    found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return found.drop("items")
