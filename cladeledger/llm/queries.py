@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, packing, simhash, token_files
+from cladeledger.llm import decontaminate, language_id, packing, pii, simhash, token_files
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -89,3 +89,8 @@ _WORDS = (
 def _(spark, sf):
     found = decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return found.drop("items")
+
+
+@query("op9_personal_data")
+def _(spark, sf):
+    return pii.find(table(spark, sf, "documents"))
