@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, packing, pii, simhash, token_files
+from cladeledger.llm import decontaminate, language_id, packing, pii, simhash, token_files, url_filter
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -94,3 +94,32 @@ def _(spark, sf):
 @query("op9_personal_data")
 def _(spark, sf):
     return pii.find(table(spark, sf, "documents"))
+
+
+URL_RULES = (
+    ("net", "/", "block"),
+    ("example.net", "/en/", "allow"),
+    ("example.com", "/de/", "block"),
+    ("org", "/fr/", "allow"),
+)
+
+
+@query(
+    "op10_url_filter",
+    r"""
+    with parts as (
+        select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+            regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path
+        from pages
+    ),
+    rules(h, p, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+    fits as (
+        select page_id, max_by(h || p, length(h || p)) as rule, max_by(v, length(h || p)) as v
+        from parts, rules where (host = h or host like '%.' || h) and starts_with(path, p) group by 1
+    )
+    select page_id, host, path, rule, coalesce(v, 'allow') as verdict from parts left join fits using (page_id)
+    """,
+)
+def _(spark, sf):
+    return url_filter.judge(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, url_filter.RULES))
