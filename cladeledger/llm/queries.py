@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, packing, pii, simhash, token_files, url_filter
+from cladeledger.llm import decontaminate, language_id, neighbours, packing, pii, simhash, token_files, url_filter
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,8 @@ URL_RULES = (
 )
 def _(spark, sf):
     return url_filter.judge(table(spark, sf, "pages"), spark.createDataFrame(URL_RULES, url_filter.RULES))
+
+
+@query("op7_neighbours")
+def _(spark, sf):
+    return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
