@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, neighbours, packing, pii, simhash, token_files, url_filter
+from cladeledger.llm import decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,14 @@ def _(spark, sf):
 @query("op7_neighbours")
 def _(spark, sf):
     return neighbours.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op1_licence_scan", licenses.oracle())
+def _(spark, sf):
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+@query("op5_quality")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
