@@ -307,6 +307,21 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
     return scored.select("doc_id", "held_out", "lang_pred", "score", accepted.alias("accepted"), "cross_entropy")
 
 
+def keep_identified(docs: DataFrame, learn: Column) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` accepts, with their own columns. Nothing is joined, so repeated rows
+    and null ids need no care."""
+    labelled = split(docs, learn).filter("learn AND lang IS NOT NULL AND text IS NOT NULL")
+    models = train(labelled)
+    shared = docs.sparkSession.sparkContext.broadcast((models, _calibrate(labelled, models) if models else None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            judged = (_judge(text, *shared.value) for text in batch.column("text").to_pylist())
+            yield batch.filter(pa.array([lang != UNDETERMINED and score >= ACCEPT_SCORE for lang, score, *_ in judged], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def _calibrate(labelled: DataFrame, models: Models) -> Calibration:
     share = min(1.0, CALIBRATION_DOCUMENTS / max(labelled.count(), 1))
     chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
