@@ -13,6 +13,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes not to meet a column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+    return out
+
+
+def with_key(docs: DataFrame, doc: str, key: str) -> DataFrame:
+    """``docs`` and two columns that tell its rows apart: the id as long and a hash of the text."""
+    return docs.withColumns({doc: F.col("doc_id").cast("bigint"), key: F.xxhash64(F.coalesce("text", F.lit("")))})
+
+
 def texts(docs: DataFrame) -> DataFrame:
     """``doc_id`` as long and ``text`` with null as empty; other columns go, whatever their names."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeledger.llm.common import LOWER, UPPER
+from cladeledger.llm.common import LOWER, UPPER, unused, with_key
 from cladeledger.workspace import materialize
 
 WINDOW_WORDS = 10
@@ -121,7 +121,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORD
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     """The rows of ``docs`` whose text holds no window, with their own columns."""
-    own = docs.columns
-    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    hit = _hits(docs, benchmark, size).select("_id", "_key")
-    return keyed.join(hit, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left_anti").select(*own)
+    doc, key, hit_doc, hit_key = unused(docs, "own_doc", "own_key", "hit_doc", "hit_key")
+    hit = _hits(docs, benchmark, size).select(F.col("_id").alias(hit_doc), F.col("_key").alias(hit_key))
+    same = F.col(doc).eqNullSafe(F.col(hit_doc)) & (F.col(key) == F.col(hit_key))
+    return with_key(docs, doc, key).join(hit, same, "left_anti").select(*docs.columns)

@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeledger.llm.common import unused, with_key
 from cladeledger.workspace import materialize
 
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -255,22 +256,21 @@ def redact(docs: DataFrame) -> DataFrame:
     numbered = found.withColumn("new", (F.coalesce(reach, F.lit(-1)) <= F.col("start")).cast("int"))
     numbered = numbered.withColumn("island", F.sum("new").over(in_text.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     merged = numbered.groupBy(*_KEY, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("kind").alias("kind"))
-    cuts = merged.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias("_cuts")
+    doc, key, cut_doc, cut_key, cut = unused(docs, "own_doc", "own_key", "cut_doc", "cut_key", "cuts")
+    cuts = merged.groupBy(F.col("doc_id").alias(cut_doc), F.col("text_key").alias(cut_key)).agg(
+        F.sort_array(F.collect_list(F.struct("start", "end", "kind"))).alias(cut)
     )
-    own = docs.columns
-    keyed = docs.withColumns({"_own_id": F.col("doc_id").cast("bigint"), "_own_key": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(cuts, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
-    zero = F.lit(0).cast("bigint")
-    ends = F.concat(F.array(zero), F.transform("_cuts", lambda c: c["end"]))
-    between = F.zip_with("_cuts", F.slice(ends, 1, F.size("_cuts")), lambda c, end: F.concat(
+    same = F.col(doc).eqNullSafe(F.col(cut_doc)) & (F.col(key) == F.col(cut_key))
+    joined = with_key(docs, doc, key).join(cuts, same, "left")
+    ends = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(cut, lambda c: c["end"]))
+    between = F.zip_with(cut, F.slice(ends, 1, F.size(cut)), lambda c, end: F.concat(
         F.substring(F.col("text"), (end + 1).cast("int"), (c["start"] - end).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]")
     ))
-    last = F.element_at(F.col("_cuts"), -1)["end"]
+    last = F.element_at(F.col(cut), -1)["end"]
     rest = F.substring(F.col("text"), (last + 1).cast("int"), F.char_length("text"))
-    changed = F.col("_cuts").isNotNull()
+    changed = F.col(cut).isNotNull()
     out = joined.withColumn("text", F.when(changed, F.concat(F.array_join(between, ""), rest)).otherwise(F.col("text")))
-    if "n_chars" in own:
-        kind = dict(docs.dtypes)["n_chars"]
-        out = out.withColumn("n_chars", F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*own)
+    if "n_chars" in docs.columns:
+        size = F.char_length("text").cast(dict(docs.dtypes)["n_chars"])
+        out = out.withColumn("n_chars", F.when(changed, size).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeledger.llm.common import LOWER, UPPER, arrow_schema, texts
+from cladeledger.llm.common import LOWER, UPPER, arrow_schema, texts, unused, with_key
 from cladeledger.llm.components import components
 from cladeledger.workspace import materialize
 
@@ -183,14 +183,11 @@ def drop_near_duplicates(docs: DataFrame, groups: int = AXIS_GROUPS) -> DataFram
     """One row of each group of near-duplicates, that with the least (``doc_id``, text), with its own columns."""
     prints = fingerprints(docs)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    doc, key, kept_doc, kept_key = unused(docs, "own_doc", "own_key", "kept_doc", "kept_key")
     kept = _grouped(prints, groups).groupBy("root").agg(F.min(first).alias("kept")).select(
-        F.col("kept.doc_id").alias("_kept_doc"), F.col("kept.text_key").alias("_kept_key")
+        F.col("kept.doc_id").alias(kept_doc), F.col("kept.text_key").alias(kept_key)
     )
-    own = docs.columns
-    keyed = docs.withColumns(
-        {"_kept_id": F.col("doc_id").cast("bigint"), "_kept_text": F.xxhash64(F.coalesce("text", F.lit("")))}
-    )
-    same = F.col("_kept_id").eqNullSafe(F.col("_kept_doc")) & (F.col("_kept_text") == F.col("_kept_key"))
-    found = keyed.join(kept, same)
+    same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(key) == F.col(kept_key))
+    found = with_key(docs, doc, key).join(kept, same)
     # Rows that are equal in both are one document; anything else here is unique already.
-    return found.dropDuplicates(["_kept_id", "_kept_text"]).select(*own)
+    return found.dropDuplicates([doc, key]).select(*docs.columns)
