@@ -22,6 +22,8 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 ROUNDS = 24
 RATE = 0.4
+# A rarer form is judged by what it shares with commoner ones, not by its own few cases.
+MIN_LEAF = 20
 
 # A run of name characters or digits can only match from its first one, unless a match ended inside it; saying so
 # keeps long runs linear. Possessive loops keep Java from recursing. Neither changes what is found.
@@ -37,7 +39,7 @@ PATTERNS = {
 }
 KINDS = tuple(PATTERNS)
 _GUARDS = {"email": "@", "email_like": None, "phone": "+"}
-_OCTET = "0*+(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
+_OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 _HINTS = r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|card|visa|iban|account|ip|host|server|address)\W{0,4}$"
 _BEFORE, _AFTER = 24, 4
 _KEY = ["doc_id", "text_key"]
@@ -148,7 +150,7 @@ def _gain(rows: list[tuple], test: Test) -> tuple[float, list[tuple], list[tuple
 
 
 def _value(rows: list[tuple]) -> float:
-    """Newton step objective of rows (features, gradient, curvature)."""
+    """Newton step objective of rows (features, gradient, curvature, candidates)."""
     gradient, curvature = sum(r[1] for r in rows), sum(r[2] for r in rows)
     return gradient * gradient / (curvature + 1.0)
 
@@ -161,8 +163,10 @@ def _grow(rows: list[tuple], tests: list[Test], depth: int):
     """A tree is a number or (test, tree if it holds, tree if not)."""
     if depth == 0 or len(rows) < 2:
         return _step(rows)
-    best = max(((*_gain(rows, t), t) for t in tests), key=lambda x: x[0], default=None)
-    if best is None or best[0] <= _value(rows) + 1e-6 or not best[1] or not best[2]:
+    splits = ((*_gain(rows, t), t) for t in tests)
+    large = (s for s in splits if min(sum(r[3] for r in s[1]), sum(r[3] for r in s[2])) >= MIN_LEAF)
+    best = max(large, key=lambda s: s[0], default=None)
+    if best is None or best[0] <= _value(rows) + 1e-6:
         return _step(rows)
     return best[3], _grow(best[1], tests, depth - 1), _grow(best[2], tests, depth - 1)
 
@@ -196,7 +200,7 @@ def fit(spans: DataFrame) -> tuple[Column, float]:
         rows = []
         for (features, n, good), score in zip(cells, scores):
             chance = 1 / (1 + math.exp(-score))
-            rows.append((features, good - n * chance, n * chance * (1 - chance)))
+            rows.append((features, good - n * chance, n * chance * (1 - chance), n))
         trees.append(_grow(rows, tests, 3))
         scores = [max(-30.0, min(30.0, s + _apply(trees[-1], f))) for s, (f, _, _) in zip(scores, cells)]
     threshold, all_n, all_good = math.inf, 0, 0
