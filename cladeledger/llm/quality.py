@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeledger.llm.common import arrow_schema
+from cladeledger.llm.common import arrow_schema, share
 from cladeledger.workspace import materialize
 
 LABELLED_SAMPLE = 8_000
@@ -112,11 +112,21 @@ def platt(logits: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     good, bad = float(y.sum()), float(len(y) - y.sum())
     target = np.where(y == 1, (good + 1) / (good + 2), 1 / (bad + 2))
     x = np.stack([logits, np.ones(len(logits))], 1)
-    w = np.array([1.0, 0.0])
-    for _ in range(30):
+    start = np.array([1.0, 0.0])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - target * z).sum() + 5e-4 * ((w - start) ** 2).sum())
+
+    w, now = start, loss(start)
+    for _ in range(50):
         p = _sigmoid(x @ w)
         curve = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(curve, x.T @ (p - target) + 1e-3 * (w - [1.0, 0.0]))
+        step = np.linalg.solve(curve, x.T @ (p - target) + 1e-3 * (w - start))
+        # Full Newton steps can overshoot where most chances are near 0 or 1.
+        while loss(w - step) > now and np.abs(step).max() > 1e-9:
+            step = step / 2
+        w, now = w - step, loss(w - step)
     return float(max(w[0], 0.0)), float(w[1])
 
 
@@ -203,16 +213,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Null and empty texts have no words and are judged on that; nulls in metadata are features of their own.
     Repeated rows are each scored. Without labels of both classes all get the prior and are kept.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = arrow_schema(_SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared()
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 rows = batch.slice(start, 1000)
                 content = np.stack([text_features(t) for t in rows.column("text").to_pylist()])
                 meta = np.stack([meta_features(*x) for x in zip(*(rows.column(c).to_pylist() for c in ("source", "lang", "n_chars")))])
-                found = shared.value.scores(content, meta)
+                found = model.scores(content, meta)
                 yield pa.record_batch([rows.column("doc_id"), *(pa.array(x, pa.float64()) for x in found)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
