@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable
+from typing import Any
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +39,15 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def share(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Send ``value`` to the executors once; the function returned gives a task its copy.
+
+    It travels by value, as the tasks' own functions do, so executors need no copy of this package.
+    """
+    packed = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(packed.value)
+
+
 def arrow_schema(schema: T.StructType):
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeledger.llm.common import arrow_schema
+from cladeledger.llm.common import arrow_schema, share
 from cladeledger.workspace import materialize
 
 MAX_GRAMS = 50_000
@@ -254,11 +254,11 @@ def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Models | None:
 
 
 def _score(docs: DataFrame, models: Models | None, calibration: Calibration | None) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((models, calibration))
+    shared = share(docs.sparkSession, (models, calibration))
     schema = arrow_schema(_SCORED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models, calibration = shared.value
+        models, calibration = shared()
         for batch in batches:
             rows = [_judge(text, models, calibration) for text in batch.column("text").to_pylist()]
             columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(schema)[2:])] if rows else []
@@ -312,11 +312,12 @@ def keep_identified(docs: DataFrame, learn: Column) -> DataFrame:
     and null ids need no care."""
     labelled = split(docs, learn).filter("learn AND lang IS NOT NULL AND text IS NOT NULL")
     models = train(labelled)
-    shared = docs.sparkSession.sparkContext.broadcast((models, _calibrate(labelled, models) if models else None))
+    shared = share(docs.sparkSession, (models, _calibrate(labelled, models) if models else None))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared()
         for batch in batches:
-            judged = (_judge(text, *shared.value) for text in batch.column("text").to_pylist())
+            judged = (_judge(text, *known) for text in batch.column("text").to_pylist())
             yield batch.filter(pa.array([lang != UNDETERMINED and score >= ACCEPT_SCORE for lang, score, *_ in judged], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cladeledger.llm.common import share
 from cladeledger.workspace import materialize
 
 TREES = 8
@@ -128,14 +129,14 @@ def _prepared(rows: DataFrame, keep: int) -> tuple[DataFrame, int]:
 
 
 def nearest(
-    rows: DataFrame, is_query: Column, k: int = 5, share: float = SEARCH_SHARE, trees: int = TREES
+    rows: DataFrame, is_query: Column, k: int = 5, searched: float = SEARCH_SHARE, trees: int = TREES
 ) -> DataFrame:
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the ``k`` nearest found of every query.
 
     ``rows`` has ``vec_id`` and ``embedding``; ``is_query`` is a condition on ``vec_id``. Vectors that are null,
     empty, zero or hold a null or non-finite component take no part, nor do rows without id or with another size
-    than most. Repeated ids count once, with their least vector. Equal scores rank by the smaller id. ``share`` of
-    all leaves is searched: raise it for more recall, lower it for less work. An empty table gives no rows.
+    than most. Repeated ids count once, with their least vector. Equal scores rank by the smaller id. A share
+    ``searched`` of all leaves is visited: raise it for more recall, lower it for less work. An empty table gives no rows.
     """
     kinds, size = _prepared(rows, k + 1)
     count = kinds.count()
@@ -143,24 +144,27 @@ def nearest(
     chosen = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) <= int(min(1.0, wanted / max(count, 1)) * (1 << 30))
     sample = kinds.filter(chosen).select("vector").limit(2 * wanted).toArrow()
     units = _units(_matrix(sample["vector"], size)) if sample.num_rows else np.zeros((1, max(size, 1)))
-    shared = rows.sparkSession.sparkContext.broadcast(grow(units, count, trees))
-    leaves = shared.value.leaves
-    visits = max(1, round(share * leaves * trees), min(leaves * trees, -(-MIN_CANDIDATES * leaves // max(count, 1))))
+    forest = grow(units, count, trees)
+    shared = share(rows.sparkSession, forest)
+    leaves = forest.leaves
+    visits = max(1, round(searched * leaves * trees), min(leaves * trees, -(-MIN_CANDIDATES * leaves // max(count, 1))))
     kind = dict(kinds.dtypes)["vector"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            leaves = shared.value.leaves_of(_units(_matrix(batch.column("vector"), size)))
+            leaves = forest.leaves_of(_units(_matrix(batch.column("vector"), size)))
             for tree in range(leaves.shape[1]):
                 yield pa.record_batch([pa.array(leaves[:, tree]), batch.column("vector"), batch.column("ids")], names=["leaf", "vector", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = shared()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found = [shared.value.search(u, visits) for u in _units(_matrix(batch.column("vector"), size))]
+            found = [forest.search(u, visits) for u in _units(_matrix(batch.column("vector"), size))]
             at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
             leaves = pa.array([leaf for x in found for leaf in x], pa.int32())
             yield pa.record_batch([leaves, batch.column("query_id").take(at), batch.column("vector").take(at)], names=["leaf", "query_id", "vector"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeledger.llm.common import LOWER, UPPER
+from cladeledger.llm.common import LOWER, UPPER, share
 from cladeledger.workspace import materialize
 
 BITS_PER_KEY = 10
@@ -114,11 +114,12 @@ def _bits(keys: DataFrame, level: int, count: int) -> np.ndarray:
 
 def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
     """Of ``keys``, those that the given level lets through; written, as they decide what the next level holds."""
-    shared = keys.sparkSession.sparkContext.broadcast(cascade)
+    shared = share(keys.sparkSession, cascade)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cascade = shared()
         for batch in batches:
-            held = shared.value.passes(level, batch.column(0).to_numpy().view(np.uint64))
+            held = cascade.passes(level, batch.column(0).to_numpy().view(np.uint64))
             yield batch.filter(pa.array(held))
 
     return materialize(keys.select("hash").mapInArrow(keep, "hash long"), "passing")
@@ -165,10 +166,10 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFra
     blocked = listed.filter("verdict = 'block'").select("key")
     allowed = listed.filter("verdict = 'allow'").select("key").join(blocked, "key", "left_anti")
     cascades = (build(universe, blocked), build(universe, allowed))
-    shared = pages.sparkSession.sparkContext.broadcast(cascades)
+    shared = share(pages.sparkSession, cascades)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, allow = shared.value
+        block, allow = shared()
         for batch in batches:
             keys, hashes = batch.column("keys"), batch.column("hashes")
             flat = hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
