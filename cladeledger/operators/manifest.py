@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cladeledger.fixed_values import (
@@ -16,6 +16,7 @@ from cladeledger.fixed_values import (
 from cladeledger.functions.accessions import loose_accession
 from cladeledger.functions.filetypes import file_type, standard_name, type_of_standard_name
 from cladeledger.functions.text import basename
+from cladeledger.workspace import materialize
 
 
 def classify_merge(manifest: DataFrame, batch: DataFrame) -> DataFrame:
@@ -50,31 +51,44 @@ def merge(manifest: DataFrame, batch: DataFrame) -> DataFrame:
 
 
 def judge_batches(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
-    """Artifact rows with ``conflict`` and ``batch_ok`` for whole batches of ``batch_num``.
+    """Artifact rows with ``old_md5``, ``conflict`` and ``batch_ok`` for whole batches of ``batch_num``.
 
-    A batch fails as a whole if one of its hashes differs from the manifest, from another of its own
-    rows, or from an earlier batch that did not fail against the manifest.
+    As if the batches came one after the other: one fails as a whole if a hash of it differs from the manifest, from
+    another of its own rows, or from an earlier batch that did not fail itself. Batches are judged in rounds: a
+    batch is good once no earlier open or good batch contradicts it, and fails once a good one does. Each round
+    settles at least the first open batch of every chain of contradictions; chains are short.
     """
+    old = manifest.groupBy("filename").agg(F.max("expected_md5").alias("old_md5"))
     names = artifacts.groupBy("batch_num", "filename").agg(
         F.min("expected_md5").alias("md5"), (F.min("expected_md5") != F.max("expected_md5")).alias("disagree")
     )
-    old = manifest.groupBy("filename").agg(F.max("expected_md5").alias("old_md5"))
-    against_manifest = names.join(old, "filename", "left").withColumn(
-        "first_fault", F.col("disagree") | F.coalesce(F.col("old_md5") != F.col("md5"), F.lit(False))
-    )
-    faulty = against_manifest.groupBy("batch_num").agg(F.bool_or("first_fault").alias("faulty"))
-    claims = (
-        names.join(faulty.filter("NOT faulty"), "batch_num", "left_semi")
-        .groupBy("filename")
-        .agg(F.min_by("md5", "batch_num").alias("claimed"))
-    )
-    judged = (
-        against_manifest.join(claims, "filename", "left")
-        .withColumn("conflict", F.col("first_fault") | F.coalesce(F.col("claimed") != F.col("md5"), F.lit(False)))
-        .select("batch_num", "filename", "old_md5", "conflict")
+    differs = F.col("disagree") | F.coalesce(F.col("old_md5") != F.col("md5"), F.lit(False))
+    names = materialize(names.join(old, "filename", "left").withColumn("fault", differs).drop("disagree"), "claims")
+    # true: good, false: failed, null: open
+    verdict = F.when(F.bool_or("fault"), False)
+    verdicts = materialize(names.groupBy("batch_num").agg(verdict.alias("good")), "verdicts")
+    while not verdicts.filter("good IS NULL").isEmpty():
+        live = names.join(verdicts, "batch_num").filter("good IS NULL OR good")
+        # Per name the first claimant, and the first that says otherwise: who contradicts a claim is one of the two.
+        firsts = live.groupBy("filename", "md5").agg(F.min(F.struct("batch_num", "good")).alias("first"))
+        place = F.row_number().over(Window.partitionBy("filename").orderBy("first.batch_num"))
+        firsts = firsts.withColumn("place", place).filter("place <= 2").groupBy("filename").agg(
+            F.min(F.when(F.col("place") == 1, F.struct("md5", "first"))).alias("one"),
+            F.min(F.when(F.col("place") == 2, F.struct("md5", "first"))).alias("two"),
+        )
+        open_claims = live.filter("good IS NULL").drop("good").join(firsts.filter("two IS NOT NULL"), "filename")
+        against = F.when(F.col("one.md5") != F.col("md5"), F.col("one.first")).otherwise(F.col("two.first"))
+        contradicted = open_claims.withColumn("against", against).filter("against.batch_num < batch_num")
+        found = contradicted.groupBy("batch_num").agg(F.bool_or(F.coalesce("against.good", F.lit(False))).alias("by_good"))
+        settled = F.when(F.col("good").isNotNull(), F.col("good")).when(F.col("by_good").isNull(), True).when(F.col("by_good"), False)
+        verdicts = materialize(verdicts.join(found, "batch_num", "left").select("batch_num", settled.alias("good")), "verdicts")
+    good = names.join(verdicts, "batch_num").filter("good").groupBy("filename").agg(F.min(F.struct("batch_num", "md5")).alias("kept"))
+    conflict = F.col("fault") | F.coalesce(
+        (F.col("kept.md5") != F.col("md5")) & (F.col("kept.batch_num") < F.col("batch_num")), F.lit(False)
     )
-    per_batch = judged.groupBy("batch_num").agg((~F.bool_or("conflict")).alias("batch_ok"))
-    return artifacts.join(judged, ["batch_num", "filename"]).join(per_batch, "batch_num")
+    judged = names.join(good, "filename", "left").withColumn("conflict", conflict).join(verdicts, "batch_num")
+    judged = judged.select("batch_num", "filename", "old_md5", "conflict", F.col("good").alias("batch_ok"))
+    return artifacts.join(judged, ["batch_num", "filename"])
 
 
 def coverage(files: DataFrame, manifest: DataFrame) -> DataFrame:

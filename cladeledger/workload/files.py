@@ -478,15 +478,46 @@ def _(spark, sf):
         artifacts.filter(F.col("doc_id") % 2 == phase).drop("doc_id").write.mode("append").parquet(source)
         stream = commits.stream_of(spark, source, schema)
         commits.commit_artifacts(stream, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
-    return commits.committed(spark, f"{path}/manifest").select("filename", "expected_md5")
+    return commits.manifest_of(spark, path).select("filename", "expected_md5")
 
 
-@query("st_2_latest_task_states", "task_events", "select task, arg_max(status, seq) as status, max(seq) as at from task_events group by 1")
+@query(
+    "st_1_chained_conflicts", "",
+    "select distinct name as filename, md5 as expected_md5 from (select 'n' || doc_id as name, md5 from judged where ok"
+    " union all select 'n' || (doc_id + 1), md5 from judged where ok and doc_id % 7 < 6)",
+    "a as (select doc_id, md5(text) as md5 from documents), judged(doc_id, md5, ok) as (select doc_id, md5, true from a where doc_id % 7 = 0"
+    " union all select a.doc_id, a.md5, not judged.ok or a.md5 = judged.md5 from judged join a on a.doc_id = judged.doc_id + 1 where a.doc_id % 7 > 0)",
+)
+def _(spark, sf):
+    """Each download batch contradicts the one before it, within one micro-batch and over three."""
+    source, path = new_path(spark, "artifacts"), new_path(spark, "commits")
+    number = F.col("doc_id").cast("bigint")
+    names = F.array(number, F.when(number % 7 < 6, number + 1))
+    rows = given(spark, sf, "documents").select(
+        number.alias("batch_num"), F.explode(F.array_compact(names)).alias("n"), F.md5("text").alias("expected_md5"),
+        F.concat(F.lit("GCA_"), number.cast("string")).alias("accession"),
+    ).withColumn("filename", F.concat(F.lit("n"), F.col("n").cast("string"))).drop("n")
+    for phase in range(3):
+        rows.filter(F.floor(F.col("batch_num") / 7) % 3 == phase).write.mode("append").parquet(source)
+        stream = commits.stream_of(spark, source, rows.schema)
+        commits.commit_artifacts(stream, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+    return commits.manifest_of(spark, path).select("filename", "expected_md5")
+
+
+@query(
+    "st_2_latest_task_states", "tasks",
+    f"select task_id, status, accession_id, event_id as at, {ops._RECOVERED} as restart_status from"
+    " (select md5sum_dir as task_id, arg_max(status, event_id) as status, arg_max({'a': accession_id}, event_id).a as accession_id, max(event_id) as event_id from tasks group by 1)",
+)
 def _(spark, sf):
+    """All events of a user as those of one task; the streamed restart state follows the batch rule."""
     source, path = new_path(spark, "task-events"), new_path(spark, "task-states")
-    events = derived(spark, sf, "task_events")
+    events = derived(spark, sf, "tasks").select(
+        F.col("md5sum_dir").alias("task_id"), F.col("event_id").alias("seq"), "status", "accession_id",
+        F.col("original_path").alias("target_path"), "expected_hash",
+    )
     events.write.parquet(source)
-    latest = commits.latest_task_states(commits.stream_of(spark, source, events.schema), "task", F.col("seq"), F.col("status"))
+    latest = commits.latest_task_states(commits.stream_of(spark, source, events.schema), ops.task_hashes(spark, sf), F.col("seq"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/now")
@@ -494,7 +525,7 @@ def _(spark, sf):
     latest.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/checkpoint").trigger(
         availableNow=True
     ).start().awaitTermination()
-    return spark.read.parquet(f"{path}/now").select("task", "status", "at")
+    return spark.read.parquet(f"{path}/now")
 
 
 @query("st_3_streamed_levels", "metrics", ops._HYSTERESIS)

@@ -1,13 +1,23 @@
-"""Session settings and the shared folder for tables that cut lineage between steps."""
+"""Session settings and the shared folder for tables that cut lineage between steps.
+
+Steps live in the folder named by ``spark.checkpoint.dir``, below one folder per run. ``run_folder`` owns one and
+removes it at its end; a micro-batch has one of its own. Without an owner, the steps of an application share a
+folder that goes when the Python process ends.
+"""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import hashlib
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local_folders: dict[str, str] = {}
+_owned: ContextVar[str | None] = ContextVar("owned", default=None)
+_application_folders: dict[str, str] = {}
 
 
 def session(app_name: str = "cladeledger", **settings: str) -> SparkSession:
@@ -24,25 +34,75 @@ def session(app_name: str = "cladeledger", **settings: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only for a local master."""
+    """The folder in ``spark.checkpoint.dir``; a local master without one uses the session's warehouse folder."""
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get(
-        "spark.checkpoint.dir", None
-    )
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    if context.getCheckpointDir():
-        return context.getCheckpointDir().rstrip("/")
     if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="cladeledger-")
-    return _local_folders[context.applicationId]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder; other problems with the store are raised."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def claim_folder(spark: SparkSession, path: str, checkpoint: str, state: str) -> None:
+    """Bind the output ``path`` of a stream to its checkpoint; raise if it has another one, or if that is gone
+    although there is a ``state`` already."""
+    owner = f"{path}/_owner/{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
+    claimed, started = path_exists(spark, f"{path}/_owner"), path_exists(spark, f"{path}/{state}")
+    if claimed and not path_exists(spark, owner) or started and not path_exists(spark, checkpoint):
+        raise ValueError(f"{path} was written with another checkpoint than {checkpoint}; use a new folder")
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(owner)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder for all steps made inside; it is removed at the end, so results must be written before."""
+    path = f"{shared_folder(spark)}/run-{uuid.uuid4().hex}"
+    token = _owned.set(path)
+    try:
+        yield path
+    finally:
+        _owned.reset(token)
+        remove_folder(spark, path)
+
+
+def _application_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
+    key = f"{context.applicationId} {shared_folder(spark)}"
+    if key not in _application_folders:
+        path = f"{shared_folder(spark)}/app-{context.applicationId}"
+        _application_folders[key] = path
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        # Kept from now on, as the session may be stopped before the process ends.
+        system = place.getFileSystem(context._jsc.hadoopConfiguration())
+        atexit.register(_remove_quietly, system, place)
+    return _application_folders[key]
+
+
+def _remove_quietly(system, place) -> None:
+    from py4j.protocol import Py4JError, Py4JNetworkError
+
+    try:
+        system.delete(place, True)
+    except (Py4JError, Py4JNetworkError, OSError):
+        pass  # the JVM has gone first; whoever ended it clears the shared folder
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path below the folder of the run."""
+    return f"{_owned.get() or _application_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step", partition_by: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(Path(__file__).resolve().parent.parent / ".steps"))
         # Code that Spark cannot compile should fail here, not run interpreted.
         .config("spark.sql.codegen.fallback", "false")
         .getOrCreate()

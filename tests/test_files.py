@@ -1,11 +1,14 @@
 """Sources, sinks and streams on small folders."""
 
 import json
+import tempfile
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from cladeledger import workspace
 from cladeledger.functions.checksums import hash_files
 from cladeledger.plans import audit
 from cladeledger.sinks import checksums as checksum_sinks
@@ -213,7 +216,7 @@ def test_commit_replay_gives_the_same_manifest(spark, tmp_path):
             spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
         stream = commits.stream_of(spark, source, spark.createDataFrame([], schema).schema)
         commits.commit_artifacts(stream, path, str(tmp_path / checkpoint), availableNow=True).awaitTermination()
-        return {(r.filename, r.expected_md5) for r in commits.committed(spark, f"{path}/manifest").collect()}
+        return {(r.filename, r.expected_md5) for r in commits.manifest_of(spark, path).collect()}
 
     assert send([(1, "A", "a", "1"), (1, "B", "b", "1")], "c") == {("a", "1"), ("b", "1")}
     second = send([(2, "A", "a", "2"), (2, "C", "c", "1"), (3, "D", "d", "1"), (3, "A", "a", "1")], "c")
@@ -227,6 +230,44 @@ def test_commit_replay_gives_the_same_manifest(spark, tmp_path):
     assert send([], "c") == second
 
 
+def test_state_survives_snapshots_and_new_checkpoints_are_refused(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(commits, "SNAPSHOT_BATCHES", 3)
+    schema = "batch_num BIGINT, accession STRING, filename STRING, expected_md5 STRING"
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def start(checkpoint):
+        stream = commits.stream_of(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
+        commits.commit_artifacts(stream, path, checkpoint, availableNow=True).awaitTermination()
+
+    for i in range(9):
+        spark.createDataFrame([(i, f"A{i}", f"f{i}", str(i)), (i, "A", "same", "0")], schema).coalesce(1).write.mode("append").parquet(source)
+        if i in (4, 8):
+            start(str(tmp_path / "c"))
+    want = {(f"f{i}", str(i), f"A{i}", i) for i in range(9)} | {("same", "0", "A", 0)}
+    assert {(r.filename, r.expected_md5, r.accession, r.batch_num) for r in commits.manifest_of(spark, path).collect()} == want
+    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "manifest").glob("batch_id=*"))
+    assert kept == [6, 7, 8]
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start(str(tmp_path / "other"))
+    (tmp_path / "c").rename(tmp_path / "gone")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        start(str(tmp_path / "c"))
+
+
+def test_other_problems_with_the_store_are_raised(spark):
+    with pytest.raises(Exception, match="nosuchscheme"):
+        commits.state_before(spark, "nosuchscheme://x/y", commits.MANIFEST_ROW, "filename", 1)
+
+
+def test_run_folders_go_at_the_end(spark):
+    root = Path(workspace.shared_folder(spark))
+    with workspace.run_folder(spark) as folder:
+        assert workspace.materialize(spark.range(3)).count() == 3
+        assert Path(folder).exists() and Path(folder).parent == root
+    assert not Path(folder).exists()
+    assert not str(root).startswith(tempfile.gettempdir())
+
+
 def test_levels_carry_over_batches(spark, tmp_path):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "entity STRING, seq BIGINT, fraction DOUBLE"

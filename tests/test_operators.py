@@ -195,6 +195,23 @@ def test_conflicting_batches_fail_whole(spark):
     assert {r.batch_num: r.batch_ok for r in judged.collect()} == {1: False, 2: True, 3: False, 4: True}
 
 
+def test_a_failed_batch_claims_nothing(spark):
+    """Against judging the batches one after the other."""
+    rng = random.Random(4)
+    for _ in range(4):
+        known = {f"n{i}": str(rng.randrange(2)) for i in range(3)}
+        rows = [(b, f"n{rng.randrange(14)}", str(rng.randrange(2))) for b in range(12) for _ in range(rng.randrange(1, 4))]
+        claims, want = dict(known), {}
+        for b in range(12):
+            own = [(n, m) for x, n, m in rows if x == b]
+            want[b] = len(dict(own)) == len(set(own)) and all(claims.get(n, m) == m for n, m in own)
+            if want[b]:
+                claims.update(own)
+        old = spark.createDataFrame(list(known.items()), "filename STRING, expected_md5 STRING")
+        judged = manifest.judge_batches(old, spark.createDataFrame(rows, "batch_num BIGINT, filename STRING, expected_md5 STRING"))
+        assert {r.batch_num: r.batch_ok for r in judged.collect()} == want
+
+
 def test_recovery_states(spark):
     states = ["PENDING", "DOWNLOADING", "FAILED_RETRYABLE", "ORGANIZING", "VERIFYING", "FIXED", "DOWNLOADED", "FAILED_FATAL"]
     df = spark.createDataFrame([(s, True) for s in states] + [("FIXED", False)], "s STRING, holds BOOLEAN")
