@@ -28,9 +28,10 @@ from cladeledger.functions.text import (
 
 DIALECTS = ("strict", "flat", "package", "loose", "lower", "lenient")
 
-_TOKENS = r"^(\S+)\s+(.+)$"
-_STRICT = r"^([0-9a-fA-F]{32})\s+\*?(.+)$"
-_BSD = r"^MD5\s*\((.+?)\)\s*=\s*([a-fA-F0-9]{32})$"
+# The forms of a checksum line. A path may hold any character but an end of line.
+_TOKENS = r"(?s)^(\S+)\s+(.+)$"
+_STRICT = r"(?s)^([0-9a-fA-F]{32})\s+\*?(.+)$"
+_BSD = r"(?s)^MD5\s*\((.+?)\)\s*=\s*([a-fA-F0-9]{32})$"
 _URI_ROOT = "^([a-z][a-z0-9+.-]*://[^/]*)"
 _CHUNK_BYTES = 1 << 20
 

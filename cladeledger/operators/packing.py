@@ -3,7 +3,9 @@
 First fit is a stream through the bins: bins 1..K take what fits and pass the rest, in order, to bins
 K+1..2K. So a block of K bins can work on one chunk of the sorted items while the next block works on
 the chunk before it. Each wave runs all such (chunk, block) pairs as parallel tasks of bounded size and
-gives the same bins as one pass over all items. A group that fits one chunk takes a single wave.
+gives the same bins as one pass over all items. Only keys with more than one chunk go through waves, and a key
+is carried on only while it has items left. All waves are parts of one table, so the plan that reads them
+does not grow with their number.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from cladeledger.ordering import largest_group, with_row_number
-from cladeledger.workspace import materialize
+from cladeledger.ordering import split_hot, tie_break, with_row_number
+from cladeledger.workspace import materialize, new_path
 
 CHUNK_ROWS = 200_000
 
@@ -30,48 +32,73 @@ def pack(
     keys: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Add ``bin``, numbered from 1 per key; null for items larger than ``capacity`` (WN-8, SO-1).
+    """Add ``bin``, numbered from 1 per key; null for items larger than ``capacity`` or without a size (WN-8, SO-1).
 
-    Items are taken by size descending, ties by ``item``.
+    Items are taken by size descending, ties by ``item``, then by a hash of all columns.
     """
     # The items are read several times; what they come from should run only once.
     items = materialize(items, "items")
     placed = _place(items.filter(F.col(size) <= capacity), capacity, size, item, list(keys), chunk_rows)
-    oversized = items.filter(F.col(size) > capacity).withColumn("bin", F.lit(None).cast("bigint"))
-    return placed.unionByName(oversized)
+    outside = items.filter(F.col(size).isNull() | (F.col(size) > capacity))
+    return placed.unionByName(outside.withColumn("bin", F.lit(None).cast("bigint")))
 
 
 def pack_all(
     items: DataFrame, capacity: int, size: str, item: str, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """As ``pack``, with each oversized item in a bin of its own after the others (WN-9)."""
+    """As ``pack``, with each oversized item in a bin of its own after the others (WN-9).
+
+    Items without a size keep a null bin.
+    """
     packed = pack(items, capacity, size, item, keys, chunk_rows)
     last = packed.groupBy(*keys).agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))
-    over = with_row_number(packed.filter("bin IS NULL"), keys, [F.col(item)], "_extra")
+    over = with_row_number(packed.filter(F.col(size) > capacity), keys, [F.col(item)], "_extra")
     over = over.join(last, list(keys)).withColumn("bin", F.col("_last") + F.col("_extra"))
-    return packed.filter("bin IS NOT NULL").unionByName(over.select(*packed.columns))
+    rest = packed.filter(F.col("bin").isNotNull() | F.col(size).isNull())
+    return rest.unionByName(over.select(*packed.columns))
 
 
 def _place(
     items: DataFrame, capacity: int, size: str, item: str, keys: list[str], chunk_rows: int
 ) -> DataFrame:
-    group = [*keys, "_chunk"]
-    if largest_group(items, keys) <= chunk_rows:
-        chunks = items.withColumn("_chunk", F.lit(0).cast("bigint"))
-        last_chunk = 0
+    items = items.withColumn("_tie", tie_break(items))
+    if keys:
+        cold, hot = split_hot(items, keys, chunk_rows)
     else:
-        # Written by chunk, so that a wave reads only the chunk that enters it.
-        chunks = materialize(_chunked(items, size, item, keys, chunk_rows), "chunks", "_chunk")
-        last_chunk = chunks.agg(F.max("_chunk")).first()[0]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chunks.schema.fields)
-    schema = f"{fields}, bin BIGINT, _free ARRAY<BIGINT>"
+        cold, hot = (items, None) if items.count() <= chunk_rows else (items.limit(0), items)
+    fields = [f for f in items.schema.fields if f.name != "_tie"]
+    schema = StructType([*fields, StructField("bin", LongType())])
+
+    def one_pass(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values([size, item, "_tie"], ascending=[False, True, True], kind="stable")
+        bins, _ = fill_bins(batch[size].to_numpy(dtype=np.int64), np.empty(0, dtype=np.int64), capacity, len(batch))
+        return batch.assign(bin=[b + 1 for b in bins])[schema.names]
+
+    placed = cold.groupBy(*keys).applyInPandas(one_pass, schema)
+    if hot is None:
+        return placed
+    return placed.unionByName(_place_in_waves(hot, capacity, size, item, keys, chunk_rows))
+
+
+def _place_in_waves(
+    items: DataFrame, capacity: int, size: str, item: str, keys: list[str], chunk_rows: int
+) -> DataFrame:
+    spark = items.sparkSession
+    group = [*keys, "_chunk"]
+    # Written by chunk, so that a wave reads only the chunk that enters it.
+    chunks = materialize(_chunked(items, size, item, keys, chunk_rows), "chunks", "_chunk")
+    # Never more rows than keys that have over ``chunk_rows`` items.
+    ends = materialize(chunks.groupBy(*keys).agg(F.max("_chunk").alias("_last")), "ends")
+    rounds = ends.agg(F.max("_last")).first()[0]
+    state_fields = [chunks.schema[c] for c in group] + [StructField("_free", ArrayType(LongType()))]
+    schema = StructType([*chunks.schema.fields, StructField("bin", LongType()), StructField("_free", ArrayType(LongType()))])
 
     def first_fit(_, batch: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         source = state if len(state) else batch
         fixed = {c: source[c].iloc[0] for c in group}
         block = wave - int(fixed["_chunk"])
         free = np.asarray(state["_free"].iloc[0]) if len(state) else np.empty(0, dtype=np.int64)
-        batch = batch.sort_values([size, item], ascending=[False, True], kind="stable")
+        batch = batch.sort_values([size, item, "_tie"], ascending=[False, True, True], kind="stable")
         bins, free = fill_bins(batch[size].to_numpy(dtype=np.int64), free, capacity, chunk_rows)
         integers = {c: "Int64" for c in batch.select_dtypes("integer").columns}
         rows = batch.astype(integers).assign(
@@ -82,29 +109,32 @@ def _place(
         after = {**fixed, "_chunk": int(fixed["_chunk"]) + 1, "_free": [free.tolist()]}
         return pd.concat([rows, pd.DataFrame(after)])[[*batch.columns, "bin", "_free"]]
 
-    state_fields = [chunks.schema[c] for c in group] + [StructField("_free", ArrayType(LongType()))]
-    empty_state = items.sparkSession.createDataFrame([], StructType(state_fields))
-    placed, waiting, state, wave = None, None, empty_state, 0
+    waves = new_path(spark, "waves")
+    state, waiting, wave = spark.createDataFrame([], StructType(state_fields)), None, 0
     while True:
         active = chunks.filter(F.col("_chunk") == wave)
         if waiting is not None:
             active = active.unionByName(waiting)
-        step = materialize(
-            active.groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(first_fit, schema), "wave"
-        )
-        done = step.filter("bin IS NOT NULL").select(*items.columns, "bin")
-        placed = done if placed is None else placed.unionByName(done)
+        step = active.groupBy(*group).cogroup(state.groupBy(*group)).applyInPandas(first_fit, schema)
+        step.write.parquet(f"{waves}/_wave={wave}")
+        step = spark.read.schema(schema).parquet(f"{waves}/_wave={wave}")
         waiting = step.filter("_free IS NULL AND bin IS NULL").select(*chunks.columns)
-        if wave >= last_chunk and waiting.isEmpty():
-            return placed
+        if wave >= rounds and waiting.isEmpty():
+            break
         wave += 1
-        state = step.filter(f"_free IS NOT NULL AND _chunk <= {last_chunk}").select(*group, "_free")
+        # A block's free space is of use only while its key has a chunk left to send through it.
+        state = step.filter("_free IS NOT NULL")
+        live = F.col("_chunk") <= F.col("_last")
+        for key in keys:
+            live = live & F.col(key).eqNullSafe(F.col(f"_end_{key}"))
+        state = state.join(ends.withColumnsRenamed({k: f"_end_{k}" for k in keys}), live, "left_semi").select(*group, "_free")
+    return spark.read.schema(schema).parquet(waves).filter("bin IS NOT NULL").select(*items.drop("_tie").columns, "bin")
 
 
 def _chunked(items: DataFrame, size: str, item: str, keys: list[str], chunk_rows: int) -> DataFrame:
     """Number sorted pieces of about ``chunk_rows`` rows within each key."""
     pieces = -(-items.count() // chunk_rows)
-    by = [*[F.col(k) for k in keys], F.desc(size), F.col(item)]
+    by = [*[F.col(k) for k in keys], F.desc(size), F.col(item), F.col("_tie")]
     ranged = materialize(
         items.repartitionByRange(pieces, *by).withColumn("_part", F.spark_partition_id()), "ranged"
     )

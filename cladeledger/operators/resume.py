@@ -7,10 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeledger.fixed_values import DEFAULT_BATCH_SIZE, INCLUDE_EXTENSIONS
-from cladeledger.functions.filetypes import expected_names, file_type, include_types
+from cladeledger.fixed_values import DEFAULT_BATCH_SIZE, INCLUDE_EXTENSIONS, OUTPUT_EXTENSIONS
+from cladeledger.functions.filetypes import file_type, include_types
 from cladeledger.functions.names import safe_directory_name
-from cladeledger.functions.text import literal_array
 from cladeledger.operators.dedup import first_wins, last_wins
 from cladeledger.ordering import with_row_number
 
@@ -26,21 +25,38 @@ def index_by_name(files: DataFrame) -> DataFrame:
 
 
 def completeness(accessions: DataFrame, files: DataFrame, manifest: DataFrame, include: Sequence[str]) -> DataFrame:
-    """Expected and found files per accession; complete if all exist and are trusted (JN-5)."""
-    expected = accessions.select(
-        "accession", F.explode(expected_names(F.col("accession"), literal_array(include))).alias("e")
-    ).select("accession", F.col("e.filename").alias("filename"))
-    # Names that exist and are trusted, by one pass over both lists with a bit for each.
-    present = files.select(F.col("name").alias("filename"), F.lit(1).alias("bit"))
-    trusted = manifest.filter("expected_md5 <> ''").select("filename", F.lit(2).alias("bit"))
-    seen = present.unionByName(trusted).groupBy("filename").agg(F.bit_or("bit").alias("bits"))
-    good = seen.filter("bits = 3").select("filename", F.lit(True).alias("found"))
-    return (
-        expected.join(good, "filename", "left")
-        .groupBy("accession")
-        .agg(F.count("*").alias("n_expected"), F.count("found").alias("n_found"))
-        .withColumn("complete", F.col("n_expected") == F.col("n_found"))
-    )
+    """Expected and found files per accession; complete if all exist and are trusted (JN-5).
+
+    Each side becomes (accession, bits): a standard name is an accession and the extension of a type, and each type
+    has a bit for being present and one for being trusted. One aggregation by accession brings them together;
+    a name that ends in several extensions counts for each accession that it could belong to.
+    """
+    types = _types_of(include)
+
+    def bits_of(name: Column, shift: int) -> Column:
+        possible = [
+            F.when(
+                F.endswith(name, F.lit(extension)),
+                F.struct(F.left(name, F.length(name) - len(extension)).alias("accession"), F.lit(1 << 2 * i + shift).cast("bigint").alias("bits")),
+            )
+            for i, extension in enumerate(types)
+        ]
+        return F.inline(F.array_compact(F.array(*possible)))
+
+    present = files.select(bits_of(F.col("name"), 0))
+    trusted = manifest.filter("expected_md5 <> ''").select(bits_of(F.col("filename"), 1))
+    wanted = 1 << 2 * len(types)
+    asked = accessions.select("accession", F.lit(wanted).cast("bigint").alias("bits"))
+    n_rows = F.count_if(F.col("bits") == wanted)
+    merged = asked.unionByName(present).unionByName(trusted).groupBy("accession").agg(F.bit_or("bits").alias("bits"), n_rows.alias("n_rows"))
+    found = sum((F.when(F.col("bits").bitwiseAND(F.lit(3 << 2 * i)) == 3 << 2 * i, 1).otherwise(0) for i in range(len(types))), F.lit(0))
+    counts = [(F.col("n_rows") * len(types)).alias("n_expected"), (F.col("n_rows") * found).alias("n_found")]
+    return merged.filter("n_rows > 0").select("accession", *counts).withColumn("complete", F.col("n_expected") == F.col("n_found"))
+
+
+def _types_of(include: Sequence[str]) -> list[str]:
+    """Output extensions of the requested types, one each."""
+    return [OUTPUT_EXTENSIONS[t] for t in include_types(include)]
 
 
 def taxa_with_files(taxa: DataFrame, files: DataFrame, include: Sequence[str] | None) -> DataFrame:
@@ -94,10 +110,10 @@ def latest_state(events: DataFrame, item: str, order: Column) -> DataFrame:
 
 def progress_state(events: DataFrame, order: Column) -> DataFrame:
     """completed or failed per item: a completion removes a failure, a later failure adds one (SNK-8)."""
-    latest = latest_state(events.filter(F.col("state").isin("completed", "failed")), "item", order)
-    done = events.filter("state = 'completed'").select("item").distinct().withColumn("state", F.lit("completed"))
-    failed = latest.filter("state = 'failed'").select("item", "state")
-    return done.unionByName(failed)
+    known = events.filter(F.col("state").isin("completed", "failed"))
+    seen = known.groupBy("item").agg(F.bool_or(F.col("state") == "completed").alias("done"), F.max_by("state", order).alias("last"))
+    states = F.array(F.when(F.col("done"), "completed"), F.when(F.col("last") == "failed", "failed"))
+    return seen.select("item", F.explode(F.array_compact(states)).alias("state"))
 
 
 def progress_summary(states: DataFrame, start: Column, now: Column) -> DataFrame:

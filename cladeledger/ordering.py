@@ -18,6 +18,11 @@ MAX_GROUP_ROWS = 2_000_000
 _LOCAL_ROW = (1 << 33) - 1
 
 
+def tie_break(df: DataFrame) -> Column:
+    """A hash over all columns but maps, which have no hash."""
+    return F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind])
+
+
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Row count of the largest group; only the keys are read and counts combine map-side."""
     counts = df.groupBy(*keys).count() if keys else df.agg(F.count("*").alias("count"))
@@ -64,7 +69,12 @@ def with_row_number(
     name: str,
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add the 1-based position of each row in its group; ``order`` must be total."""
+    """Add the 1-based position of each row in its group.
+
+    Rows that ``order`` does not tell apart are taken by a hash of all their columns, so that the numbers are the
+    same whatever ``max_group_rows`` sends a group which way; rows equal in everything may change places.
+    """
+    order = [*order, tie_break(df)]
     if not keys:
         return _row_number_by_range(df, keys, order, name)
     cold, hot = split_hot(df, keys, max_group_rows)

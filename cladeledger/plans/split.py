@@ -47,10 +47,12 @@ def plan_split(
     capacity = int(split_size_gb * BASES_PER_GB)
     columns = ["accession", "tax_id", "sequence_length"]
     chosen = materialize(hierarchy.filter_source(genomes, source).select(*columns), "genomes")
+    # Read four times from here on, so the taxonomy is parsed once.
+    nodes = materialize(nodes.select("tax_id", "name", "rank", "parent_ids"), "nodes")
     pairs = hierarchy.closure(hierarchy.edges(nodes), hierarchy.nodes_at_rank(nodes, rank))
     taxa = sized_taxa(nodes, chosen, pairs, names_only)
     packed = pack(taxa, capacity, chunk_rows=chunk_rows)
-    exceeded = packed.filter("bin IS NULL").select(F.col("tax_id").alias("ancestor"), "name")
+    exceeded = packed.filter(F.col("size_bp") > capacity).select(F.col("tax_id").alias("ancestor"), "name")
     members = pairs.join(exceeded, "ancestor")
     accessions = (
         hierarchy.genomes_below(members.select("ancestor", "descendant"), chosen)

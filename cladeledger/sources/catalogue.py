@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,16 +34,14 @@ taxonomy STRUCT<
 def read_catalogue(spark: SparkSession, path: str | list[str], mode: str = "strict") -> DataFrame:
     """Rows with accession, organism_name, tax_id and sequence_length (SRC-1).
 
-    Incomplete rows are skipped. A value that is not a number fails the job with file and row in
+    Columns are found by name, also when files of one call have them in different places. Incomplete rows are
+    skipped. A value that is not a number fails the job with file and row in
     ``strict`` mode and drops the row in ``permissive`` mode.
     """
     if mode not in ("strict", "permissive"):
         raise ValueError("mode is 'strict' or 'permissive'")
-    raw = spark.read.option("sep", "\t").option("header", True).option("escape", '"').csv(path)
-    text = raw.select(
-        *[strip(F.col(f"`{column}`")).alias(name) for name, column in CATALOGUE_COLUMNS.items()],
-        F.col("_metadata.file_path").alias("file"),
-    ).filter("accession <> '' AND tax_id <> '' AND sequence_length <> ''")
+    text = reduce(DataFrame.unionByName, [_by_name(spark, paths) for paths in _same_headers(spark, path)])
+    text = text.filter("accession <> '' AND tax_id <> '' AND sequence_length <> ''")
 
     def number(name: str) -> Column:
         value = F.expr(f"try_cast({name} AS BIGINT)")
@@ -61,6 +61,28 @@ def read_catalogue(spark: SparkSession, path: str | list[str], mode: str = "stri
     return rows if mode == "strict" else rows.dropna(subset=["tax_id", "sequence_length"])
 
 
+def _same_headers(spark: SparkSession, path: str | list[str]) -> list[str | list[str]]:
+    """The files in groups of equal header lines, since Spark reads the files of one scan by position.
+
+    Only the first line of each file comes to the driver, which lists the files for the scan anyway.
+    """
+    first = spark.read.text(path).select("value", position().alias("line")).filter("line.block = 0")
+    headers = first.groupBy("line.file").agg(F.min_by("value", "line.row").alias("header"))
+    # The path comes percent-encoded, with a plus sign as it is; the readers take it plain, but for glob characters.
+    plain = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    headers = headers.withColumn("file", F.regexp_replace(plain, r"([\\{}\[\]*?])", r"\\$1"))
+    groups = headers.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    return [r["files"] for r in groups] if len(groups) > 1 else [path]
+
+
+def _by_name(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    raw = spark.read.option("sep", "\t").option("header", True).option("escape", '"').option("enforceSchema", False).csv(path)
+    return raw.select(
+        *[strip(F.col(f"`{column}`")).alias(name) for name, column in CATALOGUE_COLUMNS.items()],
+        F.col("_metadata.file_path").alias("file"),
+    )
+
+
 def read_taxonomy(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per taxon id, the last line of an id winning (SRC-2)."""
     raw = spark.read.schema(TAXONOMY_SCHEMA).option("mode", "FAILFAST").json(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,7 +14,8 @@ from cladeledger.functions.checksums import parse_checksum_line, resolve_path
 from cladeledger.functions.text import dirname, strip
 from cladeledger.operators.dedup import first_wins
 
-LARGE_LIST_BYTES = 128 * 1024**2
+# Bytes of a list that one task reads at a time.
+RANGE_BYTES = 16 * 1024**2
 
 
 def position() -> Column:
@@ -71,30 +73,48 @@ def read_taxa(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def read_many_lists(lists: DataFrame) -> DataFrame:
     """Lines of the files in ``lists`` (path, size), as ``read_lines`` gives them.
 
-    Small files are read whole by one task each, found by path and not by a listing on the driver.
-    Files above ``LARGE_LIST_BYTES``, of which there are few, are read in splits.
+    Files are found by path, not by a listing on the driver, and read in ranges of ``RANGE_BYTES``, so a file of
+    any size is read by one rule: a line ends at ``\\n``, ``\\r\\n`` or ``\\r``, and belongs to the range it starts in.
     """
-    spark = lists.sparkSession
-    large = [row.path for row in lists.filter(F.col("size") > LARGE_LIST_BYTES).select("path").collect()]
-    small = lists.filter(F.col("size") <= LARGE_LIST_BYTES).select("path")
-    tasks = spark.sparkContext.defaultParallelism
-    lines = small.repartition(tasks, "path").mapInPandas(_read_small, "value STRING, list_path STRING, row BIGINT")
-    place = F.struct(
-        F.col("list_path").alias("file"), F.lit(0).cast("bigint").alias("block"), F.col("row")
-    )
-    read = lines.select("value", "list_path", place.alias("line"))
-    return read.unionByName(read_lines(spark, large)) if large else read
+    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.col("size").cast("bigint") - 1, F.lit(0).cast("bigint")), F.lit(RANGE_BYTES).cast("bigint"))
+    ranges = lists.filter("size > 0").select("path", F.explode(starts).alias("start"))
+    tasks = lists.sparkSession.sparkContext.defaultParallelism
+    step = RANGE_BYTES
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, start in zip(batch["path"], batch["start"]):
+                values = lines_of_range(path, int(start), int(start) + step)
+                yield pd.DataFrame({"value": values, "list_path": path, "block": start, "row": range(len(values))})
+
+    lines = ranges.repartition(tasks, "path", "start").mapInPandas(read, "value STRING, list_path STRING, block BIGINT, row BIGINT")
+    place = F.struct(F.col("list_path").alias("file"), "block", "row")
+    return lines.select("value", "list_path", place.alias("line"))
 
 
-def _read_small(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def lines_of_range(path: str, start: int, stop: int) -> list[str]:
+    """The lines that start at ``start`` or later and before ``stop``; the last one is read to its end."""
     from pyarrow.fs import FileSystem
 
-    for batch in batches:
-        for path in batch["path"]:
-            system, inner = FileSystem.from_uri(path)
-            with system.open_input_stream(inner) as stream:
-                values = stream.read().decode("utf-8", "replace").splitlines()
-            yield pd.DataFrame({"value": values, "list_path": path, "row": range(len(values))})
+    system, inner = FileSystem.from_uri(path)
+    with system.open_input_file(inner) as file:
+        # One byte more at the front tells whether a line starts at ``start``.
+        first = max(start - 1, 0)
+        file.seek(first)
+        data = file.read(stop - first)
+        # The last line's end may lie beyond, and a \r at the edge may be half of an end.
+        while more := file.read(1 << 16):
+            data += more
+            if re.search(rb"[\r\n]", more[:-1]):
+                break
+    ends = [m.end() for m in re.finditer(rb"\r\n|\n|\r", data)]
+    edges = sorted({*([0] if start == 0 else []), *ends})
+    out = []
+    for i, at in enumerate(edges):
+        if start <= first + at < stop and at < len(data):
+            line = data[at : edges[i + 1] if i + 1 < len(edges) else len(data)]
+            out.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+    return out
 
 
 def read_checksums(spark: SparkSession, path: str | list[str], dialect: str = "strict", **options) -> DataFrame:

@@ -30,6 +30,33 @@ def test_catalogue_modes(spark, tmp_path):
         catalogue.read_catalogue(spark, path).collect()
 
 
+def test_catalogue_columns_are_found_by_name(spark, tmp_path):
+    names = ["Assembly Accession", "Organism Name", "Organism Taxonomic ID", "Assembly Stats Total Sequence Length"]
+    for i, order in enumerate([(0, 1, 2, 3), (3, 0, 2, 1), (0, 1, 2, 3)]):
+        row = [f"GCA_{i}", "X y", "12", "2000"]
+        (tmp_path / f"c {i}+.tsv").write_text("\t".join(names[k] for k in order) + "\n" + "\t".join(row[k] for k in order) + "\n")
+    want = {(f"GCA_{i}", "X y", 12, 2000) for i in range(3)}
+    for path in (str(tmp_path / "*.tsv"), [str(p) for p in tmp_path.glob("*.tsv")]):
+        assert {tuple(r) for r in catalogue.read_catalogue(spark, path).collect()} == want
+
+
+def test_list_lines_do_not_depend_on_the_size_of_a_file(spark, tmp_path, monkeypatch):
+    """One rule at any size: only \\n, \\r\\n and \\r end a line."""
+    names = ["a\x0bb.fna", "c\u2028d.fna", "e\x85f.fna", "g h.fna", "i\x1cj.fna"]
+    ends = ["\n", "\r\n", "\r", "\r\n", ""]
+    text = "".join(f"{EMPTY}  {n}{e}" for n, e in zip(names, ends))
+    path = tmp_path / "md5sum.txt"
+    path.write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_text("")
+    lists = spark.createDataFrame([(str(path), len(text.encode())), (str(tmp_path / "empty.txt"), 0)], "path STRING, size BIGINT")
+    for step in (1, 2, 7, 39, 40, 1 << 20):
+        monkeypatch.setattr(lines, "RANGE_BYTES", step)
+        entries = lines.checksum_entries(lines.read_many_lists(lists)).orderBy("line").collect()
+        assert [r.file_path for r in entries] == names, step
+    spark_rule = lines.read_checksums(spark, str(path)).orderBy("line").collect()
+    assert [r.file_path for r in spark_rule] == names
+
+
 def test_taxonomy_rejects_bad_lines(spark, tmp_path):
     good = {"taxonomy": {"taxId": 1, "rank": "genus", "currentScientificName": {"name": "A"}}}
     (tmp_path / "t.jsonl").write_text(json.dumps(good) + "\n\n" + json.dumps({"taxonomy": {"rank": "x"}}) + "\n")

@@ -7,7 +7,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeledger.operators import dedup, hierarchy, levels, manifest, packing, repair, reports
+from cladeledger.operators import dedup, hierarchy, levels, manifest, packing, repair, reports, resume
 from cladeledger.ordering import with_last_known, with_row_number
 from cladeledger.plans.split import plan_split
 
@@ -178,6 +178,35 @@ def test_first_and_last_wins(spark):
     assert [r.v for r in dedup.last_wins(df, ["k"], F.col("pos")).orderBy("k").collect()] == ["x", "z"]
 
 
+def test_items_without_a_size_are_kept(spark):
+    df = spark.createDataFrame([("t", "a", 5), ("t", "b", None), ("t", "c", 50)], "taxon_id STRING, accession STRING, sequence_length BIGINT")
+    assert {(r.accession, r.bin) for r in packing.pack(df, 10, "sequence_length", "accession").collect()} == {("a", 1), ("b", None), ("c", None)}
+    every = packing.pack_all(df, 10, "sequence_length", "accession", ["taxon_id"])
+    assert {(r.accession, r.bin) for r in every.collect()} == {("a", 1), ("b", None), ("c", 2)}
+
+
+def test_packing_plan_does_not_grow_with_waves(spark):
+    """One scan reads all waves, and ties go the same way on every path."""
+    df = spark.range(400).select(F.col("id").alias("tax_id"), (F.col("id") % 7 + 3).alias("size_bp"), F.lit("x").alias("name"))
+    plans = []
+    for chunk in (20, 100):
+        packed = packing.pack(df, 20, chunk_rows=chunk)
+        plans.append(packed._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+        assert {tuple(r) for r in packed.collect()} == {tuple(r) for r in packing.pack(df, 20).collect()}
+        named = df.select(F.lit(1).cast("bigint").alias("tax_id"), "size_bp", F.col("tax_id").cast("string").alias("name"))
+        assert {tuple(r) for r in packing.pack(named, 20, chunk_rows=chunk).collect()} == {tuple(r) for r in packing.pack(named, 20).collect()}
+    assert plans[0] == plans[1] <= 4
+
+
+def test_completeness_takes_one_exchange(spark):
+    accessions = spark.createDataFrame([("A.1",), ("B.1",), ("B.1",), ("C.1",)], "accession STRING")
+    files = spark.createDataFrame([("A.1.fna",), ("A.1.faa",), ("B.1.fna",), ("C.1.rna.fna",), ("x",)], "name STRING")
+    trusted = spark.createDataFrame([("A.1.fna", "1"), ("A.1.faa", "1"), ("B.1.fna", "1"), ("B.1.faa", ""), ("C.1.rna.fna", "2")], "filename STRING, expected_md5 STRING")
+    done = resume.completeness(accessions, files, trusted, ["genome", "protein"])
+    assert {tuple(r) for r in done.collect()} == {("A.1", 2, 2, True), ("B.1", 4, 2, False), ("C.1", 2, 0, False)}
+    assert done._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange ") == 1
+
+
 def test_manifest_merge_is_idempotent(spark):
     old = spark.createDataFrame([("a", "1"), ("b", "2")], "filename STRING, expected_md5 STRING")
     batch = spark.createDataFrame([("b", "2"), ("c", "3"), ("a", "9"), ("d", "4"), ("d", "5")], "filename STRING, expected_md5 STRING")
