@@ -9,31 +9,52 @@ from cladeledger.fixed_values import ERROR, FAIL, FAILING_STATES, MISSING, PASS
 from cladeledger.functions.accessions import loose_accession
 from cladeledger.functions.checksums import file_state, hash_files
 from cladeledger.functions.text import basename, dirname
+from cladeledger.ordering import with_row_number
 
 BYTES_PER_TASK = 4 * 1024**3
 
 
 def match_inventory(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """Entries with ``exists`` and ``size`` from the inventory, by absolute path (JN-8)."""
-    known = files.select(F.col("path").alias("abs_path"), "size").withColumn("exists", F.lit(True))
+    """Entries with ``exists`` and ``size`` from the inventory, by absolute path (JN-8).
+
+    ``files`` may hold ``problem`` for a path that is there but cannot be hashed, such as a directory.
+    """
+    problem = "problem" if "problem" in files.columns else F.lit(None).cast("string").alias("problem")
+    known = files.select(F.col("path").alias("abs_path"), "size", problem).withColumn("exists", F.lit(True))
     return entries.join(known, "abs_path", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
 
 
+def below_unreadable(matched: DataFrame, unreadable: DataFrame) -> DataFrame:
+    """``matched`` with a ``problem`` on entries that an unreadable directory (path, error) may hold."""
+    parts = F.split("abs_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    lost = matched.filter(~F.col("exists")).select("abs_path").distinct().withColumn("path", F.explode(above))
+    reasons = lost.join(unreadable.select("path", F.col("error").alias("_reason")), "path").groupBy("abs_path").agg(F.min("_reason").alias("_reason"))
+    joined = matched.join(reasons, "abs_path", "left")
+    hidden = F.col("_reason").isNotNull()
+    return joined.withColumns({"problem": F.coalesce("problem", "_reason"), "exists": F.col("exists") | hidden}).drop("_reason")
+
+
 def hash_existing(matched: DataFrame) -> DataFrame:
     """One row per existing file with ``computed_hash`` and ``error``; each file is read once.
 
-    Files are spread by size, so tasks read about ``BYTES_PER_TASK`` each.
+    Tasks read about ``BYTES_PER_TASK`` each, and the large files are spread evenly over them.
     """
-    files = matched.filter("exists").select(F.col("abs_path").alias("path"), "size").distinct()
+    files = matched.filter("exists AND problem IS NULL").select(F.col("abs_path").alias("path"), "size").distinct()
     total = files.agg(F.sum("size")).first()[0] or 0
-    tasks = max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK)
-    return hash_files(files.select("path").repartition(int(tasks), "path"))
+    tasks = int(max(files.sparkSession.sparkContext.defaultParallelism, total // BYTES_PER_TASK))
+    # Sorted by size and dealt out in turn, each task gets as many of the large ones as the others.
+    placed = with_row_number(files, [], [F.desc("size"), F.col("path")], "place")
+    dealt = placed.repartitionByRange(tasks, F.pmod(F.col("place"), F.lit(tasks)))
+    return hash_files(dealt.select("path"))
 
 
 def verify(matched: DataFrame, hashes: DataFrame) -> DataFrame:
     """Matched entries with the state of each file (FN-25)."""
     computed = hashes.select(F.col("path").alias("abs_path"), "computed_hash", F.col("error").alias("read_error"))
     joined = matched.join(computed, "abs_path", "left")
+    if "problem" in matched.columns:
+        joined = joined.withColumn("read_error", F.coalesce("problem", "read_error")).drop("problem")
     return joined.withColumn(
         "status",
         file_state(F.col("expected_hash"), F.col("computed_hash"), F.col("exists"), F.col("read_error")),

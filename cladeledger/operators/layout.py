@@ -13,6 +13,7 @@ from cladeledger.functions.checksums import strip_package_prefix, unquoted
 from cladeledger.functions.filetypes import file_type, standard_name
 from cladeledger.functions.text import basename
 from cladeledger.operators.dedup import last_wins
+from cladeledger.workspace import materialize
 
 
 def rename_plan(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -30,46 +31,39 @@ def collisions(plan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def checksum_mapping(plan: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Source paths, as written and without package prefix, with the output name; the last path wins."""
-    written = plan.select(*keys, F.col("rel_path").alias("source"), "out_name", F.col("rel_path").alias("o"))
-    stripped = plan.select(
-        *keys, strip_package_prefix(F.col("rel_path")).alias("source"), "out_name", F.col("rel_path").alias("o")
-    )
-    return last_wins(written.unionByName(stripped), [*keys, "source"], F.col("o")).drop("o")
+    sources = F.array_distinct(F.array("rel_path", strip_package_prefix(F.col("rel_path"))))
+    each = plan.select(*keys, F.explode(sources).alias("source"), "out_name", F.col("rel_path").alias("o"))
+    return last_wins(each, [*keys, "source"], F.col("o")).drop("o")
 
 
 def resolve_names(entries: DataFrame, mapping: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Add ``out_name`` to checksum entries, null where no mapping fits (JN-9).
 
     Keys are tried in order: the path, without leading ``./``, without package prefix, the bare name;
-    last a name that only one output has. Distinct paths are resolved once each, with one join.
+    last a name that only one output has. Distinct paths are resolved once each. Only paths that none of their
+    own forms resolves go on to the names, of which there is one row each, so a name that very many paths share
+    costs nothing where the paths themselves are known.
     """
     path = unquoted(F.col("file_path"))
-    candidates = F.array(
-        path, F.ltrim(path, F.lit("./")), strip_package_prefix(F.col("file_path")), basename(path)
-    )
+    forms = F.array_distinct(F.array(path, F.ltrim(path, F.lit("./")), strip_package_prefix(F.col("file_path"))))
     paths = entries.select(*keys, "file_path").distinct()
-    tried = paths.select(*keys, "file_path", F.posexplode(candidates).alias("priority", "source"))
+    tried = paths.select(*keys, "file_path", F.posexplode(forms).alias("priority", "source"))
     direct = (
         tried.join(mapping, [*keys, "source"], "left")
         .groupBy(*keys, "file_path")
-        .agg(F.min_by("out_name", F.when(F.col("out_name").isNotNull(), F.col("priority"))).alias("direct_name"))
-    )
-    unique = (
-        mapping.groupBy(*keys, basename(F.col("source")).alias("base"))
-        .agg(F.min("out_name").alias("base_name"), F.max("out_name").alias("other_name"))
-        .filter("base_name = other_name")
-        .drop("other_name")
-    )
-    # Only unresolved paths look for a unique name; the others get a key of their own, so that a
-    # name shared by very many paths does not send them all to one task.
-    key = F.when(F.col("direct_name").isNull(), basename(path)).otherwise(
-        F.concat(F.lit("/"), F.col("file_path"))
+        .agg(F.min_by("out_name", F.when(F.col("out_name").isNotNull(), F.col("priority"))).alias("out_name"))
     )
-    resolved = (
-        direct.withColumn("base", key)
-        .join(unique, [*keys, "base"], "left")
-        .select(*keys, "file_path", F.coalesce("direct_name", "base_name").alias("out_name"))
+    direct = materialize(direct, "direct")
+    base = basename(F.col("source"))
+    names = mapping.groupBy(*keys, base.alias("base")).agg(
+        F.max(F.when(F.col("source") == base, F.col("out_name"))).alias("bare"),
+        F.min("out_name").alias("least"), F.max("out_name").alias("most"),
     )
+    one = F.coalesce("bare", F.when(F.col("least") == F.col("most"), F.col("least")))
+    names = names.select(*keys, "base", one.alias("out_name"))
+    open_paths = direct.filter("out_name IS NULL").select(*keys, "file_path", basename(path).alias("base"))
+    by_name = open_paths.join(names, [*keys, "base"], "left").select(*keys, "file_path", "out_name")
+    resolved = direct.filter("out_name IS NOT NULL").unionByName(by_name)
     return entries.join(resolved, [*keys, "file_path"], "left")
 
 

@@ -127,9 +127,12 @@ def rebuild_candidates(
         .when(F.col("present").isNull(), "missing_output")
         .otherwise("commit")
     )
+    # Entries without accession, and so without name, get keys of their own instead of meeting in one task.
+    own = F.concat(F.lit("\0"), "file_path")
+    keyed = typed.withColumns({"_accession": F.coalesce("accession", own), "_filename": F.coalesce("filename", own)})
     return (
-        typed.join(wanted, "accession", "left")
-        .join(present, "filename", "left")
+        keyed.join(wanted.withColumnRenamed("accession", "_accession"), "_accession", "left")
+        .join(present.withColumnRenamed("filename", "_filename"), "_filename", "left")
         .withColumn("reason", reason)
         .select("file_path", "expected_hash", "accession", "include_type", "filename", "reason")
     )

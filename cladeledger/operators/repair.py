@@ -36,8 +36,8 @@ def accession_totals(failed: DataFrame) -> DataFrame:
     )
 
 
-def new_tasks(failed: DataFrame, root: str) -> DataFrame:
-    """Pending tasks keyed by a stable id; the first row of an id wins (FN-21)."""
+def new_tasks(failed: DataFrame, root: str, now: str | None = None) -> DataFrame:
+    """Pending tasks keyed by a stable id; the first row of an id wins (FN-21). ``now`` is their first time stamp."""
     tasks = failed.select(
         task_id(F.lit(root), F.col("md5sum_dir"), F.col("md5_file_path"), F.col("expected_hash")).alias("task_id"),
         F.lit("PENDING").alias("status"),
@@ -49,26 +49,38 @@ def new_tasks(failed: DataFrame, root: str) -> DataFrame:
         F.coalesce("expected_hash", F.lit("")).alias("expected_hash"),
         F.col("status").alias("initial_status"),
         F.lit(None).cast("string").alias("cached_file"),
+        F.lit(None).cast("string").alias("backup_path"),
         F.lit(0).cast("bigint").alias("attempts"),
         F.col("error_message").alias("last_error"),
         F.lit(None).cast("string").alias("computed_hash"),
+        F.lit(now).cast("string").alias("created_at"),
+        F.lit(now).cast("string").alias("updated_at"),
     )
     return first_wins(tasks, ["task_id"], F.col("original_path"))
 
 
 def merge_tasks(saved: DataFrame, fresh: DataFrame) -> DataFrame:
-    """Saved tasks plus unseen ones; a saved task only gains a missing accession (JN-17)."""
-    columns = fresh.columns
-    old = saved.select("task_id", F.struct(*[F.col(c) for c in columns if c != "task_id"]).alias("old"))
-    new = fresh.select("task_id", F.struct(*[F.col(c) for c in columns if c != "task_id"]).alias("new"))
+    """Saved tasks plus unseen ones; a saved task only gains a missing accession, and then a new ``updated_at`` (JN-17).
+
+    All columns of either side are kept; one that a side lacks is null there.
+    """
+    columns = list(dict.fromkeys([*saved.columns, *fresh.columns]))
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        fields = [F.col(c) if c in df.columns else F.lit(None).alias(c) for c in columns if c != "task_id"]
+        return df.select("task_id", F.struct(*fields).alias(name))
+
     kept = F.col("old").isNotNull()
+    gained = F.nullif(F.col("old.accession_id"), F.lit("")).isNull() & (F.nullif(F.col("new.accession_id"), F.lit("")).isNotNull())
 
     def value(name: str) -> Column:
         if name == "accession_id":
-            return F.coalesce(F.nullif(F.col("old.accession_id"), F.lit("")), F.col("new.accession_id"))
+            return F.when(kept & ~gained, F.col("old.accession_id")).otherwise(F.col("new.accession_id"))
+        if name == "updated_at":
+            return F.when(kept & gained, F.coalesce("new.updated_at", "old.updated_at")).when(kept, F.col("old.updated_at")).otherwise(F.col("new.updated_at"))
         return F.when(kept, F.col(f"old.{name}")).otherwise(F.col(f"new.{name}"))
 
-    joined = old.join(new, "task_id", "full_outer")
+    joined = side(saved, "old").join(side(fresh, "new"), "task_id", "full_outer")
     return joined.select(*[F.col(c) if c == "task_id" else value(c).alias(c) for c in columns])
 
 
@@ -130,8 +142,11 @@ def match_cache(tasks: DataFrame, cached: DataFrame) -> DataFrame:
         .groupBy("accession_id", "extension")
         .agg(F.min("path").alias("found_file"))
     )
+    # Tasks without accession have nothing to find; a key of their own keeps them from meeting in one task.
+    by_key = by_key.filter("accession_id IS NOT NULL").withColumnRenamed("accession_id", "_accession")
     keyed = tasks.withColumn("extension", output_extension(F.col("md5_file_path")))
-    joined = keyed.join(by_key, ["accession_id", "extension"], "left")
+    keyed = keyed.withColumn("_accession", F.coalesce("accession_id", F.concat(F.lit("\0"), "task_id")))
+    joined = keyed.join(by_key, ["_accession", "extension"], "left")
     queued = F.col("status") == "DOWNLOAD_QUEUED"
     hit = queued & F.col("found_file").isNotNull()
     return joined.withColumns(

@@ -12,7 +12,7 @@ from cladeledger.fixed_values import DEFAULT_BATCH_SIZE
 from cladeledger.functions.checksums import display_path, file_state_message
 from cladeledger.functions.names import is_valid_binomial
 from cladeledger.operators import integrity, layout, manifest, repair, reports, resume
-from cladeledger.sources.inventory import checksum_lists, existing_files, list_tree, requested_files
+from cladeledger.sources.inventory import checksum_lists, existing_files, list_entries, requested_files
 from cladeledger.sources.lines import checksum_entries, read_many_lists
 from cladeledger.workspace import materialize
 
@@ -23,20 +23,29 @@ class Verification:
     totals: DataFrame
 
 
-def verify_tree(spark: SparkSession, root: str) -> Verification:
-    """Hash every file named in the checksum lists below ``root`` and compare (PL-2)."""
-    files = list_tree(spark, root)
-    chosen = checksum_lists(files)
-    entries = checksum_entries(read_many_lists(chosen))
-    return verify_entries(entries, files, root.rstrip("/"))
+def verify_tree(spark: SparkSession, root: str, inventory: DataFrame | None = None) -> Verification:
+    """Hash every file named in the checksum lists below ``root`` and compare (PL-2).
+
+    ``inventory`` has the columns of ``list_entries``, for a store whose listing is at hand; else the tree is listed.
+    """
+    entries = list_entries(spark, root) if inventory is None else inventory
+    chosen = checksum_lists(entries.filter("NOT is_directory"))
+    return verify_entries(checksum_entries(read_many_lists(chosen)), entries, root.rstrip("/"))
 
 
-def verify_entries(entries: DataFrame, files: DataFrame, root: str) -> Verification:
-    """The same for parsed entries and an inventory of ``root``; entries may also point outside it."""
+def verify_entries(entries: DataFrame, inventory: DataFrame, root: str) -> Verification:
+    """The same for parsed entries and an inventory of ``root``; entries may also point outside it.
+
+    A directory, and whatever an unreadable directory may hold, is an error and not missing.
+    """
     outside = entries.filter(~F.startswith("abs_path", F.lit(root.rstrip("/") + "/")))
     elsewhere = existing_files(outside.select(F.col("abs_path").alias("path")).distinct())
-    files = files.select("path", "size").unionByName(elsewhere)
-    matched = materialize(integrity.match_inventory(entries, files), "matched")
+    problem = F.when(F.col("is_directory"), F.coalesce("error", F.concat(F.lit("I/O error: Is a directory: "), "path")))
+    inside = inventory.select("path", "size", problem.alias("problem"))
+    files = inside.unionByName(elsewhere.withColumn("problem", F.lit(None).cast("string")))
+    matched = integrity.match_inventory(entries, files.dropDuplicates(["path"]))
+    unreadable = inventory.filter("error IS NOT NULL").select("path", "error")
+    matched = materialize(integrity.below_unreadable(matched, unreadable), "matched")
     checked = integrity.verify(matched, integrity.hash_existing(matched))
     result = materialize(
         checked.select(

@@ -16,45 +16,52 @@ from cladeledger.functions.filetypes import file_type, include_types
 from cladeledger.functions.text import basename
 from cladeledger.workspace import materialize
 
-_SCHEMA = "path STRING, is_directory BOOLEAN, size BIGINT, modified DOUBLE"
+_SCHEMA = "path STRING, is_directory BOOLEAN, size BIGINT, modified DOUBLE, error STRING"
 _ENTRIES_PER_BATCH = 10_000
 
 
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All files below ``root`` with path, rel_path, name, size and modified.
+    """All files below ``root`` with path, rel_path, name, size and modified. Hidden files are listed too."""
+    return list_entries(spark, root).filter("NOT is_directory").drop("is_directory", "error")
+
+
+def list_entries(spark: SparkSession, root: str) -> DataFrame:
+    """Files and directories below ``root``; ``error`` tells why a directory could not be read.
 
     Directories are listed by the executors, one level of the tree per round; the listing never
-    passes through the driver. Hidden files are listed too.
+    passes through the driver.
     """
     root = root.rstrip("/")
     tasks = spark.sparkContext.defaultParallelism
     level = spark.createDataFrame([(root,)], "path STRING")
-    files = None
+    found = None
     while True:
         listed = materialize(level.repartition(tasks, "path").mapInPandas(_list_directories, _SCHEMA), "listing")
-        found = listed.filter("NOT is_directory")
-        files = found if files is None else files.unionByName(found)
-        level = listed.filter("is_directory").select("path")
+        found = listed if found is None else found.unionByName(listed)
+        level = listed.filter("is_directory AND error IS NULL").select("path")
         if level.isEmpty():
             break
-    return files.select(
+    return found.select(
         "path",
         F.substr("path", F.lit(len(root) + 2)).alias("rel_path"),
         basename(F.col("path")).alias("name"),
         "size",
         "modified",
+        "is_directory",
+        "error",
     )
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = ["path", "is_directory", "size", "modified"]
+    columns = ["path", "is_directory", "size", "modified", "error"]
     for batch in batches:
         for directory in batch["path"]:
             for entries in batched(_entries(directory), _ENTRIES_PER_BATCH):
                 yield pd.DataFrame(entries, columns=columns)
 
 
-def _entries(directory: str) -> Iterator[tuple[str, bool, int, float]]:
+def _entries(directory: str) -> Iterator[tuple[str, bool, int, float, str | None]]:
+    """What a directory holds, or one row with the error for a directory that cannot be read."""
     if "://" not in directory:
         plain = directory.removeprefix("file:")
         try:
@@ -62,19 +69,19 @@ def _entries(directory: str) -> Iterator[tuple[str, bool, int, float]]:
                 for entry in entries:
                     # Links to directories are not followed, so that a listing ends.
                     if entry.is_dir(follow_symlinks=False):
-                        yield f"{plain}/{entry.name}", True, 0, 0.0
+                        yield f"{plain}/{entry.name}", True, 0, 0.0, None
                     elif entry.is_file():
                         status = entry.stat()
-                        yield f"{plain}/{entry.name}", False, status.st_size, status.st_mtime
-        except PermissionError:
-            return
+                        yield f"{plain}/{entry.name}", False, status.st_size, status.st_mtime, None
+        except PermissionError as problem:
+            yield plain, True, 0, 0.0, f"Permission denied: {problem}"
         return
     from pyarrow.fs import FileSelector, FileSystem, FileType
 
     system, inner = FileSystem.from_uri(directory)
     for info in system.get_file_info(FileSelector(inner)):
         is_directory = info.type == FileType.Directory
-        yield f"{directory}/{info.base_name}", is_directory, info.size or 0, info.mtime_ns / 1e9
+        yield f"{directory}/{info.base_name}", is_directory, info.size or 0, info.mtime_ns / 1e9, None
 
 
 def existing_files(paths: DataFrame) -> DataFrame:
