@@ -149,3 +149,6 @@ CHECKSUM_LIST_NAME = "md5sum.txt"
 MANIFEST_NAME = ".accession_manifest.json"
 DEFAULT_BATCH_SIZE = 100
 TOP_FAILURES = 10
+
+# The classes of errors.
+ERROR_CLASSES = ["environment", "filesystem", "transient", "data", "processing"]

@@ -70,14 +70,15 @@ class RepairPlan:
 
 
 def plan_repair(
-    verification: DataFrame, root: str, saved: DataFrame | None, cached: DataFrame, retry_failed: bool = False
+    verification: DataFrame, root: str, saved: DataFrame | None, cached: DataFrame, retry_failed: bool = False,
+    now: str | None = None,
 ) -> RepairPlan:
     """Failing files to keyed tasks, merged with saved ones, recovered and matched to a cache (PL-3).
 
     ``verification`` also gives the current hash of each file, by which fixed tasks are checked.
     """
     failed = materialize(repair.failed_files(integrity.failing(verification)), "failed")
-    fresh = repair.new_tasks(failed, root)
+    fresh = repair.new_tasks(failed, root, now)
     tasks = fresh if saved is None else repair.merge_tasks(saved, fresh)
     current = verification.select(F.col("file_path").alias("path"), "computed_hash").dropDuplicates(["path"])
     tasks = repair.recover(tasks, current)

@@ -1,27 +1,28 @@
 """JSON documents for manifests, progress, repair tasks and errors, and repair reports.
 
-A document holds a bounded number of entries; larger tables become several documents of the same
-form, which the readers take together. So no task holds a whole manifest or state.
+The stored form at any size is a table with one JSON entry per line (``write_manifest_rows`` and so on). A document
+is a projection for tools that want one: the caller says into how many documents the entries go, and one
+document passes through one task. Nothing about the form depends on how many entries there are.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeledger.fixed_values import MANIFEST_SCHEMA_VERSION
+from cladeledger.fixed_values import ERROR_CLASSES, MANIFEST_SCHEMA_VERSION
 from cladeledger.operators.repair import outcomes, summarize
 from cladeledger.operators.reports import error_counts
 from cladeledger.ordering import with_row_number
 from cladeledger.sinks.lines import REPORT_ORDER, exploded, fixed_lines, write_lines
 
-ROWS_PER_DOCUMENT = 50_000
 _ARTIFACT = ("accession", "include_type", "filename", "expected_md5", "checksum_source", "committed_at")
 
 
-def _numbered(df: DataFrame, key: str, rows_per_document: int) -> DataFrame:
-    """Spread unique keys over documents of about ``rows_per_document`` entries."""
-    documents = max(1, -(-df.count() // rows_per_document))
+def _numbered(df: DataFrame, key: str, documents: int) -> DataFrame:
+    """Spread entries with unique keys over ``documents`` documents, an empty table too."""
     return df.withColumn("_document", F.pmod(F.xxhash64(key), F.lit(documents)))
 
 
@@ -38,16 +39,25 @@ def _entry_map(key: str, entry: Column) -> Column:
     )
 
 
-def write_manifest(manifest: DataFrame, path: str, committed_at: str, rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
-    """Manifest documents with sorted filenames (SNK-7); ``committed_at`` fills empty times."""
-    stamped = manifest.withColumn("committed_at", F.lit(committed_at)) if "committed_at" not in manifest.columns else (
+def _stamped(manifest: DataFrame, committed_at: str) -> DataFrame:
+    return manifest.withColumn("committed_at", F.lit(committed_at)) if "committed_at" not in manifest.columns else (
         manifest.withColumn("committed_at", F.coalesce(F.nullif("committed_at", F.lit("")), F.lit(committed_at)))
     )
-    numbered = _numbered(stamped, "filename", rows_per_document)
+
+
+def write_manifest_rows(manifest: DataFrame, path: str, committed_at: str) -> None:
+    """The manifest with one artifact per line; ``committed_at`` fills empty times (SNK-7)."""
+    version = F.lit(MANIFEST_SCHEMA_VERSION).alias("schema_version")
+    _stamped(manifest, committed_at).select(version, *_ARTIFACT).write.mode("overwrite").json(path)
+
+
+def write_manifest(manifest: DataFrame, path: str, committed_at: str, documents: int) -> None:
+    """The manifest as ``documents`` documents with sorted filenames (SNK-7)."""
+    numbered = _numbered(_stamped(manifest, committed_at), "filename", documents)
     entry = F.struct(*[F.col(c) for c in _ARTIFACT])
-    documents = numbered.groupBy("_document").agg(_entry_map("filename", entry).alias("entries"))
+    texts = numbered.groupBy("_document").agg(_entry_map("filename", entry).alias("entries"))
     _write(
-        documents.select(
+        texts.select(
             F.concat(
                 F.lit('{"artifacts": {\n'), "entries",
                 F.lit(f'\n}}, "generated_by": "cladeledger", "schema_version": {MANIFEST_SCHEMA_VERSION}}}'),
@@ -57,10 +67,15 @@ def write_manifest(manifest: DataFrame, path: str, committed_at: str, rows_per_d
     )
 
 
-def write_progress(states: DataFrame, path: str, start: float, now: float, rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
-    """Completed and failed items of a run (SNK-8)."""
-    numbered = _numbered(states, "item", rows_per_document)
-    documents = numbered.groupBy("_document").agg(
+def write_progress_rows(states: DataFrame, path: str) -> None:
+    """Items of a run with their state, one per line (SNK-8)."""
+    states.select("item", "state").write.mode("overwrite").json(path)
+
+
+def write_progress(states: DataFrame, path: str, start: float, now: float, documents: int) -> None:
+    """Completed and failed items of a run as ``documents`` documents (SNK-8)."""
+    numbered = _numbered(states, "item", documents)
+    texts = numbered.groupBy("_document").agg(
         *[
             F.sort_array(F.collect_list(F.when(F.col("state") == s, F.col("item")))).alias(f"{s}_taxa")
             for s in ("completed", "failed")
@@ -69,25 +84,46 @@ def write_progress(states: DataFrame, path: str, start: float, now: float, rows_
     document = F.struct(
         "completed_taxa", "failed_taxa", F.lit(start).alias("start_time"), F.lit(now).alias("last_update")
     )
-    _write(documents.select(F.to_json(document).alias("value")), path)
+    _write(texts.select(F.to_json(document).alias("value")), path)
 
 
-def write_task_state(tasks: DataFrame, path: str, run_id: str, root: str, updated_at: str, rows_per_document: int = ROWS_PER_DOCUMENT) -> None:
-    """Task documents; each carries the summary of the whole run (SNK-9, AG-8)."""
+def write_task_rows(tasks: DataFrame, path: str) -> None:
+    """All fields of the tasks, one task per line, null ones left out (SNK-9)."""
+    tasks.write.mode("overwrite").json(path)
+
+
+def write_task_state(
+    tasks: DataFrame, path: str, run_id: str, root: str, created_at: str, updated_at: str, documents: int,
+    fingerprint: dict[str, str] | None = None,
+) -> None:
+    """Tasks as ``documents`` documents; each carries the head and the summary of the whole run (SNK-9, AG-8)."""
     # One row of totals; it is repeated in each document.
     summary = summarize(tasks).select(F.to_json(F.struct("*"))).first()[0]
-    numbered = _numbered(tasks, "task_id", rows_per_document)
+    numbered = _numbered(tasks, "task_id", documents)
     entry = F.struct(*[F.col(c) for c in tasks.columns])
-    documents = numbered.groupBy("_document").agg(_entry_map("task_id", entry).alias("entries"))
-    head = F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(run_id).alias("run_id"), F.lit(root).alias("verification_dir"), F.lit(updated_at).alias("updated_at")))
-    text = F.concat(F.regexp_replace(head, "\\}$", ""), F.lit(f', "summary": {summary}, "tasks": {{\n'), "entries", F.lit("\n}}"))
-    _write(documents.select(text.alias("value")), path)
+    texts = numbered.groupBy("_document").agg(_entry_map("task_id", entry).alias("entries"))
+    head = json.dumps(
+        {"schema_version": 1, "mode": "md5_autofix", "run_id": run_id, "verification_dir": root, "created_at": created_at,
+         "updated_at": updated_at, "input_fingerprint": fingerprint or {}}
+    )
+    text = F.concat(F.lit(head.removesuffix("}")), F.lit(f', "summary": {summary}, "tasks": {{\n'), "entries", F.lit("\n}}"))
+    _write(texts.select(text.alias("value")), path)
 
 
-def write_errors(errors: DataFrame, path: str) -> None:
-    """Error records as JSON lines and counts per class beside them (SNK-14)."""
+def write_errors(errors: DataFrame, path: str, exported_at: str) -> None:
+    """Error records as JSON lines; beside them one record with total, time and the count of every class (SNK-14)."""
     errors.write.mode("overwrite").json(f"{path}/errors")
-    error_counts(errors).write.mode("overwrite").json(f"{path}/statistics")
+    export_record(errors, exported_at).write.mode("overwrite").json(f"{path}/statistics")
+
+
+def export_record(errors: DataFrame, exported_at: str) -> DataFrame:
+    """``total_errors``, ``export_time`` and ``statistics``, a map of all classes to their count, also zero."""
+    classes = errors.sparkSession.createDataFrame([(c,) for c in ERROR_CLASSES], "error_type STRING")
+    counts = error_counts(errors).join(classes, "error_type", "full_outer").select("error_type", F.coalesce("n_errors", F.lit(0)).cast("bigint").alias("n"))
+    pairs = F.array_sort(F.collect_list(F.struct("error_type", "n")))
+    return counts.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_errors"), F.lit(exported_at).alias("export_time"), F.map_from_entries(pairs).alias("statistics")
+    )
 
 
 # Sections of the repair report, their introduction and the text of an empty one.

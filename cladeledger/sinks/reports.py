@@ -62,6 +62,7 @@ def run_summary_lines(results: DataFrame, seconds: float) -> DataFrame:
     return (
         exploded(run_totals(results, seconds), 0, F.lit(""), totals)
         .unionByName(fixed_lines(spark, 1, ["ERROR STATISTICS:", "-" * 20]))
+        .unionByName(exploded(failed.agg(F.count("*").alias("n")), 1, F.lit("~"), [_labelled("Total Errors", F.col("n"))]))
         .unionByName(exploded(counts, 2, F.col("error_type"), [share]))
         .unionByName(fixed_lines(spark, 3, ["", "FAILED TAXA:", "-" * 15]))
         .unionByName(exploded(counts, 4, F.col("error_type"), [F.lit(""), heading]))

@@ -25,8 +25,8 @@ TASK_FIELDS = (
     "computed_hash: STRING, created_at: STRING, updated_at: STRING"
 )
 TASK_STATE_SCHEMA = (
-    "schema_version INT, run_id STRING, verification_dir STRING, created_at STRING, updated_at STRING, "
-    f"summary MAP<STRING, BIGINT>, tasks MAP<STRING, STRUCT<{TASK_FIELDS}>>, _corrupt STRING"
+    "schema_version INT, mode STRING, run_id STRING, verification_dir STRING, created_at STRING, updated_at STRING, "
+    f"input_fingerprint MAP<STRING, STRING>, summary MAP<STRING, BIGINT>, tasks MAP<STRING, STRUCT<{TASK_FIELDS}>>, _corrupt STRING"
 )
 ERROR_LOG_SCHEMA = (
     "timestamp DOUBLE, iso_timestamp STRING, taxon STRING, error_type STRING, message STRING, "
@@ -57,6 +57,33 @@ def read_manifest(spark: SparkSession, path: str | list[str], **options) -> Data
     ])
 
 
+def read_manifest_rows(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Artifact rows of the stored form, one per line; other schema versions fail (SRC-8)."""
+    fields = "schema_version INT, " + ARTIFACT_FIELDS.replace(": ", " ")
+    rows = spark.read.schema(fields).option("mode", "FAILFAST").options(**options).json(path)
+    problem = F.concat(F.lit("Unsupported accession manifest schema: "), F.coalesce(F.col("schema_version").cast("string"), F.lit("none")))
+    right = F.col("schema_version").eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION))
+    return rows.filter(F.when(right, True).otherwise(F.raise_error(problem).cast("boolean"))).select(
+        "filename", "accession", "include_type", "expected_md5", "checksum_source", "committed_at"
+    )
+
+
+def read_progress_rows(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """(item, state) rows of the stored form (SRC-9)."""
+    return spark.read.schema("item STRING, state STRING").options(**options).json(path).distinct()
+
+
+def read_task_rows(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Task rows of the stored form with all fields (SRC-10)."""
+    return spark.read.schema(TASK_FIELDS.replace(": ", " ")).options(**options).json(path)
+
+
+def read_task_heads(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
+    """Run id, directory, times, input fingerprint and summary of task documents (SNK-9)."""
+    documents = _json(spark, path, TASK_STATE_SCHEMA, True, **options).filter("_corrupt IS NULL")
+    return documents.drop("tasks", "_corrupt").withColumn("document", file_path())
+
+
 def read_progress(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """(item, state) rows; a document that cannot be read gives none (SRC-9)."""
     documents = _json(spark, path, PROGRESS_SCHEMA, True, **options).filter("_corrupt IS NULL")

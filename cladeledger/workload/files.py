@@ -140,41 +140,66 @@ _MANIFEST_SQL = "select filename, replace(substr(filename, strpos(filename, '/')
 @query("src_8_manifest_documents", "manifest", _MANIFEST_SQL)
 def _(spark, sf):
     path = new_path(spark, "manifest")
-    document_sinks.write_manifest(manifest_rows(spark, sf), path, "2024-01-01T00:00:00Z", rows_per_document=200)
+    document_sinks.write_manifest(manifest_rows(spark, sf), path, "2024-01-01T00:00:00Z", documents=5)
     return documents.read_manifest(spark, path).select("filename", "accession", "expected_md5", "committed_at")
 
 
 @query("snk_7_manifest_document", "manifest", _MANIFEST_SQL)
 def _(spark, sf):
     path = new_path(spark, "manifest")
-    document_sinks.write_manifest(manifest_rows(spark, sf), path, "2024-01-01T00:00:00Z")
+    document_sinks.write_manifest(manifest_rows(spark, sf), path, "2024-01-01T00:00:00Z", documents=1)
     return documents.read_manifest(spark, path).select("filename", "accession", "expected_md5", "committed_at")
 
 
+@query("snk_7_manifest_rows", "manifest", _MANIFEST_SQL)
+def _(spark, sf):
+    path = new_path(spark, "manifest")
+    document_sinks.write_manifest_rows(manifest_rows(spark, sf), path, "2024-01-01T00:00:00Z")
+    return documents.read_manifest_rows(spark, path).select("filename", "accession", "expected_md5", "committed_at")
+
+
 @query("src_9_progress_state", "", f"select cast(item as varchar) as item, state from ({ops._PROGRESS_STATE})", ops._PROGRESS)
 def _(spark, sf):
     path = new_path(spark, "progress")
     states = progress_state(ops.progress_events(spark, sf), F.col("seq")).withColumn("item", F.col("item").cast("string"))
-    document_sinks.write_progress(states, path, 10.0, 20.0, rows_per_document=40)
+    document_sinks.write_progress(states, path, 10.0, 20.0, documents=4)
     return documents.read_progress(spark, path)
 
 
-_TASK_SQL = "select task_id, status, accession_id, original_path, expected_hash, attempts from tasks"
+_TASK_SQL = f"select {ops.TASK_FIELDS_SQL} from tasks"
+
+
+def written_tasks(spark, sf):
+    path = new_path(spark, "tasks")
+    document_sinks.write_task_state(
+        ops.tasks(spark, sf), path, "run", "/data", "2024-01-01", "2024-03-01", documents=3, fingerprint={"list": "md5sum.txt", "size": "7"}
+    )
+    return path
 
 
 @query("src_10_task_state", "tasks", _TASK_SQL)
 def _(spark, sf):
-    path = new_path(spark, "tasks")
-    document_sinks.write_task_state(ops.tasks(spark, sf), path, "run", "/data", "now", rows_per_document=3000)
-    return documents.read_task_state(spark, path).select("task_id", "status", "accession_id", "original_path", "expected_hash", "attempts")
+    return documents.read_task_state(spark, written_tasks(spark, sf))
 
 
-@query("snk_9_task_summaries", "tasks", "select count(*) as total, count(case when status = 'FIXED' then 1 end) as fixed from tasks")
+@query("snk_9_task_rows", "tasks", _TASK_SQL)
 def _(spark, sf):
     path = new_path(spark, "tasks")
-    document_sinks.write_task_state(ops.tasks(spark, sf), path, "run", "/data", "now", rows_per_document=3000)
-    saved = spark.read.schema(documents.TASK_STATE_SCHEMA).option("multiLine", True).json(path)
-    return saved.select(F.col("summary")["total"].alias("total"), F.col("summary")["fixed"].alias("fixed")).distinct()
+    document_sinks.write_task_rows(ops.tasks(spark, sf), path)
+    return documents.read_task_rows(spark, path)
+
+
+@query("snk_9_task_summaries", "tasks", (
+    "select 'run' as run_id, '/data' as verification_dir, '2024-01-01' as created_at, '2024-03-01' as updated_at, 'md5sum.txt' as list, '7' as size, count(*) as total,"
+    + ", ".join(f"count(case when status = '{s}' then 1 end) as {n}" for n, s in (
+        ("fixed", "FIXED"), ("still_failed", "STILL_FAILED"), ("skipped", "SKIPPED_NO_ACCESSION"), ("retryable_failed", "FAILED_RETRYABLE"), ("fatal_failed", "FAILED_FATAL")))
+    + " from tasks"
+))
+def _(spark, sf):
+    heads = documents.read_task_heads(spark, written_tasks(spark, sf)).drop("document")
+    fields = ("total", "fixed", "still_failed", "skipped", "retryable_failed", "fatal_failed")
+    print_of = [F.col("input_fingerprint")[k].alias(k) for k in ("list", "size")]
+    return heads.select("run_id", "verification_dir", "created_at", "updated_at", *print_of, *[F.col("summary")[n].alias(n) for n in fields]).distinct()
 
 
 def checked(spark, sf):
@@ -226,13 +251,17 @@ def _(spark, sf):
     )
 
 
-@query("snk_14_error_export", "errors", f"select {ERROR_CLASS_SQL} as error_type, count(*) as n_errors, count(*) as n_records from errors group by 1")
+@query("snk_14_error_export", "errors", (
+    f"select c.error_type, count(e.event_id) as n_errors, count(e.event_id) as n_records, (select count(*) from errors) as total_errors, 'now' as export_time"
+    f" from (values ('environment'), ('filesystem'), ('transient'), ('data'), ('processing')) c(error_type) left join (select event_id, {ERROR_CLASS_SQL} as k from errors) e on e.k = c.error_type group by 1"
+))
 def _(spark, sf):
     path = new_path(spark, "export")
-    document_sinks.write_errors(error_records(spark, sf), path)
-    counts = spark.read.schema("error_type STRING, n_errors BIGINT").json(f"{path}/statistics")
+    document_sinks.write_errors(error_records(spark, sf), path, "now")
+    record = spark.read.schema("total_errors BIGINT, export_time STRING, statistics MAP<STRING, BIGINT>").json(f"{path}/statistics")
+    counts = record.select("total_errors", "export_time", F.explode("statistics").alias("error_type", "n_errors"))
     records = documents.read_error_log(spark, f"{path}/errors").groupBy("error_type").agg(F.count("*").alias("n_records"))
-    return counts.join(records, "error_type")
+    return counts.join(records, "error_type", "left").withColumn("n_records", F.coalesce("n_records", F.lit(0)).cast("bigint"))
 
 
 _FOLDER = "source || '/' || cast(floor(doc_id / 100) as bigint)"
@@ -299,6 +328,27 @@ def _(spark, sf):
     return plan.tasks.select("accession_id", "task_id", "status", "original_path", "initial_status")
 
 
+@query(
+    "pl_3_plan_repair_saved", "files",
+    "select 'GCA_' || lpad(cast(doc_id as varchar), 9, '0') || '.1' as accession_id, sha256('/data' || chr(0) || source || chr(0) || regexp_extract(file_path, '[^/]*$') || chr(0) || expected_hash) as task_id,"
+    " case when doc_id % 3 = 0 and doc_id % 2 = 0 then 'ORGANIZED' else 'DOWNLOADING' end as status,"
+    " case when doc_id % 3 = 0 then 'kept' end as backup_path, case when doc_id % 3 = 0 then 'then' else 'now' end as created_at, case when doc_id % 3 = 0 then 4 else 0 end::bigint as attempts"
+    f" from files where {ops._STATE} <> 'pass'",
+)
+def _(spark, sf):
+    """A third of the tasks is saved from an interrupted run, half of those while they were verified."""
+    failing_files = repair.failed_files(failing(checked(spark, sf)))
+    known = derived(spark, sf, "files").select(F.col("file_path").alias("original_path"), "doc_id")
+    saved = repair.new_tasks(failing_files, "/data", "then").join(known, "original_path").filter("doc_id % 3 = 0")
+    status = F.when(F.col("doc_id") % 2 == 0, "VERIFYING").otherwise("DOWNLOADING")
+    saved = saved.withColumns({"status": status, "backup_path": F.lit("kept"), "attempts": F.lit(4).cast("bigint")}).drop("doc_id")
+    path = new_path(spark, "tasks")
+    document_sinks.write_task_rows(saved, path)
+    cached = spark.createDataFrame([], "name STRING, path STRING")
+    plan = audit.plan_repair(checked(spark, sf), "/data", documents.read_task_rows(spark, path), cached, now="now")
+    return plan.tasks.select("accession_id", "task_id", "status", "backup_path", "created_at", "attempts")
+
+
 # Sinks ---------------------------------------------------------------------------------------------
 
 

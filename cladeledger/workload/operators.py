@@ -206,6 +206,23 @@ def _(spark, sf):
     return binned.select("taxon_id", "accession", "bin")
 
 
+@query(
+    "wn_9_pack_null_sizes", "taxonomy genomes",
+    f"select k as taxon_id, id as accession, grp as bin from st where rn > 0 union all"
+    f" select m.k, m.id, coalesce((select max(grp) from st where st.k = m.k), 0) + row_number() over (partition by m.k order by m.id) from ({_GENUS_MEMBERS} and sequence_length % 10 <> 0) m where sz > {ACCESSION_CAPACITY}"
+    f" union all select k, id, null from ({_GENUS_MEMBERS} and sequence_length % 10 = 0)",
+    _SIZES + ", " + ffd_sql(_GENUS_MEMBERS + " and sequence_length % 10 <> 0", str(ACCESSION_CAPACITY)),
+)
+def _(spark, sf):
+    """Hot keys through waves of small chunks; items without a size stay, without a bin."""
+    _tree, pairs = pairs_at(spark, sf, "GENUS")
+    members = hierarchy.genomes_below(pairs, genomes(spark, sf)).select("taxon_id", "accession", "sequence_length")
+    members = members.withColumn("sequence_length", F.when(F.col("sequence_length") % 10 != 0, F.col("sequence_length")))
+    chunk = max(10, members.count() // 60)
+    binned = packing.pack_all(members, ACCESSION_CAPACITY, "sequence_length", "accession", ["taxon_id"], chunk)
+    return binned.select("taxon_id", "accession", "bin")
+
+
 def genus_ffd(uses_more: str = "") -> str:
     items = "select 0 as k, s.tax_id as id, s.size_bp as sz from sizes s join taxonomy t on t.tax_id = s.tax_id where t.rnk = 'GENUS'"
     packed = (
@@ -642,10 +659,21 @@ def tasks(spark, sf):
     return rows.select(
         "task_id", "status", "accession_id", "md5_file_path", "md5sum_dir", "original_path",
         F.col("original_path").alias("target_path"), "expected_hash", F.lit("fail").alias("initial_status"),
-        nothing.alias("cached_file"), "attempts", nothing.alias("last_error"), nothing.alias("computed_hash"),
+        nothing.alias("cached_file"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("backups/"), "original_path")).alias("backup_path"),
+        "attempts", nothing.alias("last_error"), nothing.alias("computed_hash"),
+        F.concat(F.lit("2024-01-0"), (F.col("event_id") % 9 + 1).cast("string")).alias("created_at"),
+        F.concat(F.lit("2024-02-0"), (F.col("event_id") % 8 + 1).cast("string")).alias("updated_at"),
     )
 
 
+# All fields of the tasks above.
+TASK_FIELDS_SQL = (
+    "task_id, status, accession_id, md5_file_path, md5sum_dir, original_path, original_path as target_path, expected_hash, 'fail' as initial_status,"
+    " null::varchar as cached_file, case when event_id % 3 = 0 then 'backups/' || original_path end as backup_path, attempts, null::varchar as last_error,"
+    " null::varchar as computed_hash, '2024-01-0' || (event_id % 9 + 1) as created_at, '2024-02-0' || (event_id % 8 + 1) as updated_at"
+)
+
+
 def task_hashes(spark, sf):
     """Current hashes of task files; those of event ids not divisible by three still match."""
     rows = derived(spark, sf, "tasks")
@@ -657,14 +685,18 @@ def task_hashes(spark, sf):
 
 @query(
     "jn_17_task_merge", "tasks",
-    "select task_id, case when event_id % 2 = 0 then status else 'PENDING' end as status, case when event_id % 2 = 0 and event_id % 4 = 0 then coalesce(accession_id, 'GCA_000000000.9') when event_id % 2 = 0 then accession_id else 'GCA_000000000.9' end as accession_id from tasks",
+    "select * exclude (event_id) replace (case when event_id % 2 = 0 then status else 'PENDING' end as status,"
+    " case when event_id % 2 = 1 or event_id % 4 = 0 and accession_id is null then 'GCA_000000000.9' else accession_id end as accession_id,"
+    " case when event_id % 2 = 1 or event_id % 4 = 0 and accession_id is null then 'now' else updated_at end as updated_at,"
+    f" case when event_id % 2 = 0 then backup_path end as backup_path) from (select event_id, {TASK_FIELDS_SQL} from tasks)",
 )
 def _(spark, sf):
+    """Saved tasks come back with all their fields; fresh ones lack a backup."""
     all_tasks = tasks(spark, sf).join(derived(spark, sf, "tasks").select("task_id", "event_id"), "task_id")
     saved = all_tasks.filter("event_id % 2 = 0").drop("event_id")
-    fresh = all_tasks.filter("event_id % 4 = 0 OR event_id % 2 = 1").drop("event_id")
-    fresh = fresh.withColumns({"status": F.lit("PENDING"), "accession_id": F.lit("GCA_000000000.9")})
-    return repair.merge_tasks(saved, fresh).select("task_id", "status", "accession_id")
+    fresh = all_tasks.filter("event_id % 4 = 0 OR event_id % 2 = 1").drop("event_id", "backup_path")
+    fresh = fresh.withColumns({"status": F.lit("PENDING"), "accession_id": F.lit("GCA_000000000.9"), "updated_at": F.lit("now")})
+    return repair.merge_tasks(saved, fresh)
 
 
 _RECOVERED = (
@@ -798,6 +830,22 @@ def _(spark, sf):
     return layout.resolve_names(listed, mapping).select("doc_id", "out_name")
 
 
+@query(
+    "jn_9_one_shared_name", "paths",
+    "select doc_id, case when doc_id % 10 = 9 then null when doc_id % 10 = 8 then 'solo' || doc_id else 'out' || doc_id end as out_name from paths",
+)
+def _(spark, sf):
+    """Nine tenths of the paths share one name; those that are known resolve by themselves, the last tenth by no key."""
+    number = F.col("doc_id").cast("string")
+    rows = derived(spark, sf, "paths").select("doc_id", F.when(F.col("doc_id") % 10 == 8, F.concat(F.lit("solo"), number, F.lit(".faa"))).otherwise("protein.faa").alias("name"))
+    known = rows.filter("doc_id % 10 < 9")
+    out = F.when(F.col("doc_id") % 10 == 8, F.concat(F.lit("solo"), number)).otherwise(F.concat(F.lit("out"), number))
+    source = F.concat(F.lit("data/"), number, F.lit("/"), "name")
+    mapping = layout.checksum_mapping(known.select(source.alias("rel_path"), out.alias("out_name")))
+    folder = F.when(F.col("doc_id") % 10 == 8, F.lit("moved/")).when(F.col("doc_id") % 2 == 0, F.concat(F.lit("./data/"), number, F.lit("/"))).otherwise(F.concat(F.lit("data/"), number, F.lit("/")))
+    return layout.resolve_names(rows.select("doc_id", F.concat(folder, "name").alias("file_path")), mapping).select("doc_id", "out_name")
+
+
 @query("pl_6_layout", "paths", "select out_name, md5(arg_max(rel_path, doc_id)) as expected_hash from plan group by 1", f"{_TYPED}, {_LAYOUT}")
 def _(spark, sf):
     plan = layout.rename_plan(layout_files(spark, sf))

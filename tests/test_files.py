@@ -106,16 +106,47 @@ def test_other_manifest_versions_fail(spark, tmp_path):
 def test_manifest_documents_round_trip(spark, tmp_path):
     rows = [(f"A.{i}", "genome", f'f"{i}.fna', str(i), "s") for i in range(50)]
     df = spark.createDataFrame(rows, "accession STRING, include_type STRING, filename STRING, expected_md5 STRING, checksum_source STRING")
-    for limit in (7, 1000):
-        path = str(tmp_path / f"m{limit}")
-        document_sinks.write_manifest(df, path, "2024-01-01T00:00:00Z", limit)
+    for parts in (7, 1):
+        path = str(tmp_path / f"m{parts}")
+        document_sinks.write_manifest(df, path, "2024-01-01T00:00:00Z", parts)
         back = documents.read_manifest(spark, path)
         assert {(r.accession, r.filename, r.expected_md5) for r in back.collect()} == {(r[0], r[2], r[3]) for r in rows}
-    whole = [json.loads(p.read_text()) for p in (tmp_path / "m1000").glob("part*")]
+    whole = [json.loads(p.read_text()) for p in (tmp_path / "m1").glob("part*")]
     assert len(whole) == 1 and whole[0]["schema_version"] == 1
     assert list(whole[0]["artifacts"]) == sorted(whole[0]["artifacts"])
 
 
+@pytest.mark.parametrize("n", [10, 200_000])
+def test_the_form_does_not_depend_on_the_number_of_entries(spark, tmp_path, n):
+    name = F.concat(F.lit("A."), F.col("id").cast("string"))
+    rows = spark.range(n).select(name.alias("accession"), F.lit("genome").alias("include_type"), name.alias("filename"), F.lit("0").alias("expected_md5"), F.lit("s").alias("checksum_source"))
+    document_sinks.write_manifest_rows(rows, str(tmp_path / "m"), "now")
+    assert documents.read_manifest_rows(spark, str(tmp_path / "m")).agg(F.count_distinct("filename")).first()[0] == n
+    document_sinks.write_manifest(rows, str(tmp_path / "d"), "now", 1)
+    assert len(list((tmp_path / "d").glob("part*"))) == 1
+    states = rows.select(F.col("accession").alias("item"), F.lit("failed").alias("state"))
+    document_sinks.write_progress_rows(states, str(tmp_path / "p"))
+    assert documents.read_progress_rows(spark, str(tmp_path / "p")).count() == n
+
+
+def test_directories_and_unreadable_ones_are_errors(spark, tmp_path, monkeypatch):
+    make_tree(tmp_path / "data")
+    (tmp_path / "data" / "t2" / "sub").mkdir()
+    (tmp_path / "data" / "t2" / "md5sum.txt").write_text(f"{EMPTY}  sub\n{EMPTY}  gone.fna\n{EMPTY}  closed/deep/x.fna\n")
+    entries = inventory.list_entries(spark, str(tmp_path / "data"))
+    closed = spark.createDataFrame([(f"{tmp_path}/data/t2/closed", "t2/closed", "closed", 0, 0.0, True, "Permission denied: x")], entries.schema)
+    found = {r.file_path: (r.status, r.error_message) for r in audit.verify_tree(spark, str(tmp_path / "data"), entries.union(closed)).files.collect()}
+    assert found["t2/sub"][0] == "error" and "directory" in found["t2/sub"][1]
+    assert found["t2/closed/deep/x.fna"] == ("error", "Permission denied: x")
+    assert found["t2/gone.fna"][0] == "missing"
+
+    def refuse(path):
+        raise PermissionError("no")
+
+    monkeypatch.setattr(inventory.os, "scandir", refuse)
+    assert list(inventory._entries("/x")) == [("/x", True, 0, 0.0, "Permission denied: no")]
+
+
 def test_broken_states_are_ignored(spark, tmp_path):
     (tmp_path / "p.json").write_text("{broken")
     assert documents.read_progress(spark, str(tmp_path / "p.json")).isEmpty()
