@@ -184,7 +184,7 @@ def task_report_lines(tasks: DataFrame, run_id: str) -> DataFrame:
     def known(label: str, column: str) -> Column:
         return F.concat(F.lit(f"  {label}: "), F.nullif(column, F.lit("")))
 
-    block = [F.concat_ws(" | ", "status", "original_path"), known("accession", "accession_id"), known("cached_file", "cached_file"), known("error", "last_error")]
+    block = [F.concat_ws(" | ", "status", "original_path"), known("accession", "accession_id"), known("backup", "backup_path"), known("cached_file", "cached_file"), known("error", "last_error")]
     # Header lines of the task report.
     head = ["=" * 80, "MD5 VERIFICATION AUTO-FIX RESUME REPORT", "=" * 80, "", f"Run ID: {run_id}", "", "SUMMARY", "-" * 80]
     return (

@@ -9,6 +9,7 @@ from cladeledger.functions import messages
 from cladeledger.operators import hierarchy, packing, repair
 from cladeledger.operators.integrity import count_states, failing
 from cladeledger.operators.resume import progress_state
+from cladeledger.ordering import with_row_number
 from cladeledger.plans import audit, split
 from cladeledger.sinks import checksums as checksum_sinks
 from cladeledger.sinks import documents as document_sinks
@@ -24,6 +25,12 @@ from cladeledger.workload.functions import ERROR_CLASS_SQL, classified_errors
 from cladeledger.workload.registry import query
 from cladeledger.workspace import new_path
 
+def in_order(order: str, rows: str, per: str = "") -> str:
+    """SQL that numbers the lines of ``rows``, which has the columns of ``order``."""
+    window = f"partition by {per} order by {order}" if per else f"order by {order}"
+    return f"select {per + ', ' if per else ''}row_number() over ({window}) as no, line from ({rows})"
+
+
 # Sources -------------------------------------------------------------------------------------------
 
 
@@ -219,15 +226,16 @@ def _(spark, sf):
     return lines.read_failures(spark, path)
 
 
-@query("snk_10_failure_list", "files", (
-    "select upper(status) || ' | ' || file_path || ' | ' || expected_hash || ' | ' || coalesce(computed_hash, 'N/A') || ' | ' || coalesce(error_message, '') as line from v where status <> 'pass'"
-    " union all select '# Total failed files: ' || count(*) from v where status <> 'pass' union all select '# Verification Directory: /data'"
-), _CHECKED)
+@query("snk_10_failure_list", "files", in_order("section, path, k", (
+    "select 0 as section, '' as path, unnest(range(3)) as k, unnest(['# MD5 Verification Failed Files', '# Generated: 2024-01-01 00:00:00', '# Verification Directory: /data']) as line"
+    " union all select 1, '', 0, '# Total failed files: ' || count(*) from v where status <> 'pass'"
+    " union all select 2, '', unnest(range(5)), unnest(['#', '# Format: STATUS | FILE_PATH | EXPECTED_HASH | COMPUTED_HASH | ERROR_MESSAGE', '# FILE_PATH is relative to the verification directory', '#' || repeat('=', 80), ''])"
+    " union all select 3, file_path, 0, upper(status) || ' | ' || file_path || ' | ' || expected_hash || ' | ' || coalesce(computed_hash, 'N/A') || ' | ' || coalesce(error_message, '') from v where status <> 'pass'"
+)), _CHECKED)
 def _(spark, sf):
     path = new_path(spark, "failures")
     checksum_sinks.write_failure_list(checked(spark, sf), path, "/data", "2024-01-01 00:00:00")
-    written = spark.read.text(path).withColumnRenamed("value", "line")
-    return written.filter("line NOT LIKE '#%' AND line <> '' OR line LIKE '# Total%' OR line LIKE '# Verification%'")
+    return read_in_order(spark, path)
 
 
 def error_records(spark, sf):
@@ -356,6 +364,12 @@ def read_back(spark, path):
     return spark.read.text(path).withColumnRenamed("value", "line")
 
 
+def read_in_order(spark, path, *folders):
+    """The lines with their place ``no`` in the written text, counted over its part files in order, per folder."""
+    rows = spark.read.text(path).select("value", *folders, lines.position().alias("at"))
+    return with_row_number(rows, list(folders), [F.col("at")], "no").select(*folders, "no", F.col("value").alias("line"))
+
+
 _GROUP_LINES = (
     "select bin as group_id, '# Species: ' || name || ' (' || tax_id || ')' as line from packed where bin is not null"
     " union all select bin, name || chr(9) || tax_id from packed where bin is not null union all select bin, '' from packed where bin is not null"
@@ -406,17 +420,19 @@ def _(spark, sf):
     return read_back(spark, path)
 
 
-@query("snk_5_checksum_list", "manifest", "select expected_md5 || '  ' || filename as line from manifest")
+@query("snk_5_checksum_list", "manifest", in_order("filename", "select filename, expected_md5 || '  ' || filename as line from manifest"))
 def _(spark, sf):
     path = new_path(spark, "md5sum")
     checksum_sinks.write_checksum_list(derived(spark, sf, "manifest"), path)
-    return read_back(spark, path)
+    return read_in_order(spark, path)
 
 
 @query(
     "snk_6_merged_list", "paths",
-    "select md5(arg_max(rel_path, doc_id)) || '  ' || out_name as line from plan group by out_name union all"
-    " select unnest(['# MD5 checksums', '# Compatible with standard md5sum tools on Windows and Linux', '# Use ''md5sum -c md5sum.txt'' to verify file integrity', '#'])",
+    in_order("place, out_name, k", (
+        "select 1 as place, out_name, 0 as k, md5(arg_max(rel_path, doc_id)) || '  ' || out_name as line from plan group by out_name union all"
+        " select 0, '', unnest(range(4)), unnest(['# MD5 checksums', '# Compatible with standard md5sum tools on Windows and Linux', '# Use ''md5sum -c md5sum.txt'' to verify file integrity', '#'])"
+    )),
     f"{ops._TYPED}, {ops._LAYOUT}",
 )
 def _(spark, sf):
@@ -428,15 +444,23 @@ def _(spark, sf):
     mapping = layout.checksum_mapping(layout.rename_plan(ops.layout_files(spark, sf)))
     path = new_path(spark, "merged")
     checksum_sinks.write_merged_list(layout.merged_checksums(layout.resolve_names(listed, mapping)), path)
-    return read_back(spark, path)
+    return read_in_order(spark, path)
 
 
-_REPORT = (
-    "select case status when 'pass' then '✓' when 'fail' then '✗' when 'missing' then '?' else '!' end || ' [' || upper(status) || '] ' || file_path as line from v"
-    " union all select '  Hash: ' || expected_hash from v where status = 'pass' union all select '  Expected: ' || expected_hash from v where status = 'fail'"
-    " union all select '  Computed: ' || computed_hash from v where status = 'fail' union all select '  Expected hash: ' || expected_hash from v where status = 'missing'"
-    " union all select '  File not found' from v where status = 'missing' union all select 'Total Files: ' || count(*) from v union all select 'Passed: ' || count(case when status = 'pass' then 1 end) from v"
-)
+def _n(state: str) -> str:
+    return f"count(case when status = '{state}' then 1 end)"
+
+
+_REPORT = in_order("section, path, k", (
+    "select 0 as section, '' as path, unnest(range(12)) as k, unnest([repeat('=', 60), 'MD5 VERIFICATION REPORT', repeat('=', 60), 'Total Files: ' || count(*),"
+    f" 'Passed: ' || {_n('pass')}, 'Failed: ' || {_n('fail')}, 'Missing: ' || {_n('missing')}, 'Errors: ' || {_n('error')}, 'Processing Time: 0.00 seconds',"
+    f" 'Success Rate: ' || printf('%.1f', round_even({_n('pass')} * 100.0 / count(*), 1)) || '%', repeat('=', 60), 'DETAILED RESULTS:']) as line from v"
+    " union all select 1, file_path, 0, case status when 'pass' then '✓' when 'fail' then '✗' when 'missing' then '?' else '!' end || ' [' || upper(status) || '] ' || file_path from v"
+    " union all select 1, file_path, 1, '  Hash: ' || expected_hash from v where status = 'pass' union all select 1, file_path, 2, '  Expected: ' || expected_hash from v where status = 'fail'"
+    " union all select 1, file_path, 3, '  Computed: ' || computed_hash from v where status = 'fail' union all select 1, file_path, 4, '  Expected hash: ' || expected_hash from v where status = 'missing'"
+    " union all select 1, file_path, 5, '  File not found' from v where status = 'missing'"
+    " union all select 2, '', unnest(range(3)), unnest([repeat('=', 60), case when bool_and(status = 'pass') then '✓ All files verified successfully!' else '✗ Verification completed with issues. See details above.' end, repeat('=', 60)]) from v"
+))
 
 
 @query("snk_11_verification_report", "files", _REPORT, _CHECKED)
@@ -444,35 +468,58 @@ def _(spark, sf):
     path = new_path(spark, "report")
     verification = checked(spark, sf)
     checksum_sinks.write_report(verification, count_states(verification), path)
-    return read_back(spark, path).filter("line RLIKE '^(✓ .|✗ .|[?] |  |Total|Passed)' AND line NOT LIKE '%Verification completed%'")
+    return read_in_order(spark, path)
+
+
+_SECTION_SQL = (
+    "rows as (select 0 as s, file_path as path, '' as id, file_path || ' [' || upper(status) || ']' as text,"
+    " 'GCA_' || lpad(cast(doc_id as varchar), 9, '0') || '.1' as accession, error_message from (select v.*, files.doc_id from v join files using (file_path)) where status <> 'pass'"
+    " union all select case status when 'FIXED' then 1 when 'SKIPPED_NO_ACCESSION' then 3 else 2 end, original_path, task_id, original_path, null, null from tasks"
+    " where status in ('FIXED', 'SKIPPED_NO_ACCESSION', 'STILL_FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL')),"
+    " placed as (select *, row_number() over (partition by s order by path, id) as n from rows),"
+    " titles(s, title, intro, nothing) as (values (0, 'INITIALLY FAILED FILES', null, 'No files failed verification.'), (1, 'SUCCESSFULLY FIXED FILES', null, 'No files were successfully fixed.'),"
+    " (2, 'STILL FAILED FILES', 'The following files still fail verification after redownload:', 'All redownloaded files passed verification.'),"
+    " (3, 'SKIPPED FILES', 'The following files were skipped (no valid Accession ID):', 'No files were skipped.')),"
+    " headed as (select titles.*, count(placed.s) as c from titles left join placed using (s) group by all)"
+)
 
 
 @query(
     "snk_12_repair_report", "tasks files",
-    "select row_number() over (partition by section order by path, task_id) || '. ' || path as line from ("
-    "select case status when 'FIXED' then 'fixed' when 'SKIPPED_NO_ACCESSION' then 'skipped' else 'still_failed' end as section, original_path as path, task_id from tasks where status in ('FIXED', 'SKIPPED_NO_ACCESSION', 'STILL_FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL'))"
-    " union all select row_number() over (order by file_path) || '. ' || file_path || ' [' || upper(status) || ']' from v where status <> 'pass'",
-    _CHECKED,
+    in_order("s, part, n, k", (
+        "select s, 0 as part, 0 as n, unnest(range(6)) as k, unnest([repeat('=', 80), title || ' (' || c || ' files)', repeat('=', 80), '', case when c = 0 then nothing else intro end, case when c > 0 and intro is not null then '' end]) as line from headed"
+        " union all select s, 1, n, 0, n || '. ' || text from placed union all select s, 1, n, 1, '   Accession ID: ' || accession from placed union all select s, 1, n, 2, '   Error: ' || error_message from placed"
+        " union all select s, 2, 0, 0, '' from titles"
+    )).replace("from (select s, 0", "from (select * from (select s, 0") + " where line is not null)",
+    _CHECKED + ", " + _SECTION_SQL,
 )
 def _(spark, sf):
     path = new_path(spark, "repair-report")
     failed = repair.failed_files(failing(checked(spark, sf)))
     document_sinks.write_repair_reports(failed, ops.tasks(spark, sf), path, "run")
-    return read_back(spark, f"{path}/files").filter("line RLIKE '^[0-9]+[.] '")
+    return read_in_order(spark, f"{path}/files")
 
 
-@query("snk_12_task_report", "tasks", "select status || ' | ' || original_path as line from tasks union all select '  accession: ' || accession_id from tasks where accession_id is not null union all select 'fixed: ' || count(case when status = 'FIXED' then 1 end) from tasks")
+@query("snk_12_task_report", "tasks", in_order("section, item, k", (
+    "select 0 as section, '' as item, unnest(range(8)) as k, unnest([repeat('=', 80), 'MD5 VERIFICATION AUTO-FIX RESUME REPORT', repeat('=', 80), '', 'Run ID: run', '', 'SUMMARY', repeat('-', 80)]) as line"
+    " union all select 1, '', unnest(range(6)), unnest(["
+    + ", ".join(f"'{n}: ' || {_n(st)}" for n, st in (("fatal_failed", "FAILED_FATAL"), ("fixed", "FIXED"), ("retryable_failed", "FAILED_RETRYABLE"), ("skipped", "SKIPPED_NO_ACCESSION"), ("still_failed", "STILL_FAILED")))
+    + ", 'total: ' || count(*)]) from tasks union all select 2, '', unnest(range(3)), unnest(['', 'TASKS', repeat('-', 80)])"
+    " union all select 3, original_path || chr(9) || task_id, 0, status || ' | ' || original_path from tasks"
+    " union all select 3, original_path || chr(9) || task_id, 1, '  accession: ' || accession_id from tasks where accession_id is not null"
+    " union all select 3, original_path || chr(9) || task_id, 2, '  backup: backups/' || original_path from tasks where event_id % 3 = 0"
+)))
 def _(spark, sf):
     path = new_path(spark, "repair-report")
     write_lines(document_sinks.task_report_lines(ops.tasks(spark, sf), "run"), path, document_sinks.REPORT_ORDER)
-    return read_back(spark, path).filter("line LIKE '% | %' OR line LIKE '  accession%' OR line LIKE 'fixed%'")
+    return read_in_order(spark, path)
 
 
-@query("snk_13_accession_list", "tasks", "select distinct accession_id as line from tasks where accession_id is not null")
+@query("snk_13_accession_list", "tasks", in_order("line", "select distinct accession_id as line from tasks where accession_id is not null"))
 def _(spark, sf):
     path = new_path(spark, "accession-list")
     checksum_sinks.write_accessions(ops.tasks(spark, sf), path)
-    return read_back(spark, path)
+    return read_in_order(spark, path)
 
 
 @query(
