@@ -104,14 +104,38 @@ def summary_lines(totals: DataFrame, config: dict[str, object]) -> DataFrame:
         *[_disk(F.col("gb"), f) for f in (FOOTPRINT_COMPRESSED, FOOTPRINT_FASTA, FOOTPRINT_ANNOTATED)],
     )
     number = F.format_string("%020d", F.col("group_id"))
+    table = F.lit("| Metric | Value |"), F.lit("|--------|-------|")
+    files = totals.agg(
+        F.count_if(F.col("level") == "group").alias("groups"),
+        F.coalesce(F.max(F.when(F.col("level") == "exceeded", F.col("n_species"))), F.lit(0)).alias("exceeded"),
+    )
+    listed = [
+        F.concat(F.lit("- **Main Groups**: "), F.col("groups").cast("string"), F.lit(" files")),
+        F.concat(F.lit("- **Exceeded Taxons**: "), F.col("exceeded").cast("string"), F.lit(" taxa")),
+        F.when(F.col("exceeded") > 0, F.lit("- **Secondary Splits**: accession files for each exceeded taxon")),
+    ]
+    exceeded = [F.lit(""), F.lit("## Exceeded Taxons"), F.lit(""), *table, *figures("exceeded", "Exceeded Taxons")]
     return (
         fixed_lines(spark, 0, head)
-        .unionByName(exploded(sized.filter("level = 'overall'"), 1, F.lit(""), figures("overall", "Total Species") + disk))
-        .unionByName(fixed_lines(spark, 2, ["", "## Group Details", "", "| Group | Species | Genomes | Size (Gb) | FASTA.GZ | FASTA | GenBank |", "|---|---|---|---|---|---|---|"]))
-        .unionByName(exploded(sized.filter("level = 'group'"), 3, number, [group]))
-        .unionByName(exploded(sized.filter("level = 'exceeded'"), 4, F.lit(""), [F.lit(""), F.lit("## Exceeded Taxons"), F.lit(""), *figures("exceeded", "Exceeded Taxons")]))
+        .unionByName(exploded(sized.filter("level = 'overall'"), 1, F.lit(""), figures("overall", "Total Species")))
+        .unionByName(fixed_lines(spark, 2, ["", "### Estimated Disk Space", "", "| Format | Estimated Disk Space |", "|--------|-------|"]))
+        .unionByName(exploded(sized.filter("level = 'overall'"), 3, F.lit(""), disk))
+        .unionByName(fixed_lines(spark, 4, ["", "## Group Details", "", "| Group | Species | Genomes | Size (Gb) | FASTA.GZ | FASTA | GenBank |", "|---|---|---|---|---|---|---|"]))
+        .unionByName(exploded(sized.filter("level = 'group'"), 5, number, [group]))
+        .unionByName(exploded(sized.filter("level = 'exceeded' AND n_species > 0"), 6, F.lit(""), exceeded))
+        .unionByName(fixed_lines(spark, 7, ["", "## Understanding Size Units", "", SIZE_UNITS, "", "## Output Files", ""]))
+        .unionByName(exploded(files, 8, F.lit(""), listed))
+        .unionByName(fixed_lines(spark, 9, ["", "### File Formats", "", *FILE_FORMATS]))
     )
 
 
+SIZE_UNITS = "Sizes are in Gb (gigabases), the length of the sequences in units of 10^9 bases, not space on disk."
+FILE_FORMATS = [
+    "- Group files: a comment line for each taxon, then name, tab and id of the taxon and of all below it that have genomes, then an empty line.",
+    "- Exceeded list: name, id and size in bases of each taxon, with tabs between them.",
+    "- Secondary files: one accession per line.",
+]
+
+
 def write_summary(totals: DataFrame, config: dict[str, object], path: str) -> None:
     write_lines(summary_lines(totals, config), path, REPORT_ORDER)

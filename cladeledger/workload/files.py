@@ -287,9 +287,10 @@ def _(spark, sf):
     return inventory.checksum_lists(inventory.list_tree(spark, trees.file_tree(spark, sf))).select("rel_path", "layout")
 
 
-@query("src_15_lists_by_depth", "", f"select distinct 3 as depth, {_FOLDER} || '/md5sum.txt' as rel_path from documents")
+@query("src_15_lists_by_depth", "", f"select row_number() over (order by rel_path) as no, depth, rel_path from (select distinct 3 as depth, {_FOLDER} || '/md5sum.txt' as rel_path from documents)")
 def _(spark, sf):
-    return inventory.lists_by_depth(inventory.list_tree(spark, trees.file_tree(spark, sf))).select("depth", "rel_path")
+    found = inventory.lists_by_depth(inventory.list_tree(spark, trees.file_tree(spark, sf)))
+    return ops.as_returned(found.select("depth", "rel_path"))
 
 
 @query(
@@ -370,11 +371,11 @@ def read_in_order(spark, path, *folders):
     return with_row_number(rows, list(folders), [F.col("at")], "no").select(*folders, "no", F.col("value").alias("line"))
 
 
-_GROUP_LINES = (
-    "select bin as group_id, '# Species: ' || name || ' (' || tax_id || ')' as line from packed where bin is not null"
-    " union all select bin, name || chr(9) || tax_id from packed where bin is not null union all select bin, '' from packed where bin is not null"
-    " union all select p.bin, t.name || chr(9) || t.tax_id from packed p join c on c.ancestor = p.tax_id and c.descendant <> p.tax_id join taxonomy t on t.tax_id = c.descendant where p.bin is not null and t.tax_id in (select tax_id from genomes)"
-)
+_GROUP_LINES = in_order("-size_bp, tax_id, part, child, child_id", (
+    "select bin as group_id, size_bp, tax_id, 0 as part, '' as child, 0 as child_id, '# Species: ' || name || ' (' || tax_id || ')' as line from packed where bin is not null"
+    " union all select bin, size_bp, tax_id, 1, '', 0, name || chr(9) || tax_id from packed where bin is not null union all select bin, size_bp, tax_id, 3, '', 0, '' from packed where bin is not null"
+    " union all select p.bin, p.size_bp, p.tax_id, 2, t.name, t.tax_id, t.name || chr(9) || t.tax_id from packed p join c on c.ancestor = p.tax_id and c.descendant <> p.tax_id join taxonomy t on t.tax_id = c.descendant where p.bin is not null and t.tax_id in (select tax_id from genomes)"
+), per="group_id")
 
 
 @query("snk_1_group_files", "taxonomy genomes", _GROUP_LINES, ops.CAPACITY_CTE + ops.genus_ffd())
@@ -384,7 +385,7 @@ def _(spark, sf):
     packed = packing.pack(sized, ops.genus_capacity(spark, sf))
     path = new_path(spark, "groups")
     splits.write_groups(packed, hierarchy.descendants_with_genomes(pairs, tree, ops.genomes(spark, sf)), path)
-    return read_back(spark, path).select(F.col("group_id").cast("bigint").alias("group_id"), "line")
+    return read_in_order(spark, path, "group_id").withColumn("group_id", F.col("group_id").cast("bigint"))
 
 
 @query("snk_2_exceeded_list", "taxonomy genomes", "select name || chr(9) || tax_id || chr(9) || size_bp as line from packed where bin is null", ops.CAPACITY_CTE + ops.genus_ffd())
@@ -399,7 +400,7 @@ _ACCESSION_SIZE = "select ancestor as k, accession as id, sequence_length as sz
 
 @query(
     "snk_3_accession_bins", "taxonomy genomes",
-    f"select replace(t.name, ' ', '_') || '_' || t.tax_id || '_' || grp as file, st.id as line from st join taxonomy t on t.tax_id = st.k where rn > 0",
+    in_order("-sz, line", "select replace(t.name, ' ', '_') || '_' || t.tax_id || '_' || grp as file, st.id as line, g.sequence_length as sz from st join taxonomy t on t.tax_id = st.k join genomes g on g.accession = st.id where rn > 0", per="file"),
     ops._SIZES + ", " + ops.ffd_sql(_ACCESSION_SIZE, "1000000000"),
 )
 def _(spark, sf):
@@ -409,15 +410,38 @@ def _(spark, sf):
     binned = packing.pack_all(named, 1_000_000_000, "sequence_length", "accession", ["taxon_id"])
     path = new_path(spark, "accession-bins")
     splits.write_accession_bins(binned, path)
-    return read_back(spark, path)
+    return read_in_order(spark, path, "file")
+
+
+def _disk_sql(factor: float) -> str:
+    return f"'~' || printf('%.0f', round_even(gb * {factor}, 0)) || ' GB'"
+
+
+_FIGURES = "'| ' || what || ' | ' || format('{:,}', n_species) || ' |', '| Total Genomes | ' || format('{:,}', n_genomes) || ' |', '| Total Size | ' || printf('%.2f', round_even(gb, 2)) || ' Gb |'"
+_SUMMARY_SQL = in_order("section, id, k", (
+    "select 0 as section, 0 as id, unnest(range(11)) as k, unnest(['# Task Split Results: ', '', '## Configuration', '', '- **Taxon**: All', '- **Taxonomy Level**: GENUS', '', '## Overall Statistics', '', '| Metric | Value |', '|--------|-------|']) as line"
+    f" union all select 1, 0, unnest(range(3)), unnest([{_FIGURES}]) from (select *, 'Total Species' as what from sized where level = 'overall')"
+    " union all select 2, 0, unnest(range(5)), unnest(['', '### Estimated Disk Space', '', '| Format | Estimated Disk Space |', '|--------|-------|'])"
+    f" union all select 3, 0, unnest(range(3)), unnest(['| FASTA.GZ (compressed) | ' || {_disk_sql(0.3)} || ' |', '| FASTA (uncompressed) | ' || {_disk_sql(1.05)} || ' |', '| GenBank (with annotations) | ' || {_disk_sql(2.5)} || ' |']) from sized where level = 'overall'"
+    " union all select 4, 0, unnest(range(5)), unnest(['', '## Group Details', '', '| Group | Species | Genomes | Size (Gb) | FASTA.GZ | FASTA | GenBank |', '|---|---|---|---|---|---|---|'])"
+    f" union all select 5, group_id, 0, '| group' || group_id || ' | ' || format('{{:,}}', n_species) || ' | ' || format('{{:,}}', n_genomes) || ' | ' || printf('%.2f', round_even(gb, 2)) || ' | ' || {_disk_sql(0.3)} || ' | ' || {_disk_sql(1.05)} || ' | ' || {_disk_sql(2.5)} || ' |' from sized where level = 'group'"
+    f" union all select 6, 0, unnest(range(8)), unnest(['', '## Exceeded Taxons', '', '| Metric | Value |', '|--------|-------|', {_FIGURES}]) from (select *, 'Exceeded Taxons' as what from sized where level = 'exceeded' and n_species > 0)"
+    " union all select 7, 0, unnest(range(7)), unnest(['', '## Understanding Size Units', '', 'Sizes are in Gb (gigabases), the length of the sequences in units of 10^9 bases, not space on disk.', '', '## Output Files', ''])"
+    " union all select 8, 0, 0, '- **Main Groups**: ' || count(case when level = 'group' then 1 end) || ' files' from sized"
+    " union all select 8, 0, 1, '- **Exceeded Taxons**: ' || coalesce(max(case when level = 'exceeded' then n_species end), 0) || ' taxa' from sized"
+    " union all select 8, 0, 2, '- **Secondary Splits**: accession files for each exceeded taxon' from sized where level = 'exceeded' and n_species > 0"
+    " union all select 9, 0, unnest(range(6)), unnest(['', '### File Formats', '', '- Group files: a comment line for each taxon, then name, tab and id of the taxon and of all below it that have genomes, then an empty line.',"
+    " '- Exceeded list: name, id and size in bases of each taxon, with tabs between them.', '- Secondary files: one accession per line.'])"
+))
 
 
-@query("snk_4_split_summary")
+@query("snk_4_split_summary", "taxonomy genomes", _SUMMARY_SQL, ops.CAPACITY_CTE + ops.genus_ffd() + f", sized as (select *, size_bp / 1e9 as gb from ({ops._TOTALS}))")
 def _(spark, sf):
-    plan = split.plan_split(ops.nodes(spark, sf), ops.genomes(spark, sf), "GENUS", 2.5)
+    gigabases = ops.genus_capacity(spark, sf) / fixed.BASES_PER_GB
+    plan = split.plan_split(ops.nodes(spark, sf), ops.genomes(spark, sf), "GENUS", gigabases)
     path = new_path(spark, "summary")
     splits.write_summary(plan.totals, {"Taxon": "All", "Taxonomy Level": "GENUS"}, path)
-    return read_back(spark, path)
+    return read_in_order(spark, path)
 
 
 @query("snk_5_checksum_list", "manifest", in_order("filename", "select filename, expected_md5 || '  ' || filename as line from manifest"))

@@ -10,6 +10,7 @@ from cladeledger.operators import dedup, hierarchy, integrity, layout, levels, m
 from cladeledger.ordering import with_row_number
 from cladeledger.workload.fixtures import derived, given
 from cladeledger.workload.registry import query
+from cladeledger.workspace import new_path
 
 # Hierarchy -----------------------------------------------------------------------------------------
 
@@ -741,9 +742,17 @@ def _(spark, sf):
     return repair.match_cache(tasks(spark, sf), cache(spark, sf)).select("task_id", "cached_file", "status")
 
 
-@query("so_5_accessions_to_fetch", "tasks", "select distinct accession_id from tasks where status = 'DOWNLOADING'")
+def as_returned(df):
+    """Rows with their place ``no`` in the order in which a table returns them when it is written."""
+    path = new_path(df.sparkSession, "ordered")
+    df.write.parquet(path)
+    rows = df.sparkSession.read.parquet(path).select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    return with_row_number(rows, [], [F.col("_at")], "no").drop("_at")
+
+
+@query("so_5_accessions_to_fetch", "tasks", "select row_number() over (order by accession_id) as no, accession_id from (select distinct accession_id from tasks where status = 'DOWNLOADING')")
 def _(spark, sf):
-    return repair.accessions_to_fetch(tasks(spark, sf))
+    return as_returned(repair.accessions_to_fetch(tasks(spark, sf)))
 
 
 @query(
