@@ -750,7 +750,7 @@ def as_returned(df):
     return with_row_number(rows, [], [F.col("_at")], "no").drop("_at")
 
 
-@query("so_5_accessions_to_fetch", "tasks", "select row_number() over (order by accession_id) as no, accession_id from (select distinct accession_id from tasks where status = 'DOWNLOADING')")
+@query("so_5_accessions_to_fetch", "tasks", "select row_number() over (order by accession_id nulls first) as no, accession_id from (select distinct accession_id from tasks where status = 'DOWNLOADING')")
 def _(spark, sf):
     return as_returned(repair.accessions_to_fetch(tasks(spark, sf)))
 
