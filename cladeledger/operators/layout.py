@@ -73,11 +73,12 @@ def merged_checksums(entries: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return last_wins(named.select(*keys, "base", "expected_hash", "out_name", "line"), [*keys, "base"], F.col("line"))
 
 
-def validate_folders(files: DataFrame, entries: DataFrame) -> DataFrame:
+def validate_folders(files: DataFrame, entries: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """Files per type and checksum-list checks of each taxon folder (AG-15).
 
     ``files`` and ``entries`` carry ``folder``; ``entries`` holds parsed lines with file_path, null
-    for bad lines.
+    for bad lines. ``folders`` names the folders to report; those without a file come with ``directory_exists``
+    false and zero counts.
     """
     typed = files.withColumn("include_type", F.when(F.col("name") != CHECKSUM_LIST_NAME, file_type(F.col("name"))))
     per_folder = typed.groupBy("folder").agg(
@@ -89,9 +90,18 @@ def validate_folders(files: DataFrame, entries: DataFrame) -> DataFrame:
         F.bool_or(F.col("file_path").isNotNull()).alias("md5_valid"),
         F.bool_and(~F.coalesce(F.contains("file_path", F.lit("\\")), F.lit(False))).alias("md5_uses_forward_slashes"),
     )
-    return per_folder.join(lists, "folder", "left").withColumns(
-        {c: F.coalesce(c, F.lit(False)) for c in ("md5_valid", "md5_uses_forward_slashes")}
-    )
+    found = per_folder.join(lists, "folder", "left").withColumn("directory_exists", F.lit(True))
+    if folders is not None:
+        found = folders.select("folder").distinct().join(found, "folder", "left")
+    marks = ("directory_exists", "md5_file_exists", "md5_valid", "md5_uses_forward_slashes")
+    filled = {c: F.coalesce(c, F.lit(False)) for c in marks}
+    return found.withColumns(filled | {c: F.coalesce(c, F.lit(0).cast("bigint")) for c in ("total_files", "fna_files")})
+
+
+def file_names_by_type(files: DataFrame) -> DataFrame:
+    """The data files of each folder with their include type, one row per name (AG-15)."""
+    typed = files.filter(F.col("name") != CHECKSUM_LIST_NAME).withColumn("include_type", file_type(F.col("name")))
+    return typed.filter("include_type IS NOT NULL").select("folder", "include_type", "name")
 
 
 def files_by_type(files: DataFrame) -> DataFrame:

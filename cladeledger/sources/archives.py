@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cladeledger.fixed_values import CHECKSUM_LIST_NAME
 from cladeledger.functions.checksums import parse_checksum_line
+from cladeledger.functions.text import basename
 
 _SCHEMA = "path STRING, member STRING, line_no BIGINT, value STRING"
 _LINES_PER_BATCH = 10_000
@@ -56,6 +57,39 @@ def _read_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     yield from _line_batches(path, nested[0], io.TextIOWrapper(member, "utf-8"))
 
 
+def archive_members(files: DataFrame) -> DataFrame:
+    """Files inside the ``.zip`` files at the top of a download folder, as if they were unpacked beside them (SRC-16).
+
+    ``files`` has path and rel_path. Columns: path and rel_path below the folder named like the archive, name, size,
+    archive, and error for an archive that cannot be opened, which has one row without a name.
+    """
+    top = files.filter(F.endswith("rel_path", F.lit(".zip")) & ~F.contains("rel_path", F.lit("/")))
+    tasks = files.sparkSession.sparkContext.defaultParallelism
+    rows = top.select("path").repartition(tasks, "path").mapInPandas(_list_members, _MEMBERS)
+    folder, member = F.regexp_replace("archive", r"\.zip$", ""), F.coalesce(F.concat(F.lit("/"), "member"), F.lit(""))
+    return rows.select(
+        F.concat(folder, member).alias("path"), F.concat(basename(folder), member).alias("rel_path"),
+        basename(F.col("member")).alias("name"), "size", "archive", "error",
+    )
+
+
+_MEMBERS = "archive STRING, member STRING, size BIGINT, error STRING"
+
+
+def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                system, inner = FileSystem.from_uri(path)
+                with system.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                    rows = [(path, m.filename, m.file_size, None) for m in archive.infolist() if not m.is_dir()]
+            except (OSError, zipfile.BadZipFile) as problem:
+                rows = [(path, None, None, f"I/O error: {problem}")]
+            yield pd.DataFrame(rows, columns=["archive", "member", "size", "error"]).astype({"size": "Int64"})
+
+
 def _line_batches(path: str, member: str, lines) -> Iterator[pd.DataFrame]:
     pending = []
     for number, line in enumerate(lines, start=1):

@@ -139,7 +139,7 @@ def lists_by_depth(files: DataFrame, name: str = CHECKSUM_LIST_NAME) -> DataFram
 def downloaded_files(files: DataFrame) -> DataFrame:
     """Files of a download folder with their accession, by the best layout present (SRC-16).
 
-    Flat files named by accession win over the whole folder; else, per accession folder, its data
+    Add ``archives.archive_members`` to ``files`` for what is inside archives. Flat files named by accession win over the whole folder; else, per accession folder, its data
     folder wins over any file with an accession in its path.
     """
     parts = F.split("rel_path", "/")
@@ -150,14 +150,14 @@ def downloaded_files(files: DataFrame) -> DataFrame:
         == F.concat(F.lit("ncbi_dataset/data/"), folder)
     )
     by_path: Column = strict_accession(F.col("path"))
+    archive = F.endswith(F.col("name"), F.lit(".zip"))
     candidates = (
-        files.filter(~F.endswith(F.col("name"), F.lit(".zip")))
-        .withColumn("folder", F.when(~flat, F.get(parts, F.lit(0))))
+        files.withColumn("folder", F.when(~flat, F.get(parts, F.lit(0))))
         .withColumn(
             "priority",
-            F.when(flat & strict_accession(F.col("name")).isNotNull(), 0)
+            F.when(flat & ~archive & strict_accession(F.col("name")).isNotNull(), 0)
             .when(~flat & in_data, 1)
-            .when(~flat & folder.isNotNull() & by_path.isNotNull(), 2),
+            .when(~flat & ~archive & folder.isNotNull() & by_path.isNotNull(), 2),
         )
         .withColumn(
             "accession_id",

@@ -293,6 +293,16 @@ def _(spark, sf):
     return ops.as_returned(found.select("depth", "rel_path"))
 
 
+@query(
+    "src_16_archive_members", "paths",
+    "select 'package' || b || '/' || m as rel_path, regexp_extract(m, '[^/]*$') as name, 'package' || b || '.zip' as archive from (select distinct cast(floor(doc_id / 100) as bigint) as b from paths),"
+    " unnest(['ncbi_dataset/fetch.txt', 'z/md5sum.txt', case when b % 2 = 1 then 'md5sum.txt' else 'a/md5sum.txt' end]) t(m)",
+)
+def _(spark, sf):
+    found = archives.archive_members(inventory.list_tree(spark, trees.packages(spark, sf)))
+    return found.filter("error IS NULL").select("rel_path", "name", F.substring_index("archive", "/", -1).alias("archive"))
+
+
 @query(
     "src_16_downloaded_files", "",
     "select a as accession_id, a || case doc_id % 3 when 0 then '/ncbi_dataset/data/' || a || '/g.fna' else '/x/' || a || '.fna' end as rel_path from (select doc_id, 'GCA_' || lpad(cast(doc_id as varchar), 9, '0') || '.1' as a from documents)",

@@ -132,35 +132,55 @@ def _(spark, sf):
     return rows.select("doc_id", "e.include_type", "e.filename")
 
 
-_INCLUDE = "case doc_id % 5 when 0 then 'none,protein' when 1 then 'gff3,gtf' when 2 then 'x,y' when 3 then 'protein,genome,protein' else '' end"
 
+# Include lists that follow the data: a word is in if the bit of its place is set in a number made of the text.
+_WORDS = ["genome", "protein", "rna", "cds", "gff3", "gtf", "gbff", "seq-report", "bogus", "none", "GENOME", "rna"]
+_ASKED_SQL = (
+    "asked as (select doc_id, list_filter(['genome', 'protein', 'rna', 'cds', 'gff3', 'gtf', 'gbff', 'seq-report', 'bogus', 'none', 'GENOME', 'rna'],"
+    " lambda w, i: (doc_id * 37 + n_chars * 11) // (1 << (i - 1)) % 2 = 1 and (n_chars % 3 > 0 or i in (2, 9, 11)) and (w <> 'none' or n_chars % 4 = 0)) as words from documents),"
+    " known as (select doc_id, words, list_filter(['genome', 'protein', 'rna', 'cds', 'gff3', 'gtf', 'gbff', 'seq-report'], lambda w: list_contains(words, w)) as types from asked)"
+)
 
-@query(
-    "fn_10_normalized_include", "",
-    "select doc_id, case doc_id % 5 when 1 then 'gff3,gtf' when 3 then 'protein,genome' else 'genome' end as include from documents",
+
+def _asked(spark, sf):
+    number = F.col("doc_id") * 37 + F.col("n_chars") * 11
+    chosen = []
+    for i, word in enumerate(_WORDS):
+        taken = (F.floor(number / F.lit(1 << i)) % 2 == 1) & ((F.col("n_chars") % 3 > 0) | F.lit(i in (1, 8, 10)))
+        chosen.append(F.when(taken & (F.lit(word != "none") | (F.col("n_chars") % 4 == 0)), word))
+    return given(spark, sf, "documents").select("doc_id", F.array_compact(F.array(*chosen)).alias("words"))
+
+
+_EXTENSIONS_OF = (
+    "(values ('genome', ['.fna', '.fa', '.fasta']), ('protein', ['.faa']), ('rna', ['.fna', '.fa']), ('cds', ['.fna', '.fa']), ('gff3', ['.gff', '.gff3']),"
+    " ('gtf', ['.gtf']), ('gbff', ['.gbff', '.gb']), ('seq-report', ['.jsonl'])) e(t, x)"
 )
+_NORMAL_SQL = "case when list_contains(words, 'none') or len(types) = 0 then ['genome'] else types end"
+
+
+@query("fn_10_normalized_include", "", f"select doc_id, array_to_string(list_sort({_NORMAL_SQL}), ',') as include from known", _ASKED_SQL)
 def _(spark, sf):
-    wanted = F.split(F.expr(_INCLUDE), ",")
-    return given(spark, sf, "documents").select("doc_id", F.array_join(filetypes.normalized_include(wanted), ",").alias("include"))
+    return _asked(spark, sf).select("doc_id", F.array_join(F.array_sort(filetypes.normalized_include(F.col("words"))), ",").alias("include"))
 
 
 @query(
     "fn_10_file_specs", "",
-    "select doc_id, t as include_type, x as extensions from documents, (values (0, 'genome', '.fna,.fa,.fasta'), (1, 'gff3', '.gff,.gff3'), (1, 'gtf', '.gtf'), (2, 'genome', '.fna,.fa,.fasta'), (3, 'protein', '.faa'), (3, 'genome', '.fna,.fa,.fasta'), (4, 'genome', '.fna,.fa,.fasta')) v(k, t, x) where k = doc_id % 5",
+    f"select doc_id, t as include_type, array_to_string(x, ',') as extensions from (select doc_id, unnest({_NORMAL_SQL}) as t from known) join {_EXTENSIONS_OF} using (t)",
+    _ASKED_SQL,
 )
 def _(spark, sf):
-    wanted = F.split(F.expr(_INCLUDE), ",")
-    rows = given(spark, sf, "documents").select("doc_id", F.explode(filetypes.file_specs(wanted)).alias("s"))
+    rows = _asked(spark, sf).select("doc_id", F.explode(filetypes.file_specs(F.col("words"))).alias("s"))
     return rows.select("doc_id", "s.include_type", F.array_join("s.extensions", ",").alias("extensions"))
 
 
 @query(
     "fn_11_include_extensions", "",
-    "select doc_id, case doc_id % 5 when 0 then '.fa,.faa,.fasta,.fna' when 1 then '.gff,.gff3,.gtf' when 3 then '.fa,.faa,.fasta,.fna' else '.fa,.fasta,.fna' end as extensions from documents",
+    "select doc_id, array_to_string(list_sort(list_distinct(flatten(list(x)))), ',') as extensions from (select doc_id, x from (select doc_id, unnest(types) as t from known)"
+    f" join {_EXTENSIONS_OF} using (t) union all select doc_id, ['.fna', '.fa', '.fasta'] from known where len(types) = 0 or list_contains(words, 'none')) group by 1",
+    _ASKED_SQL,
 )
 def _(spark, sf):
-    wanted = F.split(F.expr(_INCLUDE), ",")
-    return given(spark, sf, "documents").select("doc_id", F.array_join(filetypes.include_extensions(wanted), ",").alias("extensions"))
+    return _asked(spark, sf).select("doc_id", F.array_join(filetypes.include_extensions(F.col("words")), ",").alias("extensions"))
 
 
 @query(

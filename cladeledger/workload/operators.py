@@ -896,15 +896,36 @@ def folder_entries(spark, sf):
 _GOOD_LINE = "(doc_id % 9 in (0, 1, 2, 6, 8))"
 
 
-@query(
-    "ag_15_folder_validation", "paths",
+_FOLDERS_SQL = (
     "select source as folder, count(case when doc_id % 13 not in (11, 12) then 1 end) as total_files, count(case when doc_id % 13 in (1, 2, 10) then 1 end) as fna_files, source <> 'src3' as md5_file_exists,"
-    f" bool_or({_GOOD_LINE}) as md5_valid, bool_and(doc_id % 9 <> 8) as md5_uses_forward_slashes from documents group by source",
+    f" bool_or({_GOOD_LINE}) as md5_valid, bool_and(doc_id % 9 <> 8) as md5_uses_forward_slashes, true as directory_exists from documents group by source"
 )
+
+
+@query("ag_15_folder_validation", "paths", _FOLDERS_SQL)
 def _(spark, sf):
     return layout.validate_folders(folder_files(spark, sf), folder_entries(spark, sf))
 
 
+@query(
+    "ag_15_absent_folders", "paths",
+    f"select * from ({_FOLDERS_SQL}) where folder in (select source from documents where doc_id % 2 = 0) union all select distinct 'no' || source, 0, 0, false, false, false, false from documents where doc_id % 2 = 0",
+)
+def _(spark, sf):
+    """Only the asked folders, half of which do not exist."""
+    asked = given(spark, sf, "documents").filter("doc_id % 2 = 0").select(F.explode(F.array("source", F.concat(F.lit("no"), "source"))).alias("folder"))
+    return layout.validate_folders(folder_files(spark, sf), folder_entries(spark, sf), asked)
+
+
+@query(
+    "ag_15_file_names", "",
+    "select folder, include_type, count(*) as n, count(distinct name) as n_names from (select source as folder, doc_id as name, case doc_id % 13 when 0 then 'protein' when 1 then 'cds' when 2 then 'rna' when 3 then 'gff3' when 4 then 'gff3' when 5 then 'gtf' when 6 then 'gbff' when 7 then 'seq-report' when 8 then 'seq-report' when 9 then 'genome' when 10 then 'genome' end as include_type from documents) where include_type is not null group by 1, 2",
+)
+def _(spark, sf):
+    named = layout.file_names_by_type(folder_files(spark, sf))
+    return named.groupBy("folder", "include_type").agg(F.count("*").alias("n"), F.count_distinct("name").alias("n_names"))
+
+
 @query(
     "ag_15_files_by_type", "",
     "select source as folder, t as include_type, count(*) as n_files from (select source, case doc_id % 13 when 0 then 'protein' when 1 then 'cds' when 2 then 'rna' when 3 then 'gff3' when 4 then 'gff3' when 5 then 'gtf' when 6 then 'gbff' when 7 then 'seq-report' when 8 then 'seq-report' when 9 then 'genome' when 10 then 'genome' end as t from documents) where t is not null group by 1, 2",
