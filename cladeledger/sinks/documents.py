@@ -8,12 +8,14 @@ document passes through one task. Nothing about the form depends on how many ent
 from __future__ import annotations
 
 import json
+from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cladeledger.fixed_values import ERROR_CLASSES, MANIFEST_SCHEMA_VERSION
-from cladeledger.operators.repair import outcomes, summarize
+from cladeledger.operators.repair import outcomes, repair_result, summarize
 from cladeledger.operators.reports import error_counts
 from cladeledger.ordering import with_row_number
 from cladeledger.sinks.lines import REPORT_ORDER, exploded, fixed_lines, write_lines
@@ -145,8 +147,27 @@ SECTIONS = [
 ]
 
 
-def repair_report_lines(failed: DataFrame, tasks: DataFrame) -> DataFrame:
-    """Initial failures, fixed, still failing and skipped files, numbered per section (SNK-12, WN-6)."""
+@dataclass(frozen=True)
+class RepairRun:
+    """What the reports say of a run besides its files."""
+
+    run_id: str
+    root: str
+    started: datetime
+    ended: datetime
+    organized: int = 0
+    state_path: str = ""
+
+    def duration(self) -> str:
+        """Hours, minutes and seconds; larger units only where needed."""
+        seconds = int((self.ended - self.started).total_seconds())
+        parts = [(seconds // 3600, "h"), (seconds // 60 % 60, "m"), (seconds % 60, "s")]
+        first = next((i for i, (n, _) in enumerate(parts) if n), 2)
+        return " ".join(f"{n}{unit}" for n, unit in parts[first:])
+
+
+def repair_report_lines(failed: DataFrame, tasks: DataFrame, run: RepairRun) -> DataFrame:
+    """Times, totals, and initial failures, fixed, still failing and skipped files, numbered per section (SNK-12, WN-6)."""
     initial = failed.select(
         F.lit("failed").alias("section"), F.col("original_path").alias("path"), F.col("original_path").alias("task_id"),
         F.concat("original_path", F.lit(" ["), F.upper("status"), F.lit("]")).alias("text"),
@@ -168,14 +189,33 @@ def repair_report_lines(failed: DataFrame, tasks: DataFrame) -> DataFrame:
     order = F.format_string("%d-%020d", F.col("place"), F.col("number"))
     head_order = F.format_string("%d-", F.col("place"))
     tail_order = F.format_string("%d-~", F.col("place"))
+    # Labels of the head, the summary and the foot of the repair report.
+    head = [
+        "=" * 80, "MD5 VERIFICATION AUTO-FIX REPORT", "=" * 80, "", f"Report Generated: {run.ended:%Y-%m-%d %H:%M:%S}",
+        f"Verification Directory: {run.root}", "", f"Process Start Time: {run.started:%Y-%m-%d %H:%M:%S}",
+        f"Process End Time: {run.ended:%Y-%m-%d %H:%M:%S}", f"Total Processing Time: {run.duration()}", "",
+    ]
+
+    def total(label: str, column: str) -> Column:
+        return F.concat(F.lit(f"{label}: "), F.col(column).cast("string"))
+
+    totals = [
+        rule, F.lit("SUMMARY"), rule, F.lit(""), total("Total Failed Files", "total_failed"), total("Files Redownloaded", "redownloaded"),
+        F.lit(f"Files Organized: {run.organized}"), total("Files Successfully Fixed", "successfully_fixed"),
+        total("Files Still Failed", "still_failed"), total("Files Skipped", "skipped"),
+        F.concat(F.lit("Success Rate: "), F.format_string("%.1f", F.bround("success_rate", 1)), F.lit("%")), F.lit(""),
+    ]
     return (
-        exploded(headed, 1, head_order, heads)
+        fixed_lines(spark, 0, head)
+        .unionByName(exploded(repair_result(tasks), 0, F.lit("~"), totals))
+        .unionByName(fixed_lines(spark, 2, ["=" * 80, "END OF REPORT", "=" * 80]))
+        .unionByName(exploded(headed, 1, head_order, heads))
         .unionByName(exploded(body, 1, order, [F.concat(F.col("number").cast("string"), F.lit(". "), "text"), F.col("accession"), F.col("error")]))
         .unionByName(exploded(titles, 1, tail_order, [F.lit("")]))
     )
 
 
-def task_report_lines(tasks: DataFrame, run_id: str) -> DataFrame:
+def task_report_lines(tasks: DataFrame, run: RepairRun) -> DataFrame:
     """Summary and all tasks by path, with what is known of each (SNK-12, SO-4)."""
     spark = tasks.sparkSession
     names = ["fatal_failed", "fixed", "retryable_failed", "skipped", "still_failed", "total"]
@@ -184,17 +224,19 @@ def task_report_lines(tasks: DataFrame, run_id: str) -> DataFrame:
     def known(label: str, column: str) -> Column:
         return F.concat(F.lit(f"  {label}: "), F.nullif(column, F.lit("")))
 
-    block = [F.concat_ws(" | ", "status", "original_path"), known("accession", "accession_id"), known("backup", "backup_path"), known("cached_file", "cached_file"), known("error", "last_error")]
+    block = [F.concat_ws(" | ", "status", "original_path"), known("accession", "accession_id"), known("cached_file", "cached_file"), known("backup_path", "backup_path"), known("error", "last_error")]
     # Header lines of the task report.
-    head = ["=" * 80, "MD5 VERIFICATION AUTO-FIX RESUME REPORT", "=" * 80, "", f"Run ID: {run_id}", "", "SUMMARY", "-" * 80]
+    head = ["=" * 80, "MD5 VERIFICATION AUTO-FIX RESUME REPORT", "=" * 80, "", f"Report Generated: {run.ended:%Y-%m-%d %H:%M:%S}", f"Run ID: {run.run_id}",
+            f"Verification Directory: {run.root}", f"State File: {run.state_path}", "", "SUMMARY", "-" * 80]
     return (
         fixed_lines(spark, 0, head)
         .unionByName(exploded(summarize(tasks), 1, F.lit(""), summary))
         .unionByName(fixed_lines(spark, 2, ["", "TASKS", "-" * 80]))
         .unionByName(exploded(tasks, 3, F.concat("original_path", F.lit("\t"), "task_id"), block))
+        .unionByName(fixed_lines(spark, 4, ["", "NEXT RUN", "-" * 80, "Plan the repair again with this state; finished tasks are not repeated.", ""]))
     )
 
 
-def write_repair_reports(failed: DataFrame, tasks: DataFrame, path: str, run_id: str) -> None:
-    write_lines(repair_report_lines(failed, tasks), f"{path}/files", REPORT_ORDER)
-    write_lines(task_report_lines(tasks, run_id), f"{path}/tasks", REPORT_ORDER)
+def write_repair_reports(failed: DataFrame, tasks: DataFrame, path: str, run: RepairRun) -> None:
+    write_lines(repair_report_lines(failed, tasks, run), f"{path}/files", REPORT_ORDER)
+    write_lines(task_report_lines(tasks, run), f"{path}/tasks", REPORT_ORDER)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from cladeledger import fixed_values as fixed
@@ -505,6 +507,8 @@ def _(spark, sf):
     return read_in_order(spark, path)
 
 
+RUN = document_sinks.RepairRun("run", "/data", datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 13, 2, 3), 5, "/data/state.json")
+
 _SECTION_SQL = (
     "rows as (select 0 as s, file_path as path, '' as id, file_path || ' [' || upper(status) || ']' as text,"
     " 'GCA_' || lpad(cast(doc_id as varchar), 9, '0') || '.1' as accession, error_message from (select v.*, files.doc_id from v join files using (file_path)) where status <> 'pass'"
@@ -521,31 +525,39 @@ _SECTION_SQL = (
 @query(
     "snk_12_repair_report", "tasks files",
     in_order("s, part, n, k", (
-        "select s, 0 as part, 0 as n, unnest(range(6)) as k, unnest([repeat('=', 80), title || ' (' || c || ' files)', repeat('=', 80), '', case when c = 0 then nothing else intro end, case when c > 0 and intro is not null then '' end]) as line from headed"
+        "select -1 as s, 0 as part, 0 as n, unnest(range(11)) as k, unnest([repeat('=', 80), 'MD5 VERIFICATION AUTO-FIX REPORT', repeat('=', 80), '', 'Report Generated: 2024-01-01 13:02:03',"
+        " 'Verification Directory: /data', '', 'Process Start Time: 2024-01-01 12:00:00', 'Process End Time: 2024-01-01 13:02:03', 'Total Processing Time: 1h 2m 3s', '']) as line"
+        " union all select -1, 1, 0, unnest(range(12)), unnest([repeat('=', 80), 'SUMMARY', repeat('=', 80), '', 'Total Failed Files: ' || count(*), 'Files Redownloaded: ' || r, 'Files Organized: 5',"
+        " 'Files Successfully Fixed: ' || f, 'Files Still Failed: ' || sf, 'Files Skipped: ' || sk, 'Success Rate: ' || printf('%.1f', round_even(f * 100.0 / r, 1)) || '%', ''])"
+        " from (select unnest(range(count(*))), count(case when accession_id is not null and status <> 'SKIPPED_NO_ACCESSION' then 1 end) as r, count(case when status = 'FIXED' then 1 end) as f,"
+        " count(case when status in ('STILL_FAILED', 'FAILED_RETRYABLE', 'FAILED_FATAL') then 1 end) as sf, count(case when status = 'SKIPPED_NO_ACCESSION' then 1 end) as sk from tasks) group by r, f, sf, sk"
+        " union all select 4, 0, 0, unnest(range(3)), unnest([repeat('=', 80), 'END OF REPORT', repeat('=', 80)])"
+        " union all select s, 0 as part, 0 as n, unnest(range(6)) as k, unnest([repeat('=', 80), title || ' (' || c || ' files)', repeat('=', 80), '', case when c = 0 then nothing else intro end, case when c > 0 and intro is not null then '' end]) as line from headed"
         " union all select s, 1, n, 0, n || '. ' || text from placed union all select s, 1, n, 1, '   Accession ID: ' || accession from placed union all select s, 1, n, 2, '   Error: ' || error_message from placed"
         " union all select s, 2, 0, 0, '' from titles"
-    )).replace("from (select s, 0", "from (select * from (select s, 0") + " where line is not null)",
+    )).replace("from (select -1", "from (select * from (select -1") + " where line is not null)",
     _CHECKED + ", " + _SECTION_SQL,
 )
 def _(spark, sf):
     path = new_path(spark, "repair-report")
     failed = repair.failed_files(failing(checked(spark, sf)))
-    document_sinks.write_repair_reports(failed, ops.tasks(spark, sf), path, "run")
+    document_sinks.write_repair_reports(failed, ops.tasks(spark, sf), path, RUN)
     return read_in_order(spark, f"{path}/files")
 
 
 @query("snk_12_task_report", "tasks", in_order("section, item, k", (
-    "select 0 as section, '' as item, unnest(range(8)) as k, unnest([repeat('=', 80), 'MD5 VERIFICATION AUTO-FIX RESUME REPORT', repeat('=', 80), '', 'Run ID: run', '', 'SUMMARY', repeat('-', 80)]) as line"
+    "select 0 as section, '' as item, unnest(range(11)) as k, unnest([repeat('=', 80), 'MD5 VERIFICATION AUTO-FIX RESUME REPORT', repeat('=', 80), '', 'Report Generated: 2024-01-01 13:02:03', 'Run ID: run', 'Verification Directory: /data', 'State File: /data/state.json', '', 'SUMMARY', repeat('-', 80)]) as line"
     " union all select 1, '', unnest(range(6)), unnest(["
     + ", ".join(f"'{n}: ' || {_n(st)}" for n, st in (("fatal_failed", "FAILED_FATAL"), ("fixed", "FIXED"), ("retryable_failed", "FAILED_RETRYABLE"), ("skipped", "SKIPPED_NO_ACCESSION"), ("still_failed", "STILL_FAILED")))
     + ", 'total: ' || count(*)]) from tasks union all select 2, '', unnest(range(3)), unnest(['', 'TASKS', repeat('-', 80)])"
     " union all select 3, original_path || chr(9) || task_id, 0, status || ' | ' || original_path from tasks"
     " union all select 3, original_path || chr(9) || task_id, 1, '  accession: ' || accession_id from tasks where accession_id is not null"
-    " union all select 3, original_path || chr(9) || task_id, 2, '  backup: backups/' || original_path from tasks where event_id % 3 = 0"
+    " union all select 3, original_path || chr(9) || task_id, 3, '  backup_path: backups/' || original_path from tasks where event_id % 3 = 0"
+    " union all select 4, '', unnest(range(5)), unnest(['', 'NEXT RUN', repeat('-', 80), 'Plan the repair again with this state; finished tasks are not repeated.', ''])"
 )))
 def _(spark, sf):
     path = new_path(spark, "repair-report")
-    write_lines(document_sinks.task_report_lines(ops.tasks(spark, sf), "run"), path, document_sinks.REPORT_ORDER)
+    write_lines(document_sinks.task_report_lines(ops.tasks(spark, sf), RUN), path, document_sinks.REPORT_ORDER)
     return read_in_order(spark, path)
 
 

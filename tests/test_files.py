@@ -3,6 +3,7 @@
 import json
 import tempfile
 import zipfile
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -244,7 +245,9 @@ def test_repair_after_verification(spark, tmp_path):
     }
     again = audit.plan_repair(verification, str(tmp_path / "data"), plan.tasks, cached.limit(0))
     assert {(r.original_path, r.status) for r in again.tasks.collect()} == {(r.original_path, r.status) for r in plan.tasks.collect()}
-    document_sinks.write_repair_reports(plan.failed, plan.tasks, str(tmp_path / "reports"), "run1")
+    run = document_sinks.RepairRun("run1", "/data", datetime(2024, 1, 1, 12), datetime(2024, 1, 1, 12, 0, 45))
+    assert run.duration() == "45s"
+    document_sinks.write_repair_reports(plan.failed, plan.tasks, str(tmp_path / "reports"), run)
     report = [r.value for r in spark.read.text(str(tmp_path / "reports" / "files")).collect()]
     assert "INITIALLY FAILED FILES (2 files)" in report and "No files were successfully fixed." in report
 
