@@ -568,11 +568,22 @@ def _(spark, sf):
     return read_in_order(spark, path)
 
 
+_TITLE = "upper(substr(error_type, 1, 1)) || substr(error_type, 2)"
+
+
 @query(
     "ag_10_summary_report", "errors",
-    "select 'Failed Downloads: ' || count(*) as line from t union all select upper(substr(error_type, 1, 1)) || substr(error_type, 2) || ' Errors (' || count(*) || ' taxa):' from t group by error_type"
-    " union all select '  - ' || taxon || ': ' || message from (select *, row_number() over (partition by error_type order by taxon, message) as p from t) where p <= 10"
-    " union all select '  ... and ' || (count(*) - 10) || ' more' from t group by error_type having count(*) > 10",
+    in_order("section, item, k", (
+        "select 0 as section, '' as item, unnest(range(11)) as k, unnest([repeat('=', 60), 'SUMMARY REPORT', repeat('=', 60), 'Total Taxa Processed: ' || count(*), 'Successful Downloads: 0', 'Failed Downloads: ' || count(*),"
+        " 'Success Rate: 0.0%', 'Total Files Downloaded: 0', 'Total Processing Time: 60.00 seconds', 'Average Time per Taxon: ' || printf('%.2f', round_even(60.0 / count(*), 2)) || ' seconds', '']) as line from t"
+        " union all select 1, '', unnest(range(2)), unnest(['ERROR STATISTICS:', repeat('-', 20)]) union all select 1, '~', 0, 'Total Errors: ' || count(*) from t"
+        f" union all select 2, error_type, 0, '  ' || {_TITLE} || ': ' || count(*) || ' (' || printf('%.1f', round_even(count(*) * 100.0 / (select count(*) from t), 1)) || '%)'"
+        " || case when error_type in ('environment', 'filesystem') then ' (FATAL)' when error_type = 'transient' then ' (RETRYABLE)' else '' end from t group by error_type"
+        " union all select 3, '', unnest(range(3)), unnest(['', 'FAILED TAXA:', repeat('-', 15)])"
+        f" union all select 4, error_type, unnest(range(2)), unnest(['', {_TITLE} || ' Errors (' || count(*) || ' taxa):']) from t group by error_type"
+        " union all select 4, error_type || '-' || lpad(cast(p as varchar), 2, '0'), 0, '  - ' || taxon || ': ' || message from (select *, row_number() over (partition by error_type order by taxon, message) as p from t) where p <= 10"
+        " union all select 4, error_type || '-~', 0, '  ... and ' || (count(*) - 10) || ' more' from t group by error_type having count(*) > 10"
+    )),
     f"t as (select taxon || '-' || event_id as taxon, message, {ERROR_CLASS_SQL} as error_type from errors)",
 )
 def _(spark, sf):
@@ -583,7 +594,7 @@ def _(spark, sf):
         F.col("message").alias("error_message"),
     )
     write_run_summary(failed, path, 60.0)
-    return read_back(spark, path).filter("line RLIKE '^(Failed Downloads|.* Errors [(]|  - |  [.][.][.])'")
+    return read_in_order(spark, path)
 
 
 # Whole split plan ----------------------------------------------------------------------------------
