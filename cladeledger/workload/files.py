@@ -606,6 +606,13 @@ def _(spark, sf):
     return split.plan_split(ops.nodes(spark, sf), ops.genomes(spark, sf), "genus", gigabases).totals
 
 
+@query("pl_1_plan_groups", "taxonomy genomes", "select tax_id, name, size_bp, n_genomes, bin from packed", ops.CAPACITY_CTE + ops.genus_ffd())
+def _(spark, sf):
+    gigabases = ops.genus_capacity(spark, sf) / fixed.BASES_PER_GB
+    packed = split.plan_split(ops.nodes(spark, sf), ops.genomes(spark, sf), "genus", gigabases).packed
+    return packed.select("tax_id", "name", "size_bp", "n_genomes", "bin")
+
+
 # Streams -------------------------------------------------------------------------------------------
 
 _COMMIT_SQL = (

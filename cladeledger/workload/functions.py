@@ -504,3 +504,15 @@ def _(spark, sf):
 
     _counts, top = error_report(classified_errors(spark, sf), [F.col("event_id")])
     return top.select("error_type", "taxon", "message", "place", "n_more")
+
+
+@query(
+    "pl_8_error_totals", "errors",
+    "select error_type, count(*) as n_errors, count(*) / (sum(count(*)) over ())::double * 100 as percentage, error_type in ('environment', 'filesystem') as is_fatal, error_type = 'transient' as should_retry from t group by error_type",
+    f"t as (select {ERROR_CLASS_SQL} as error_type from errors)",
+)
+def _(spark, sf):
+    from cladeledger.plans.audit import error_report
+
+    counts, _top = error_report(classified_errors(spark, sf), [F.col("event_id")])
+    return counts

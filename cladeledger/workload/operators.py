@@ -603,18 +603,28 @@ def _(spark, sf):
     return manifest.rebuild_counts(rebuilt(spark, sf))
 
 
-@query("pl_5_rebuild_manifest", "paths", "select filename, md5(min(file_path)) as new_md5, 'insert' as action from reb where reason = 'commit' group by 1", f"{_TYPED}, {_REBUILD}")
-def _(spark, sf):
+def rebuilt_manifest(spark, sf):
     from cladeledger.plans.audit import rebuild_manifest
 
     paths = derived(spark, sf, "paths")
     listed = paths.select(F.col("path").alias("file_path"), F.md5("path").alias("expected_hash"))
     requested = paths.filter("doc_id % 4 <> 2").select(F.col("acc").alias("accession"))
     current = listed.select(F.col("file_path").alias("filename"), F.col("expected_hash").alias("expected_md5")).limit(0)
-    actions, _counts = rebuild_manifest(listed, requested, output_files(spark, sf), current, _REBUILD_INCLUDE)
+    return rebuild_manifest(listed, requested, output_files(spark, sf), current, _REBUILD_INCLUDE)
+
+
+@query("pl_5_rebuild_manifest", "paths", "select filename, md5(min(file_path)) as new_md5, 'insert' as action from reb where reason = 'commit' group by 1", f"{_TYPED}, {_REBUILD}")
+def _(spark, sf):
+    actions, _counts = rebuilt_manifest(spark, sf)
     return actions.select("filename", "new_md5", "action")
 
 
+@query("pl_5_rebuild_reasons", "paths", "select reason, count(*) as n_entries, count(distinct filename) as n_names from reb group by 1", f"{_TYPED}, {_REBUILD}")
+def _(spark, sf):
+    _actions, counts = rebuilt_manifest(spark, sf)
+    return counts
+
+
 @query(
     "jn_16_legacy_import", "paths",
     "select filename, accession, include_type from (select distinct name as filename, regexp_extract(name, '(GC[AF]_[0-9]+\\.[0-9]+)', 1) as accession,"
