@@ -127,8 +127,8 @@ def write_sequences(
 ) -> DataFrame:
     """Write every document's ids and ``end_id`` in ascending ``doc_id`` order; returns the manifest of parts.
 
-    Null texts count as empty, a null ``doc_id`` sorts first, and repeated rows are separate documents, in order
-    of their text. An empty table gives an empty manifest. The manifest has one small row per part: ``part``,
+    Null texts count as empty, a null ``doc_id`` sorts first, and repeated rows are separate documents. Rows of one id
+    stand in order of a hash of their text and may span several parts. An empty table gives an empty manifest. The manifest has one small row per part: ``part``,
     ``path``, ``documents``, ``tokens`` and ``first_token``, the number of tokens in all parts before.
     """
     folder = folder or new_path(docs.sparkSession, "sequences")
@@ -168,7 +168,10 @@ def write_sequences(
             index_sink.close()
             yield pa.record_batch([[part], [path], [documents], [tokens]], schema=schema)
 
-    parts = texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write_part, MANIFEST)
+    order = ["doc_id", "tie", "text"]
+    keyed = texts(docs).withColumn("tie", F.xxhash64("text"))
+    placed = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions(*order).select("doc_id", "text")
+    parts = placed.mapInArrow(write_part, MANIFEST)
     manifest = materialize(parts, "manifest")
     # One row per part, never per document.
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
