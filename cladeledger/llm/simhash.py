@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cladeledger.llm.common import LOWER, UPPER, arrow_schema, texts, unused, with_key
+from cladeledger.llm.common import LOWER, UPPER, arrow_schema, texts, unused
 from cladeledger.llm.components import components
 from cladeledger.workspace import materialize
 
@@ -183,11 +183,16 @@ def drop_near_duplicates(docs: DataFrame, groups: int = AXIS_GROUPS) -> DataFram
     """One row of each group of near-duplicates, that with the least (``doc_id``, text), with its own columns."""
     prints = fingerprints(docs)
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
-    doc, key, kept_doc, kept_key = unused(docs, "own_doc", "own_key", "kept_doc", "kept_key")
-    kept = _grouped(prints, groups).groupBy("root").agg(F.min(first).alias("kept")).select(
-        F.col("kept.doc_id").alias(kept_doc), F.col("kept.text_key").alias(kept_key)
-    )
-    same = F.col(doc).eqNullSafe(F.col(kept_doc)) & (F.col(key) == F.col(kept_key))
-    found = with_key(docs, doc, key).join(kept, same)
-    # Rows that are equal in both are one document; anything else here is unique already.
-    return found.dropDuplicates([doc, key]).select(*docs.columns)
+    doc, key = unused(docs, "own_doc", "own_key")
+    kept = _grouped(prints, groups).groupBy("root").agg(F.min(first).alias("kept"))
+    kept = kept.select(*_plain_key(F.col("kept.doc_id"), F.col("kept.text_key"), doc, key))
+    text_key = F.xxhash64(F.coalesce("text", F.lit("")))
+    keyed = docs.select("*", *_plain_key(F.col("doc_id").cast("bigint"), text_key, doc, key))
+    # Rows that are equal in both are one document; anything else here is unique already. The texts are dealt out
+    # by the key for the join and stay where they are for this.
+    return keyed.join(kept, [doc, key]).dropDuplicates([doc, key]).select(*docs.columns)
+
+
+def _plain_key(doc_id: Column, text_key: Column, doc: str, key: str) -> list[Column]:
+    """Two columns without nulls, as equal as id and text are."""
+    return [F.coalesce(doc_id, F.lit(0).cast("bigint")).alias(doc), F.xxhash64(doc_id.isNull(), text_key).alias(key)]
