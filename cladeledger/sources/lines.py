@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,13 +81,15 @@ def read_many_lists(lists: DataFrame) -> DataFrame:
     tasks = lists.sparkSession.sparkContext.defaultParallelism
     step = RANGE_BYTES
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, start in zip(batch["path"], batch["start"]):
-                values = lines_of_range(path, int(start), int(start) + step)
-                yield pd.DataFrame({"value": values, "list_path": path, "block": start, "row": range(len(values))})
+            for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
+                values = lines_of_range(path, start, start + step)
+                n = len(values)
+                columns = [pa.array(values, pa.string()), pa.array([path] * n, pa.string()), pa.array([start] * n, pa.int64()), pa.array(range(n), pa.int64())]
+                yield pa.record_batch(columns, names=["value", "list_path", "block", "row"])
 
-    lines = ranges.repartition(tasks, "path", "start").mapInPandas(read, "value STRING, list_path STRING, block BIGINT, row BIGINT")
+    lines = ranges.repartition(tasks, "path", "start").mapInArrow(read, "value STRING, list_path STRING, block BIGINT, row BIGINT")
     place = F.struct(F.col("list_path").alias("file"), "block", "row")
     return lines.select("value", "list_path", place.alias("line"))
 
