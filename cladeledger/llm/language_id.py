@@ -1,34 +1,32 @@
 """Language identification with interpolated Kneser-Ney character models of order three.
 
 A text counts as its words of letters, in lower case, each between single spaces; characters are UTF-16 units.
-Every training document adds to the trigram counts, which tasks pre-aggregate and Spark sums per language. The
-model keeps up to ``MAX_GRAMS`` most frequent trigrams of a language, so its size is bounded by that parameter
-and the number of languages; what is left out is scored by the lower orders like any unseen trigram.
+Every training document adds to the trigram counts, which tasks pre-aggregate and Spark sums per language. A model
+keeps all trigrams of its language, 12 bytes each, so it grows with the kinds of trigrams and with nothing else.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cladeledger.llm.common import arrow_schema, share
 from cladeledger.workspace import materialize
 
-MAX_GRAMS = 50_000
 CALIBRATION_DOCUMENTS = 4_000
 REJECT_DEVIATIONS = 8.0
 ACCEPT_SCORE = 0.4
 UNDETERMINED = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 _SLICE = 1 << 20
-_HASH = np.uint64(0x9E3779B97F4A7C15)
+_CHAR, _PAIR = np.uint64(0xFFFF), np.uint64(0xFFFFFFFF)
 _EVIDENCE = 60  # characters beyond which more of them add no certainty about the language
 
 _COUNT = T.StructType().add("lang", "string").add("gram", "long").add("n", "long")
@@ -107,114 +105,84 @@ def _discount(counts: np.ndarray) -> float:
     return min(0.95, max(0.1, once / (once + 2 * twice))) if once else 0.5
 
 
+def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a sorted table, and whether the keys are there."""
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
+
+
 class KneserNey:
-    """One language: probabilities of all orders from its trigram counts."""
+    """One language: probabilities of all orders from all its trigram counts, in sorted arrays."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray):
-        grams = grams.astype(np.uint64)
-        self.d3, self.c3 = _discount(counts), dict(zip(grams.tolist(), counts.tolist()))
-        heads, at = np.unique(grams >> np.uint64(16), return_inverse=True)
+        order = np.argsort(grams)
+        self.grams, counts = grams[order].astype(np.uint64), counts[order]
+        self.pairs, lefts = np.unique(self.grams & _PAIR, return_counts=True)
+        self.chars, lasts = np.unique(self.pairs & _CHAR, return_counts=True)
+        self.d1, total = _discount(lasts), lasts.sum()
+        self.unseen = float(self.d1 * len(self.chars) / total / 65536)
+        self.seen1 = (lasts - self.d1) / total + self.unseen
+        self.d2, self.first, self.weight2, self.seen2 = self._order(self.pairs, lefts, _CHAR, self.p1)
+        self.d3, self.heads, self.weight3, seen = self._order(self.grams, counts, _PAIR, self.p2)
+        self.seen3 = seen.astype(np.float32)
+
+    @staticmethod
+    def _order(keys: np.ndarray, counts: np.ndarray, mask: np.uint64, lower: Callable) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Discount, contexts with their back-off weights (discount x distinct followers / total), and probabilities."""
+        discount = _discount(counts)
+        heads, at, followers = np.unique(keys >> np.uint64(16), return_inverse=True, return_counts=True)
         total = np.bincount(at, counts)
-        # Back-off weight of a two-character context: discount x distinct followers / total.
-        self.total3 = dict(zip(heads.tolist(), total.tolist()))
-        self.weight3 = dict(zip(heads.tolist(), (self.d3 * np.bincount(at) / total).tolist()))
-        pairs, lefts = np.unique(grams & np.uint64(0xFFFFFFFF), return_counts=True)
-        self.d2, self.c2 = _discount(lefts), dict(zip(pairs.tolist(), lefts.tolist()))
-        heads, at = np.unique(pairs >> np.uint64(16), return_inverse=True)
-        total = np.bincount(at, lefts)
-        self.total2 = dict(zip(heads.tolist(), total.tolist()))
-        self.weight2 = dict(zip(heads.tolist(), (self.d2 * np.bincount(at) / total).tolist()))
-        chars, lefts = np.unique(pairs & np.uint64(0xFFFF), return_counts=True)
-        self.d1, total = _discount(lefts), lefts.sum()
-        self.c1 = dict(zip(chars.tolist(), ((lefts - self.d1) / total).tolist()))
-        self.unseen = float(self.d1 * len(chars) / total / 65536)
-
-    def p1(self, char: int) -> float:
-        return self.c1.get(char, 0.0) + self.unseen
-
-    def p2(self, pair: int) -> float:
-        head = pair >> 16
-        if head not in self.total2:
-            return self.p1(pair & 0xFFFF)
-        seen = max(self.c2.get(pair, 0) - self.d2, 0) / self.total2[head]
-        return seen + self.weight2[head] * self.p1(pair & 0xFFFF)
-
-    def p3(self, gram: int) -> float:
-        head = gram >> 16
-        if head not in self.total3:
-            return self.p2(gram & 0xFFFFFFFF)
-        seen = max(self.c3.get(gram, 0) - self.d3, 0) / self.total3[head]
-        return seen + self.weight3[head] * self.p2(gram & 0xFFFFFFFF)
-
-
-def _sorted_hashes(keys: set[int], values: list) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order, with a row of per-language values for each."""
-    ordered = np.array(sorted(keys), np.uint64)
-    rows = np.array([[f(k) for f in values] for k in ordered.tolist()], np.float32).reshape(-1, len(values))
-    hashes = ordered * _HASH
-    order = np.argsort(hashes)
-    return hashes[order], rows[order]
+        weight = discount * followers / total
+        return discount, heads, weight, np.maximum(counts - discount, 0) / total[at] + weight[at] * lower(keys & mask)
 
+    def p1(self, chars):
+        at, known = _find(self.chars, chars)
+        return np.where(known, self.seen1[at], self.unseen)
 
-def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    hashes = keys * _HASH
-    at = np.minimum(np.searchsorted(table, hashes), len(table) - 1)
-    return at, table[at] == hashes
+    def p2(self, pairs):
+        pairs = np.asarray(pairs, np.uint64)
+        at, known = _find(self.pairs, pairs)
+        return self._backed_off(known, self.seen2[at], pairs, self.first, self.weight2, _CHAR, self.p1)
+
+    def p3(self, grams):
+        grams = np.asarray(grams, np.uint64)
+        at, known = _find(self.grams, grams)
+        return self._backed_off(known, self.seen3[at], grams, self.heads, self.weight3, _PAIR, self.p2)
+
+    @staticmethod
+    def _backed_off(known, seen, keys, heads, weights, mask: np.uint64, lower: Callable):
+        if known.all():
+            return seen
+        at, there = _find(heads, keys >> np.uint64(16))
+        return np.where(known, seen, np.where(there, weights[at], 1.0) * lower(keys & mask))
 
 
 class Models:
-    """The models of all languages, as sorted hash arrays with the log-probability per language."""
+    """The models of all languages."""
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.languages = sorted(counts)
-        models = [KneserNey(*counts[x]) for x in self.languages]
-        log = np.log
-        self.grams, self.log3 = _sorted_hashes(set().union(*(m.c3 for m in models)), [lambda g, m=m: log(m.p3(g)) for m in models])
-        heads = set().union(*(m.weight3 for m in models))
-        self.heads, self.weight3 = _sorted_hashes(heads, [lambda g, m=m: log(m.weight3.get(g, 1.0)) for m in models])
-        self.pairs, self.log2 = _sorted_hashes(set().union(*(m.c2 for m in models)), [lambda g, m=m: log(m.p2(g)) for m in models])
-        first = set().union(*(m.weight2 for m in models))
-        self.first, self.weight2 = _sorted_hashes(first, [lambda g, m=m: log(m.weight2.get(g, 1.0)) for m in models])
-        self.chars, self.log1 = _sorted_hashes(set().union(*(m.c1 for m in models)), [lambda g, m=m: log(m.p1(g)) for m in models])
+        self.models = [KneserNey(*counts[x]) for x in self.languages]
         # Mean surprise of each language's own characters when only their frequencies are known.
         self.unigram = {}
-        for lang, model in zip(self.languages, models):
+        for lang, model in zip(self.languages, self.models):
             grams, n = counts[lang]
-            chars, at = np.unique(grams & 0xFFFF, return_inverse=True)
+            chars, at = np.unique(grams.astype(np.uint64) & _CHAR, return_inverse=True)
             shares = np.bincount(at, n) / n.sum()
-            self.unigram[lang] = -sum(p * float(log(model.p1(c))) for c, p in zip(chars.tolist(), shares.tolist()))
-        self.log0 = np.array([log(m.unseen) for m in models], np.float32)
+            self.unigram[lang] = -float((shares * np.log(model.p1(chars))).sum())
 
     def log_probabilities(self, grams: np.ndarray) -> np.ndarray:
-        at, known = _find(self.grams, grams)
-        out = self.log3[at]
-        if not known.all():
-            rest = np.flatnonzero(~known)
-            out[rest] = self._backed_off(grams[rest])
-        return out
-
-    def _backed_off(self, grams: np.ndarray) -> np.ndarray:
-        pairs = grams & np.uint64(0xFFFFFFFF)
-        at, known = _find(self.pairs, pairs)
-        out = self.log2[at]
-        rest = np.flatnonzero(~known)
-        if len(rest):
-            chars = pairs[rest] & np.uint64(0xFFFF)
-            at1, seen = _find(self.chars, chars)
-            low = np.where(seen[:, None], self.log1[at1], self.log0)
-            at1, seen = _find(self.first, pairs[rest] >> np.uint64(16))
-            out[rest] = low + np.where(seen[:, None], self.weight2[at1], np.float32(0))
-        at, known = _find(self.heads, grams >> np.uint64(16))
-        return out + np.where(known[:, None], self.weight3[at], np.float32(0))
+        return np.log(np.stack([m.p3(grams) for m in self.models], axis=1).astype(np.float64))
 
     def score(self, text: str | None) -> tuple[np.ndarray, int, float]:
         """Cross-entropy per character and language, the characters, and the variance of the best one's terms."""
         units = _units(text)
         n, total, squares = 0, np.zeros(len(self.languages)), np.zeros(len(self.languages))
         for grams in _trigrams(units):
-            found = self.log_probabilities(grams)
-            total += found.sum(axis=0, dtype=np.float64)
-            squares += np.einsum("ij,ij->j", found, found, dtype=np.float64)
+            kinds, times = np.unique(grams, return_counts=True)
+            found = self.log_probabilities(kinds)
+            total += times @ found
+            squares += times @ (found * found)
             n += len(grams)
         if not n:
             return total, 0, 0.0
@@ -241,16 +209,14 @@ class Calibration:
         return (entropy - self.mean[lang]) / max(deviation, room)
 
 
-def train(labelled: DataFrame, max_grams: int = MAX_GRAMS) -> Models | None:
+def train(labelled: DataFrame) -> Models | None:
     """Models of the labels in ``lang``; None when no labelled document has a letter."""
-    counts = materialize(gram_counts(labelled), "grams")
-    best = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counts.filter("gram >= 0").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max_grams)
-    rows = kept.select("lang", "gram", "n").toArrow()
-    if not rows.num_rows:
-        return None
-    langs, grams, n = np.array(rows["lang"].to_pylist(), object), rows["gram"].to_numpy(), rows["n"].to_numpy()
-    return Models({x: (grams[langs == x], n[langs == x]) for x in sorted(set(langs.tolist()))})
+    counts = materialize(gram_counts(labelled), "grams").filter("gram >= 0")
+    found = {}
+    for (lang,) in counts.select("lang").distinct().collect():
+        rows = counts.filter(F.col("lang") == lang).select("gram", "n").toArrow()
+        found[lang] = rows["gram"].to_numpy(), rows["n"].to_numpy()
+    return Models(found) if found else None
 
 
 def _score(docs: DataFrame, models: Models | None, calibration: Calibration | None) -> DataFrame:

@@ -88,3 +88,17 @@ def test_nothing_to_learn(spark):
         assert li.keep_identified(docs, F.lit(True)).count() == 0
     rows = li.identify(odd(spark), F.lit(None).cast("boolean")).collect()
     assert {(r.lang_pred, r.held_out) for r in rows} == {("und", False)}
+
+
+def test_no_trigram_is_left_out(spark):
+    """A script of many characters, with far more kinds of trigrams than a Latin one."""
+    rng = np.random.default_rng(3)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x4E00 + 400, 1500))) for _ in range(60)]
+    models = li.train(spark.createDataFrame([("zh", t) for t in texts], "lang string, text string"))
+    grams, counts = counts_of(texts[0])
+    kinds, n = np.unique(np.concatenate([np.repeat(*counts_of(t)) for t in texts]), return_counts=True)
+    assert len(kinds) > 80_000 and models.models[0].d3 == li._discount(n) != 0.5
+    single = li.KneserNey(kinds.astype(np.int64), n)
+    want = np.log([[single.p3(int(g))] for g in grams])
+    assert models.log_probabilities(grams) == pytest.approx(want, rel=1e-4)
+    assert np.isin(grams, models.models[0].grams).all()
