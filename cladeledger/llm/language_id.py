@@ -20,7 +20,6 @@ from pyspark.sql import types as T
 from cladeledger.llm.common import arrow_schema, share
 from cladeledger.workspace import materialize
 
-CALIBRATION_DOCUMENTS = 4_000
 REJECT_DEVIATIONS = 8.0
 ACCEPT_SCORE = 0.4
 UNDETERMINED = "und"
@@ -201,9 +200,11 @@ class Calibration:
     unigram: dict[str, float]
 
     def deviations(self, lang: str, entropy: float, n: int) -> float:
-        """How far above the usual; ``REJECT_DEVIATIONS`` is reached no earlier than at the unigram level."""
+        """How far above the usual; ``REJECT_DEVIATIONS`` is reached no earlier than at the unigram level.
+
+        Nothing is usual for a language that not even its own labelled texts were taken for, so it is infinitely far."""
         if lang not in self.mean:
-            return 0.0
+            return float("inf")
         deviation = (self.spread[lang] ** 2 + self.within[lang] / max(n, 1) + 1e-9) ** 0.5
         room = (self.unigram[lang] - self.mean[lang]) / REJECT_DEVIATIONS
         return (entropy - self.mean[lang]) / max(deviation, room)
@@ -261,8 +262,8 @@ def identify(docs: DataFrame, learn: Column) -> DataFrame:
     Only text, and the label of rows where ``learn`` holds, are used. Null texts and texts without a letter are
     ``und`` with score 0; so are all rows if nothing can be learnt. ``score`` is the certainty among the
     languages times the calibrated chance that the text is one of them; ``accepted`` is a score of
-    ``ACCEPT_SCORE`` or more. A null ``learn`` teaches nothing. Calibration takes about
-    ``CALIBRATION_DOCUMENTS`` of the labelled documents, chosen by the hash of their text.
+    ``ACCEPT_SCORE`` or more. A null ``learn`` teaches nothing. All labelled
+    documents calibrate.
     """
     rows = split(docs, learn)
     labelled = rows.filter("learn AND lang IS NOT NULL AND text IS NOT NULL")
@@ -290,9 +291,8 @@ def keep_identified(docs: DataFrame, learn: Column) -> DataFrame:
 
 
 def _calibrate(labelled: DataFrame, models: Models) -> Calibration:
-    share = min(1.0, CALIBRATION_DOCUMENTS / max(labelled.count(), 1))
-    chosen = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    scored = _score(chosen.select("doc_id", "text", "held_out"), models, None).filter("n_letters > 0")
+    """From all labelled rows; only sums per language leave the tasks."""
+    scored = _score(labelled.select("doc_id", "text", "held_out"), models, None).filter("n_letters > 0")
     weight = F.sum("n_letters")
     stats = scored.groupBy("lang_pred").agg(
         (F.sum(F.col("cross_entropy") * F.col("n_letters")) / weight).alias("mean"),

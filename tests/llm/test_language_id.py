@@ -102,3 +102,23 @@ def test_no_trigram_is_left_out(spark):
     want = np.log([[single.p3(int(g))] for g in grams])
     assert models.log_probabilities(grams) == pytest.approx(want, rel=1e-4)
     assert np.isin(grams, models.models[0].grams).all()
+
+
+def test_a_rare_language_is_calibrated(spark):
+    """Copies of one text in a table of many labelled rows; its small model is the likeliest for unlearnt scripts."""
+    common = "The cat and the dog sat on the mat in the house and heard the rain"
+    rare = ["Ο σκύλος και η γάτα κάθονται στο χαλί του σπιτιού", "Η βροχή πέφτει στο σπίτι και στο δρόμο", "Το παιδί διαβάζει ένα βιβλίο στο σχολείο"]
+    unlearnt = ["Это русский текст без всякого сходства", "これは日本語の文章です", "qzx wvk jjq xzz kqv"]
+    for text in rare:
+        rows = spark.range(40_000).selectExpr("id as doc_id", f"concat('{common} ', id) as text", "'en' as lang")
+        other = [(100_000 + i, text, "el") for i in range(5)] + [(200_000 + i, t, None) for i, t in enumerate(unlearnt)]
+        docs = rows.union(spark.createDataFrame(other, "doc_id long, text string, lang string")).repartition(4)
+        got = {r.doc_id: r for r in li.identify(docs, F.lit(True)).filter("doc_id >= 100000").collect()}
+        assert all(got[100_000 + i].accepted and got[100_000 + i].lang_pred == "el" for i in range(5))
+        assert not any(got[200_000 + i].accepted for i in range(3)), got
+
+
+def test_a_language_without_statistics_accepts_nothing():
+    grams = {"a": tuple(x.astype(np.int64) for x in counts_of("the cat sat on the mat"))}
+    none = li.Calibration({}, {}, {}, li.Models(grams).unigram)
+    assert li._judge("the cat sat on the mat", li.Models(grams), none)[1] < li.ACCEPT_SCORE
