@@ -2,9 +2,11 @@
 
 Generators of high recall propose overlapping spans: the four base kinds and wider forms of them. Every candidate
 gets a few discrete features of its format and its surroundings. Candidates of all documents are counted by
-feature combination and by what the exact rules say of them, which gives a table whose size is bounded by the
-number of combinations. Boosted trees are fitted to that table, become a SQL expression, and score every
-candidate; the threshold is the lowest score above which enough counted candidates are confirmed.
+feature combination and by what is known of them, which gives a table whose size is bounded by the number of
+combinations. Known as personal data are spans that the exact rules confirm, what overlaps them, and wider forms
+with a mark of their own: a word in front that names them, or an address written out. Boosted trees are fitted to
+that table, in which every form weighs the same however often it occurs, become a SQL expression, and score every
+candidate; the threshold is the lowest score above which enough counted candidates are known ones.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ BASE_KINDS = ("email", "ip", "card", "phone")
 PRECISION = 0.98
 ROUNDS = 24
 RATE = 0.4
-# A rarer form is judged by what it shares with commoner ones, not by its own few cases.
-MIN_LEAF = 20
+# Each combination of features weighs this much, and a leaf holds at least this share of them all.
+FORM_WEIGHT = 20
+LEAF_SHARE = 0.002
 
 # A run of name characters or digits can only match from its first one, unless a match ended inside it; saying so
 # keeps long runs linear. Possessive loops keep Java from recursing. Neither changes what is found.
@@ -40,7 +43,8 @@ PATTERNS = {
 KINDS = tuple(PATTERNS)
 _GUARDS = {"email": "@", "email_like": None, "phone": "+"}
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
-_HINTS = r"(?i)\b(?:tel|phone|call|fax|mobile|mail|contact|card|visa|iban|account|ip|host|server|address)\W{0,4}$"
+_NUMBER_HINTS = r"(?i)\b(?:tel|phone|call|fax|mobile|contact|card|visa|iban|account)\W{0,4}$"
+_OTHER_HINTS = r"(?i)\b(?:mail|ip|host|server|address)\W{0,4}$"
 _BEFORE, _AFTER = 24, 4
 _KEY = ["doc_id", "text_key"]
 
@@ -98,7 +102,7 @@ def _side(column: str, end: str) -> Column:
 
 
 def _features() -> dict[str, Column]:
-    """Small integers only, so their combinations are bounded: 6 x 6 x 2 x 2 x 5 x 5 x 5 x 2 x 3."""
+    """Small integers only, so their combinations are bounded: 6 x 6 x 2 x 2 x 5 x 5 x 5 x 3 x 3 x 2."""
     digits = F.length(F.regexp_replace("value", "[^0-9]", ""))
     separators = F.array_join(F.array_sort(F.array_distinct(F.split(F.regexp_replace("value", "[^ ./-]", ""), ""))), "")
     tail = F.length(F.regexp_extract("value", "([0-9]*)$", 1))
@@ -110,11 +114,23 @@ def _features() -> dict[str, Column]:
         "f_separators": F.when(separators == "", 0).when(separators == " ", 1).when(separators == "-", 2).when(separators == ".", 3).otherwise(4),
         "f_before": _side("before", "last"),
         "f_after": _side("after", "first"),
-        "f_hint": F.col("before").rlike(_HINTS).cast("int"),
+        "f_hint": F.when(F.col("before").rlike(_NUMBER_HINTS), 1).when(F.col("before").rlike(_OTHER_HINTS), 2).otherwise(0),
         "f_tail": F.when(tail == 4, 0).when(tail > 4, 1).otherwise(2),
+        "f_written": F.col("value").rlike(r"(?i)[\[(]at[\])]").cast("int"),
     }
 
 
+def _marked() -> Column:
+    """Wider forms that say themselves what they are; by features only, so that a form is marked always or never.
+
+    Numbers of up to 15 digits, as the longest telephone numbers, after a word that names them; addresses that are
+    written out or named.
+    """
+    kind, hint = F.col("f_kind"), F.col("f_hint")
+    number = (kind == KINDS.index("number_like")) & (hint == 1) & F.col("f_digits").between(1, 3)
+    return number | (kind == KINDS.index("email_like")) & ((F.col("f_written") == 1) | (hint > 0))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """All proposed spans with ``start`` and ``end`` in code points, what the rules say, and features; a written table.
 
@@ -159,16 +175,16 @@ def _step(rows: list[tuple]) -> float:
     return RATE * sum(r[1] for r in rows) / (sum(r[2] for r in rows) + 1.0)
 
 
-def _grow(rows: list[tuple], tests: list[Test], depth: int):
-    """A tree is a number or (test, tree if it holds, tree if not)."""
+def _grow(rows: list[tuple], tests: list[Test], depth: int, least: float = 0.0):
+    """A tree is a number or (test, tree if it holds, tree if not); ``least`` is what a leaf must hold."""
     if depth == 0 or len(rows) < 2:
         return _step(rows)
     splits = ((*_gain(rows, t), t) for t in tests)
-    large = (s for s in splits if min(sum(r[3] for r in s[1]), sum(r[3] for r in s[2])) >= MIN_LEAF)
+    large = (s for s in splits if s[1] and s[2] and min(sum(r[3] for r in s[1]), sum(r[3] for r in s[2])) >= least)
     best = max(large, key=lambda s: s[0], default=None)
     if best is None or best[0] <= _value(rows) + 1e-6:
         return _step(rows)
-    return best[3], _grow(best[1], tests, depth - 1), _grow(best[2], tests, depth - 1)
+    return best[3], _grow(best[1], tests, depth - 1, least), _grow(best[2], tests, depth - 1, least)
 
 
 def _apply(tree, features: dict[str, int]) -> float:
@@ -187,11 +203,11 @@ def _as_column(tree) -> Column:
 def fit(spans: DataFrame) -> tuple[Column, float]:
     """Score column and calibrated threshold, from the counts of all candidates.
 
-    A candidate is confirmed if the exact rules hold for it or for a span that it overlaps. Without candidates,
-    or if no score reaches ``PRECISION``, the threshold is infinite and nothing is added.
+    A candidate is known if the exact rules hold for it or for a span that it overlaps, or if it is marked. Without
+    candidates, or if no score reaches ``PRECISION``, the threshold is infinite and nothing is added.
     """
     names = list(_features())
-    said = (F.col("confirmed") | F.col("overlaps")).cast("int")
+    said = (F.col("confirmed") | F.col("overlaps") | _marked()).cast("int")
     table = spans.groupBy(*names).agg(F.count("*").alias("n"), F.sum(said).alias("good")).orderBy(*names).collect()
     cells = [({c: r[c] for c in names}, r["n"], r["good"]) for r in table]
     tests = sorted({(c, f[c]) for f, _, _ in cells for c in names})
@@ -200,8 +216,9 @@ def fit(spans: DataFrame) -> tuple[Column, float]:
         rows = []
         for (features, n, good), score in zip(cells, scores):
             chance = 1 / (1 + math.exp(-score))
-            rows.append((features, good - n * chance, n * chance * (1 - chance), n))
-        trees.append(_grow(rows, tests, 3))
+            curvature = FORM_WEIGHT * chance * (1 - chance)
+            rows.append((features, FORM_WEIGHT * (good / n - chance), curvature, FORM_WEIGHT))
+        trees.append(_grow(rows, tests, 3, LEAF_SHARE * FORM_WEIGHT * len(cells)))
         scores = [max(-30.0, min(30.0, s + _apply(trees[-1], f))) for s, (f, _, _) in zip(scores, cells)]
     threshold, all_n, all_good = math.inf, 0, 0
     for score, (_, n, good) in sorted(zip(scores, cells), key=lambda x: -x[0]):

@@ -120,3 +120,17 @@ def test_boosting_tells_features_apart():
 def test_main_path_has_no_python(spark, sf):
     plan = QUERIES["op9_personal_data"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_a_form_is_added_however_often_it_occurs(spark):
+    """Base spans without any word in front, many bare numbers, and planted forms once, 50 and 500 times."""
+    rows = [(i, f"word +1 (555) {100 + i}-{1000 + i} or user{i}@host.example.org today") for i in range(300)]
+    rows += [(1000 + i, f"order 555-4{100 + i}-{1000 + i} shipped {5554000 + i}") for i in range(200)]
+    for times in (1, 50, 500):
+        planted = [(2000 + i, f"write to jane{i}.doe [at] host.example now, phone: 555-123-{4000 + i} or not") for i in range(times)]
+        got = {r.doc_id: r for r in pii.find(frame(spark, rows + planted)).collect()}
+        for i, text in planted:
+            found = {text[int(a):int(b)] for _, a, b in (s.split(":") for s in got[i].spans.split(",") if s)}
+            assert found == {f"jane{i - 2000}.doe [at] host.example", f"555-123-{4000 + i - 2000}"}, (times, got[i])
+        assert all(got[1000 + i].spans == "" for i in range(200))
+        assert all(got[i].n_phone == got[i].n_email == 1 and got[i].spans.count(",") == 1 for i in range(300))
