@@ -1,6 +1,7 @@
 """Licence scans by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, and sentences of several lines also into those lines. Each is normalised to words of
+Comment marks in front of lines are left out. A text is cut into sentences, at empty lines and at copyright lines,
+and sentences of several lines also into those lines. Each is normalised to words of
 a-z and 0-9 and looked up among known licence sentences. The identifiers found in a document, in order, form its
 sequence; ordered rules then take licences out of it: an earlier rule takes its run of identifiers away from
 later ones, so that a full text is not also reported as a mere mention.
@@ -69,6 +70,36 @@ RULES = (
     ("Unlicense", ("unlicense",)),
 )
 
+# Wording that the SQL does not know.
+_FREE = "is free software you can redistribute it and or modify it under the terms of the gnu"
+_OR_LATER = "of the license or at your option any later version"
+_HOPE = "is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose"
+MORE_SENTENCES = {
+    "lgpl21-free": (f"this library {_FREE} lesser general public license as published by the free software foundation either version 2 1 {_OR_LATER}",),
+    "lgpl3-free": tuple(f"this {x} {_FREE} lesser general public license as published by the free software foundation either version 3 {_OR_LATER}" for x in ("library", "program")),
+    "lgpl-hope": (f"this library {_HOPE}",),
+    "agpl3-free": (f"this program {_FREE} affero general public license as published by the free software foundation either version 3 {_OR_LATER}",),
+    "lgpl21-ref": ("licensed under the gnu lesser general public license version 2 1",),
+    "lgpl3-ref": ("licensed under the gnu lesser general public license version 3",),
+    "agpl3-ref": ("licensed under the gnu affero general public license version 3",),
+    "epl2-ref": ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+                 "licensed under the eclipse public license 2 0", "licensed under the eclipse public license version 2 0"),
+    "epl1-ref": ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution and is available at http www eclipse org legal epl v10 html",),
+    "bsl1-ref": ("distributed under the boost software license version 1 0",),
+    "zlib-grant": ("permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",),
+}
+MORE_RULES = (
+    ("LGPL-2.1-or-later", ("lgpl21-free",)), ("LGPL-3.0-or-later", ("lgpl3-free",)), ("AGPL-3.0-or-later", ("agpl3-free",)),
+    ("LGPL-2.1", ("lgpl21-ref",)), ("LGPL-3.0", ("lgpl3-ref",)), ("AGPL-3.0", ("agpl3-ref",)),
+    ("EPL-2.0", ("epl2-ref",)), ("EPL-1.0", ("epl1-ref",)), ("BSL-1.0", ("bsl1-ref",)), ("Zlib", ("zlib-grant",)),
+)
+
+# Comment marks in front of a line with the blanks around them; a line of nothing else becomes empty.
+_PREFIX = r"(?md)^[ \t]*+(?:@?(?:dnl|rem|REM)(?=[ \t\r\n]|$))?+[ \t/*#;%!|<>(){}:'\"\\=+~-]*+"
+# Only with a year or sign, since wrapped sentences have lines that start with the word. The line ends around it go
+# too; a run of them is tried once.
+_COPYRIGHT = r"(?mid)(?:(?<![\r\n])[\r\n]++|^)((?:portions )?(?:copyright\b[^\n]*(?:\(c\)|\x{A9}|[12][0-9]{3})|c\) ?[12][0-9]{3}|\x{A9}|all rights reserved)[^\r\n]*)[\r\n]*+"
+
 # A full stop, question or exclamation mark after a letter, digit, quote or bracket ends a sentence; so does an
 # empty line.
 _END = r"([a-zA-Z0-9)\"'\x{80}-\x{10FFFF}][.!?])[ \t\n\r]+"
@@ -82,7 +113,8 @@ def _normal(sentence: Column) -> Column:
 
 def sentences(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``text_key``, ``place`` (sentence and line) and normalised ``sentence``, in DataFrame rows."""
-    text = F.translate(F.coalesce("text", F.lit("")), _MARK, " ")
+    text = F.regexp_replace(F.translate(F.coalesce("text", F.lit("")), _MARK, " "), _PREFIX, "")
+    text = F.regexp_replace(text, _COPYRIGHT, f"{_MARK}$1{_MARK}")
     cut = F.regexp_replace(F.regexp_replace(text, _EMPTY_LINE, _MARK), _END, f"$1{_MARK}")
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"),
@@ -100,17 +132,18 @@ def scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have none. Repeated rows are each reported alike; a document that repeats a licence line
     has its identifier as often, and its licence once. Strings are comma-joined, empty if nothing is found.
     """
-    known = [(s, name) for name, wordings in SENTENCES.items() for s in wordings]
+    known = [(s, name) for name, wordings in (SENTENCES | MORE_SENTENCES).items() for s in wordings]
     # The list is a constant of this module, a few dozen rows.
     listed = F.broadcast(docs.sparkSession.createDataFrame(known, "sentence string, id string"))
     found = sentences(docs).join(listed, "sentence").groupBy("doc_id", "text_key").agg(
         F.transform(F.sort_array(F.collect_set(F.struct("place", "id"))), lambda s: s["id"]).alias("ids")
     )
     found = found.withColumn("rest", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))
-    for i, (_, run) in enumerate(RULES):
+    rules = (*RULES, *MORE_RULES)
+    for i, (_, run) in enumerate(rules):
         wanted = F.lit(f" {'  '.join(run)} ")
         found = found.withColumn(f"has_{i}", F.contains("rest", wanted)).withColumn("rest", F.replace("rest", wanted, F.lit(" | ")))
-    names = F.array_compact(F.array(*[F.when(F.col(f"has_{i}"), name) for i, (name, _) in enumerate(RULES)]))
+    names = F.array_compact(F.array(*[F.when(F.col(f"has_{i}"), name) for i, (name, _) in enumerate(rules)]))
     found = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "ids", F.array_sort(F.array_distinct(names)).alias("names"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_key"))
     joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key")), "left")

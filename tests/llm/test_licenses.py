@@ -58,3 +58,33 @@ def test_every_rule_uses_known_sentences():
 def test_main_path_has_no_python(spark, sf):
     plan = QUERIES["op1_licence_scan"](spark, sf)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+MIT_LINES = [
+    *MIT.split("\n")[:1], "", *MIT.split("\n")[2:],
+]
+GPL_LINES = ["Copyright (C) 2019 Someone", "", *ROWS[11][1].split("\n")]
+LGPL_LINES = [
+    "Copyright 2019 Someone", "This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public",
+    "License as published by the Free Software Foundation; either", "version 2.1 of the License, or (at your option) any later version.", "",
+    "This library is distributed in the hope that it will be useful,", "but WITHOUT ANY WARRANTY; without even the implied warranty of",
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+]
+STYLES = [("", "", ""), ("/*\n", " * ", "\n */\nint x;"), ("", "# ", "\nimport os"), ("", "// ", "\nint x;"), ("<!--\n", "  ", "\n-->"), ("", ";; ", ""), ("", "dnl ", ""), ("/***\r\n", " * ", "\r\n ***/")]
+
+
+def test_licences_in_comments(spark):
+    cases = [(MIT_LINES, "mit-grant,mit-notice,mit-asis", "MIT"), (GPL_LINES, "gpl3-free,gpl-hope", "GPL-3.0-or-later"), (LGPL_LINES, "lgpl21-free,lgpl-hope", "LGPL-2.1-or-later")]
+    rows, want = [], []
+    for lines, ids, names in cases:
+        for before, prefix, after in STYLES:
+            want.append((len(rows), ids.count(",") + 1, ids, names))
+            rows.append((len(rows), before + "\n".join((prefix + x).rstrip() for x in lines) + after))
+    assert sorted(scan(spark, rows), key=lambda r: r[0]) == want
+
+
+def test_a_sentence_with_a_line_that_starts_with_copyright(spark):
+    rows = [(1, "# Redistributions of source code must retain the above\n# copyright notice, this list of conditions and the following disclaimer.")]
+    assert scan(spark, rows) == [(1, 1, "bsd-source", "")]
+    rows = [(2, "*\n" * 40_000 + "* " * 40_000 + "\n\n# Released under the MIT License."), (3, "# Copyright 2020 A\n# Copyright 2021 B\n# Released under the MIT License.")]
+    assert scan(spark, rows) == [(2, 1, "mit-ref", "MIT"), (3, 1, "mit-ref", "MIT")]
