@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter
+from cladeledger.llm import decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter, whitening
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -139,3 +139,8 @@ def _(spark, sf):
 def _(spark, sf):
     docs = table(spark, sf, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
+
+
+@query("op13_embedding_whitening")
+def _(spark, sf):
+    return whitening.by_component(whitening.whiten(table(spark, sf, "embeddings")))
