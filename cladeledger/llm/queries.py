@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter, whitening
+from cladeledger.llm import alignment, decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter, whitening
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +141,12 @@ def _(spark, sf):
     return quality.score(docs, quality.train(docs, table(spark, sf, "labels")))
 
 
+@query("op11_token_alignment")
+def _(spark, sf):
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align(table(spark, sf, "documents"), *paths)
+
+
 @query("op13_embedding_whitening")
 def _(spark, sf):
     return whitening.by_component(whitening.whiten(table(spark, sf, "embeddings")))
