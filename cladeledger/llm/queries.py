@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.llm import alignment, decontaminate, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter, whitening
+from cladeledger.llm import alignment, decontaminate, jaccard, language_id, licenses, neighbours, packing, pii, quality, simhash, token_files, url_filter, whitening
 from cladeledger.llm.common import table
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -147,6 +147,11 @@ def _(spark, sf):
     return alignment.align(table(spark, sf, "documents"), *paths)
 
 
+@query("op12_ngram_jaccard")
+def _(spark, sf):
+    return jaccard.near_duplicates(table(spark, sf, "documents"))
+
+
 @query("op13_embedding_whitening")
 def _(spark, sf):
     return whitening.by_component(whitening.whiten(table(spark, sf, "embeddings")))
