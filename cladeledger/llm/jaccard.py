@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,11 +30,16 @@ from cladeledger.workspace import materialize
 
 # Similar from NUMERATOR / DENOMINATOR on.
 NUMERATOR, DENOMINATOR = 4, 5
+# Screening: the share of all shingles that is looked at, how many a task counts and a batch holds, bytes of each.
+SCREENED = 0.4
+PART_TOKENS = 4_000_000
+CHUNK_TOKENS = 1_500_000
+CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
-_PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint"
+_PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -47,18 +53,96 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.uint64).view(np.int64))
 
 
-def prints(docs: DataFrame) -> DataFrame:
-    """Of each row its id, its keys, ``kind`` (the same for equal sets) and ``n``, the size of its set; a written table."""
+def screened(docs: DataFrame) -> DataFrame:
+    """Of each row its id, its keys, ``kind`` (the same for equal sets), ``n``, the size of its set, and ``possible``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A similar set shares four fifths of a set's shingles, so it misses at most a fifth of them, also among any part
+    of the set. Here the part are shingles with a hash below a bound, the same for all. Packed lists of them go to one
+    task per range of hashes, which tells how many of each row's some other row has too; where these are too few the
+    row cannot be similar to any other. Cut hashes that meet by chance only let a row pass. ``possible`` is null for a
+    row that has an equal in its batch; one of them stands for the others.
+
+    A task's rows must come in the same order if it runs again, as those of a written table do.
+    """
+    rows = _keyed(docs)
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    parts = max(1, round(chars * SCREENED / 6 / PART_TOKENS))
+    width = -(-int(SCREENED * (1 << 64)) // parts)
+    cut = max(0, width.bit_length() - 8 * CUT_BYTES)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             values = batch.column("text").cast(pa.binary()).to_pylist()
             for start, stop, sets in grouped(values):
-                part = batch.slice(start, stop - start)
-                columns = [part.column(c) for c in ("doc_id", "key_a", "key_b")]
-                yield pa.record_batch([*columns, _signed(sets.keys), pa.array(sets.sizes, pa.int64())], names=["doc_id", "key_a", "key_b", "kind", "n"])
-
-    return materialize(_keyed(docs).mapInArrow(run, _PRINT), "prints")
+                held.append((batch.slice(start, stop - start), sets))
+                size += len(sets.hashes)
+                if size > CHUNK_TOKENS:
+                    yield packed(base, held)
+                    base, held, size = base + 1, [], 0
+        if held:
+            yield packed(base, held)
+
+    def packed(chunk: int, held: list) -> pa.RecordBatch:
+        ids = [pa.concat_arrays([part.column(c) for part, _ in held]) for c in ("doc_id", "key_a", "key_b")]
+        kinds, sizes, hashes = (np.concatenate([getattr(sets, x) for _, sets in held]) for x in ("keys", "sizes", "hashes"))
+        owners = np.repeat(np.arange(len(sizes)), sizes)
+        first = np.zeros(len(kinds), bool)
+        first[np.unique(kinds, return_index=True)[1]] = True
+        chosen = (hashes < np.uint64(int(SCREENED * (1 << 64)))) & first[owners]
+        hashes, owners = hashes[chosen], owners[chosen]
+        taken = np.where(first, np.bincount(owners, minlength=len(sizes)), -1)
+        book = np.stack([ids[0].is_valid().to_numpy(zero_copy_only=False), *(x.fill_null(0).to_numpy() for x in ids), kinds.view(np.int64), sizes, taken], 1)
+        order = np.argsort(hashes)
+        hashes, owners = hashes[order], owners[order]
+        bounds = np.searchsorted(hashes, np.array([p * width for p in range(parts)], np.uint64)).tolist() + [len(hashes)]
+        out = [(-1 - chunk % parts, chunk, book.astype("<i8").tobytes(), b"")]
+        for part, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if a < b:
+                short = (hashes[a:b] - np.uint64(part * width)) >> np.uint64(cut)
+                out.append((part, chunk, _planes(np.diff(short, prepend=np.uint64(0)), CUT_BYTES), _planes(owners[a:b], 4)))
+        kinds_of = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), kinds_of)], names=["part", "chunk", "body", "owners"])
+
+    def count(key, table):
+        if key[0].as_py() < 0:
+            return table.select(["chunk", "body", "owners"])
+        shorts = [np.cumsum(_whole(x.as_buffer(), CUT_BYTES)) for x in table["body"]]
+        tokens, found = np.unique(np.concatenate(shorts), return_counts=True)
+        shared = tokens[found > 1]
+        replies = []
+        for short, owners in zip(shorts, table["owners"]):
+            at = np.minimum(np.searchsorted(shared, short), max(len(shared) - 1, 0))
+            again = shared[at] == short if len(shared) else np.zeros(len(short), bool)
+            replies.append(_planes(np.sort(_whole(owners.as_buffer(), 4)[again]), 4))
+        return pa.table({"chunk": table["chunk"], "body": pa.array([b""] * len(replies), pa.binary()), "owners": pa.array(replies, pa.binary())})
+
+    def judge(key, table):
+        book = np.frombuffer(b"".join(table["body"].to_pylist()), "<i8").reshape(-1, 7)
+        known, doc_id, key_a, key_b, kind, n, taken = book.T
+        owners = np.concatenate([_whole(x.as_buffer(), 4) for x in table["owners"]]).astype(np.int64)
+        again = np.bincount(owners, minlength=len(book))
+        possible = (n > 0) & (again >= taken - (n - (n * NUMERATOR + DENOMINATOR - 1) // DENOMINATOR))
+        return pa.table({
+            "doc_id": pa.array(doc_id, mask=known == 0), "key_a": key_a, "key_b": key_b, "kind": kind, "n": n,
+            "possible": pa.array(possible, mask=taken < 0),
+        })
+
+    sent = rows.mapInArrow(send, "part bigint, chunk bigint, body binary, owners binary")
+    replied = sent.groupBy("part").applyInArrow(count, "chunk bigint, body binary, owners binary")
+    return materialize(replied.groupBy("chunk").applyInArrow(judge, _PRINT), "prints")
+
+
+def _planes(values: np.ndarray, size: int) -> bytes:
+    """The lowest ``size`` bytes of each value, all lowest bytes first, so that zeros lie together and compress."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :size].T).tobytes()
+
+
+def _whole(data: pa.Buffer, size: int) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(size, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :size] = planes.T
+    return out.view("<u8").ravel()
 
 
 def sets_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
@@ -110,7 +194,7 @@ def cells(lists: DataFrame) -> DataFrame:
 
 def _may_be_similar(a: str, b: str) -> Column:
     """Length and positional filter of two members ``a`` and ``b`` of a cell."""
-    most = f"least({a}.k, {b}.k) + 1 + least({a}.n - {a}.alone - {a}.k, {b}.n - {b}.alone - {b}.k) - 1"
+    most = f"least({a}.k, {b}.k) + least({a}.n - {a}.alone - {a}.k, {b}.n - {b}.alone - {b}.k)"
     least = f"(({a}.n + {b}.n) * {NUMERATOR} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}"
     return F.expr(f"{a}.n * {DENOMINATOR} >= {b}.n * {NUMERATOR} and {b}.n * {DENOMINATOR} >= {a}.n * {NUMERATOR} and {most} >= {least}")
 
@@ -228,11 +312,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all of its component are null. Long texts are taken whole, other columns do not matter, an empty table gives no
     rows. Shingles are told apart by 64-bit hashes, 56 of them where sets are compared.
     """
-    found = prints(docs)
+    found = screened(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "key_a", "key_b")).alias("first")
-    kinds = found.filter("n > 0").groupBy("kind").agg(F.min("doc_id").alias("first_doc"), first)
-    kinds = materialize(kinds.select("kind", "first_doc", "first.key_a", "first.key_b"), "kinds")
-    reach = links(ordered(materialize(sets_of(docs, kinds), "sets")))
+    kinds = found.filter("n > 0").groupBy("kind").agg(F.min("doc_id").alias("first_doc"), first, F.bool_and("possible").alias("possible"))
+    kinds = materialize(kinds.select("kind", "first_doc", "first.key_a", "first.key_b", "possible"), "kinds")
+    compared = materialize(kinds.filter("possible").select("kind", "key_a", "key_b"), "compared")
+    reach = links(ordered(materialize(sets_of(docs, compared), "sets")))
     if reach is None:
         rooted = kinds.select("kind", F.col("first_doc").alias("component_id"))
     else:

@@ -121,3 +121,22 @@ def test_suffix_filter_keeps_all_similar_pairs():
             at = int(np.searchsorted(a, token)), int(np.searchsorted(b, token))
             same = len(np.intersect1d(a, b))
             assert jaccard.similar(a, b, *at, same) and not jaccard.similar(a, b, *at, same + 1)
+
+
+def test_screening_lets_all_similar_pass(spark, monkeypatch):
+    rng = random.Random(11)
+    texts = [t for _ in range(30) for t in near_copies(rng, 2, 1)]
+    texts += [" ".join(f"z{rng.randrange(10**6)}" for _ in range(rng.randrange(60, 200))) for _ in range(200)]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5, "doc_id")
+    groups = {}
+    for d, _, c in brute(rows):
+        groups.setdefault(c, []).append(d)
+    linked = {d for members in groups.values() if len(members) > 1 for d in members}
+    for chunk, part in ((200, 300), (10**6, 10**6)):
+        monkeypatch.setattr(jaccard, "CHUNK_TOKENS", chunk)
+        monkeypatch.setattr(jaccard, "PART_TOKENS", part)
+        found = {r.doc_id: r.possible for r in jaccard.screened(docs).collect()}
+        assert linked <= {d for d, p in found.items() if p is not False}
+        assert sum(found[d] is False for d in range(60, 260)) > 190
+        assert got(jaccard.near_duplicates(docs)) == brute(rows)
