@@ -4,8 +4,9 @@ Two tokenizers cut the same bytes. All their tokens are sorted by start and the
 kept; where a start reaches it, both have ended and a group begins. Inside a group, tokens whose bytes overlap are
 linked. How many documents hold a linked pair of ids is counted over the whole table.
 
-Neither tokenizer merges over a space that follows a non-blank, so texts are cut there into units, and each distinct
-unit of a batch is encoded and aligned once. Texts of another kind of tokenizer are one unit each.
+Neither tokenizer merges over a space that follows a non-blank, so texts are cut there into units. The distinct units
+of a batch of texts are encoded once, aligned all together on one line of bytes, and put together to texts again.
+Texts of another kind of tokenizer are one unit each.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import hashlib
 import re
 import sys
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
@@ -25,12 +27,11 @@ from cladeledger.llm.common import share, texts
 from cladeledger.workspace import materialize
 
 SPACE_MARK = "\u2581"
-MAX_CACHED_UNITS = 100_000
-MAX_CACHED_BYTES = 200
 # Distinct pairs a task holds before it hands their counts on, and that are sent to all tasks at once.
 HELD_PAIRS = 2_000_000
 SHARED_PAIRS = 4_000_000
-_BATCH_CHARS = 2_000_000
+_BATCH_CHARS = 4_000_000
+_JOINED_UNITS = 20_000
 
 # The characters with Unicode's White_Space property.
 BLANKS = "\t\n\x0b\x0c\r\x20\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,6 +68,9 @@ def _byte_of_char() -> dict[str, int]:
     others = [b for b in range(256) if b not in set(plain)]
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
+# Fixed value: how a byte-level tokenizer of this kind cuts a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
 
 class Encoders:
     """Ids and the bytes of every id of a byte-level tokenizer (A) and of a sentence-piece one (B)."""
@@ -90,9 +94,11 @@ class Encoders:
             bytes([int(p[3:5], 16)]) if self._b.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)
         ]
         self.sizes_a, self.sizes_b = (np.array([len(x) for x in kind], np.int64) for kind in (self.bytes_a, self.bytes_b))
+        self._tables = [(np.frombuffer(b"".join(x), np.uint8), n) for x, n in ((self.bytes_a, self.sizes_a), (self.bytes_b, self.sizes_b))]
         # Pieces hold their spaces in front only, and A's pattern takes blanks in front of words only.
         self.cuts = all(SPACE_MARK not in p.lstrip(SPACE_MARK) for p in pieces) and self._splits_at_spaces()
         self._unit = re.compile(UNIT)
+        self._ranks = self._fast()
 
     def _splits_at_spaces(self) -> bool:
         import json
@@ -105,28 +111,92 @@ class Encoders:
         """``text`` begins with a space."""
         return self._unit.findall(text) if self.cuts else [text]
 
-    def ids_a(self, units: Sequence[str]) -> list[list[int]]:
-        return [x.ids for x in self._a.encode_batch(list(units), add_special_tokens=False)]
+    def _fast(self):
+        """The same byte-pair encoder as a rank table, if ids are ranks of merges; else None."""
+        import json
 
-    def ids_b(self, units: Sequence[str]) -> list[list[int]]:
+        import tiktoken
+
+        model = json.loads(self._a.to_str())["model"]
+        merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
+        ranks = {self.bytes_a[i]: i for t, i in model["vocab"].items() if i < 256 + len(merged)}
+        if not self.cuts or any(model["vocab"].get(t) != 256 + k for k, t in enumerate(merged)) or len(ranks) != 256 + len(merged):
+            return None
+        return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def _encoded_a(self, texts: list[str]) -> list[list[int]]:
+        if self._ranks is not None:
+            return [self._ranks.encode_ordinary(t) for t in texts]
+        return [x.ids for x in self._a.encode_batch(texts, add_special_tokens=False)]
+
+    def ids_a(self, units: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all units one after the other, and how many each has."""
+        if not self.cuts:
+            return _flat(self._encoded_a(units))
+        # A unit that ends with a blank is a text by itself; of the others, many make one text.
+        alone = np.array([u[-1] in BLANKS for u in units], bool)
+        order = np.r_[np.flatnonzero(~alone), np.flatnonzero(alone)]
+        joined = [units[i] for i in order[: len(units) - alone.sum()].tolist()]
+        texts = ["".join(joined[a : a + _JOINED_UNITS]) for a in range(0, len(joined), _JOINED_UNITS)]
+        ids, _ = _flat(self._encoded_a(texts + [units[i] for i in np.flatnonzero(alone).tolist()]))
+        # No token reaches over the end of a unit, so the bytes tell whose it is.
+        stops = np.searchsorted(np.cumsum(self.sizes_a[ids]), np.cumsum(lengths[order]), side="right")
+        counts, starts = np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+        counts[order], starts[order] = np.diff(np.r_[0, stops]), np.r_[0, stops[:-1]]
+        return ids[_ranges(starts, counts)], counts
+
+    def ids_b(self, units: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         # The model puts the space in front itself, but gives nothing for a space alone.
         alone = [self._b.piece_to_id(SPACE_MARK)]
-        return [x or alone for x in self._b.encode([u[1:] for u in units], num_threads=1)]
+        return _flat([x or alone for x in self._b.encode([u[1:] for u in units], num_threads=1)])
+
+    def same_bytes(self, side: int, ids: np.ndarray, counts: np.ndarray, data: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Whether the tokens of each unit are its bytes."""
+        table, sizes = self._tables[side]
+        starts = np.cumsum(sizes) - sizes
+        sums = np.r_[0, np.cumsum(sizes[ids])][np.r_[0, np.cumsum(counts)]]
+        same = np.diff(sums) == lengths
+        if same.all():
+            unlike = table[_ranges(starts[ids], sizes[ids])] != data
+            if unlike.any():
+                same[np.searchsorted(np.cumsum(lengths), np.flatnonzero(unlike), side="right")] = False
+            return same
+        ends = np.cumsum(lengths)
+        for i in np.flatnonzero(same).tolist():
+            own = ids[counts[:i].sum() : counts[: i + 1].sum()]
+            same[i] = (table[_ranges(starts[own], sizes[own])] == data[ends[i] - lengths[i] : ends[i]]).all()
+        return same
+
+
+def _flat(lists: Sequence[Sequence[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum())), counts
+
 
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts - starts, counts)
 
-class Unit:
-    """Aligned tokens of one unit: counts, the digest's text and the linked pairs ``a * |B| + b``."""
 
-    __slots__ = ("n_a", "n_b", "n_groups", "text", "pairs")
+@dataclass
+class Units:
+    """Aligned units: counts of tokens, groups and links, the digest's texts, and the linked pairs ``a * |B| + b`` in order."""
 
-    def __init__(self, n_a: int, n_b: int, n_groups: int, text: str, pairs: bytes):
-        self.n_a, self.n_b, self.n_groups, self.text, self.pairs = n_a, n_b, n_groups, text, pairs
+    good: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    n_links: np.ndarray
+    pairs: np.ndarray
+    texts: list[str]
 
 
 class Aligner:
     def __init__(self, path_a: str, path_b: str):
         self.encoders = Encoders(path_a, path_b)
-        self._cache: dict[str, Unit | None] = {}
+        numbers = [str(i) for i in range(max(len(self.encoders.bytes_a), len(self.encoders.bytes_b)))]
+        # How an id is written first in a unit, first in a group, after another id, and first of B.
+        self._written = [np.array([mark + n for n in numbers], object) for mark in ("", ";", ",", "|")]
 
     @classmethod
     def of_worker(cls, path_a: str, path_b: str) -> Aligner:
@@ -136,72 +206,94 @@ class Aligner:
             state[path_a, path_b] = cls(path_a, path_b)
         return state[path_a, path_b]
 
-    def align(self, units: Sequence[str]) -> list[Unit | None]:
-        """None where the bytes of either side's tokens are not the unit's."""
+    def align(self, units: Sequence[str]) -> Units:
         encoders = self.encoders
-        ids = encoders.ids_a(units), encoders.ids_b(units)
-        own = [u.encode() for u in units]
-        out: list[Unit | None] = [None] * len(units)
-        same = [
-            i for i, (a, b, data) in enumerate(zip(*ids, own))
-            if b"".join([encoders.bytes_a[x] for x in a]) == data and b"".join([encoders.bytes_b[x] for x in b]) == data
-        ]
-        if not same:
-            return out
+        # The model writes a space as this mark, so the mark itself comes back as a space.
+        good = np.array([SPACE_MARK not in u for u in units], bool)
+        kept = [u for u, g in zip(units, good.tolist()) if g]
+        joined = "".join(kept)
+        lengths = np.array(list(map(len, kept)) if joined.isascii() else [len(u.encode()) for u in kept], np.int64)
+        data = np.frombuffer(joined.encode(), np.uint8)
+        sides = [encoders.ids_a(kept, lengths), encoders.ids_b(kept)]
+        same = encoders.same_bytes(0, *sides[0], data, lengths) & encoders.same_bytes(1, *sides[1], data, lengths)
+        good[good] = same
+        sides = [(ids[np.repeat(same, counts)], counts[same]) for ids, counts in sides]
         # One line of bytes for all: both sides end at the end of a unit.
-        flat = [np.array(list(chain.from_iterable(side[i] for i in same)), np.int64) for side in ids]
-        counts = [np.array([len(side[i]) for i in same]) for side in ids]
-        ends = [np.cumsum(sizes[x]) for sizes, x in zip((encoders.sizes_a, encoders.sizes_b), flat)]
-        starts = [e - sizes[x] for e, sizes, x in zip(ends, (encoders.sizes_a, encoders.sizes_b), flat)]
+        sizes = [table[ids] for table, (ids, _) in zip((encoders.sizes_a, encoders.sizes_b), sides)]
+        ends = [np.cumsum(x) for x in sizes]
+        starts = [e - x for e, x in zip(ends, sizes)]
         groups = coalesce(np.concatenate(starts), np.concatenate(ends))
         left, right = overlaps(starts[0], ends[0], starts[1], ends[1])
-        codes = (flat[0][left] * len(encoders.bytes_b) + flat[1][right]).astype("<u8")
-        bounds = [np.r_[0, np.cumsum(c)] for c in counts]
-        link_bounds = np.searchsorted(left, bounds[0])
-        group_lists = groups[: len(flat[0])].tolist(), groups[len(flat[0]) :].tolist()
-        id_lists = flat[0].tolist(), flat[1].tolist()
-        for k, i in enumerate(same):
-            (a0, a1), (b0, b1) = bounds[0][k : k + 2], bounds[1][k : k + 2]
-            text, n_groups = _digest_text(id_lists[0][a0:a1], group_lists[0][a0:a1], id_lists[1][b0:b1], group_lists[1][b0:b1])
-            out[i] = Unit(int(a1 - a0), int(b1 - b0), n_groups, text, codes[link_bounds[k] : link_bounds[k + 1]].tobytes())
+        pairs = sides[0][0][left] * len(encoders.bytes_b) + sides[1][0][right]
+        (ids_a, n_a), (ids_b, n_b) = sides
+        firsts = np.cumsum(n_a) - n_a
+        links = np.diff(np.searchsorted(left, np.r_[firsts, len(ids_a)]))
+        in_a, in_b = groups[: len(ids_a)], groups[len(ids_a) :]
+        counts = [np.zeros(len(units), np.int64) for _ in range(4)]
+        n_groups = np.diff(np.r_[in_a[firsts], in_a[-1] + 1]) if len(in_a) else np.empty(0, np.int64)
+        for out, values in zip(counts, (n_a, n_b, n_groups, links)):
+            out[good] = values
+        texts = np.full(len(units), "", object)
+        texts[good] = self._texts(ids_a, in_a, n_a, ids_b, in_b, n_b)
+        return Units(good, *counts, pairs, texts.tolist())
+
+    def _texts(self, ids_a, in_a, n_a, ids_b, in_b, n_b) -> np.ndarray:
+        """``a1,a2|b1;a3|b2`` of each unit."""
+        first_a, first_b = (np.r_[True, x[1:] != x[:-1]] if len(x) else np.empty(0, bool) for x in (in_a, in_b))
+        mark = np.where(first_a, 1, 2)
+        mark[np.cumsum(n_a) - n_a] = 0
+        written = [
+            np.choose(mark, [t[ids_a] for t in self._written[:3]]) if len(ids_a) else np.empty(0, object),
+            np.where(first_b, self._written[3][ids_b], self._written[2][ids_b]),
+        ]
+        order = np.argsort(np.concatenate([2 * in_a, 2 * in_b + 1]), kind="stable")
+        items = np.concatenate(written)[order].tolist()
+        stops = np.cumsum(n_a + n_b).tolist()
+        out = np.empty(len(n_a), object)
+        out[:] = ["".join(items[a:b]) for a, b in zip([0, *stops], stops)]
         return out
 
-    def aligned(self, units: list[list[str]]) -> list[list[Unit] | None]:
-        """Aligned units of each text; None if one of them has other bytes than its tokens."""
-        if len(self._cache) > MAX_CACHED_UNITS:
-            self._cache.clear()
-        known: dict[str, Unit | None] = {}
-        cache = self._cache
-        missing = list({u for text in units for u in text if u not in cache})
-        for start, stop in _spans(missing):
-            known |= zip(missing[start:stop], self.align(missing[start:stop]))
+    def rows(self, texts: Sequence[str]) -> list[tuple]:
+        """Of each text the counts of tokens, groups and links, the digest, and steps between its pairs' codes with their numbers."""
+        cut = [self.encoders.units(f" {t}") if t else [] for t in texts]
+        number: dict[str, int] = {}
+        at = np.fromiter((number.setdefault(u, len(number)) for units in cut for u in units), np.int64)
+        found = self.align(list(number))
+        lengths = np.array([len(units) for units in cut], np.int64)
+        owner = np.repeat(np.arange(len(texts)), lengths)
+        bad = np.bincount(owner, ~found.good[at], len(texts)) > 0
+        bad |= lengths == 0
+        sums = [np.bincount(owner, x[at], len(texts)).astype(np.int64) for x in (found.n_a, found.n_b, found.n_groups, found.n_links)]
+        keep = ~bad[owner]
+        at_kept, owner_kept = at[keep], owner[keep]
+        links = found.n_links[at_kept]
+        starts = (np.cumsum(found.n_links) - found.n_links)[at_kept]
+        keys = (np.repeat(owner_kept, links).astype(np.uint64) << np.uint64(32)) | found.pairs[_ranges(starts, links)].astype(np.uint64)
+        keys, times = np.unique(keys, return_counts=True)
+        codes, bounds = keys & np.uint64(0xFFFFFFFF), np.searchsorted(keys >> np.uint64(32), np.arange(len(texts) + 1)).tolist()
+        times, stops = times.astype("<u4"), np.cumsum(lengths).tolist()
         out = []
-        for text in units:
-            found = [cache[u] if u in cache else known[u] for u in text]
-            out.append(None if any(x is None for x in found) else found)
-        cache |= {u: x for u, x in known.items() if len(u) <= MAX_CACHED_BYTES}
+        for i, (stop, count) in enumerate(zip(stops, lengths.tolist())):
+            if bad[i]:
+                out.append((0, 0, 0, 0, 0, 0, "", b"", b""))
+                continue
+            digest = hashlib.sha256(";".join([found.texts[k] for k in at[stop - count : stop].tolist()]).encode()).hexdigest()
+            low, high = bounds[i], bounds[i + 1]
+            # Steps between sorted codes are small, so their upper bytes are zeros that compress away.
+            steps = np.diff(codes[low:high], prepend=np.uint64(0)).astype("<u4")
+            out.append((*(int(x[i]) for x in sums), 0, 0, digest, steps.tobytes(), times[low:high].tobytes()))
         return out
 
 
-def _spans(items: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Runs of items of about ``_BATCH_CHARS`` characters."""
-    start = size = 0
+def _spans(items: Sequence[str], chars: int = _BATCH_CHARS) -> list[tuple[int, int]]:
+    """Runs of items of about ``chars`` characters."""
+    out, start, size = [], 0, 0
     for i, item in enumerate(items):
         size += len(item)
-        if size >= _BATCH_CHARS:
-            yield start, i + 1
+        if size >= chars:
+            out.append((start, i + 1))
             start, size = i + 1, 0
-    if start < len(items):
-        yield start, len(items)
-
-
-def _digest_text(a_ids: list[int], a_groups: list[int], b_ids: list[int], b_groups: list[int]) -> tuple[str, int]:
-    """``a1,a2|b1;a3|b2`` and the number of groups."""
-    sides: dict[int, tuple[list[str], list[str]]] = {}
-    for ids, groups, side in ((a_ids, a_groups, 0), (b_ids, b_groups, 1)):
-        for i, group in zip(ids, groups):
-            sides.setdefault(group, ([], []))[side].append(str(i))
-    return ";".join(f"{','.join(a)}|{','.join(b)}" for a, b in sides.values()), len(sides)
+    return out + [(start, len(items))] if start < len(items) else out
 
 
 def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
@@ -214,28 +306,15 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
         for batch in batches:
             values = [t.as_py() for t in batch.column("text")]
             for start, stop in _spans(values):
-                units = [aligner.encoders.units(f" {t}") if t else [] for t in values[start:stop]]
-                columns = zip(*(_row(found) for found in aligner.aligned(units)))
+                columns = zip(*aligner.rows(values[start:stop]))
                 ids = batch.column("doc_id").slice(start, stop - start)
                 yield pa.record_batch([ids, *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["doc_id", *names])
 
     return materialize(texts(docs).mapInArrow(run, _ALIGNED), "aligned")
 
 
-def _row(found: list[Unit] | None) -> tuple:
-    if not found:
-        return 0, 0, 0, 0, 0, 0, "", b"", b""
-    pairs = np.frombuffer(b"".join([x.pairs for x in found]), "<u8")
-    codes, times = np.unique(pairs, return_counts=True)
-    digest = hashlib.sha256(";".join([x.text for x in found]).encode()).hexdigest()
-    # Steps between sorted codes are small, so their upper bytes are zeros that compress away.
-    steps = np.diff(codes, prepend=codes.dtype.type(0))
-    sums = (sum(x.n_a for x in found), sum(x.n_b for x in found), sum(x.n_groups for x in found), len(pairs))
-    return *sums, 0, 0, digest, steps.astype("<u8").tobytes(), times.astype("<u4").tobytes()
-
-
 def _codes_of(steps: pa.BinaryScalar) -> np.ndarray:
-    return np.cumsum(np.frombuffer(steps.as_buffer(), "<u8"), dtype="<u8").astype(np.int64)
+    return np.cumsum(np.frombuffer(steps.as_buffer(), "<u4"), dtype=np.int64)
 
 
 def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
