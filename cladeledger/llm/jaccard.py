@@ -9,8 +9,8 @@ A shingle of one set alone can join nothing. It takes up room at the front of it
 has no candidates at all. ``screened`` finds most such sets before any shingle travels as a row.
 
 Copies meet as one set. Only connected components are wanted, so a cell of sets that meet at a shingle first offers
-each of its sets one pair, with the cell's pivot; sets that are connected already need no more pairs. When such a
-round finds nothing new, the pairs that are still open are all verified.
+each of its sets one pair, with the cell's pivot; sets that are connected already need no more pairs. When few pairs
+are left open, or such a round finds nothing new, all that are open are verified.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ CHUNK_TOKENS = 1_500_000
 CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
+PAIRS_PER_MEMBER = 2
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
 _PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"
@@ -279,23 +280,33 @@ def _open_pairs(placed: DataFrame) -> DataFrame:
     return _pairs(left.join(right, "token").filter(both))
 
 
-def links(lists: DataFrame) -> DataFrame | None:
-    """``node`` and ``component`` of each kind that is linked to another; None without any links."""
+def _open_pairs_of(placed: DataFrame) -> int:
+    """How many pairs ``_open_pairs`` would make in all cells together, before any filter."""
+    sizes = placed.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
+    cells = sizes.groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
+    return cells.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
+
+
+def links(lists: DataFrame, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame | None:
+    """``node`` and ``component`` of each kind that is linked to another; None without any links.
+
+    Rounds of pairs with pivots go on while they link something and more than ``pairs_per_member`` pairs are open for
+    each member of a cell; then all open pairs are verified. The number decides about the work, not the result.
+    """
     found = cells(lists)
+    members = found.count()
     reach, known, tested = None, None, None
     turn, done = 0, False
     while not done:
         placed = _placed(found, reach)
-        pairs = _star_pairs(placed, turn)
+        # Nothing new from the last pivots, or few pairs left: all of them.
+        done = turn > 0 and new.isEmpty() or _open_pairs_of(placed) <= pairs_per_member * members
+        pairs = _open_pairs(placed) if done else _star_pairs(placed, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
-        new = materialize(verified(pairs, lists), "links")
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        if new.isEmpty():
-            # What the pivots have left open.
-            rest = materialize(_open_pairs(placed).join(tested, ["a", "b"], "left_anti"), "pairs")
-            new, done = materialize(verified(rest, lists), "links"), True
+        new = materialize(verified(pairs, lists), "links")
         if not new.isEmpty():
             known = new if known is None else known.union(new)
             reach = materialize(components(known, "a", "b"), "reach")

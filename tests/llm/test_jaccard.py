@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from cladeledger.llm import jaccard
 from cladeledger.llm.queries import QUERIES
@@ -82,7 +83,14 @@ def test_groups_of_near_copies_and_shared_passages(spark):
     texts += rng.choices(texts, k=30)
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    assert got(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert got(jaccard.near_duplicates(docs)) == want
+    # The same with rounds of pivots until they find nothing.
+    kinds = jaccard.screened(docs).filter("possible").groupBy("kind").agg(F.min("key_a").alias("key_a"), F.min_by("key_b", "key_a").alias("key_b"))
+    lists = jaccard.ordered(jaccard.sets_of(docs, kinds))
+    ways = [sorted(map(tuple, jaccard.links(lists, n).collect())) for n in (0, 10**6)]
+    assert ways[0] == ways[1]
 
 
 def test_at_the_threshold(spark):
