@@ -37,7 +37,7 @@ CHUNK_TOKENS = 1_500_000
 CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
-PAIRS_PER_MEMBER = 2
+PAIRS_PER_MEMBER = 16
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
 _PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"

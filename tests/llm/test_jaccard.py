@@ -86,11 +86,16 @@ def test_groups_of_near_copies_and_shared_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = brute(rows)
     assert got(jaccard.near_duplicates(docs)) == want
-    # The same with rounds of pivots until they find nothing.
+
+
+def test_rounds_of_pivots_and_all_pairs_agree(spark):
+    rng = random.Random(8)
+    rows = list(enumerate(t for size in (2, 30) for t in near_copies(rng, size, 4)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     kinds = jaccard.screened(docs).filter("possible").groupBy("kind").agg(F.min("key_a").alias("key_a"), F.min_by("key_b", "key_a").alias("key_b"))
-    lists = jaccard.ordered(jaccard.sets_of(docs, kinds))
+    lists = jaccard.materialize(jaccard.ordered(jaccard.sets_of(docs, kinds)))
     ways = [sorted(map(tuple, jaccard.links(lists, n).collect())) for n in (0, 10**6)]
-    assert ways[0] == ways[1]
+    assert ways[0] == ways[1] and ways[0]
 
 
 def test_at_the_threshold(spark):
