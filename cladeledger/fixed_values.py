@@ -147,6 +147,7 @@ PACKAGE_CHECKSUM_SOURCE = "ncbi_datasets_package"
 LEGACY_CHECKSUM_SOURCE = "legacy_md5sum_import"
 CHECKSUM_LIST_NAME = "md5sum.txt"
 MANIFEST_NAME = ".accession_manifest.json"
+LIST_BACKUP_NAME = "md5sum.txt.pre_manifest_migration.bak"
 DEFAULT_BATCH_SIZE = 100
 TOP_FAILURES = 10
 

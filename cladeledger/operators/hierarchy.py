@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,31 +33,59 @@ def edges(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode("parent_ids").alias("parent"), F.col("tax_id").alias("child")).distinct()
 
 
-def closure(edge_pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Jumps:
+    """``steps[k]`` has the pairs (``parent``, ``child``) that 2^k links join, as long as there are any."""
+
+    steps: list[DataFrame]
+    one_parent: bool
+    cyclic: bool
+
+    @property
+    def is_forest(self) -> bool:
+        return self.one_parent and not self.cyclic
+
+
+def jumps(edge_pairs: DataFrame) -> Jumps:
+    """Path doubling: each table is the one before joined with itself, so there are as many as the longest path has binary digits.
+
+    With one parent per node a table has at most one row per node. Without cycles the tables run out; with one they
+    stop once a path would be longer than there are links.
+    """
+    links = materialize(edge_pairs.filter("parent <> child").select("parent", "child").distinct(), "edges")
+    most, longest = links.groupBy("child").count().agg(F.max("count"), F.sum("count")).first()
+    one_parent, steps, step = most == 1, [], links
+    while longest and not step.isEmpty():
+        steps.append(step)
+        if 1 << len(steps) > longest:
+            # A path of as many links as there are would have to meet a node again, unless it takes them all.
+            return Jumps(steps, one_parent, not _doubled(step, one_parent).isEmpty())
+        step = _doubled(step, one_parent)
+    return Jumps(steps, one_parent, False)
+
+
+def _doubled(step: DataFrame, one_parent: bool) -> DataFrame:
+    onward = step.select(F.col("parent").alias("child"), F.col("child").alias("beyond"))
+    found = step.join(onward, "child").select("parent", F.col("beyond").alias("child"))
+    return materialize(found if one_parent else found.distinct(), "jumps")
+
+
+def closure(edge_pairs: DataFrame, ancestors: DataFrame, found: Jumps | None = None) -> DataFrame:
     """(ancestor, descendant) for each given ancestor, itself included (GR-2).
 
-    Each round extends only the pairs found in the round before, and is written before the next starts.
-    With one parent per node each pair is met once, so a round is a single join. Otherwise pairs already
-    known are dropped, so the loop ends on cycles and does not walk a node twice.
+    Round *k* extends all pairs known so far by 2^k links at once, so rounds grow with the logarithm of the depth. In a
+    forest each pair is met once; otherwise pairs already known are dropped, which also ends on cycles.
     """
-    links = materialize(edge_pairs.filter("parent <> child").distinct(), "edges")
-    one_parent = links.groupBy("child").count().filter("count > 1").isEmpty()
-    newest = materialize(
+    found = jumps(edge_pairs) if found is None else found
+    known = materialize(
         ancestors.select(F.col("tax_id").alias("ancestor"), F.col("tax_id").alias("descendant")).distinct(),
         "closure",
     )
-    known = newest
-    while not newest.isEmpty():
-        # A cycle of single parents can only lead back to its own start.
-        reached = (
-            newest.join(links, F.col("descendant") == F.col("parent"))
-            .filter("ancestor <> child")
-            .select("ancestor", F.col("child").alias("descendant"))
-        )
-        if not one_parent:
+    for step in found.steps:
+        reached = known.join(step, F.col("descendant") == F.col("parent")).select("ancestor", F.col("child").alias("descendant"))
+        if not found.is_forest:
             reached = reached.distinct().join(known, ["ancestor", "descendant"], "left_anti")
-        newest = materialize(reached, "closure")
-        known = known.unionByName(newest)
+        known = known.unionByName(materialize(reached, "closure"))
     return known
 
 
@@ -92,6 +122,30 @@ def roll_up(pairs: DataFrame, genomes: DataFrame) -> DataFrame:
     )
 
 
+def roll_up_forest(found: Jumps, ancestors: DataFrame, genomes: DataFrame) -> DataFrame:
+    """As ``roll_up``, without pairs: in a forest every node's sums are those of its next 2^k generations, which double.
+
+    Each round writes at most one row per node that has genomes below it.
+    """
+    if not found.is_forest:
+        raise ValueError("nodes with several parents or cycles need the closure")
+    own = genomes_per_taxon(genomes).filter("tax_id IS NOT NULL")
+    sums = own.select("tax_id", "size_bp", "n_genomes", F.lit(True).alias("has_direct"), F.lit(False).alias("has_below"))
+    for step in found.steps:
+        below = sums.join(step, F.col("tax_id") == F.col("child")).select(
+            F.col("parent").alias("tax_id"), "size_bp", "n_genomes", F.lit(False).alias("has_direct"), F.lit(True).alias("has_below")
+        )
+        both = sums.unionByName(below).groupBy("tax_id")
+        sums = materialize(
+            both.agg(
+                F.sum("size_bp").alias("size_bp"), F.sum("n_genomes").alias("n_genomes"),
+                F.bool_or("has_direct").alias("has_direct"), F.bool_or("has_below").alias("has_below"),
+            ),
+            "sums",
+        )
+    return sums.join(ancestors.select("tax_id").distinct(), "tax_id", "left_semi")
+
+
 def descendants_with_genomes(pairs: DataFrame, nodes: DataFrame, genomes: DataFrame) -> DataFrame:
     """Strict descendants that have a node and genomes of their own (JN-3)."""
     own = genomes.select("tax_id").distinct()

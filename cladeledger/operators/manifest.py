@@ -54,9 +54,10 @@ def judge_batches(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Artifact rows with ``old_md5``, ``conflict`` and ``batch_ok`` for whole batches of ``batch_num``.
 
     As if the batches came one after the other: one fails as a whole if a hash of it differs from the manifest, from
-    another of its own rows, or from an earlier batch that did not fail itself. Batches are judged in rounds: a
-    batch is good once no earlier open or good batch contradicts it, and fails once a good one does. Each round
-    settles at least the first open batch of every chain of contradictions; chains are short.
+    another of its own rows, or from an earlier batch that did not fail itself. A batch that no earlier live one
+    contradicts is good. One with a single opponent is the opposite of it, so chains of such batches are settled by
+    pointer jumping, in rounds that grow with the logarithm of their length. One with several opponents fails if the
+    first is good and waits while that is open; each round settles at least the first open batch.
     """
     old = manifest.groupBy("filename").agg(F.max("expected_md5").alias("old_md5"))
     names = artifacts.groupBy("batch_num", "filename").agg(
@@ -65,23 +66,11 @@ def judge_batches(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
     differs = F.col("disagree") | F.coalesce(F.col("old_md5") != F.col("md5"), F.lit(False))
     names = materialize(names.join(old, "filename", "left").withColumn("fault", differs).drop("disagree"), "claims")
     # true: good, false: failed, null: open
-    verdict = F.when(F.bool_or("fault"), False)
-    verdicts = materialize(names.groupBy("batch_num").agg(verdict.alias("good")), "verdicts")
-    while not verdicts.filter("good IS NULL").isEmpty():
-        live = names.join(verdicts, "batch_num").filter("good IS NULL OR good")
-        # Per name the first claimant, and the first that says otherwise: who contradicts a claim is one of the two.
-        firsts = live.groupBy("filename", "md5").agg(F.min(F.struct("batch_num", "good")).alias("first"))
-        place = F.row_number().over(Window.partitionBy("filename").orderBy("first.batch_num"))
-        firsts = firsts.withColumn("place", place).filter("place <= 2").groupBy("filename").agg(
-            F.min(F.when(F.col("place") == 1, F.struct("md5", "first"))).alias("one"),
-            F.min(F.when(F.col("place") == 2, F.struct("md5", "first"))).alias("two"),
-        )
-        open_claims = live.filter("good IS NULL").drop("good").join(firsts.filter("two IS NOT NULL"), "filename")
-        against = F.when(F.col("one.md5") != F.col("md5"), F.col("one.first")).otherwise(F.col("two.first"))
-        contradicted = open_claims.withColumn("against", against).filter("against.batch_num < batch_num")
-        found = contradicted.groupBy("batch_num").agg(F.bool_or(F.coalesce("against.good", F.lit(False))).alias("by_good"))
-        settled = F.when(F.col("good").isNotNull(), F.col("good")).when(F.col("by_good").isNull(), True).when(F.col("by_good"), False)
-        verdicts = materialize(verdicts.join(found, "batch_num", "left").select("batch_num", settled.alias("good")), "verdicts")
+    verdicts = names.groupBy("batch_num").agg(F.when(F.bool_or("fault"), False).alias("good"))
+    while True:
+        verdicts = materialize(_settled(names, verdicts), "verdicts")
+        if verdicts.filter("good IS NULL").isEmpty():
+            break
     good = names.join(verdicts, "batch_num").filter("good").groupBy("filename").agg(F.min(F.struct("batch_num", "md5")).alias("kept"))
     conflict = F.col("fault") | F.coalesce(
         (F.col("kept.md5") != F.col("md5")) & (F.col("kept.batch_num") < F.col("batch_num")), F.lit(False)
@@ -91,6 +80,51 @@ def judge_batches(manifest: DataFrame, artifacts: DataFrame) -> DataFrame:
     return artifacts.join(judged, ["batch_num", "filename"])
 
 
+def _settled(names: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``verdicts`` with what one round settles."""
+    live = names.join(verdicts, "batch_num").filter("good IS NULL OR good")
+    # Who says otherwise about a name before a batch: the last one stands where the run of equal hashes begins.
+    by_name = Window.partitionBy("filename").orderBy("batch_num")
+    so_far = by_name.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    last = F.when(F.lag("md5").over(by_name) != F.col("md5"), F.lag(F.struct("batch_num", "good")).over(by_name))
+    claims = live.withColumns({"last": last, "one": F.first(F.struct("md5", "batch_num", "good")).over(so_far)})
+    other = F.when(F.col("one.md5") != F.col("md5"), F.struct("batch_num", "good"))
+    claims = claims.withColumns({"last": F.last("last", ignorenulls=True).over(so_far), "two": F.first(other, ignorenulls=True).over(so_far)})
+    first = F.when(F.col("one.md5") != F.col("md5"), F.struct(F.col("one.batch_num"), F.col("one.good")))
+    first = first.otherwise(F.when(F.col("two.batch_num") < F.col("batch_num"), F.col("two")))
+    found = claims.filter("good IS NULL").select("batch_num", first.alias("first"), "last").groupBy("batch_num")
+    opponents = materialize(found.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.bool_or(F.coalesce("first.good", F.lit(False)) | F.coalesce("last.good", F.lit(False))).alias("by_good")), "opponents")
+    settled = F.when(F.col("first").isNull(), True).when(F.coalesce("by_good", F.lit(False)), False)
+    now = verdicts.join(opponents, "batch_num", "left")
+    now = now.select("batch_num", F.when(F.col("good").isNotNull(), F.col("good")).otherwise(settled).alias("good"))
+    single = opponents.filter("first.batch_num = last.batch_num AND NOT coalesce(by_good, false)")
+    chains = _chain_ends(single.select("batch_num", F.col("first.batch_num").alias("end"), F.lit(1).alias("steps")))
+    if chains is None:
+        return now
+    ends = now.select(F.col("batch_num").alias("end"), F.col("good").alias("end_good"))
+    # An even number of opposites is the same.
+    verdict = F.when(F.col("steps") % 2 == 0, F.col("end_good")).otherwise(~F.col("end_good"))
+    chained = chains.join(ends, "end").select("batch_num", verdict.alias("chained"))
+    return now.join(chained, "batch_num", "left").select("batch_num", F.coalesce("good", "chained").alias("good"))
+
+
+def _chain_ends(chains: DataFrame) -> DataFrame | None:
+    """Follow ``end`` until it has none itself, adding up ``steps``; each round doubles the distance. None if empty."""
+    chains = materialize(chains, "chains")
+    if chains.isEmpty():
+        return None
+    while True:
+        onward = chains.select(F.col("batch_num").alias("end"), F.col("end").alias("beyond"), F.col("steps").alias("more"))
+        longer = chains.join(onward, "end", "left").select(
+            "batch_num", F.coalesce("beyond", "end").alias("end"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"),
+            F.col("beyond").isNotNull().alias("moved"),
+        )
+        longer = materialize(longer, "chains")
+        chains = longer.drop("moved")
+        if longer.filter("moved").isEmpty():
+            return chains
+
+
 def coverage(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Tracked, discovered and untracked output files of a folder (AG-14)."""
     outputs = files.filter(

@@ -1,10 +1,14 @@
 """First-fit-decreasing packing of sized items into bins, exact for any number of items.
 
-First fit is a stream through the bins: bins 1..K take what fits and pass the rest, in order, to bins
+A key with few items is packed in one pass. One with many items of not too many sizes is planned from its sizes: items
+of one size are a run, neighbouring bins with equal room are a run, and a run of items fills a run of bins in one
+step, since each bin takes what it can before the next gets any. The plan says for stretches of the sorted items
+which bins they go to, so no task ever holds the items.
+
+Keys with very many items and sizes go through waves. First fit is a stream through the bins: bins 1..K take what fits and pass the rest, in order, to bins
 K+1..2K. So a block of K bins can work on one chunk of the sorted items while the next block works on
 the chunk before it. Each wave runs all such (chunk, block) pairs as parallel tasks of bounded size and
-gives the same bins as one pass over all items. Only keys with more than one chunk go through waves, and a key
-is carried on only while it has items left. All waves are parts of one table, so the plan that reads them
+gives the same bins as one pass over all items. A key is carried on only while it has items left. All waves are parts of one table, so the plan that reads them
 does not grow with their number.
 """
 
@@ -18,10 +22,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from cladeledger.ordering import split_hot, tie_break, with_row_number
+from cladeledger.ordering import split_by, split_hot, tie_break, with_last_known, with_row_number
 from cladeledger.workspace import materialize, new_path
 
 CHUNK_ROWS = 200_000
+# Distinct sizes of a key that one task plans; the bins' runs are at most about twice as many.
+MAX_SIZES = 20_000
 
 
 def pack(
@@ -31,26 +37,29 @@ def pack(
     item: str = "tax_id",
     keys: Sequence[str] = (),
     chunk_rows: int = CHUNK_ROWS,
+    max_sizes: int = MAX_SIZES,
 ) -> DataFrame:
     """Add ``bin``, numbered from 1 per key; null for items larger than ``capacity`` or without a size (WN-8, SO-1).
 
-    Items are taken by size descending, ties by ``item``, then by a hash of all columns.
+    Items are taken by size descending, ties by ``item``, then by a hash of all columns. Keys of over ``chunk_rows``
+    items are planned by runs if they have ``max_sizes`` sizes at most, else in waves; the bins are the same.
     """
     # The items are read several times; what they come from should run only once.
     items = materialize(items, "items")
-    placed = _place(items.filter(F.col(size) <= capacity), capacity, size, item, list(keys), chunk_rows)
+    placed = _place(items.filter(F.col(size) <= capacity), capacity, size, item, list(keys), chunk_rows, max_sizes)
     outside = items.filter(F.col(size).isNull() | (F.col(size) > capacity))
     return placed.unionByName(outside.withColumn("bin", F.lit(None).cast("bigint")))
 
 
 def pack_all(
-    items: DataFrame, capacity: int, size: str, item: str, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS
+    items: DataFrame, capacity: int, size: str, item: str, keys: Sequence[str], chunk_rows: int = CHUNK_ROWS,
+    max_sizes: int = MAX_SIZES,
 ) -> DataFrame:
     """As ``pack``, with each oversized item in a bin of its own after the others (WN-9).
 
     Items without a size keep a null bin.
     """
-    packed = pack(items, capacity, size, item, keys, chunk_rows)
+    packed = pack(items, capacity, size, item, keys, chunk_rows, max_sizes)
     last = packed.groupBy(*keys).agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))
     over = with_row_number(packed.filter(F.col(size) > capacity), keys, [F.col(item)], "_extra")
     over = over.join(last, list(keys)).withColumn("bin", F.col("_last") + F.col("_extra"))
@@ -59,7 +68,7 @@ def pack_all(
 
 
 def _place(
-    items: DataFrame, capacity: int, size: str, item: str, keys: list[str], chunk_rows: int
+    items: DataFrame, capacity: int, size: str, item: str, keys: list[str], chunk_rows: int, max_sizes: int
 ) -> DataFrame:
     items = items.withColumn("_tie", tie_break(items))
     if keys:
@@ -77,7 +86,36 @@ def _place(
     placed = cold.groupBy(*keys).applyInPandas(one_pass, schema)
     if hot is None:
         return placed
-    return placed.unionByName(_place_in_waves(hot, capacity, size, item, keys, chunk_rows))
+    sizes = materialize(hot.groupBy(*keys, size).count(), "sizes")
+    if keys:
+        few, many = split_by(hot, keys, sizes.groupBy(*keys).count().filter(F.col("count") > max_sizes).drop("count"))
+    else:
+        few, many = (hot, None) if sizes.count() <= max_sizes else (hot.limit(0), hot)
+    if many is None or keys:
+        planned = sizes if many is None else split_by(sizes, keys, many.select(*keys).distinct())[0]
+        placed = placed.unionByName(_place_by_runs(few, planned, capacity, size, item, keys).select(*schema.names))
+    return placed if many is None else placed.unionByName(_place_in_waves(many, capacity, size, item, keys, chunk_rows))
+
+
+def _place_by_runs(items: DataFrame, sizes: DataFrame, capacity: int, size: str, item: str, keys: list[str]) -> DataFrame:
+    plan_fields = [*[sizes.schema[k] for k in keys], sizes.schema[size], *(StructField(n, LongType()) for n in ("_no", "_first", "_each"))]
+
+    def plan(batch: pd.DataFrame) -> pd.DataFrame:
+        batch = batch.sort_values(size, ascending=False)
+        found = plan_runs(batch[size].to_numpy(dtype=np.int64), batch["count"].to_numpy(dtype=np.int64), capacity)
+        rows = batch.iloc[np.array([r[0] for r in found], dtype=np.int64)][[*keys, size]].reset_index(drop=True)
+        return rows.assign(_no=[r[1] for r in found], _first=[r[2] for r in found], _each=[r[3] for r in found])
+
+    stretches = sizes.groupBy(*keys).applyInPandas(plan, StructType(plan_fields))
+    run = [*keys, size]
+    numbered = with_row_number(items, run, [F.col(item), F.col("_tie")], "_no")
+    numbered = numbered.withColumns({"_no": F.col("_no") - 1, "_first": F.lit(None).cast("bigint"), "_each": F.lit(None).cast("bigint")})
+    # A stretch comes right before its first item, and holds until the next one begins.
+    both = numbered.withColumn("_is_item", F.lit(1)).unionByName(stretches.withColumn("_is_item", F.lit(0)), allowMissingColumns=True)
+    start = F.when(F.col("_is_item") == 0, F.col("_no"))
+    known = {"_first_bin": F.col("_first"), "_per_bin": F.col("_each"), "_start": start}
+    filled = with_last_known(both, run, [F.col("_no"), F.col("_is_item")], known).filter("_is_item = 1")
+    return filled.withColumn("bin", F.expr("_first_bin + (_no - _start) div _per_bin + 1"))
 
 
 def _place_in_waves(
@@ -145,6 +183,59 @@ def _chunked(items: DataFrame, size: str, item: str, keys: list[str], chunk_rows
     return ranged.join(numbers, [*keys, "_part"]).drop("_part")
 
 
+def plan_runs(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:
+    """First fit of runs of equal items, sizes descending: stretches of (run, first item, first bin, items per bin).
+
+    From its first item on, a stretch puts ``items per bin`` items into each bin from ``first bin`` on.
+    """
+    bins, room = np.empty(0, np.int64), np.empty(0, np.int64)
+    out: list[tuple[int, int, int, int]] = []
+    for run, (size, count) in enumerate(zip(sizes.tolist(), counts.tolist())):
+        taken = 0
+        if size <= 0:
+            # What takes no room all goes to the first bin that has any, also if that is none at all.
+            at = np.flatnonzero(room >= size)
+            if not len(at):
+                bins, room, at = np.append(bins, 1), np.append(room, capacity), [len(bins)]
+            bins, room = _split(bins, room, int(at[0]), [(1, int(room[at[0]]) - size * count), (int(bins[at[0]]) - 1, int(room[at[0]]))])
+            out.append((run, 0, int(bins[: at[0]].sum()), count))
+            continue
+        at = np.flatnonzero(room >= size)
+        each = room[at] // size
+        sums = np.cumsum(bins[at] * each)
+        full = int(np.searchsorted(sums, count, side="right"))
+        starts = np.cumsum(bins) - bins
+        for k, q, before in zip(at[:full].tolist(), each[:full].tolist(), [0, *sums[:full].tolist()]):
+            out.append((run, before, int(starts[k]), q))
+        room[at[:full]] -= each[:full] * size
+        taken = int(sums[full - 1]) if full else 0
+        if taken < count and full < len(at):
+            k, q, rest = int(at[full]), int(each[full]), count - taken
+            out.append((run, taken, int(starts[k]), q))
+            whole, more = divmod(rest, q)
+            free = int(room[k])
+            parts = [(whole, free - q * size), (int(more > 0), free - more * size), (int(bins[k]) - whole - (more > 0), free)]
+            bins, room = _split(bins, room, k, parts)
+        elif taken < count:
+            q, rest = capacity // size, count - taken
+            out.append((run, taken, int(bins.sum()), q))
+            whole, more = divmod(rest, q)
+            for number, free in ((whole, capacity - q * size), (int(more > 0), capacity - more * size)):
+                if number:
+                    bins, room = np.append(bins, number), np.append(room, free)
+        # Neighbours with equal room are one run again.
+        new = np.flatnonzero(np.r_[True, room[1:] != room[:-1]]) if len(room) else np.empty(0, np.int64)
+        bins, room = (np.add.reduceat(bins, new), room[new]) if len(new) else (bins, room)
+    return out
+
+
+def _split(bins: np.ndarray, room: np.ndarray, at: int, parts: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs with the one ``at`` replaced by those ``parts`` (number, room) that have a bin."""
+    kept = [(n, r) for n, r in parts if n > 0]
+    numbers, rooms = (np.array([p[i] for p in kept], np.int64) for i in (0, 1))
+    return np.concatenate([bins[:at], numbers, bins[at + 1 :]]), np.concatenate([room[:at], rooms, room[at + 1 :]])
+
+
 def fill_bins(sizes: np.ndarray, free: np.ndarray, capacity: int, limit: int) -> tuple[list[int], np.ndarray]:
     """First fit of ``sizes`` into at most ``limit`` bins; -1 for what does not fit any.
 

@@ -119,14 +119,19 @@ def recover(tasks: DataFrame, hashes: DataFrame) -> DataFrame:
     return joined.withColumns({"last_error": error, "status": status}).select(*tasks.columns)
 
 
+def requeued(status: Column) -> Column:
+    """The state after a retry: retryable and still failing tasks go back to the queue, fatal ones do not."""
+    return F.when(status.isin("STILL_FAILED", "FAILED_RETRYABLE"), "DOWNLOAD_QUEUED").otherwise(status)
+
+
 def requeue_failed(tasks: DataFrame) -> DataFrame:
-    """Retryable and still failing tasks go back to the queue; fatal ones do not."""
-    again = F.col("status").isin("STILL_FAILED", "FAILED_RETRYABLE")
+    """Tasks after a retry was asked for; those that it moves have one more attempt."""
+    again = requeued(F.col("status")) != F.col("status")
     return tasks.withColumns(
         {
             "attempts": F.when(again, F.col("attempts") + 1).otherwise(F.col("attempts")),
             "last_error": F.when(again, RETRY_TEXT).otherwise(F.col("last_error")),
-            "status": F.when(again, "DOWNLOAD_QUEUED").otherwise(F.col("status")),
+            "status": requeued(F.col("status")),
         }
     )
 

@@ -34,8 +34,12 @@ def split_hot(df: DataFrame, keys: Sequence[str], max_group_rows: int) -> tuple[
 
     At most one key per ``max_group_rows`` rows is hot, so the table of hot keys stays small.
     """
-    counts = df.groupBy(*keys).count().filter(F.col("count") > max_group_rows).drop("count")
-    hot = materialize(counts.withColumnsRenamed({k: f"_hot_{k}" for k in keys}), "hot-keys")
+    return split_by(df, keys, df.groupBy(*keys).count().filter(F.col("count") > max_group_rows).drop("count"))
+
+
+def split_by(df: DataFrame, keys: Sequence[str], chosen: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows whose keys are not among the ``chosen`` ones, and those whose are, if there are any; nulls are keys."""
+    hot = materialize(chosen.withColumnsRenamed({k: f"_hot_{k}" for k in keys}), "hot-keys")
     if hot.isEmpty():
         return df, None
     same = F.lit(True)
@@ -102,7 +106,11 @@ def with_last_known(
     values: dict[str, Column],
     max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
-    """Add, per output name, the latest non-null value of its column up to and including each row."""
+    """Add, per output name, the latest non-null value of its column up to and including each row.
+
+    Rows that ``order`` does not tell apart are taken by a hash of all their columns, as in ``with_row_number``.
+    """
+    order = [*order, tie_break(df)]
     cold, hot = split_hot(df, keys, max_group_rows)
     window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     filled = cold.withColumns({n: F.last(c, ignorenulls=True).over(window) for n, c in values.items()})

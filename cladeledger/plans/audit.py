@@ -8,12 +8,14 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeledger.fixed_values import DEFAULT_BATCH_SIZE
+from cladeledger.fixed_values import CHECKSUM_LIST_NAME, DEFAULT_BATCH_SIZE, LIST_BACKUP_NAME
 from cladeledger.functions.checksums import display_path, file_state_message
 from cladeledger.functions.names import is_valid_binomial
 from cladeledger.operators import integrity, layout, manifest, repair, reports, resume
+from cladeledger.operators.dedup import last_wins
+from cladeledger.sinks.lines import write_lines
 from cladeledger.sources.inventory import checksum_lists, existing_files, list_entries, requested_files
-from cladeledger.sources.lines import checksum_entries, read_many_lists
+from cladeledger.sources.lines import checksum_entries, read_checksums, read_lines, read_many_lists
 from cladeledger.workspace import materialize
 
 
@@ -111,6 +113,20 @@ def rebuild_manifest(
     return manifest.classify_merge(current, committed), manifest.rebuild_counts(candidates)
 
 
+def import_checksum_list(spark: SparkSession, folder: str, current: DataFrame, outputs: DataFrame) -> DataFrame:
+    """Manifest rows from the old checksum list of ``folder`` (JN-16), which is kept first as a backup beside it (SNK-7).
+
+    The backup is written once, in the order of the list, and never replaced; none is made when nothing is imported.
+    """
+    path = f"{folder.rstrip('/')}/{CHECKSUM_LIST_NAME}"
+    entries = last_wins(read_checksums(spark, path, "flat"), ["file_path"], F.col("line")).select("expected_hash", "file_path")
+    rows = materialize(manifest.legacy_import(current, entries, outputs), "imported")
+    if not rows.isEmpty():
+        old = read_lines(spark, path).select(F.col("value").alias("line"), F.col("line").alias("place"))
+        write_lines(old, f"{folder.rstrip('/')}/{LIST_BACKUP_NAME}", ["place"], mode="ignore")
+    return rows
+
+
 def plan_layout(
     files: DataFrame, entries: DataFrame, include: Sequence[str], keys: Sequence[str] = ()
 ) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -1,8 +1,9 @@
 """JSON documents for manifests, progress, repair tasks and errors, and repair reports.
 
-The stored form at any size is a table with one JSON entry per line (``write_manifest_rows`` and so on). A document
-is a projection for tools that want one: the caller says into how many documents the entries go, and one
-document passes through one task. Nothing about the form depends on how many entries there are.
+The stored form at any size is a table with one JSON entry per line (``write_manifest_rows`` and so on). For tools that
+want one document, ``write_manifest_document`` and so on write one file of any size, which all tasks write at once, an
+entry per line and in order, and which is replaced as a whole. ``write_manifest`` and so on give several documents,
+each of which passes through one task. Nothing about the form depends on how many entries there are.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from cladeledger.operators.repair import outcomes, repair_result, summarize
 from cladeledger.operators.reports import error_counts
 from cladeledger.ordering import with_row_number
 from cladeledger.sinks.lines import REPORT_ORDER, exploded, fixed_lines, write_lines
+from cladeledger.sinks.single_file import write_text_file
 
 _ARTIFACT = ("accession", "include_type", "filename", "expected_md5", "checksum_source", "committed_at")
 
@@ -69,6 +71,61 @@ def write_manifest(manifest: DataFrame, path: str, committed_at: str, documents:
     )
 
 
+def _key_of(column: str) -> Column:
+    """The column as a JSON string."""
+    return F.regexp_extract(F.to_json(F.struct(F.col(column).alias("k"))), "^\\{\"k\":(.*)\\}$", 1)
+
+
+def _entries(rows: DataFrame, section: int, key: str, text: Column) -> DataFrame:
+    """One line per row, by key, each but the first after a comma; keys are distinct."""
+    least = rows.agg(F.min(key)).first()[0]
+    begin = F.when(F.col(key) == F.lit(least), "\n").otherwise(",\n")
+    return rows.select(F.lit(section).alias("section"), F.col(key).alias("item"), F.concat(begin, text).alias("text"))
+
+
+def _fixed(spark, section: int, text: str) -> DataFrame:
+    return spark.createDataFrame([(section, "", text)], "section INT, item STRING, text STRING")
+
+
+def write_manifest_document(manifest: DataFrame, path: str, committed_at: str) -> DataFrame:
+    """The manifest as one document with sorted filenames (SNK-7); returns the index of the file's ranges."""
+    spark = manifest.sparkSession
+    entry = F.to_json(F.struct(*[F.col(c) for c in _ARTIFACT]))
+    rows = _entries(_stamped(manifest, committed_at), 1, "filename", F.concat(_key_of("filename"), F.lit(": "), entry))
+    end = f'\n}}, "generated_by": "cladeledger", "schema_version": {MANIFEST_SCHEMA_VERSION}}}\n'
+    parts = rows.unionByName(_fixed(spark, 0, '{"artifacts": {')).unionByName(_fixed(spark, 2, end))
+    return write_text_file(parts, path, ["section", "item"])
+
+
+def write_progress_document(states: DataFrame, path: str, start: float, now: float) -> DataFrame:
+    """Completed and failed items as one document, each sorted (SNK-8); returns the index of the file's ranges."""
+    spark = states.sparkSession
+    ends = ['{"completed_taxa": [', '\n], "failed_taxa": [', f'\n], "start_time": {json.dumps(start)}, "last_update": {json.dumps(now)}}}\n']
+    parts = _fixed(spark, 0, ends[0]).unionByName(_fixed(spark, 2, ends[1])).unionByName(_fixed(spark, 4, ends[2]))
+    for section, state in ((1, "completed"), (3, "failed")):
+        parts = parts.unionByName(_entries(states.filter(F.col("state") == state).select("item").distinct(), section, "item", _key_of("item")))
+    return write_text_file(parts, path, ["section", "item"])
+
+
+def write_task_document(
+    tasks: DataFrame, path: str, run_id: str, root: str, created_at: str, updated_at: str, fingerprint: dict[str, str] | None = None
+) -> DataFrame:
+    """Tasks as one document with head and summary, by task id (SNK-9, AG-8); returns the index of the file's ranges."""
+    spark = tasks.sparkSession
+    summary = summarize(tasks).select(F.to_json(F.struct("*"))).first()[0]
+    head = json.dumps(_task_head(run_id, root, created_at, updated_at, fingerprint)).removesuffix("}")
+    entry = F.to_json(F.struct(*[F.col(c) for c in tasks.columns]))
+    rows = _entries(tasks, 1, "task_id", F.concat(_key_of("task_id"), F.lit(": "), entry))
+    parts = rows.unionByName(_fixed(spark, 0, f'{head}, "summary": {summary}, "tasks": {{')).unionByName(_fixed(spark, 2, "\n}}\n"))
+    return write_text_file(parts, path, ["section", "item"])
+
+
+def _task_head(run_id: str, root: str, created_at: str, updated_at: str, fingerprint: dict[str, str] | None) -> dict:
+    # The names of the head's fields.
+    return {"schema_version": 1, "mode": "md5_autofix", "run_id": run_id, "verification_dir": root, "created_at": created_at,
+            "updated_at": updated_at, "input_fingerprint": fingerprint or {}}
+
+
 def write_progress_rows(states: DataFrame, path: str) -> None:
     """Items of a run with their state, one per line (SNK-8)."""
     states.select("item", "state").write.mode("overwrite").json(path)
@@ -104,10 +161,7 @@ def write_task_state(
     numbered = _numbered(tasks, "task_id", documents)
     entry = F.struct(*[F.col(c) for c in tasks.columns])
     texts = numbered.groupBy("_document").agg(_entry_map("task_id", entry).alias("entries"))
-    head = json.dumps(
-        {"schema_version": 1, "mode": "md5_autofix", "run_id": run_id, "verification_dir": root, "created_at": created_at,
-         "updated_at": updated_at, "input_fingerprint": fingerprint or {}}
-    )
+    head = json.dumps(_task_head(run_id, root, created_at, updated_at, fingerprint))
     text = F.concat(F.lit(head.removesuffix("}")), F.lit(f', "summary": {summary}, "tasks": {{\n'), "entries", F.lit("\n}}"))
     _write(texts.select(text.alias("value")), path)
 

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_lines(lines: DataFrame, path: str, order: Sequence[str], folder: str | None = None) -> None:
+def write_lines(lines: DataFrame, path: str, order: Sequence[str], folder: str | None = None, mode: str = "overwrite") -> None:
     """Write column ``line`` in ``order``, replacing ``path``; one sub-folder per ``folder`` value.
 
     Rows are range-partitioned, so a large list or folder becomes several consecutive part files.
     """
     by = ([folder] if folder else []) + list(order)
     placed = lines.repartitionByRange(*[F.col(c) for c in by]).sortWithinPartitions(*by)
-    writer = placed.select(*([folder] if folder else []), "line").write.mode("overwrite")
+    writer = placed.select(*([folder] if folder else []), "line").write.mode(mode)
     (writer.partitionBy(folder) if folder else writer).text(path)
 
 

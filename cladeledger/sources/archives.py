@@ -16,6 +16,7 @@ from cladeledger.functions.text import basename
 
 _SCHEMA = "path STRING, member STRING, line_no BIGINT, value STRING"
 _LINES_PER_BATCH = 10_000
+SPREAD_BYTES = 64 << 20
 
 
 def read_package_checksums(paths: DataFrame, column: str = "path") -> DataFrame:
@@ -64,8 +65,7 @@ def archive_members(files: DataFrame) -> DataFrame:
     archive, and error for an archive that cannot be opened, which has one row without a name.
     """
     top = files.filter(F.endswith("rel_path", F.lit(".zip")) & ~F.contains("rel_path", F.lit("/")))
-    tasks = files.sparkSession.sparkContext.defaultParallelism
-    rows = top.select("path").repartition(tasks, "path").mapInPandas(_list_members, _MEMBERS)
+    rows = list_members(top)
     folder, member = F.regexp_replace("archive", r"\.zip$", ""), F.coalesce(F.concat(F.lit("/"), "member"), F.lit(""))
     return rows.select(
         F.concat(folder, member).alias("path"), F.concat(basename(folder), member).alias("rel_path"),
@@ -90,6 +90,39 @@ def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=["archive", "member", "size", "error"]).astype({"size": "Int64"})
 
 
+def member_lines(members: DataFrame, spread_bytes: int = SPREAD_BYTES) -> DataFrame:
+    """Lines of members of archives: ``archive``, ``member``, ``line_no`` and ``value`` (SRC-7).
+
+    ``members`` has archive, member and size, from ``list_members``. A task opens an archive and reads by range what a
+    member needs, so the members of one archive go to as many tasks as their sizes ask for. Members that are not
+    UTF-8 are read as far as they are text; an archive that cannot be opened fails the job.
+    """
+    total = members.agg(F.sum("size")).first()[0] or 0
+    tasks = max(members.sparkSession.sparkContext.defaultParallelism, -(-total // spread_bytes))
+    rows = members.select("archive", "member").repartition(int(tasks), "archive", "member")
+    return rows.mapInPandas(_read_members, "path STRING, member STRING, line_no BIGINT, value STRING").withColumnRenamed("path", "archive")
+
+
+def list_members(archives: DataFrame) -> DataFrame:
+    """``archive``, ``member``, ``size`` and ``error`` of the files in each archive of column ``path``, from its directory alone."""
+    tasks = archives.sparkSession.sparkContext.defaultParallelism
+    return archives.select("path").repartition(tasks, "path").mapInPandas(_list_members, _MEMBERS)
+
+
+def _read_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyarrow.fs import FileSystem
+
+    for batch in batches:
+        # The directory of an archive is read once for all its members here.
+        for path, names in batch.groupby("archive")["member"]:
+            system, inner = FileSystem.from_uri(path)
+            with system.open_input_file(inner) as source, zipfile.ZipFile(source) as archive:
+                for name in names:
+                    with archive.open(name) as member:
+                        lines = (line.rstrip("\r\n") for line in io.TextIOWrapper(member, "utf-8", "replace"))
+                        yield from _line_batches(path, name, lines)
+
+
 def _line_batches(path: str, member: str, lines) -> Iterator[pd.DataFrame]:
     pending = []
     for number, line in enumerate(lines, start=1):

@@ -57,6 +57,17 @@ def read_manifest(spark: SparkSession, path: str | list[str], **options) -> Data
     ])
 
 
+def read_document_entries(spark: SparkSession, path: str, fields: str) -> DataFrame:
+    """``name`` and the ``fields`` of each entry of a document with an entry per line, in as many tasks as its size asks for.
+
+    The documents of ``sinks.documents`` written as one file have this form; entries begin at a quotation mark.
+    """
+    lines = spark.read.text(path).filter(F.startswith("value", F.lit('"')))
+    text = F.concat(F.lit("{"), F.regexp_replace("value", ",$", ""), F.lit("}"))
+    entry = F.from_json(text, f"map<string, struct<{fields}>>", {"mode": "FAILFAST"})
+    return lines.select(F.explode(entry).alias("name", "entry")).select("name", "entry.*")
+
+
 def read_manifest_rows(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Artifact rows of the stored form, one per line; other schema versions fail (SRC-8)."""
     fields = "schema_version INT, " + ARTIFACT_FIELDS.replace(": ", " ")

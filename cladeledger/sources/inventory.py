@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator, Sequence
-from itertools import batched
+from itertools import batched, islice
+from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,29 +17,42 @@ from cladeledger.functions.filetypes import file_type, include_types
 from cladeledger.functions.text import basename
 from cladeledger.workspace import materialize
 
-_SCHEMA = "path STRING, is_directory BOOLEAN, size BIGINT, modified DOUBLE, error STRING"
+_SCHEMA = "path STRING, is_directory BOOLEAN, size BIGINT, modified DOUBLE, error STRING, more BOOLEAN"
 _ENTRIES_PER_BATCH = 10_000
+# Beyond so many entries a directory is listed by many tasks, each for its share of the names.
+SHARED_FROM = 20_000
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, shared_from: int = SHARED_FROM) -> DataFrame:
     """All files below ``root`` with path, rel_path, name, size and modified. Hidden files are listed too."""
-    return list_entries(spark, root).filter("NOT is_directory").drop("is_directory", "error")
+    return list_entries(spark, root, shared_from).filter("NOT is_directory").drop("is_directory", "error")
 
 
-def list_entries(spark: SparkSession, root: str) -> DataFrame:
+def list_entries(spark: SparkSession, root: str, shared_from: int = SHARED_FROM) -> DataFrame:
     """Files and directories below ``root``; ``error`` tells why a directory could not be read.
 
     Directories are listed by the executors, one level of the tree per round; the listing never
-    passes through the driver.
+    passes through the driver. A directory of more than ``shared_from`` entries, such as one flat folder of all
+    files, is listed once more in the next round: every task reads the names, which is quick, and looks at those
+    whose hash is its share, which is what takes the time.
     """
     root = root.rstrip("/")
     tasks = spark.sparkContext.defaultParallelism
-    level = spark.createDataFrame([(root,)], "path STRING")
+    level = spark.createDataFrame([(root, 0, 1)], "path STRING, share INT, shares INT")
     found = None
+
+    def list_some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return _list_directories(batches, shared_from)
+
     while True:
-        listed = materialize(level.repartition(tasks, "path").mapInPandas(_list_directories, _SCHEMA), "listing")
-        found = listed if found is None else found.unionByName(listed)
-        level = listed.filter("is_directory AND error IS NULL").select("path")
+        spread = level.repartition(tasks, "path", "share")
+        listed = materialize(spread.mapInPandas(list_some, _SCHEMA), "listing")
+        entries = listed.filter("NOT more").drop("more")
+        found = entries if found is None else found.unionByName(entries)
+        below = entries.filter("is_directory AND error IS NULL").select("path", F.lit(0).alias("share"), F.lit(1).alias("shares"))
+        shares = F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("share")
+        again = listed.filter("more").select("path", shares).withColumn("shares", F.lit(tasks))
+        level = below.unionByName(again)
         if level.isEmpty():
             break
     return found.select(
@@ -52,36 +66,56 @@ def list_entries(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _list_directories(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
     columns = ["path", "is_directory", "size", "modified", "error"]
     for batch in batches:
-        for directory in batch["path"]:
-            for entries in batched(_entries(directory), _ENTRIES_PER_BATCH):
-                yield pd.DataFrame(entries, columns=columns)
-
-
-def _entries(directory: str) -> Iterator[tuple[str, bool, int, float, str | None]]:
-    """What a directory holds, or one row with the error for a directory that cannot be read."""
+        for directory, share, shares in zip(batch["path"], batch["share"], batch["shares"]):
+            entries = _entries(directory, int(share), int(shares))
+            if shares == 1:
+                first = list(islice(entries, limit + 1))
+                if len(first) > limit:
+                    yield pd.DataFrame([(directory, True, 0, 0.0, None)], columns=columns).assign(more=True)
+                    continue
+                entries = iter(first)
+            for some in batched(entries, _ENTRIES_PER_BATCH):
+                yield pd.DataFrame(some, columns=columns).assign(more=False)
+
+
+def _entries(directory: str, share: int = 0, shares: int = 1) -> Iterator[tuple[str, bool, int, float, str | None]]:
+    """What a directory holds of a share of the names, or one row with the error if it cannot be read."""
     if "://" not in directory:
         plain = directory.removeprefix("file:")
         try:
             with os.scandir(plain) as entries:
                 for entry in entries:
+                    if shares > 1 and crc32(os.fsencode(entry.name)) % shares != share:
+                        continue
                     # Links to directories are not followed, so that a listing ends.
                     if entry.is_dir(follow_symlinks=False):
                         yield f"{plain}/{entry.name}", True, 0, 0.0, None
                     elif entry.is_file():
                         status = entry.stat()
                         yield f"{plain}/{entry.name}", False, status.st_size, status.st_mtime, None
-        except PermissionError as problem:
-            yield plain, True, 0, 0.0, f"Permission denied: {problem}"
+        except OSError as problem:
+            if share == 0:
+                yield plain, True, 0, 0.0, _reason(problem)
         return
     from pyarrow.fs import FileSelector, FileSystem, FileType
 
-    system, inner = FileSystem.from_uri(directory)
-    for info in system.get_file_info(FileSelector(inner)):
-        is_directory = info.type == FileType.Directory
-        yield f"{directory}/{info.base_name}", is_directory, info.size or 0, info.mtime_ns / 1e9, None
+    try:
+        system, inner = FileSystem.from_uri(directory)
+        for info in system.get_file_info(FileSelector(inner)):
+            if shares > 1 and crc32(info.base_name.encode()) % shares != share:
+                continue
+            is_directory = info.type == FileType.Directory
+            yield f"{directory}/{info.base_name}", is_directory, info.size or 0, (info.mtime_ns or 0) / 1e9, None
+    except OSError as problem:
+        if share == 0:
+            yield directory, True, 0, 0.0, _reason(problem)
+
+
+def _reason(problem: OSError) -> str:
+    return f"{'Permission denied' if isinstance(problem, PermissionError) else 'I/O error'}: {problem}"
 
 
 def existing_files(paths: DataFrame) -> DataFrame:
@@ -167,8 +201,9 @@ def downloaded_files(files: DataFrame) -> DataFrame:
         )
         .filter("priority IS NOT NULL")
     )
-    best = candidates.groupBy("folder").agg(F.min("priority").alias("best"))
-    if not candidates.filter("priority = 0").isEmpty():
-        best = best.filter("best = 0")
-    matched = candidates.join(best, candidates["folder"].eqNullSafe(best["folder"]) & (F.col("priority") == F.col("best")))
-    return matched.select("accession_id", candidates["path"], candidates["rel_path"], candidates["name"])
+    named = candidates.filter("priority = 0")
+    if not named.isEmpty():
+        # Flat files have no folder to meet in.
+        return named.select("accession_id", "path", "rel_path", "name")
+    best = candidates.groupBy("folder").agg(F.min("priority").alias("priority"))
+    return candidates.join(best, ["folder", "priority"]).select("accession_id", "path", "rel_path", "name")

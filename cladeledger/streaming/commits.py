@@ -1,173 +1,77 @@
-"""Streams whose result is a table in versioned folders: manifest commits, task states and levels.
+"""Manifest commits as a stream: a keyed merge into a table bucketed by file name (ST-1).
 
-Each micro-batch writes its own ``batch_id=N`` folder, replacing it on a replay, and reads only folders
-of earlier batches. So a batch that is run again after a failure gives the same files.
-
-What is kept per key (manifest rows, last levels) is written as the batch's changes, in buckets of the key's hash;
-every ``SNAPSHOT_BATCHES`` batches the folder holds the whole state instead. A batch reads the buckets that its
-keys fall into, since the last snapshot only, so its cost follows the batch and not the history.
+The manifest is a Spark table of its own folder, partitioned by micro-batch and bucketed by file name. Its rows are only
+ever added, so a batch joins the rows of earlier batches, bucket by bucket and without moving them, and overwrites
+its own partition; one that runs again after a failure gives the same files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
 
-from cladeledger.operators.levels import hysteresis_levels
 from cladeledger.operators.manifest import judge_batches
-from cladeledger.operators.repair import recovered_status
-from cladeledger.ordering import MAX_GROUP_ROWS
-from cladeledger.workspace import claim_folder, materialize, path_exists, remove_folder, run_folder
+from cladeledger.streaming.state import checkpoint_of
+from cladeledger.workspace import make_folder, materialize, run_folder
 
-MANIFEST_ROW = "filename STRING, expected_md5 STRING, accession STRING, batch_num BIGINT"
+MANIFEST_COLUMNS = "filename STRING, expected_md5 STRING, accession STRING, batch_num BIGINT, batch_id BIGINT"
 BUCKETS = 64
-SNAPSHOT_BATCHES = 32
-
-
-def _bucket(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def state_before(spark: SparkSession, path: str, schema: str, key: str, batch_id: int, keys: DataFrame | None = None) -> DataFrame:
-    """The row of each key as the batches before ``batch_id`` left it; with ``keys``, of buckets that these need."""
-    if batch_id == 0 or not path_exists(spark, path):
-        return spark.createDataFrame([], schema)
-    snapshot = (batch_id - 1) // SNAPSHOT_BATCHES * SNAPSHOT_BATCHES
-    table = spark.read.schema(f"{schema}, batch_id BIGINT, bucket INT").parquet(path)
-    table = table.filter((F.col("batch_id") >= snapshot) & (F.col("batch_id") < batch_id))
-    if keys is not None:
-        # At most BUCKETS numbers.
-        table = table.filter(F.col("bucket").isin([r[0] for r in keys.select(_bucket(key)).distinct().collect()]))
-    columns = [c for c in table.columns if c not in (key, "batch_id", "bucket")]
-    latest = table.groupBy(key).agg(F.max_by(F.struct(*columns), "batch_id").alias("row"))
-    return latest.select(key, "row.*")
-
-
-def write_state(changes: DataFrame, path: str, schema: str, key: str, batch_id: int) -> None:
-    """Write the changed rows of a batch, or the whole state if it is the turn of a snapshot."""
-    spark = changes.sparkSession
-    if batch_id and batch_id % SNAPSHOT_BATCHES == 0:
-        old = state_before(spark, path, schema, key, batch_id)
-        changes = old.join(changes.select(key), key, "left_anti").unionByName(changes)
-    changes.withColumn("bucket", _bucket(key)).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch_id={batch_id}")
-    # Folders that no later batch, nor a replay of this one, can ask for.
-    if batch_id % SNAPSHOT_BATCHES == 1 and batch_id > SNAPSHOT_BATCHES:
-        for old_id in range(batch_id - 1 - SNAPSHOT_BATCHES, batch_id - 1):
-            remove_folder(spark, f"{path}/batch_id={old_id}")
-
-
-def current_state(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
-    """The state after the newest batch."""
-    written = spark.read.schema(f"{schema}, batch_id BIGINT, bucket INT").parquet(path)
-    newest = written.agg(F.max("batch_id")).first()[0]
-    return state_before(spark, path, schema, key, 0 if newest is None else newest + 1)
+def manifest_table(spark: SparkSession, path: str) -> str:
+    """The name of the manifest table below ``path``, made known to the session's catalogue with all its partitions."""
+    name = f"manifest_{hashlib.md5(path.rstrip('/').encode()).hexdigest()}"
+    place = f"{path.rstrip('/')}/manifest".replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({MANIFEST_COLUMNS}) USING parquet PARTITIONED BY (batch_id)"
+        f" CLUSTERED BY (filename) INTO {BUCKETS} BUCKETS LOCATION '{place}'"
+    )
+    make_folder(spark, f"{path.rstrip('/')}/manifest")
+    spark.catalog.recoverPartitions(name)
+    return name
 
 
 def manifest_of(spark: SparkSession, path: str) -> DataFrame:
     """The manifest that ``commit_artifacts`` keeps below ``path``."""
-    return current_state(spark, f"{path}/manifest", MANIFEST_ROW, "filename")
+    return spark.table(manifest_table(spark, path)).drop("batch_id")
 
 
-def commit_artifacts(
-    artifacts: DataFrame, path: str, checkpoint: str, **trigger
-) -> StreamingQuery:
+def commit_artifacts(artifacts: DataFrame, path: str, **trigger) -> StreamingQuery:
     """Merge finished download batches into a manifest (ST-1).
 
-    ``artifacts``: batch_num, accession, filename, expected_md5. New rows are kept as the state
-    ``manifest``; rows of batches with a conflicting hash go to ``conflicts``; last, the accessions of
-    good batches are marked below ``completed``. A stream with another or a renewed checkpoint is refused,
-    since its first batch would take the place of the first one here.
+    ``artifacts``: batch_num, accession, filename, expected_md5. New rows go to the manifest; rows of batches with
+    a conflicting hash go to ``conflicts``; last, the accessions of good batches are marked below ``completed``. The
+    checkpoint is kept below ``path`` as well, so no other stream can take the place of the first one's batches.
     """
-    claim_folder(artifacts.sparkSession, path, checkpoint, "manifest")
+    spark = artifacts.sparkSession
+    name = manifest_table(spark, path)
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
         with run_folder(spark):
             batch = materialize(batch, "batch")
-            known = state_before(spark, f"{path}/manifest", MANIFEST_ROW, "filename", batch_id, batch)
+            known = spark.table(name).filter(F.col("batch_id") < batch_id)
             judged = materialize(judge_batches(known, batch), "judged")
             good = judged.filter("batch_ok")
             # One source row per name, so that accession and batch belong together.
             row = F.struct("batch_num", "accession", "expected_md5")
             inserts = good.filter("old_md5 IS NULL").groupBy("filename").agg(F.min(row).alias("row"))
-            inserts = inserts.select("filename", "row.expected_md5", "row.accession", "row.batch_num")
-            write_state(inserts, f"{path}/manifest", MANIFEST_ROW, "filename", batch_id)
+            inserts = inserts.select("filename", "row.expected_md5", "row.accession", "row.batch_num", F.lit(batch_id).cast("bigint").alias("batch_id"))
+            inserts.repartition(min(BUCKETS, max(1, batch.rdd.getNumPartitions())), "filename").write.insertInto(name, overwrite=True)
             _write(judged.filter("conflict").drop("conflict", "batch_ok"), f"{path}/conflicts", batch_id)
             _write(good.select("accession").distinct(), f"{path}/completed", batch_id)
 
-    return artifacts.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
+    return artifacts.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint_of(path)).trigger(**trigger).start()
 
-def latest_task_states(events: DataFrame, hashes: DataFrame, order: Column) -> DataFrame:
-    """Latest event per task and the state it would restart from (ST-2).
 
-    ``events``: task_id, status, accession_id, target_path, expected_hash; ``hashes``: path and computed_hash of the
-    files as they are now. A streaming aggregate: partial results combine before the shuffle, so a task with
-    very many events costs one row per input partition. Use the ``update`` or ``complete`` output mode.
-    """
-    fields = ["status", "accession_id", "target_path", "expected_hash"]
-    latest = events.groupBy("task_id").agg(F.max_by(F.struct(*fields), order).alias("last"), F.max(order).alias("at"))
-    latest = latest.select("task_id", "at", "last.*")
-    # A task without target has no file; its null must not meet others in the join.
-    target = F.coalesce("target_path", F.concat(F.lit("\0"), "task_id"))
-    current = hashes.select(F.col("path").alias("target"), F.col("computed_hash").alias("current_hash"))
-    joined = latest.withColumn("target", target).join(current, "target", "left")
-    restart = recovered_status(F.col("status"), F.col("accession_id"), F.col("current_hash") == F.col("expected_hash"))
-    return joined.select("task_id", "status", "accession_id", "at", restart.alias("restart_status"))
-
-
-def track_levels(
-    metrics: DataFrame,
-    path: str,
-    checkpoint: str,
-    key: str,
-    order: Sequence[Column],
-    fraction: Column,
-    free_bytes: Column | None = None,
-    max_group_rows: int = MAX_GROUP_ROWS,
-    **trigger,
-) -> StreamingQuery:
-    """Levels with hysteresis, carried from batch to batch (ST-3).
-
-    Below ``levels`` each measurement with its level; the state ``last`` keeps the level of each entity.
-    Rows of a later batch count as later. A busy entity is spread over tasks as in the batch form.
-    """
-    schema = f"{key} {metrics.schema[key].dataType.simpleString()}, level_rank INT"
-    claim_folder(metrics.sparkSession, path, checkpoint, "last")
-
-    def track(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        with run_folder(spark):
-            batch = materialize(batch, "batch")
-            last = state_before(spark, f"{path}/last", schema, key, batch_id, batch)
-            started = batch.join(last.withColumnRenamed("level_rank", "_start"), key, "left")
-            levels = materialize(
-                hysteresis_levels(started, [key], order, fraction, free_bytes, F.col("_start"), max_group_rows),
-                "levels",
-            )
-            _write(levels.drop("_start"), f"{path}/levels", batch_id)
-            final = levels.groupBy(key).agg(F.max_by("level_rank", F.struct(*order)).alias("level_rank"))
-            write_state(final, f"{path}/last", schema, key, batch_id)
-
-    return metrics.writeStream.foreachBatch(track).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+def _write(df: DataFrame, path: str, batch_id: int) -> None:
+    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def committed(spark: SparkSession, path: str) -> DataFrame:
     """All rows appended so far below ``path``."""
     return spark.read.parquet(path).drop("batch_id")
-
-
-def stream_of(spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None) -> DataFrame:
-    """A stream of the parquet files of a folder."""
-    reader = spark.readStream.schema(schema)
-    if files_per_batch:
-        reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from cladeledger import fixed_values as fixed
 from cladeledger.functions import messages
-from cladeledger.operators import hierarchy, packing, repair
+from cladeledger.functions.checksums import parse_checksum_line
+from cladeledger.operators import hierarchy, packing, repair, task_machine
 from cladeledger.operators.integrity import count_states, failing
 from cladeledger.operators.resume import progress_state
 from cladeledger.ordering import with_row_number
@@ -18,14 +19,19 @@ from cladeledger.sinks import documents as document_sinks
 from cladeledger.sinks import splits
 from cladeledger.sinks.lines import write_lines
 from cladeledger.sinks.reports import write_run_summary
+from cladeledger.sinks.single_file import read_text_file, write_lines_file
 from cladeledger.sources import archives, catalogue, documents, inventory, lines
 from cladeledger.streaming import commits
+from cladeledger.streaming import levels as level_streams
+from cladeledger.streaming import tasks as task_streams
+from cladeledger.streaming.state import stream_of
 from cladeledger.workload import operators as ops
 from cladeledger.workload import trees
 from cladeledger.workload.fixtures import derived, given
 from cladeledger.workload.functions import ERROR_CLASS_SQL, classified_errors
 from cladeledger.workload.registry import query
-from cladeledger.workspace import new_path
+from cladeledger.workspace import materialize, new_path
+
 
 def in_order(order: str, rows: str, per: str = "") -> str:
     """SQL that numbers the lines of ``rows``, which has the columns of ``order``."""
@@ -135,6 +141,26 @@ def _(spark, sf):
     return entries.select(F.substring_index("package", "/", -1).alias("package"), "member", "expected_hash", "file_path")
 
 
+@query("src_7_member_lines", "paths", "select 'package' || cast(floor(doc_id / 100) as bigint) || '.zip' as archive, case when cast(floor(doc_id / 100) as bigint) % 2 = 1 then 'md5sum.txt' else 'a/md5sum.txt' end as member, count(*) as n_lines, count(distinct path) as n_paths from paths group by 1, 2")
+def _(spark, sf):
+    """Members of archives as a table, their lines read by as many tasks as there are members."""
+    found = inventory.list_tree(spark, trees.packages(spark, sf))
+    members = archives.list_members(found.filter(F.endswith("name", F.lit(".zip"))))
+    wanted = members.filter(F.col("member") == F.when(F.regexp_extract("archive", "package([0-9]+)", 1).cast("int") % 2 == 1, "md5sum.txt").otherwise("a/md5sum.txt"))
+    entry = parse_checksum_line(F.col("value"), "package")
+    lines_found = archives.member_lines(wanted).withColumn("entry", entry).filter("entry IS NOT NULL")
+    return lines_found.groupBy(F.substring_index("archive", "/", -1).alias("archive"), "member").agg(
+        F.count("*").alias("n_lines"), F.count_distinct("entry.path").alias("n_paths")
+    )
+
+
+@query("src_13_one_flat_folder", "paths", "select count(*) as n_files, min(doc_id || '.fna') as first_name, max(doc_id || '.fna') as last_name from paths")
+def _(spark, sf):
+    """A folder with a file per row, listed by all tasks."""
+    found = inventory.list_tree(spark, trees.flat_folder(spark, sf), shared_from=100)
+    return found.agg(F.count("*").alias("n_files"), F.min("name").alias("first_name"), F.max("name").alias("last_name"))
+
+
 def manifest_rows(spark, sf):
     name = F.substring_index("filename", "/", -1)
     return derived(spark, sf, "manifest").select(
@@ -160,6 +186,17 @@ def _(spark, sf):
     return documents.read_manifest(spark, path).select("filename", "accession", "expected_md5", "committed_at")
 
 
+@query("snk_7_whole_document", "manifest", _MANIFEST_SQL)
+def _(spark, sf):
+    """One file that all tasks write, replaced once, read in as many tasks as it is long."""
+    path = f"{new_path(spark, 'manifest')}/manifest.json"
+    rows = manifest_rows(spark, sf)
+    document_sinks.write_manifest_document(rows.limit(0), path, "")
+    document_sinks.write_manifest_document(rows, path, "2024-01-01T00:00:00Z")
+    found = documents.read_document_entries(spark, path, documents.ARTIFACT_FIELDS)
+    return found.select("filename", "accession", "expected_md5", "committed_at")
+
+
 @query("snk_7_manifest_rows", "manifest", _MANIFEST_SQL)
 def _(spark, sf):
     path = new_path(spark, "manifest")
@@ -175,6 +212,14 @@ def _(spark, sf):
     return documents.read_progress(spark, path)
 
 
+@query("snk_8_whole_document", "", f"select cast(item as varchar) as item, state from ({ops._PROGRESS_STATE})", ops._PROGRESS)
+def _(spark, sf):
+    path = f"{new_path(spark, 'progress')}/progress.json"
+    states = progress_state(ops.progress_events(spark, sf), F.col("seq")).withColumn("item", F.col("item").cast("string"))
+    document_sinks.write_progress_document(states, path, 10.0, 20.0)
+    return documents.read_progress(spark, path)
+
+
 _TASK_SQL = f"select {ops.TASK_FIELDS_SQL} from tasks"
 
 
@@ -191,6 +236,13 @@ def _(spark, sf):
     return documents.read_task_state(spark, written_tasks(spark, sf))
 
 
+@query("snk_9_whole_document", "tasks", _TASK_SQL)
+def _(spark, sf):
+    path = f"{new_path(spark, 'tasks')}/state.json"
+    document_sinks.write_task_document(ops.tasks(spark, sf), path, "run", "/data", "2024-01-01", "2024-03-01", {"list": "md5sum.txt"})
+    return documents.read_document_entries(spark, path, documents.TASK_FIELDS).drop("name")
+
+
 @query("snk_9_task_rows", "tasks", _TASK_SQL)
 def _(spark, sf):
     path = new_path(spark, "tasks")
@@ -456,6 +508,15 @@ def _(spark, sf):
     return read_in_order(spark, path)
 
 
+@query("snk_5_checksum_file", "manifest", in_order("filename", "select filename, expected_md5 || '  ' || filename as line from manifest"))
+def _(spark, sf):
+    """One file, read by the places of its ranges; the order is in the file."""
+    path = f"{new_path(spark, 'checksums')}/md5sum.txt"
+    index = write_lines_file(checksum_sinks.checksum_lines(manifest_rows(spark, sf)), path, ["filename"])
+    found = read_text_file(spark, path, index)
+    return with_row_number(found, [], [F.col("part"), F.col("line_no")], "no").select("no", "line")
+
+
 @query("snk_5_checksum_list", "manifest", in_order("filename", "select filename, expected_md5 || '  ' || filename as line from manifest"))
 def _(spark, sf):
     path = new_path(spark, "md5sum")
@@ -637,8 +698,8 @@ def _(spark, sf):
     schema = artifacts.drop("doc_id").schema
     for phase in (0, 1):
         artifacts.filter(F.col("doc_id") % 2 == phase).drop("doc_id").write.mode("append").parquet(source)
-        stream = commits.stream_of(spark, source, schema)
-        commits.commit_artifacts(stream, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+        stream = stream_of(spark, source, schema)
+        commits.commit_artifacts(stream, path, availableNow=True).awaitTermination()
     return commits.manifest_of(spark, path).select("filename", "expected_md5")
 
 
@@ -660,8 +721,8 @@ def _(spark, sf):
     ).withColumn("filename", F.concat(F.lit("n"), F.col("n").cast("string"))).drop("n")
     for phase in range(3):
         rows.filter(F.floor(F.col("batch_num") / 7) % 3 == phase).write.mode("append").parquet(source)
-        stream = commits.stream_of(spark, source, rows.schema)
-        commits.commit_artifacts(stream, path, f"{path}/checkpoint", availableNow=True).awaitTermination()
+        stream = stream_of(spark, source, rows.schema)
+        commits.commit_artifacts(stream, path, availableNow=True).awaitTermination()
     return commits.manifest_of(spark, path).select("filename", "expected_md5")
 
 
@@ -678,7 +739,7 @@ def _(spark, sf):
         F.col("original_path").alias("target_path"), "expected_hash",
     )
     events.write.parquet(source)
-    latest = commits.latest_task_states(commits.stream_of(spark, source, events.schema), ops.task_hashes(spark, sf), F.col("seq"))
+    latest = task_streams.latest_task_states(stream_of(spark, source, events.schema), ops.task_hashes(spark, sf), F.col("seq"))
 
     def keep(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{path}/now")
@@ -689,6 +750,79 @@ def _(spark, sf):
     return spark.read.parquet(f"{path}/now")
 
 
+_AFTER = (
+    "case when not legal then s.status when kind = 'update' then e.status"
+    " when kind = 'retry' then case when s.status in ('STILL_FAILED', 'FAILED_RETRYABLE') then 'DOWNLOAD_QUEUED' else s.status end"
+    " when accession_id is null then case when s.status in ('FIXED', 'SKIPPED_NO_ACCESSION') then s.status else 'SKIPPED_NO_ACCESSION' end"
+    " when s.status = 'FIXED' and not fix_holds then 'DOWNLOAD_QUEUED'"
+    " when s.status in ('PENDING', 'DOWNLOADING', 'FAILED_RETRYABLE') then 'DOWNLOAD_QUEUED' when s.status = 'ORGANIZING' then 'DOWNLOADED'"
+    " when s.status = 'VERIFYING' then 'ORGANIZED' else s.status end"
+)
+_EVENTS_SQL = (
+    "ev as (select md5sum_dir as task_id, event_id, case when event_id % 7 = 0 then 'retry' when event_id % 7 = 1 then 'recover' when event_id % 43 = 2 then 'pause' else 'update' end as kind,"
+    " case when event_id % 31 = 7 then 'BROKEN' else status end as status, accession_id, event_id % 3 <> 0 as fix_holds from tasks),"
+    " judged as (select *, kind in ('retry', 'recover') or kind = 'update' and status <> 'BROKEN' as legal, event_id * 3 // (select max(event_id) + 1 from ev) as own_phase from ev),"
+    " sent as (select *, own_phase + (event_id % 17 = 3)::int as phase, 0 as copy from judged union all select *, own_phase + 1, 1 from judged where event_id % 19 = 5),"
+    " bounds as (select p.phase, (select max(event_id) - 100 from sent where phase < p.phase) as bound from (select distinct phase from sent) p),"
+    " told as (select sent.*, coalesce(event_id < bound, false) as late from sent join bounds using (phase)),"
+    " placed as (select *, row_number() over (partition by task_id, event_id, late order by phase, copy) as time from told)"
+)
+
+
+def _fold_sql(events: str) -> str:
+    """Table ``st``: the states of each task event by event, from ``events`` in order."""
+    return (
+        f"e as (select *, row_number() over (partition by task_id order by event_id) as no from ({events})),"
+        " st(task_id, no, status, attempts, n_illegal) as (select distinct task_id, 0::bigint, 'PENDING', 0::bigint, 0::bigint from e union all"
+        f" select e.task_id, e.no, {_AFTER}, attempts + (legal and kind = 'retry' and s.status in ('STILL_FAILED', 'FAILED_RETRYABLE'))::int,"
+        " n_illegal + (not legal)::int from st s join e on e.task_id = s.task_id and e.no = s.no + 1)"
+    )
+
+
+_FINAL_STATES = "select task_id, arg_max(status, no) as status, arg_max(attempts, no) as attempts, max(no) as n_events, arg_max(n_illegal, no) as n_illegal from st group by 1"
+
+
+def _task_events(spark, sf):
+    """Events of a user as those of one task, one a second: updates, retries, recoveries, and some of no known kind or status."""
+    number = F.col("event_id")
+    kind = F.when(number % 7 == 0, "retry").when(number % 7 == 1, "recover").when(number % 43 == 2, "pause").otherwise("update")
+    return derived(spark, sf, "tasks").select(
+        F.col("md5sum_dir").alias("task_id"), "event_id", F.timestamp_seconds(number).alias("at"), kind.alias("kind"),
+        F.when(number % 31 == 7, "BROKEN").otherwise(F.col("status")).alias("status"), "accession_id", (number % 3 != 0).alias("fix_holds"),
+    )
+
+
+@query("st_2_task_machine", "tasks", _FINAL_STATES, f"{_EVENTS_SQL}, {_fold_sql('select * from judged')}")
+def _(spark, sf):
+    """All events at once, in runs of eight."""
+    return task_machine.final_states(_task_events(spark, sf).unionByName(_task_events(spark, sf).filter("event_id % 19 = 5")), run=8)
+
+
+@query(
+    "st_2_streamed_task_machine", "tasks",
+    "select f.*, coalesce(n_late, 0) as n_late, coalesce(n_repeated, 0) as n_repeated from"
+    f" ({_FINAL_STATES}) f left join (select task_id, count(*) filter (late) as n_late, count(*) filter (not late and time > 1) as n_repeated from placed group by 1) using (task_id)",
+    f"{_EVENTS_SQL}, {_fold_sql('select * from placed where not late and time = 1')}",
+)
+def _(spark, sf):
+    """Four batches; some events come a batch too late, some twice."""
+    source, path = new_path(spark, "task-events"), new_path(spark, "task-states")
+    events = materialize(_task_events(spark, sf), "events")
+    total = events.agg(F.max("event_id") + 1).first()[0]
+    own = F.expr(f"event_id * 3 div {total}")
+    sent = events.withColumn("phase", own + F.when(F.col("event_id") % 17 == 3, 1).otherwise(0))
+    sent = sent.unionByName(events.withColumn("phase", own + 1).filter("event_id % 19 = 5"))
+    for phase in range(4):
+        sent.filter(F.col("phase") == phase).drop("phase").coalesce(1).write.mode("append").parquet(source)
+        stream = stream_of(spark, source, events.schema)
+        task_streams.track_tasks(stream, path, "100 seconds", availableNow=True).awaitTermination()
+    sections = spark.read.parquet(f"{path}/sections")
+    apart = sections.groupBy("task_id").agg(
+        F.count_if(F.col("section") == "late").alias("n_late"), F.count_if(F.col("section") == "repeated").alias("n_repeated")
+    )
+    return task_streams.current_states(sections).join(apart, "task_id")
+
+
 @query("st_3_streamed_levels", "metrics", ops._HYSTERESIS)
 def _(spark, sf):
     source, path = new_path(spark, "metrics"), new_path(spark, "levels")
@@ -696,9 +830,9 @@ def _(spark, sf):
     middle = metrics.agg((F.max("seq") / 2).cast("bigint")).first()[0]
     for part in (metrics.filter(F.col("seq") <= middle), metrics.filter(F.col("seq") > middle)):
         part.write.mode("append").parquet(source)
-        stream = commits.stream_of(spark, source, metrics.schema)
-        commits.track_levels(
-            stream, path, f"{path}/checkpoint", "entity", [F.col("seq")], F.col("free_permille") / F.lit(1000.0), availableNow=True
+        stream = stream_of(spark, source, metrics.schema)
+        level_streams.track_levels(
+            stream, path, "entity", [F.col("seq")], F.col("free_permille") / F.lit(1000.0), availableNow=True
         ).awaitTermination()
-    found = commits.committed(spark, f"{path}/levels")
+    found = spark.read.parquet(f"{path}/levels")
     return found.select("entity", "seq", F.col("level_rank").cast("bigint").alias("level_rank"), "level")

@@ -81,6 +81,26 @@ def _(spark, sf):
     return hierarchy.roll_up(pairs, genomes(spark, sf))
 
 
+@query("gr_5_roll_up_forest", "taxonomy genomes", "select * from sizes", _SIZES)
+def _(spark, sf):
+    """All nodes of a forest, without the pairs of the closure."""
+    flat = derived(spark, sf, "taxonomy")
+    links = flat.filter("parent IS NOT NULL").select("parent", F.col("tax_id").alias("child"))
+    return hierarchy.roll_up_forest(hierarchy.jumps(links), flat, genomes(spark, sf))
+
+
+_CHAINS = "t as (select o_orderkey as id, case when o_orderkey % 97 > 0 then o_orderkey - 1 end as parent from orders), c(ancestor, descendant) as (select id, id from t where id % 13 = 0 union select c.ancestor, t.id from c join t on t.parent = c.descendant)"
+
+
+@query("gr_2_closure_of_long_chains", "", "select ancestor, descendant from c", _CHAINS)
+def _(spark, sf):
+    """Orders as links of chains, broken where a key is missing or a multiple of 97."""
+    key = F.col("o_orderkey").cast("bigint")
+    chains = given(spark, sf, "orders").select(key.alias("tax_id"), F.when(key % 97 > 0, key - 1).alias("parent"))
+    links = chains.filter("parent IS NOT NULL").select("parent", F.col("tax_id").alias("child"))
+    return hierarchy.closure(links, chains.filter("tax_id % 13 = 0"))
+
+
 def classified(spark, sf):
     flat = derived(spark, sf, "taxonomy")
     genus = flat.filter("rnk = 'GENUS'").select(F.col("tax_id").alias("parent"), F.col("name").alias("genus"))
@@ -220,7 +240,25 @@ def _(spark, sf):
     members = hierarchy.genomes_below(pairs, genomes(spark, sf)).select("taxon_id", "accession", "sequence_length")
     members = members.withColumn("sequence_length", F.when(F.col("sequence_length") % 10 != 0, F.col("sequence_length")))
     chunk = max(10, members.count() // 60)
-    binned = packing.pack_all(members, ACCESSION_CAPACITY, "sequence_length", "accession", ["taxon_id"], chunk)
+    binned = packing.pack_all(members, ACCESSION_CAPACITY, "sequence_length", "accession", ["taxon_id"], chunk, max_sizes=1)
+    return binned.select("taxon_id", "accession", "bin")
+
+
+_CLASSED_MEMBERS = f"select k, id, sz // 1000000 * 1000000 + 1000000 as sz from ({_GENUS_MEMBERS})"
+
+
+@query(
+    "wn_9_pack_by_runs", "taxonomy genomes",
+    f"select k as taxon_id, id as accession, grp as bin from st where rn > 0 union all"
+    f" select m.k, m.id, coalesce((select max(grp) from st where st.k = m.k), 0) + row_number() over (partition by m.k order by m.id) from ({_CLASSED_MEMBERS}) m where sz > {ACCESSION_CAPACITY}",
+    _SIZES + ", " + ffd_sql(_CLASSED_MEMBERS, str(ACCESSION_CAPACITY)),
+)
+def _(spark, sf):
+    """Lengths rounded up to whole megabases, so that all but small keys are planned from the runs of equal sizes."""
+    _tree, pairs = pairs_at(spark, sf, "GENUS")
+    members = hierarchy.genomes_below(pairs, genomes(spark, sf)).select("taxon_id", "accession", "sequence_length")
+    members = members.withColumn("sequence_length", F.expr("sequence_length div 1000000 * 1000000 + 1000000"))
+    binned = packing.pack_all(members, ACCESSION_CAPACITY, "sequence_length", "accession", ["taxon_id"], chunk_rows=10)
     return binned.select("taxon_id", "accession", "bin")
 
 

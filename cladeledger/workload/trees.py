@@ -90,3 +90,15 @@ def packages(spark: SparkSession, sf_dir: str) -> str:
         paths.groupBy("block").applyInPandas(write_package, "size BIGINT").agg(F.sum("size")).collect()
 
     return _once(spark, sf_dir, "packages", write)
+
+
+def flat_folder(spark: SparkSession, sf_dir: str) -> str:
+    """One folder with an empty file for every document."""
+    def write(root: str) -> None:
+        def write_files(batches):
+            for batch in batches:
+                yield pd.DataFrame({"size": [_save(f"{root}/{doc_id}.fna", b"") for doc_id in batch["doc_id"]]})
+
+        given(spark, sf_dir, "documents").select("doc_id").mapInPandas(write_files, "size BIGINT").agg(F.sum("size")).collect()
+
+    return _once(spark, sf_dir, "flat", write)

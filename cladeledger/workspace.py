@@ -8,7 +8,6 @@ folder that goes when the Python process ends.
 from __future__ import annotations
 
 import atexit
-import hashlib
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -44,10 +43,10 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether there is a file or folder; other problems with the store are raised."""
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make the folder if there is none yet."""
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:
@@ -55,17 +54,6 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def claim_folder(spark: SparkSession, path: str, checkpoint: str, state: str) -> None:
-    """Bind the output ``path`` of a stream to its checkpoint; raise if it has another one, or if that is gone
-    although there is a ``state`` already."""
-    owner = f"{path}/_owner/{hashlib.md5(checkpoint.rstrip('/').encode()).hexdigest()}"
-    claimed, started = path_exists(spark, f"{path}/_owner"), path_exists(spark, f"{path}/{state}")
-    if claimed and not path_exists(spark, owner) or started and not path_exists(spark, checkpoint):
-        raise ValueError(f"{path} was written with another checkpoint than {checkpoint}; use a new folder")
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(owner)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(place)
-
-
 @contextmanager
 def run_folder(spark: SparkSession) -> Iterator[str]:
     """A folder for all steps made inside; it is removed at the end, so results must be written before."""

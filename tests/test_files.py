@@ -1,6 +1,7 @@
 """Sources, sinks and streams on small folders."""
 
 import json
+import random
 import tempfile
 import zipfile
 from datetime import datetime
@@ -11,13 +12,18 @@ from pyspark.sql import functions as F
 
 from cladeledger import workspace
 from cladeledger.functions.checksums import hash_files
+from cladeledger.operators import manifest
 from cladeledger.plans import audit
 from cladeledger.sinks import checksums as checksum_sinks
 from cladeledger.sinks import documents as document_sinks
+from cladeledger.sinks import single_file
 from cladeledger.sinks.lines import write_lines
 from cladeledger.sinks.reports import run_summary_lines
 from cladeledger.sources import archives, catalogue, documents, inventory, lines
 from cladeledger.streaming import commits
+from cladeledger.streaming.levels import track_levels
+from cladeledger.streaming.state import stream_of
+from cladeledger.streaming.tasks import current_states, track_tasks
 
 EMPTY = "d41d8cd98f00b204e9800998ecf8427e"
 
@@ -268,56 +274,87 @@ def test_package_lists(spark, tmp_path):
     ]
 
 
+ARTIFACTS = "batch_num BIGINT, accession STRING, filename STRING, expected_md5 STRING"
+
+
+def run_again(path, batch):
+    """Forget that a batch was done, as after a lost driver."""
+    commits_folder = Path(path) / "_checkpoint" / "commits"
+    (commits_folder / str(batch)).rename(Path(path) / f"taken-away-{batch}")
+    (commits_folder / f".{batch}.crc").rename(Path(path) / f"taken-away-{batch}-crc")
+
+
 def test_commit_replay_gives_the_same_manifest(spark, tmp_path):
-    schema = "batch_num BIGINT, accession STRING, filename STRING, expected_md5 STRING"
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
 
-    def send(rows, checkpoint):
+    def send(rows):
         if rows:
-            spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        stream = commits.stream_of(spark, source, spark.createDataFrame([], schema).schema)
-        commits.commit_artifacts(stream, path, str(tmp_path / checkpoint), availableNow=True).awaitTermination()
-        return {(r.filename, r.expected_md5) for r in commits.manifest_of(spark, path).collect()}
-
-    assert send([(1, "A", "a", "1"), (1, "B", "b", "1")], "c") == {("a", "1"), ("b", "1")}
-    second = send([(2, "A", "a", "2"), (2, "C", "c", "1"), (3, "D", "d", "1"), (3, "A", "a", "1")], "c")
-    assert second == {("a", "1"), ("b", "1"), ("d", "1")}
+            spark.createDataFrame(rows, ARTIFACTS).write.mode("append").parquet(source)
+        stream = stream_of(spark, source, spark.createDataFrame([], ARTIFACTS).schema)
+        commits.commit_artifacts(stream, path, availableNow=True).awaitTermination()
+        return sorted((r.filename, r.expected_md5) for r in commits.manifest_of(spark, path).collect())
+
+    assert send([(1, "A", "a", "1"), (1, "B", "b", "1")]) == [("a", "1"), ("b", "1")]
+    second = send([(2, "A", "a", "2"), (2, "C", "c", "1"), (3, "D", "d", "1"), (3, "A", "a", "1")])
+    assert second == [("a", "1"), ("b", "1"), ("d", "1")]
     assert {r.accession for r in commits.committed(spark, f"{path}/completed").collect()} == {"A", "B", "D"}
     assert [r.filename for r in commits.committed(spark, f"{path}/conflicts").collect()] == ["a"]
-    # The last batch run once more, as after a lost driver.
-    first_batch = (tmp_path / "c" / "commits" / "1")
-    first_batch.rename(tmp_path / "taken-away")
-    (tmp_path / "c" / "commits" / ".1.crc").rename(tmp_path / "taken-away-crc")
-    assert send([], "c") == second
+    run_again(path, 1)
+    assert send([]) == second
 
 
-def test_state_survives_snapshots_and_new_checkpoints_are_refused(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(commits, "SNAPSHOT_BATCHES", 3)
-    schema = "batch_num BIGINT, accession STRING, filename STRING, expected_md5 STRING"
+def test_manifest_over_many_batches_and_sessions(spark, tmp_path):
+    """The table is found again by a session that does not know it, and joined without moving its rows."""
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
-
-    def start(checkpoint):
-        stream = commits.stream_of(spark, source, spark.createDataFrame([], schema).schema, files_per_batch=1)
-        commits.commit_artifacts(stream, path, checkpoint, availableNow=True).awaitTermination()
-
-    for i in range(9):
-        spark.createDataFrame([(i, f"A{i}", f"f{i}", str(i)), (i, "A", "same", "0")], schema).coalesce(1).write.mode("append").parquet(source)
-        if i in (4, 8):
-            start(str(tmp_path / "c"))
-    want = {(f"f{i}", str(i), f"A{i}", i) for i in range(9)} | {("same", "0", "A", 0)}
-    assert {(r.filename, r.expected_md5, r.accession, r.batch_num) for r in commits.manifest_of(spark, path).collect()} == want
-    kept = sorted(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "manifest").glob("batch_id=*"))
-    assert kept == [6, 7, 8]
-    with pytest.raises(ValueError, match="another checkpoint"):
-        start(str(tmp_path / "other"))
-    (tmp_path / "c").rename(tmp_path / "gone")
-    with pytest.raises(ValueError, match="another checkpoint"):
-        start(str(tmp_path / "c"))
-
-
-def test_other_problems_with_the_store_are_raised(spark):
-    with pytest.raises(Exception, match="nosuchscheme"):
-        commits.state_before(spark, "nosuchscheme://x/y", commits.MANIFEST_ROW, "filename", 1)
+    for i in range(6):
+        spark.createDataFrame([(i, f"A{i}", f"f{i}", str(i)), (i, "A", "same", "0")], ARTIFACTS).coalesce(1).write.mode("append").parquet(source)
+        if i in (3, 5):
+            spark.sql(f"DROP TABLE IF EXISTS {commits.manifest_table(spark, path)}")
+            stream = stream_of(spark, source, spark.createDataFrame([], ARTIFACTS).schema, files_per_batch=1)
+            commits.commit_artifacts(stream, path, availableNow=True).awaitTermination()
+    want = {(f"f{i}", str(i), f"A{i}", i) for i in range(6)} | {("same", "0", "A", 0)}
+    found = commits.manifest_of(spark, path)
+    assert {(r.filename, r.expected_md5, r.accession, r.batch_num) for r in found.collect()} == want
+    old = found.groupBy("filename").agg(F.max("expected_md5"))
+    assert "Exchange" not in old._jdf.queryExecution().executedPlan().toString()
+
+
+def test_chain_of_batches_by_pointer_jumping(spark, monkeypatch):
+    """Ten thousand batches, each against the one before it, are settled in rounds that double."""
+    rounds = []
+    real = manifest.materialize
+    monkeypatch.setattr(manifest, "materialize", lambda df, name="step", by=None: rounds.append(name) or real(df, name, by))
+    n = 10_000
+    number = F.col("id")
+    rows = spark.range(n).select(
+        number.alias("batch_num"), F.explode(F.array(number, number + 1)).alias("name"), number.cast("string").alias("expected_md5")
+    ).select("batch_num", F.lit("A").alias("accession"), F.col("name").cast("string").alias("filename"), "expected_md5")
+    empty = spark.createDataFrame([], "filename STRING, expected_md5 STRING")
+    judged = manifest.judge_batches(empty, rows).groupBy("batch_num").agg(F.bool_and("batch_ok").alias("ok"))
+    assert judged.filter("ok <> (batch_num % 2 = 0)").isEmpty() and judged.count() == n
+    assert rounds.count("chains") <= 16 and rounds.count("verdicts") == 1
+
+
+def in_turn(rows):
+    """Batches one after the other."""
+    kept, good = {}, {}
+    for batch in sorted({r[0] for r in rows}):
+        own = {}
+        ok = all(own.setdefault(f, m) == m and kept.get(f, m) == m for b, _, f, m in rows if b == batch)
+        good[batch] = ok
+        if ok:
+            kept.update(own)
+    return good
+
+
+def test_batches_as_if_one_after_the_other(spark):
+    rng = random.Random(5)
+    for names in (3, 12, 40):
+        rows = [(rng.randrange(30), "A", f"f{rng.randrange(names)}", str(rng.randrange(2))) for _ in range(60)]
+        judged = manifest.judge_batches(
+            spark.createDataFrame([], "filename STRING, expected_md5 STRING"), spark.createDataFrame(rows, ARTIFACTS)
+        )
+        assert {r.batch_num: r.batch_ok for r in judged.collect()} == in_turn(rows)
 
 
 def test_run_folders_go_at_the_end(spark):
@@ -329,17 +366,154 @@ def test_run_folders_go_at_the_end(spark):
     assert not str(root).startswith(tempfile.gettempdir())
 
 
-def test_levels_carry_over_batches(spark, tmp_path):
+def lines_frame(spark, number):
+    return spark.range(number).select(F.concat(F.lit("line "), F.repeat(F.lit("é"), (F.col("id") % 7).cast("int")), "id").alias("line"), (-F.col("id")).alias("place"))
+
+
+def test_one_file_in_one_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(single_file, "WRITE_BYTES", 500)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    path = str(tmp_path / "deep" / "list.txt")
+    rows = lines_frame(spark, 5000).repartition(7)
+    index = single_file.write_lines_file(rows, path, ["place"])
+    want = [r.line for r in rows.orderBy("place").collect()]
+    assert Path(path).read_text().splitlines() == want and index.count() > 1
+    read = single_file.read_text_file(spark, path, index).orderBy("part", "line_no").collect()
+    assert [r.line for r in read] == want
+    assert single_file.write_lines_file(rows.limit(0), path, ["place"]).count() == 0 and Path(path).read_text() == ""
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    with pytest.raises(ValueError, match="mounted"):
+        single_file.write_lines_file(rows, "s3://bucket/list.txt", ["place"])
+
+
+def test_an_aborted_file_leaves_the_old_one(spark, tmp_path):
+    path = str(tmp_path / "list.txt")
+    single_file.write_lines_file(lines_frame(spark, 10), path, ["place"])
+    old = Path(path).read_text()
+    broken = lines_frame(spark, 10).withColumn("line", F.when(F.col("place") == -5, F.raise_error(F.lit("stop")).cast("string")).otherwise(F.col("line")))
+    with pytest.raises(Exception, match="stop"):
+        single_file.write_lines_file(broken, path, ["place"])
+    assert Path(path).read_text() == old and [p.name for p in tmp_path.iterdir()] == ["list.txt"]
+
+
+def test_whole_documents_are_json(spark, tmp_path):
+    manifest_path, progress_path, task_path = (str(tmp_path / n) for n in ("m.json", "p.json", "t.json"))
+    rows = [("A", "genome", f'n"{i}\n.fna', "0" * 32, "x", None if i % 2 else "then") for i in range(30)]
+    fields = "accession STRING, include_type STRING, filename STRING, expected_md5 STRING, checksum_source STRING, committed_at STRING"
+    document_sinks.write_manifest_document(spark.createDataFrame(rows, fields), manifest_path, "now")
+    found = json.loads(Path(manifest_path).read_text())
+    assert found["schema_version"] == 1 and list(found["artifacts"]) == sorted(r[2] for r in rows)
+    assert {a["committed_at"] for a in found["artifacts"].values()} == {"now", "then"}
+    states = spark.createDataFrame([("b", "failed"), ("c", "completed"), ("a", "completed"), ("a", "completed")], "item STRING, state STRING")
+    for df, done, failed in ((states, ["a", "c"], ["b"]), (states.limit(0), [], [])):
+        document_sinks.write_progress_document(df, progress_path, 1.5, 2.5)
+        assert json.loads(Path(progress_path).read_text()) == {"completed_taxa": done, "failed_taxa": failed, "start_time": 1.5, "last_update": 2.5}
+    tasks = spark.createDataFrame([("t2", "FIXED"), ("t1", "STILL_FAILED")], "task_id STRING, status STRING")
+    document_sinks.write_task_document(tasks, task_path, "r", "/d", "c", "u")
+    found = json.loads(Path(task_path).read_text())
+    assert list(found["tasks"]) == ["t1", "t2"] and found["summary"]["fixed"] == 1 and found["run_id"] == "r"
+
+
+def test_backup_before_the_first_import(spark, tmp_path):
+    text = f"# old\n{EMPTY}  GCA_1.1.fna\n{EMPTY}  gone.fna\n"
+    (tmp_path / "md5sum.txt").write_text(text)
+    (tmp_path / "GCA_1.1.fna").write_text("")
+    outputs = inventory.list_tree(spark, str(tmp_path))
+    nothing = spark.createDataFrame([], "filename STRING")
+    backup = tmp_path / "md5sum.txt.pre_manifest_migration.bak"
+    kept = lambda: "".join(p.read_text() for p in sorted(backup.glob("part-*")))
+    assert audit.import_checksum_list(spark, str(tmp_path), spark.createDataFrame([("x",)], "filename STRING"), outputs).count() == 0
+    assert not backup.exists()
+    rows = audit.import_checksum_list(spark, str(tmp_path), nothing, outputs).collect()
+    assert [(r.filename, r.accession) for r in rows] == [("GCA_1.1.fna", "GCA_1.1")] and kept() == text
+    (tmp_path / "md5sum.txt").write_text(f"{EMPTY}  GCA_1.1.fna\n")
+    assert audit.import_checksum_list(spark, str(tmp_path), nothing, outputs).count() == 1 and kept() == text
+
+
+def test_a_huge_folder_is_listed_in_shares(spark, tmp_path):
+    for i in range(300):
+        (tmp_path / f"f{i}é").write_text("x" * (i % 5))
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "g").write_text("y")
+    want = {(f"f{i}é", i % 5) for i in range(300)} | {("below/g", 1)}
+    for limit in (1, 50, 1000):
+        found = inventory.list_tree(spark, str(tmp_path), shared_from=limit).collect()
+        assert len(found) == 301 and {(r.rel_path, r.size) for r in found} == want
+
+
+def test_member_lines(spark, tmp_path):
+    for name in ("p.zip", "q.zip"):
+        with zipfile.ZipFile(tmp_path / name, "w") as archive:
+            for i in range(5):
+                archive.writestr(f"d/{i}.txt", "".join(f"{name} {i} {k}\r\n" for k in range(i)))
+    members = archives.list_members(inventory.list_tree(spark, str(tmp_path)))
+    assert members.count() == 10
+    found = archives.member_lines(members.filter("member <> 'd/4.txt'")).collect()
+    assert sorted((r.value, r.line_no) for r in found) == sorted((f"{n} {i} {k}", k + 1) for n in ("p.zip", "q.zip") for i in range(4) for k in range(i))
+
+
+def test_folders_that_cannot_be_listed_become_rows(spark, tmp_path, monkeypatch):
+    rows = list(inventory._entries(str(tmp_path / "gone")))
+    assert len(rows) == 1 and rows[0][4].startswith("I/O error")
+    assert list(inventory._entries(f"file://{tmp_path}/gone"))[0][4].startswith("I/O error")
+
+
+def levels_after(spark, tmp_path, parts, **how):
     source, path = str(tmp_path / "in"), str(tmp_path / "out")
-    schema = "entity STRING, seq BIGINT, fraction DOUBLE"
-    parts = [[("a", 1, 0.5), ("a", 2, 0.19), ("b", 1, 0.01)], [("a", 3, 0.21)], [("a", 4, 0.23), ("b", 5, 0.06)]]
+    schema = "entity STRING, seq BIGINT, fraction DOUBLE, note INT"
     for rows in parts:
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(source)
-        stream = commits.stream_of(spark, source, spark.createDataFrame([], schema).schema)
-        commits.track_levels(
-            stream, path, str(tmp_path / "c"), "entity", [F.col("seq")], F.col("fraction"), availableNow=True
-        ).awaitTermination()
-    found = {(r.entity, r.seq): r.level for r in commits.committed(spark, f"{path}/levels").collect()}
-    assert found == {
-        ("a", 1): "normal", ("a", 2): "warning", ("a", 3): "warning", ("a", 4): "normal", ("b", 1): "paused", ("b", 5): "paused",
+        if rows:
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_of(spark, source, spark.createDataFrame([], schema).schema)
+        if how:
+            stream = stream.withColumn("at", F.timestamp_seconds("seq"))
+        track_levels(stream, path, "entity", [F.col("seq")], F.col("fraction"), availableNow=True, **how).awaitTermination()
+    return spark.read.parquet(f"{path}/levels").collect()
+
+
+def test_levels_carry_over_batches(spark, tmp_path):
+    big = 2**53 + 1
+    parts = [[("a", 1, 0.5, None), ("a", 2, 0.19, 1), ("b", 1, 0.01, 2)], [("a", 3, 0.21, 3)], [("a", 4, 0.23, 4), ("b", big, 0.06, 5)]]
+    found = levels_after(spark, tmp_path, parts)
+    assert {(r.entity, r.seq): (r.level, r.note) for r in found} == {
+        ("a", 1): ("normal", None), ("a", 2): ("warning", 1), ("a", 3): ("warning", 3), ("a", 4): ("normal", 4),
+        ("b", 1): ("paused", 2), ("b", big): ("paused", 5),
+    }
+    # A batch that runs again is written once.
+    run_again(str(tmp_path / "out"), 2)
+    assert sorted(map(str, levels_after(spark, tmp_path, [[]]))) == sorted(map(str, found))
+
+
+def test_late_measurements_have_no_level(spark, tmp_path):
+    parts = [[("a", 100, 0.5, 0), ("b", 10, 0.5, 0)], [("a", 105, 0.01, 0), ("a", 99, 0.01, 0), ("b", 89, 0.01, 0), ("b", 95, 0.15, 0)], [("a", 106, 0.5, 0)]]
+    found = levels_after(spark, tmp_path, parts, event_time="at", delay="10 seconds")
+    assert {(r.entity, r.seq): (r.level, r.late) for r in found} == {
+        ("a", 100): ("normal", False), ("b", 10): ("normal", False), ("a", 105): ("paused", False), ("a", 99): (None, True),
+        ("b", 89): (None, True), ("b", 95): ("warning", False), ("a", 106): ("normal", False),
     }
+
+
+def test_task_events_out_of_order_late_and_twice(spark, tmp_path):
+    """Within the delay order does not matter; what comes later, twice or makes no sense is kept apart."""
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "task_id STRING, event_id BIGINT, second BIGINT, kind STRING, status STRING, accession_id STRING, fix_holds BOOLEAN"
+
+    def send(*events):
+        rows = [("t", i, at, kind, status, "A", False) for i, at, kind, status in events]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = stream_of(spark, source, spark.createDataFrame([], schema).schema).withColumn("at", F.timestamp_seconds("second"))
+        track_tasks(stream, path, "10 seconds", availableNow=True).awaitTermination()
+        sections = spark.read.parquet(f"{path}/sections")
+        state = current_states(sections).first()
+        apart = sorted((r.section, r.event_id) for r in sections.filter("section <> 'state'").collect())
+        return (state.status, state.attempts, state.n_events, state.n_illegal), apart
+
+    assert send((3, 103, "retry", None), (1, 101, "update", "STILL_FAILED"))[0] == ("DOWNLOAD_QUEUED", 1, 2, 0)
+    # An update before the retry that makes it void, the retry once more, and a kind that does not exist.
+    state, apart = send((2, 102, "update", "VERIFYING"), (3, 103, "retry", None), (4, 104, "pause", None))
+    assert state == ("VERIFYING", 0, 4, 1) and apart == [("illegal", 4), ("repeated", 3)]
+    assert send((5, 200, "recover", None))[0] == ("ORGANIZED", 0, 5, 1)
+    state, apart = send((6, 105, "update", "FIXED"), (7, 195, "update", "FIXED"))
+    assert state == ("DOWNLOAD_QUEUED", 0, 6, 1) and ("late", 6) in apart
+
+

@@ -2,12 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from cladeledger.operators import dedup, hierarchy, levels, manifest, packing, repair, reports, resume
+from cladeledger.operators import dedup, hierarchy, levels, manifest, packing, repair, reports, resume, task_machine
 from cladeledger.ordering import with_last_known, with_row_number
 from cladeledger.plans.split import plan_split
 
@@ -31,22 +32,30 @@ def first_fit(items, capacity):
 
 
 @FEW
-@given(sizes=st.lists(st.integers(1, 60), min_size=1, max_size=60), chunk=st.sampled_from([5, 16, 1000]))
-def test_packing_is_first_fit_decreasing(spark, sizes, chunk):
+@given(
+    sizes=st.lists(st.integers(1, 60), min_size=1, max_size=60), chunk=st.sampled_from([5, 16, 1000]), max_sizes=st.sampled_from([0, 100])
+)
+def test_packing_is_first_fit_decreasing(spark, sizes, chunk, max_sizes):
     items = list(enumerate(sizes))
     df = spark.createDataFrame(items, "tax_id BIGINT, size_bp BIGINT")
-    rows = packing.pack(df, 50, chunk_rows=chunk).collect()
+    rows = packing.pack(df, 50, chunk_rows=chunk, max_sizes=max_sizes).collect()
     assert len(rows) == len(items)
     assert {r.tax_id: r.bin for r in rows if r.bin is not None} == first_fit(items, 50)
     assert {r.tax_id for r in rows if r.bin is None} == {i for i, s in items if s > 50}
 
 
-@pytest.mark.parametrize("chunk", [40, 10_000])
-def test_packing_per_key_with_a_hot_key(spark, chunk):
+@pytest.mark.parametrize("chunk, max_sizes", [(40, 0), (40, 95), (40, 1000), (10_000, 0)])
+def test_packing_per_key_with_a_hot_key(spark, chunk, max_sizes):
+    """All hot keys in waves, some of them, none of them, and no hot keys; one key is null."""
     rng = random.Random(1)
-    items = [(i, "hot" if i % 3 else f"k{i % 9}", rng.randint(1, 120)) for i in range(600)]
+    items = [(i, "hot" if i % 3 else (None if i % 9 else "k0"), rng.randint(1, 120)) for i in range(600)]
     df = spark.createDataFrame(items, "accession BIGINT, taxon_id STRING, sequence_length BIGINT")
-    rows = packing.pack_all(df, 100, "sequence_length", "accession", ["taxon_id"], chunk).collect()
+    rows = packing.pack_all(df.na.fill("none"), 100, "sequence_length", "accession", ["taxon_id"], chunk, max_sizes).collect()
+    plain = packing.pack(df, 100, "sequence_length", "accession", ["taxon_id"], chunk, max_sizes).collect()
+    assert {r.accession: r.bin for r in plain if r.taxon_id is None} == {
+        r.accession: r.bin if r.sequence_length <= 100 else None for r in rows if r.taxon_id == "none"
+    }
+    items = [(i, k or "none", n) for i, k, n in items]
     for key in {k for _, k, _ in items}:
         members = [(i, s) for i, k, s in items if k == key]
         expected = first_fit(members, 100)
@@ -91,6 +100,39 @@ def test_closure_of_single_parent_cycles(spark):
     assert len(rows) == len(expected) and {tuple(r) for r in rows} == expected
 
 
+def test_closure_and_roll_up_of_a_long_chain(spark, monkeypatch):
+    """4,096 nodes in a row: rounds follow the logarithm, and the roll-up writes no pairs."""
+    written = []
+    real = hierarchy.materialize
+    monkeypatch.setattr(hierarchy, "materialize", lambda df, name="step", by=None: written.append(name) or real(df, name, by))
+    n = 4096
+    links = spark.range(1, n).select((F.col("id") - 1).alias("parent"), F.col("id").alias("child"))
+    seeds = spark.createDataFrame([(0,), (4000,)], "tax_id BIGINT")
+    pairs = hierarchy.closure(links, seeds)
+    assert pairs.groupBy("ancestor").count().orderBy("ancestor").collect() == [(0, n), (4000, n - 4000)]
+    assert written.count("closure") <= 13 and written.count("jumps") <= 13
+    genomes = spark.range(n).filter("id % 3 = 0").select(F.lit("GCA_1").alias("accession"), F.col("id").alias("tax_id"), F.lit(2).cast("bigint").alias("sequence_length"))
+    rolled = hierarchy.roll_up_forest(hierarchy.jumps(links), spark.range(n).withColumnRenamed("id", "tax_id"), genomes)
+    below = 3 * F.floor(F.lit(n - 1) / 3) - F.ceil(F.col("tax_id") / 3) * 3
+    wrong = rolled.filter((F.col("size_bp") != 2 * (below / 3 + 1)) | (F.col("has_direct") != (F.col("tax_id") % 3 == 0)))
+    assert rolled.count() == n and wrong.isEmpty()
+
+
+def test_roll_up_of_a_forest_equals_the_closure(spark):
+    rng = random.Random(3)
+    parents = {i: rng.randrange(i) for i in range(1, 60) if i % 11}
+    links = spark.createDataFrame([(p, c) for c, p in parents.items()], "parent BIGINT, child BIGINT")
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "tax_id BIGINT")
+    genomes = spark.createDataFrame([("GCA", rng.randrange(70), rng.randrange(100)) for _ in range(80)] + [("GCA", None, 1)], "accession STRING, tax_id BIGINT, sequence_length BIGINT")
+    want = hierarchy.roll_up(hierarchy.closure(links, nodes), genomes)
+    got = hierarchy.roll_up_forest(hierarchy.jumps(links), nodes, genomes)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    for more in ([(58, 1)], [(59, 0), (0, 59)]):
+        tangled = links.union(spark.createDataFrame(more, links.schema))
+        with pytest.raises(ValueError):
+            hierarchy.roll_up_forest(hierarchy.jumps(tangled), nodes, genomes)
+
+
 def test_source_filter_reaches_the_files(spark, tmp_path):
     spark.createDataFrame([("GCF_1", 1), ("GCA_2", 2)], "accession STRING, tax_id BIGINT").write.parquet(str(tmp_path / "g"))
     found = hierarchy.filter_source(spark.read.parquet(str(tmp_path / "g")), "refseq").select("accession")
@@ -178,6 +220,37 @@ def test_first_and_last_wins(spark):
     assert [r.v for r in dedup.last_wins(df, ["k"], F.col("pos")).orderBy("k").collect()] == ["x", "z"]
 
 
+def test_runs_of_equal_items_fill_runs_of_bins():
+    """The plan from sizes and counts against first fit item by item."""
+    rng = random.Random(2)
+    for turn in range(300):
+        capacity = rng.randint(1, 60)
+        sizes = sorted(rng.sample(range(turn % 3 > 0, capacity + 1), min(rng.randint(1, 12), capacity)), reverse=True)
+        counts = [rng.randint(1, 30) for _ in sizes]
+        flat = [n for n, c in zip(sizes, counts) for _ in range(c)]
+        want, _ = packing.fill_bins(np.array(flat), np.empty(0, np.int64), capacity, len(flat))
+        plan = packing.plan_runs(np.array(sizes), np.array(counts), capacity)
+        got = []
+        for (run, start, first, each), after in zip(plan, [*plan[1:], (None, 0, 0, 0)]):
+            stop = after[1] if after[0] == run else counts[run]
+            got += [first + i // each for i in range(stop - start)]
+        assert got == want
+
+
+def test_a_million_items_of_one_key_without_a_wave(spark, monkeypatch):
+    def no_waves(*_):
+        raise AssertionError("waves")
+
+    monkeypatch.setattr(packing, "_place_in_waves", no_waves)
+    items = spark.range(1_000_000).select(
+        F.col("id").alias("tax_id"), (F.pmod(F.xxhash64("id"), F.lit(1000)) * 997 + 1).alias("size_bp"), F.lit("one").alias("k")
+    )
+    packed = packing.pack(items, 1_500_000, keys=["k"])
+    bins = packed.groupBy("bin").agg(F.sum("size_bp").alias("used")).agg(F.max("used"), F.count("*"), F.sum("used"), F.max("bin")).first()
+    assert bins[0] <= 1_500_000 and bins[1] == bins[3] and packed.filter("bin IS NULL").isEmpty()
+    assert bins[1] <= bins[2] / 1_500_000 * 1.01 + 1
+
+
 def test_items_without_a_size_are_kept(spark):
     df = spark.createDataFrame([("t", "a", 5), ("t", "b", None), ("t", "c", 50)], "taxon_id STRING, accession STRING, sequence_length BIGINT")
     assert {(r.accession, r.bin) for r in packing.pack(df, 10, "sequence_length", "accession").collect()} == {("a", 1), ("b", None), ("c", None)}
@@ -190,7 +263,7 @@ def test_packing_plan_does_not_grow_with_waves(spark):
     df = spark.range(400).select(F.col("id").alias("tax_id"), (F.col("id") % 7 + 3).alias("size_bp"), F.lit("x").alias("name"))
     plans = []
     for chunk in (20, 100):
-        packed = packing.pack(df, 20, chunk_rows=chunk)
+        packed = packing.pack(df, 20, chunk_rows=chunk, max_sizes=0)
         plans.append(packed._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
         assert {tuple(r) for r in packed.collect()} == {tuple(r) for r in packing.pack(df, 20).collect()}
         named = df.select(F.lit(1).cast("bigint").alias("tax_id"), "size_bp", F.col("tax_id").cast("string").alias("name"))
@@ -282,3 +355,47 @@ def test_split_plan_keeps_every_genome(spark):
     assert {(r.accession, r.bin) for r in plan.accession_bins.collect()} == {("GCA_2", 1), ("GCA_1", 2), ("GCF_3", 3)}
     named = plan_split(nodes, genomes, "species", 1.0, source="genbank", names_only=True)
     assert [(r.tax_id, r.size_bp) for r in named.packed.collect()] == [(2, 35)]
+
+
+def run_events(events):
+    state, attempts, illegal = "PENDING", 0, 0
+    for kind, status, accession, holds in events:
+        if kind == "update" and status in task_machine.TASK_STATES:
+            state = status
+        elif kind == "retry":
+            if state in ("STILL_FAILED", "FAILED_RETRYABLE"):
+                state, attempts = "DOWNLOAD_QUEUED", attempts + 1
+        elif kind == "recover":
+            if not accession:
+                state = state if state in ("FIXED", "SKIPPED_NO_ACCESSION") else "SKIPPED_NO_ACCESSION"
+            elif state in ("PENDING", "DOWNLOADING", "FAILED_RETRYABLE") or state == "FIXED" and not holds:
+                state = "DOWNLOAD_QUEUED"
+            else:
+                state = {"ORGANIZING": "DOWNLOADED", "VERIFYING": "ORGANIZED"}.get(state, state)
+        else:
+            illegal += 1
+    return state, attempts, len(events), illegal
+
+
+@pytest.mark.parametrize("run", [2, 7, 1024])
+def test_task_machine_equals_events_one_by_one(spark, run):
+    rng = random.Random(9)
+    events, by_task = [], {}
+    for i in range(600):
+        task = "hot" if i % 3 else f"t{rng.randrange(20)}"
+        kind = rng.choice(["update", "update", "retry", "recover", "pause", None])
+        what = (kind, rng.choice([*task_machine.TASK_STATES, "BROKEN", None]), rng.choice(["A", "A", "", None]), rng.choice([True, False, None]))
+        by_task.setdefault(task, []).append(what)
+        events.append((task, i, i // 4, *what))
+    schema = "task_id STRING, event_id BIGINT, at INT, kind STRING, status STRING, accession_id STRING, fix_holds BOOLEAN"
+    df = spark.createDataFrame(events, schema).withColumn("at", F.timestamp_seconds("at"))
+    got = task_machine.final_states(df.union(df.filter("event_id % 5 = 0")), run).collect()
+    assert {r.task_id: (r.status, r.attempts, r.n_events, r.n_illegal) for r in got} == {t: run_events(e) for t, e in by_task.items()}
+    assert task_machine.final_states(df.limit(0), run).count() == 0
+
+
+def test_ties_do_not_depend_on_the_way(spark):
+    rows = [("a", i % 2, i, None if i % 3 else i) for i in range(60)]
+    df = spark.createDataFrame(rows, "k STRING, seq INT, id INT, v INT")
+    found = [{r.id: r.last for r in with_last_known(df, ["k"], [F.col("seq")], {"last": F.col("v")}, limit).collect()} for limit in (5, 100)]
+    assert found[0] == found[1]
