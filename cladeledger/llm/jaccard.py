@@ -9,8 +9,8 @@ A shingle of one set alone can join nothing. It takes up room at the front of it
 has no candidates at all. ``screened`` finds most such sets before any shingle travels as a row.
 
 Copies meet as one set. Only connected components are wanted, so a cell of sets that meet at a shingle first offers
-each of its sets one pair, with the cell's pivot; sets that are connected already need no more pairs. When few pairs
-are left open, or such a round finds nothing new, all that are open are verified.
+each of its sets a few pairs, with pivots of the cell; sets that are connected already need no more pairs. When most
+pairs with pivots are no links any more, all that are open are verified.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ CHUNK_TOKENS = 1_500_000
 CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
-PAIRS_PER_MEMBER = 16
+CELL_PIVOTS = 4
+LEAST_YIELD = 0.25
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
 _PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"
@@ -262,10 +263,11 @@ _MEMBER = ("kind", "n", "alone", "k", "root")
 
 
 def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Each member of a cell of several components with the cell's pivot, chosen by a hash of its own each turn."""
-    pivot = F.min(F.struct(F.xxhash64(F.lit(turn), "kind").alias("order"), *_MEMBER)).alias("y")
-    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), pivot).filter("low < high")
-    met = placed.select("token", F.struct(*_MEMBER).alias("x")).join(mixed.select("token", "y"), "token")
+    """Each member of a cell of several components with a few pivots of the cell, chosen by hashes of their own each turn."""
+    pivots = [F.min(F.struct(F.xxhash64(F.lit(turn * CELL_PIVOTS + i), "kind").alias("order"), *_MEMBER)) for i in range(CELL_PIVOTS)]
+    mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*pivots).alias("ys"))
+    mixed = mixed.filter("low < high").select("token", F.explode(F.array_distinct("ys")).alias("y"))
+    met = placed.select("token", F.struct(*_MEMBER).alias("x")).join(mixed, "token")
     return _pairs(met.filter("x.root != y.root"))
 
 
@@ -280,38 +282,30 @@ def _open_pairs(placed: DataFrame) -> DataFrame:
     return _pairs(left.join(right, "token").filter(both))
 
 
-def _open_pairs_of(placed: DataFrame) -> int:
-    """How many pairs ``_open_pairs`` would make in all cells together, before any filter."""
-    sizes = placed.groupBy("token", "root").agg(F.count("*").cast("double").alias("n"))
-    cells = sizes.groupBy("token").agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("own"))
-    return cells.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-
-
-def links(lists: DataFrame, pairs_per_member: int = PAIRS_PER_MEMBER) -> DataFrame | None:
+def links(lists: DataFrame, least_yield: float = LEAST_YIELD) -> DataFrame | None:
     """``node`` and ``component`` of each kind that is linked to another; None without any links.
 
-    Rounds of pairs with pivots go on while they link something and more than ``pairs_per_member`` pairs are open for
-    each member of a cell; then all open pairs are verified. The number decides about the work, not the result.
+    Rounds of pairs with pivots go on while at least a share ``least_yield`` of the pairs are links, then all open pairs are
+    verified. The share decides about the work, not the result.
     """
     found = cells(lists)
-    members = found.count()
     reach, known, tested = None, None, None
     turn, done = 0, False
-    while not done:
+    while True:
         placed = _placed(found, reach)
-        # Nothing new from the last pivots, or few pairs left: all of them.
-        done = turn > 0 and new.isEmpty() or _open_pairs_of(placed) <= pairs_per_member * members
         pairs = _open_pairs(placed) if done else _star_pairs(placed, turn)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "pairs")
         tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
         new = materialize(verified(pairs, lists), "links")
-        if not new.isEmpty():
+        n_new = new.count()
+        if n_new:
             known = new if known is None else known.union(new)
             reach = materialize(components(known, "a", "b"), "reach")
-        turn += 1
-    return reach
+        if done:
+            return reach
+        turn, done = turn + 1, n_new <= least_yield * pairs.count()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
