@@ -1,14 +1,15 @@
 """Quality by co-training: a classifier on the text and one on the metadata teach each other.
 
-Both start from a bounded sample of labelled documents. In each round either one gives its surest guesses on a
-bounded pool of unlabelled documents to the other. Then each view's scores are calibrated on labelled documents
+Both start from a bounded sample of labelled documents. In each round both score all documents without a label, and
+either one gives the surest of them, a share of the corpus, to the other as labels. A view is fitted on the labelled
+documents and a bounded sample of all that it was given. Then each view's scores are calibrated on labelled documents
 that were kept out of training, and all documents are scored by the sum of the calibrated log-odds.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +22,11 @@ from cladeledger.llm.common import arrow_schema, share
 from cladeledger.workspace import materialize
 
 LABELLED_SAMPLE = 8_000
-POOL_SAMPLE = 8_000
-ROUNDS = 4
-PER_ROUND = 400
+# Of the documents that a view was given as labels, so many are fitted on.
+GIVEN_SAMPLE = 8_000
+ROUNDS = 3
+# What a view gives away each round, as a share of the documents without a label, if it is as sure as that.
+GIVEN_SHARE = 0.05
 SURE = 0.95
 HELD_OUT_PARTS = 5
 KEEP_SCORE = 0.5
@@ -33,7 +36,7 @@ TEXT_SIZE = WORD_BUCKETS + 129 + SHAPES
 SOURCE_BUCKETS, LANG_BUCKETS, LENGTH_BINS = 64, 16, 16
 META_SIZE = SOURCE_BUCKETS + LANG_BUCKETS + LENGTH_BINS + 2
 
-_FEATURES = T.StructType().add("label", "integer").add("part", "integer").add("content", "binary").add("meta", "binary")
+_FEATURES = T.StructType().add("doc_id", "long").add("label", "integer").add("part", "integer").add("content", "binary").add("meta", "binary")
 _SCORES = T.StructType().add("doc_id", "long").add("text_score", "double").add("meta_score", "double").add("score", "double")
 
 
@@ -146,74 +149,114 @@ class Model:
         return _sigmoid(odds[0]), _sigmoid(odds[1]), _sigmoid(odds[0] + odds[1] - self.prior)
 
 
-def co_train(content: np.ndarray, meta: np.ndarray, label: np.ndarray, part: np.ndarray, rounds: int = ROUNDS) -> Model:
-    """``label`` is 0, 1 or -1 for the pool; labelled rows of ``part`` 0 only calibrate."""
-    held = (label >= 0) & (part == 0)
-    train = (label >= 0) & ~held
-    good = float((label == 1).sum() + 1) / float((label >= 0).sum() + 2)
-    prior = float(np.log(good / (1 - good)))
-    if len(set(label[train].tolist())) < 2 or len(set(label[held].tolist())) < 2:
-        return Model(None, ((0.0, 0.0), (0.0, 0.0)), prior)
-    known = [np.where(train, label, -1), np.where(train, label, -1)]
-    views = (content, meta)
-    for turn in range(rounds + 1):
-        fitted = [Logistic.fit(x[k >= 0], k[k >= 0]) for x, k in zip(views, known)]
-        if turn == rounds:
-            break
-        given = []
-        for view, (teacher, x) in enumerate(zip(fitted, views)):
-            free = np.flatnonzero((label < 0) & (known[1 - view] < 0))
-            chance = _sigmoid(teacher.logits(x[free]))
-            order = np.argsort(chance)
-            # Both classes are given in the proportion of the labels, the surest first.
-            n_good = round(PER_ROUND * good)
-            low = order[: PER_ROUND - n_good][chance[order[: PER_ROUND - n_good]] <= 1 - SURE]
-            high = order[::-1][:n_good][chance[order[::-1][:n_good]] >= SURE]
-            given.append((free[low], free[high]))
-        for view, (low, high) in enumerate(given):
-            known[1 - view][low], known[1 - view][high] = 0, 1
-    scales = tuple(platt(v.logits(x[held]), label[held]) for v, x in zip(fitted, views))
+def _one_class(label: np.ndarray) -> bool:
+    return len(set(label.tolist())) < 2
+
+
+def _log_odds(label: np.ndarray) -> float:
+    good = float((label == 1).sum() + 1) / float(len(label) + 2)
+    return float(np.log(good / (1 - good)))
+
+
+def _fitted(views: Sequence[np.ndarray], labels: Sequence[np.ndarray], held: Sequence[np.ndarray], held_label: np.ndarray, prior: float) -> Model:
+    """Both views from their rows, calibrated on the rows held out."""
+    fitted = [Logistic.fit(x, y) for x, y in zip(views, labels)]
+    scales = tuple(platt(view.logits(x), held_label) for view, x in zip(fitted, held))
     return Model((fitted[0], fitted[1]), scales, prior)
 
 
-def _sampled(df: DataFrame, rows: int, count: int, key: str = "doc_id") -> DataFrame:
-    share = min(1.0, rows / max(count, 1))
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1 << 30)) <= int(share * (1 << 30)))
+def _read(docs: DataFrame) -> DataFrame:
+    """``doc_id`` as long and what both views read."""
+    kinds = {"doc_id": "bigint", "text": "string", "source": "string", "lang": "string", "n_chars": "bigint"}
+    return docs.select(*(F.col(c).cast(kind).alias(c) for c, kind in kinds.items()))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """From about ``LABELLED_SAMPLE`` labelled and ``POOL_SAMPLE`` other documents, chosen by the hash of their id."""
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
-                       F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("bigint").alias("n_chars"))
-    said = labels.filter(f"doc_id IS NOT NULL AND `{label}` IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
-    said = materialize(said.agg(F.min(label).cast("int").alias("label")), "labels")
-    taught = rows.join(_sampled(said, LABELLED_SAMPLE, said.count()), "doc_id")
-    pool = _sampled(rows, POOL_SAMPLE, rows.count()).join(said, "doc_id", "left_anti").withColumn("label", F.lit(-1))
-    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(HELD_OUT_PARTS)).cast("int").alias("part")
+def _features(rows: DataFrame) -> pa.Table:
+    """``label``, ``part`` and both views' features of a bounded number of rows, on the driver, one per document id."""
     schema = arrow_schema(_FEATURES)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             content = [text_features(t).tobytes() for t in batch.column("text").to_pylist()]
             meta = [meta_features(*x).tobytes() for x in zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))]
-            yield pa.record_batch([batch.column("label"), batch.column("part"), pa.array(content, pa.binary()), pa.array(meta, pa.binary())], schema=schema)
+            yield pa.record_batch([batch.column("doc_id"), batch.column("label"), batch.column("part"), pa.array(content, pa.binary()), pa.array(meta, pa.binary())], schema=schema)
 
-    chosen = taught.unionByName(pool).select("label", part, "text", "source", "lang", "n_chars")
+    # An id that fills the table is reduced to one row before any text moves.
+    read = F.struct("text", "source", "lang", "n_chars", "label")
+    once = rows.groupBy("doc_id").agg(F.min_by(read, F.xxhash64("text", "source", "lang", "n_chars")).alias("read")).select("doc_id", "read.*")
+    part = F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(HELD_OUT_PARTS)).cast("int").alias("part")
     # The order of rows must not matter to the sums, so it is fixed.
-    found = chosen.mapInArrow(features, _FEATURES).orderBy("label", "part", "content", "meta").limit(2 * (LABELLED_SAMPLE + POOL_SAMPLE)).toArrow()
-    content, meta = (
-        np.frombuffer(b"".join(found[c].to_pylist()), np.float32).reshape(-1, n) for c, n in (("content", TEXT_SIZE), ("meta", META_SIZE))
+    return once.select("doc_id", "label", part, "text", "source", "lang", "n_chars").mapInArrow(features, _FEATURES).orderBy("doc_id").toArrow()
+
+
+def _matrices(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(
+        np.frombuffer(b"".join(table[c].to_pylist()), np.float32).reshape(-1, n) for c, n in (("content", TEXT_SIZE), ("meta", META_SIZE))
     )
-    return co_train(content, meta, found["label"].to_numpy(), found["part"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``text_score``, ``meta_score``, ``score`` and ``keep`` of every row.
+def _sampled(ids: DataFrame, rows: int, salt: str) -> DataFrame:
+    """About ``rows`` of the distinct ids, by their hash; at most twice as many."""
+    share = min(1.0, rows / max(ids.count(), 1))
+    place = F.xxhash64(F.lit(salt), "doc_id")
+    chosen = ids.filter(F.pmod(place, F.lit(1 << 30)) <= int(share * (1 << 30)))
+    return materialize(chosen.orderBy(place, "doc_id").limit(2 * rows), "sampled")
 
-    Null and empty texts have no words and are judged on that; nulls in metadata are features of their own.
-    Repeated rows are each scored. Without labels of both classes all get the prior and are kept.
+
+def _given(scored: DataFrame, teacher: str, known: DataFrame | None, good: float) -> DataFrame:
+    """Ids and labels of the surest documents that the other view has not been given: the best and the worst, in the
+    proportion of the labels."""
+    free = scored if known is None else scored.join(known.select("doc_id"), "doc_id", "left_anti")
+    low, high = GIVEN_SHARE * (1 - good), 1 - GIVEN_SHARE * good
+    at = scored.agg(F.percentile_approx(teacher, [low, high], 10_000)).first()[0]
+    chance = F.col(teacher)
+    best = chance >= max(SURE, at[1])
+    chosen = free.filter(best | (chance <= min(1 - SURE, at[0])))
+    return chosen.select("doc_id", F.when(best, 1).otherwise(0).alias("label"))
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: int = ROUNDS) -> Model:
+    """From about ``LABELLED_SAMPLE`` labelled documents, chosen by the hash of their id, and all others without a label.
+
+    Labelled ids of ``part`` 0 only calibrate. Repeats of an id are one document, in training and among those given,
+    so an id that fills the table takes no other's place; rows without an id do not train. Without both classes in
+    either part there are no views.
     """
-    shared = share(docs.sparkSession, model)
+    rows = _read(docs).filter("doc_id IS NOT NULL")
+    said = labels.filter(f"doc_id IS NOT NULL AND `{label}` IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    said = materialize(said.agg(F.min(label).cast("int").alias("label")), "labels")
+    here = materialize(said.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
+    taught = _features(rows.join(_sampled(here, LABELLED_SAMPLE, "labelled"), "doc_id"))
+    label_of, held = taught["label"].to_numpy(), taught["part"].to_numpy() == 0
+    prior = _log_odds(label_of)
+    if _one_class(label_of[held]) or _one_class(label_of[~held]):
+        return Model(None, ((0.0, 0.0), (0.0, 0.0)), prior)
+    good = float(1 / (1 + np.exp(-prior)))
+    views = _matrices(taught)
+    held_views, own_views = [x[held] for x in views], [x[~held] for x in views]
+    model = _fitted(own_views, [label_of[~held]] * 2, held_views, label_of[held], prior)
+    known: list[DataFrame | None] = [None, None]
+    for turn in range(rounds):
+        pool = rows.join(said, "doc_id", "left_anti")
+        # Repeats of an id count as often as they are at the bounds only.
+        scored = _scored(pool, model).groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("text_score", "meta_score")))
+        scored = materialize(scored, "scored")
+        if scored.isEmpty():
+            break
+        matrices, given = [], []
+        for view, teacher in enumerate(("meta_score", "text_score")):
+            new = materialize(_given(scored, teacher, known[view], good), "given")
+            known[view] = new if known[view] is None else materialize(known[view].unionByName(new), "given")
+            table = _features(rows.join(_sampled(known[view], GIVEN_SAMPLE, "given"), "doc_id"))
+            matrices.append(np.concatenate([own_views[view], _matrices(table)[view]]))
+            given.append(np.concatenate([label_of[~held], table["label"].to_numpy()]))
+        model = _fitted(matrices, given, held_views, label_of[held], prior)
+    return model
+
+
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``doc_id`` and the calibrated chances of both views and of both together, of each row."""
+    shared = share(rows.sparkSession, model)
     schema = arrow_schema(_SCORES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,7 +269,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = model.scores(content, meta)
                 yield pa.record_batch([rows.column("doc_id"), *(pa.array(x, pa.float64()) for x in found)], schema=schema)
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("source").cast("string").alias("source"),
-                       F.col("lang").cast("string").alias("lang"), F.col("n_chars").cast("bigint").alias("n_chars"))
+    return rows.mapInArrow(run, _SCORES)
+
+
+def score(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id``, ``text_score``, ``meta_score``, ``score`` and ``keep`` of every row.
+
+    Null and empty texts have no words and are judged on that, long ones are taken whole; nulls in metadata are features
+    of their own. Repeated rows are each scored, a null ``doc_id`` stays, other columns do not matter whatever their
+    names, and an empty table gives no rows. Without labels of both classes all get the prior and are kept.
+    """
     keep = F.lit(True) if model.views is None else F.col("score") >= KEEP_SCORE
-    return rows.mapInArrow(run, _SCORES).withColumn("keep", keep)
+    return _scored(_read(docs), model).withColumn("keep", keep)
