@@ -2,7 +2,8 @@
 
 The planes of the trees come from a bounded sample; every row is then indexed by all trees. A query goes through
 one priority queue over the nodes of all trees, nearest side first, until it has taken its share of the leaves.
-Leaves and the queries that chose them meet by leaf number, and the candidates of a leaf are scored exactly.
+Leaves and the queries that chose them meet by leaf number, and the candidates of a leaf are scored exactly. Vectors
+of each length have a forest of their own, as a cosine needs two of the same length.
 """
 
 from __future__ import annotations
@@ -114,18 +115,44 @@ def _units(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
 
 
-def _prepared(rows: DataFrame, keep: int) -> tuple[DataFrame, int]:
-    """Distinct vectors with their ``keep`` smallest ids, and the size of the vectors."""
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch, np.ndarray]]:
+    """The rows of each vector length, with their unit vectors."""
+    lengths = batch.column("vector").value_lengths().to_numpy()
+    for size in np.unique(lengths).tolist():
+        rows = batch.filter(pa.array(lengths == size)) if (lengths != size).any() else batch
+        yield size, rows, _units(_matrix(rows.column("vector"), size))
+
+
+def _prepared(rows: DataFrame, keep: int) -> DataFrame:
+    """Distinct vectors with their ``keep`` smallest ids."""
     good = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")))
     good = good.groupBy(F.col("vec_id").cast("bigint").alias("vec_id")).agg(F.min("embedding").alias("vector"))
-    good = materialize(good, "vectors")
-    sizes = good.groupBy(F.size("vector").alias("size")).count().orderBy(F.desc("count"), "size").first()
-    size = sizes["size"] if sizes else 0
     # Tasks keep the smallest ids of a vector before the shuffle, so one that fills the table stays small.
     by_id = Window.partitionBy("vector").orderBy("vec_id")
-    first = good.filter(F.size("vector") == size).withColumn("no", F.row_number().over(by_id)).filter(F.col("no") <= keep)
+    first = good.withColumn("no", F.row_number().over(by_id)).filter(F.col("no") <= keep)
     kinds = first.groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    return materialize(kinds, "kinds"), size
+    return materialize(kinds, "kinds")
+
+
+def _forests(kinds: DataFrame, trees: int, searched: float) -> dict[int, tuple[Forest, int, int]]:
+    """Per vector length the forest, the number of its first leaf, and how many leaves a query visits."""
+    counts = kinds.groupBy(F.size("vector").alias("size")).count()
+    by_size = {r["size"]: r["count"] for r in counts.collect()}
+    wanted = {s: max(MIN_LEAF_ROWS, min(SAMPLE_ROWS, SAMPLE_VALUES // (s * len(by_size)))) for s in by_size}
+    shares = kinds.sparkSession.createDataFrame([(s, min(1.0, wanted[s] / n)) for s, n in by_size.items()], "size int, share double")
+    sampled = kinds.select("vector", F.size("vector").alias("size")).join(F.broadcast(shares), "size")
+    chosen = sampled.filter(F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) <= F.col("share") * (1 << 30)).select("vector", "size").toArrow()
+    out, first = {}, 0
+    lengths = chosen["size"].to_numpy()
+    for size, count in sorted(by_size.items()):
+        rows = chosen.filter(pa.array(lengths == size)).slice(0, 2 * wanted[size])
+        sample = _units(_matrix(rows["vector"], size)) if rows.num_rows else np.zeros((1, size))
+        forest = grow(sample, count, trees)
+        leaves = forest.leaves
+        visits = max(1, round(searched * leaves * trees), min(leaves * trees, -(-MIN_CANDIDATES * leaves // count)))
+        out[size] = forest, first, visits
+        first += leaves * trees
+    return out
 
 
 def nearest(
@@ -134,44 +161,38 @@ def nearest(
     """``query_id``, ``rank`` from 1, ``vec_id`` and ``score`` of the ``k`` nearest found of every query.
 
     ``rows`` has ``vec_id`` and ``embedding``; ``is_query`` is a condition on ``vec_id``. Vectors that are null,
-    empty, zero or hold a null or non-finite component take no part, nor do rows without id or with another size
-    than most. Repeated ids count once, with their least vector. Equal scores rank by the smaller id. A share
-    ``searched`` of all leaves is visited: raise it for more recall, lower it for less work. An empty table gives no rows.
+    empty, zero or hold a null or non-finite component take no part, nor do rows without id. A query meets the vectors
+    of its own length; the driver holds one small forest per length. Repeated ids count once, with their least vector.
+    Equal scores rank by the smaller id. A share ``searched`` of all leaves is visited: raise it for more recall,
+    lower it for less work. An empty table gives no rows.
     """
-    kinds, size = _prepared(rows, k + 1)
-    count = kinds.count()
-    wanted = min(SAMPLE_ROWS, SAMPLE_VALUES // max(size, 1))
-    chosen = F.pmod(F.xxhash64("vector"), F.lit(1 << 30)) <= int(min(1.0, wanted / max(count, 1)) * (1 << 30))
-    sample = kinds.filter(chosen).select("vector").limit(2 * wanted).toArrow()
-    units = _units(_matrix(sample["vector"], size)) if sample.num_rows else np.zeros((1, max(size, 1)))
-    forest = grow(units, count, trees)
-    shared = share(rows.sparkSession, forest)
-    leaves = forest.leaves
-    visits = max(1, round(searched * leaves * trees), min(leaves * trees, -(-MIN_CANDIDATES * leaves // max(count, 1))))
+    kinds = _prepared(rows, k + 1)
+    shared = share(rows.sparkSession, _forests(kinds, trees, searched))
     kind = dict(kinds.dtypes)["vector"]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared()
+        forests = shared()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            leaves = forest.leaves_of(_units(_matrix(batch.column("vector"), size)))
-            for tree in range(leaves.shape[1]):
-                yield pa.record_batch([pa.array(leaves[:, tree]), batch.column("vector"), batch.column("ids")], names=["leaf", "vector", "ids"])
+            for size, rows, units in _by_size(batch):
+                forest, first, _ = forests[size]
+                leaves = forest.leaves_of(units) + first
+                for tree in range(leaves.shape[1]):
+                    yield pa.record_batch([pa.array(leaves[:, tree], pa.int64()), rows.column("vector"), rows.column("ids")], names=["leaf", "vector", "ids"])
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = shared()
+        forests = shared()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [forest.search(u, visits) for u in _units(_matrix(batch.column("vector"), size))]
-            at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
-            leaves = pa.array([leaf for x in found for leaf in x], pa.int32())
-            yield pa.record_batch([leaves, batch.column("query_id").take(at), batch.column("vector").take(at)], names=["leaf", "query_id", "vector"])
+            for size, rows, units in _by_size(batch):
+                forest, first, visits = forests[size]
+                found = [forest.search(u, visits) for u in units]
+                at = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                leaves = pa.array([first + leaf for x in found for leaf in x], pa.int64())
+                yield pa.record_batch([leaves, rows.column("query_id").take(at), rows.column("vector").take(at)], names=["leaf", "query_id", "vector"])
 
     def rerank(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if left.num_rows and right.num_rows:
+            size = len(left["vector"][0])
             candidates, queries = _matrix(left["vector"], size), _matrix(right["vector"], size)
             unit, first = _units(candidates), np.array([x[0].as_py() for x in left["ids"]])
             query_ids = right["query_id"].to_numpy()
@@ -183,9 +204,9 @@ def nearest(
         return pa.table({"query_id": pa.array(q, pa.int64()), "ids": ids, "score": pa.array(score, pa.float64())})
 
     # Asked from the rows, since a vector with very many equals keeps only its smallest ids as candidates.
-    queries = _all_queries(rows, is_query, size)
-    indexed = kinds.mapInArrow(index, f"leaf int, vector {kind}, ids array<bigint>")
-    routed = queries.mapInArrow(route, f"leaf int, query_id bigint, vector {kind}")
+    queries = _all_queries(rows, is_query)
+    indexed = kinds.mapInArrow(index, f"leaf bigint, vector {kind}, ids array<bigint>")
+    routed = queries.mapInArrow(route, f"leaf bigint, query_id bigint, vector {kind}")
     scored = indexed.groupBy("leaf").cogroup(routed.groupBy("leaf")).applyInArrow(rerank, "query_id bigint, ids array<bigint>, score double")
     pairs = scored.select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id != query_id")
     each = pairs.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
@@ -194,10 +215,9 @@ def nearest(
     return ranked.select("query_id", "rank", "vec_id", "score")
 
 
-def _all_queries(rows: DataFrame, is_query: Column, size: int) -> DataFrame:
+def _all_queries(rows: DataFrame, is_query: Column) -> DataFrame:
     good = rows.filter(F.col("vec_id").isNotNull() & valid(F.col("embedding")) & is_query)
-    good = good.groupBy(F.col("vec_id").cast("bigint").alias("query_id")).agg(F.min("embedding").alias("vector"))
-    return good.filter(F.size("vector") == size)
+    return good.groupBy(F.col("vec_id").cast("bigint").alias("query_id")).agg(F.min("embedding").alias("vector"))
 
 
 def _best(queries, query_ids, candidates, unit, first, keep: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:

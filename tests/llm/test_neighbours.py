@@ -79,6 +79,27 @@ def test_odd_rows(spark):
     assert neighbours.nearest(df.filter("vec_id = 0"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_vectors_of_two_lengths_are_all_answered(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)] + [(1000 + i, rng.normal(size=6).tolist()) for i in range(60)] + [(2000, [1.0])]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], SCHEMA).repartition(4)
+    got = found(neighbours.nearest(df, F.col("vec_id") % 50 == 0))
+    want = {}
+    for size in (8, 6):
+        want |= exact([(i, [float(np.float32(x)) for x in v]) for i, v in rows if len(v) == size], 5, lambda i: i % 50 == 0)
+    assert {1000, 1050} <= got.keys() and recall(got, want) >= 0.9
+
+
+def test_recall_grows_with_no_table(spark):
+    """The same share of the leaves at two sizes."""
+    rng = np.random.default_rng(6)
+    for n in (2000, 20_000):
+        rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, 24)).astype(np.float32))]
+        df = spark.createDataFrame([(*r, "a", 1) for r in rows], SCHEMA).repartition(8)
+        asked = lambda i: i % 200 == 0
+        assert recall(found(neighbours.nearest(df, F.col("vec_id") % 200 == 0)), exact(rows, 5, asked)) >= 0.9
+
+
 def test_every_row_is_in_every_tree():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 8))
