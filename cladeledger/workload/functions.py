@@ -19,16 +19,62 @@ def _any(column: str, words) -> str:
     return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
 
 
+# The words once more, for the SQL alone, so that a wrong word in the library shows.
+_SUBSPECIES_MARKERS = [
+    "subsp", "subspecies", "var", "variety", "forma", "f.", "str", "strain", "serovar", "serotype", "pv", "pathovar",
+    "bv", "biovar",
+]
+_UNIDENTIFIED_MARKERS = [
+    "sp", "species", "cf", "confer", "aff", "affinis",
+]
+_GENERIC_TERMS = [
+    "archaeon", "archaea", "bacterium", "bacteria", "organism", "uncultured", "cultured", "unidentified",
+    "identified", "unclassified", "classified", "candidatus", "endosymbiont", "symbiont", "endosymbiotic",
+    "symbiotic", "group", "groups", "division", "cluster", "clusters", "clade", "clades", "complex", "isolate",
+    "isolated", "clone", "cloned", "strain", "strains", "environmental", "metagenome", "metagenomic", "genomosp",
+    "taxon", "taxa",
+]
+_ENVIRONMENT_PHRASES = [
+    "command not found", "executable not found", "no such file or directory", "datasets not found",
+    "version incompatible", "network unreachable", "connection refused", "dns resolution failed", "ssl certificate",
+    "authentication failed", "unauthorized",
+]
+_FILESYSTEM_PHRASES = [
+    "permission denied", "access denied", "disk full", "no space left", "read-only file system", "file exists",
+    "directory not empty", "operation not permitted", "input/output error",
+]
+_TRANSIENT_PHRASES = [
+    "timeout", "connection timeout", "read timeout", "rate limit", "too many requests", "service unavailable",
+    "bad gateway", "gateway timeout", "temporary failure", "try again later", "server error", "internal server error",
+]
+_DATA_PHRASES = [
+    "not found", "no data available", "invalid taxon", "no genomes", "empty result", "no assemblies",
+    "taxon id not found", "invalid taxonomy", "no sequences found",
+]
+_RATE_LIMIT_PHRASES = [
+    "rate limit", "too many requests", "429",
+]
+_RATE_LIMIT_EXCLUSIONS = [
+    "no genome data", "is valid for", "please use a subspecies", "no annotations matching",
+]
+_RETRYABLE_PHRASES = [
+    "timeout", "connection", "network", "unreachable", "temporary failure", "service unavailable", "rate limit",
+]
+_RETRYABLE_CODES = [
+    "429", "502", "503", "504",
+]
+
+
 @query("fn_1_source_filter", "genomes", "select accession, tax_id, sequence_length from genomes where accession like 'GCF\\_%' escape '\\'")
 def _(spark, sf):
     return hierarchy.filter_source(derived(spark, sf, "genomes"), "RefSeq").select("accession", "tax_id", "sequence_length")
 
 
-_MARKS = fixed.SUBSPECIES_MARKERS + fixed.UNIDENTIFIED_MARKERS
+_MARKS = _SUBSPECIES_MARKERS + _UNIDENTIFIED_MARKERS
 _TIDY = "trim(regexp_replace(name, '\\s+', ' ', 'g'))"
 _NO_MARK = (
     f"len(list_filter({_sql_list(_MARKS)}, lambda m: regexp_matches(n, '(?i)\\b' || replace(m, '.', '[.]') || '\\.?\\b'))) = 0"
-    f" and len(list_filter({_sql_list(fixed.GENERIC_TERMS)}, lambda m: regexp_matches(n, '(?i)\\b' || m || '\\b'))) = 0"
+    f" and len(list_filter({_sql_list(_GENERIC_TERMS)}, lambda m: regexp_matches(n, '(?i)\\b' || m || '\\b'))) = 0"
 )
 _VALID = (
     "coalesce(regexp_matches(n, '^[A-Za-z]+([ -][A-Za-z]+)*$') and len(string_split(n, ' ')) = 2"
@@ -64,9 +110,9 @@ _REASON = (
     "   when regexp_matches(e, '[A-Z]') then 'Specific epithet must be all lowercase'"
     "   when length(e) < 3 then 'Specific epithet too short (' || length(e) || ' chars), need ≥3'"
     "   else 'Specific epithet format invalid' end "
-    + _first_marker("Contains subspecies marker", fixed.SUBSPECIES_MARKERS)
-    + _first_marker("Contains unidentified marker", fixed.UNIDENTIFIED_MARKERS)
-    + _first_marker("Contains generic term", fixed.GENERIC_TERMS)
+    + _first_marker("Contains subspecies marker", _SUBSPECIES_MARKERS)
+    + _first_marker("Contains unidentified marker", _UNIDENTIFIED_MARKERS)
+    + _first_marker("Contains generic term", _GENERIC_TERMS)
     + "else 'Valid' end"
 )
 _PARTS = (
@@ -334,8 +380,8 @@ def _(spark, sf):
 
 _M = "lower(message)"
 _BY_MESSAGE = (
-    f"case when {_any(_M, fixed.ENVIRONMENT_PHRASES)} then 'environment' when {_any(_M, fixed.FILESYSTEM_PHRASES)} then 'filesystem'"
-    f" when {_any(_M, fixed.TRANSIENT_PHRASES)} then 'transient' when {_any(_M, fixed.DATA_PHRASES)} then 'data' else 'processing' end"
+    f"case when {_any(_M, _ENVIRONMENT_PHRASES)} then 'environment' when {_any(_M, _FILESYSTEM_PHRASES)} then 'filesystem'"
+    f" when {_any(_M, _TRANSIENT_PHRASES)} then 'transient' when {_any(_M, _DATA_PHRASES)} then 'data' else 'processing' end"
 )
 ERROR_CLASS_SQL = (
     "case when exception_type in ('FileNotFoundError', 'PermissionError', 'OSError') then case"
@@ -362,8 +408,8 @@ def _(spark, sf):
 
 @query(
     "fn_28_message_predicates", "errors",
-    f"select event_id, {_any(_M, fixed.RATE_LIMIT_PHRASES)} and not {_any(_M, fixed.RATE_LIMIT_EXCLUSIONS)} as rate_limit,"
-    f" event_id % 5 < 3 and {_any(_M, fixed.RETRYABLE_PHRASES + fixed.RETRYABLE_CODES)} as retry from errors",
+    f"select event_id, {_any(_M, _RATE_LIMIT_PHRASES)} and not {_any(_M, _RATE_LIMIT_EXCLUSIONS)} as rate_limit,"
+    f" event_id % 5 < 3 and {_any(_M, _RETRYABLE_PHRASES + _RETRYABLE_CODES)} as retry from errors",
 )
 def _(spark, sf):
     message = F.col("message")
