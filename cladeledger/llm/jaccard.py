@@ -38,7 +38,7 @@ CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
 CELL_PIVOTS = 4
-LEAST_YIELD = 0.25
+LEAST_YIELD = 0.75
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
 _PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"
