@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from cladeledger.ordering import split_by, split_hot, tie_break, with_last_known, with_row_number
+from cladeledger.ordering import join_pieces, split_by, split_hot, tie_break, with_last_known, with_row_number
 from cladeledger.workspace import materialize, new_path
 
 CHUNK_ROWS = 200_000
@@ -180,7 +180,7 @@ def _chunked(items: DataFrame, size: str, item: str, keys: list[str], chunk_rows
     numbers = (
         ranged.select(*keys, "_part").distinct().withColumn("_chunk", (F.row_number().over(window) - 1).cast("bigint"))
     )
-    return ranged.join(numbers, [*keys, "_part"]).drop("_part")
+    return join_pieces(ranged, numbers, keys).drop("_part")
 
 
 def plan_runs(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, int]]:

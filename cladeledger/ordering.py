@@ -93,7 +93,7 @@ def _row_number_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[Col
     rows_before = F.coalesce(F.sum("_n").over(_piece_window(keys)), F.lit(0))
     pieces = pieces.select(*keys, "_part", (rows_before - F.col("_first") + 1).alias("_offset"))
     return (
-        _join_pieces(ranged, pieces, keys)
+        join_pieces(ranged, pieces, keys)
         .withColumn(name, (F.col("_row") + F.col("_offset")).cast("bigint"))
         .drop("_part", "_row", "_offset")
     )
@@ -135,12 +135,13 @@ def _last_known_by_range(
     ]
     pieces = pieces.select(*keys, "_part", *carried)
     filled = ranged.withColumns({n: F.last(n, ignorenulls=True).over(inside) for n in names})
-    return _join_pieces(filled, pieces, keys).withColumns({n: F.coalesce(n, f"_before_{n}") for n in names}).drop(
+    return join_pieces(filled, pieces, keys).withColumns({n: F.coalesce(n, f"_before_{n}") for n in names}).drop(
         "_part", "_row", *[f"_before_{n}" for n in names]
     )
 
 
-def _join_pieces(ranged: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+def join_pieces(ranged: DataFrame, pieces: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``ranged`` with the other columns of ``pieces``, which has one row per group and ``_part``; null keys are groups."""
     same = ["_part", *keys]
     pieces = pieces.withColumnsRenamed({c: f"_piece_{c}" for c in same})
     matches = F.col("_part") == F.col("_piece__part")
