@@ -38,6 +38,8 @@ CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
 CELL_PIVOTS = 4
+# So many keys of sets that are compared are sent to the tasks that read the texts.
+SENT_KINDS = 1_000_000
 LEAST_YIELD = 0.75
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
@@ -157,7 +159,10 @@ def sets_of(docs: DataFrame, kinds: DataFrame) -> DataFrame:
                 tokens = pa.ListArray.from_arrays(pa.array(sets.bounds, pa.int32()), _signed(sets.hashes))
                 yield pa.record_batch([batch.column("kind").slice(start, stop - start), pa.array(sets.sizes, pa.int64()), tokens], names=["kind", "n", "tokens"])
 
-    rows = _keyed(docs).join(kinds.select("kind", "key_a", "key_b"), ["key_a", "key_b"]).select("kind", "text")
+    wanted = kinds.select("kind", "key_a", "key_b")
+    # 24 bytes each: a table of known size goes to the texts; a larger one meets them in a shuffle.
+    wanted = F.broadcast(wanted) if wanted.count() <= SENT_KINDS else wanted
+    rows = _keyed(docs).join(wanted, ["key_a", "key_b"]).select("kind", "text")
     return rows.mapInArrow(run, _SET).groupBy("kind").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
 
 
