@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
     said = labels.filter(f"doc_id IS NOT NULL AND `{label}` IN (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
     said = materialize(said.agg(F.min(label).cast("int").alias("label")), "labels")
     here = materialize(said.join(rows.select("doc_id").distinct(), "doc_id", "left_semi"), "labels")
-    taught = _features(rows.join(_sampled(here, LABELLED_SAMPLE, "labelled"), "doc_id"))
+    taught = _features(rows.join(F.broadcast(_sampled(here, LABELLED_SAMPLE, "labelled")), "doc_id"))
     label_of, held = taught["label"].to_numpy(), taught["part"].to_numpy() == 0
     prior = _log_odds(label_of)
     if _one_class(label_of[held]) or _one_class(label_of[~held]):
@@ -237,17 +237,16 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rounds: in
     model = _fitted(own_views, [label_of[~held]] * 2, held_views, label_of[held], prior)
     known: list[DataFrame | None] = [None, None]
     for turn in range(rounds):
-        pool = rows.join(said, "doc_id", "left_anti")
-        # Repeats of an id count as often as they are at the bounds only.
-        scored = _scored(pool, model).groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("text_score", "meta_score")))
-        scored = materialize(scored, "scored")
+        # All rows are scored where they lie, as only ids and chances need to move for what has a label to go.
+        scored = _scored(rows, model).groupBy("doc_id").agg(*(F.min(c).alias(c) for c in ("text_score", "meta_score")))
+        scored = materialize(scored.join(said, "doc_id", "left_anti"), "scored")
         if scored.isEmpty():
             break
         matrices, given = [], []
         for view, teacher in enumerate(("meta_score", "text_score")):
             new = materialize(_given(scored, teacher, known[view], good), "given")
             known[view] = new if known[view] is None else materialize(known[view].unionByName(new), "given")
-            table = _features(rows.join(_sampled(known[view], GIVEN_SAMPLE, "given"), "doc_id"))
+            table = _features(rows.join(F.broadcast(_sampled(known[view], GIVEN_SAMPLE, "given")), "doc_id"))
             matrices.append(np.concatenate([own_views[view], _matrices(table)[view]]))
             given.append(np.concatenate([label_of[~held], table["label"].to_numpy()]))
         model = _fitted(matrices, given, held_views, label_of[held], prior)
