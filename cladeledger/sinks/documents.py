@@ -2,8 +2,9 @@
 
 The stored form at any size is a table with one JSON entry per line (``write_manifest_rows`` and so on). For tools that
 want one document, ``write_manifest_document`` and so on write one file of any size, which all tasks write at once, an
-entry per line and in order, and which is replaced as a whole. ``write_manifest`` and so on give several documents,
-each of which passes through one task. Nothing about the form depends on how many entries there are.
+entry per line and in order, and which is replaced as a whole. ``write_manifest`` and ``write_task_state`` give several
+such documents, which all tasks write at once too; in object stores, and of progress, each document passes through one
+task. Nothing about the form depends on how many entries there are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from cladeledger.operators.repair import outcomes, repair_result, summarize
 from cladeledger.operators.reports import error_counts
 from cladeledger.ordering import with_row_number
 from cladeledger.sinks.lines import REPORT_ORDER, exploded, fixed_lines, write_lines
-from cladeledger.sinks.single_file import write_text_file
+from cladeledger.sinks.single_file import is_mounted, write_text_file, write_text_files
 
 _ARTIFACT = ("accession", "include_type", "filename", "expected_md5", "checksum_source", "committed_at")
 
@@ -43,6 +44,24 @@ def _entry_map(key: str, entry: Column) -> Column:
     )
 
 
+def _write_entries(numbered: DataFrame, path: str, key: str, entry: Column, begin: str, end: str) -> None:
+    """A document for each ``_document``: ``begin``, the entries by ``key``, a line each, and ``end``."""
+    if not is_mounted(path):
+        texts = numbered.groupBy("_document").agg(_entry_map(key, entry).alias("entries"))
+        _write(texts.select(F.concat(F.lit(f"{begin}\n"), "entries", F.lit(f"\n{end}")).alias("value")), path)
+        return
+    key_text = F.concat(_key_of(key), F.lit(": "))
+    file = F.format_string("part-%05d.json", "_document").alias("file")
+    entries = numbered.select(
+        file, F.lit(1).alias("section"), F.col(key).cast("string").alias("key"), F.lit(",\n").alias("separator"), F.concat(key_text, F.to_json(entry)).alias("text")
+    )
+    ends = F.array(F.struct(F.lit(0).alias("section"), F.lit(f"{begin}\n").alias("text")), F.struct(F.lit(2).alias("section"), F.lit(f"\n{end}\n").alias("text")))
+    nothing = F.lit(None).cast("string")
+    frame = numbered.select("_document").distinct().select(file, F.explode(ends).alias("e"))
+    frame = frame.select("file", "e.section", nothing.alias("key"), nothing.alias("separator"), "e.text")
+    write_text_files(entries.unionByName(frame), path, ["key"])
+
+
 def _stamped(manifest: DataFrame, committed_at: str) -> DataFrame:
     return manifest.withColumn("committed_at", F.lit(committed_at)) if "committed_at" not in manifest.columns else (
         manifest.withColumn("committed_at", F.coalesce(F.nullif("committed_at", F.lit("")), F.lit(committed_at)))
@@ -59,16 +78,8 @@ def write_manifest(manifest: DataFrame, path: str, committed_at: str, documents:
     """The manifest as ``documents`` documents with sorted filenames (SNK-7)."""
     numbered = _numbered(_stamped(manifest, committed_at), "filename", documents)
     entry = F.struct(*[F.col(c) for c in _ARTIFACT])
-    texts = numbered.groupBy("_document").agg(_entry_map("filename", entry).alias("entries"))
-    _write(
-        texts.select(
-            F.concat(
-                F.lit('{"artifacts": {\n'), "entries",
-                F.lit(f'\n}}, "generated_by": "cladeledger", "schema_version": {MANIFEST_SCHEMA_VERSION}}}'),
-            ).alias("value")
-        ),
-        path,
-    )
+    end = f'}}, "generated_by": "cladeledger", "schema_version": {MANIFEST_SCHEMA_VERSION}}}'
+    _write_entries(numbered, path, "filename", entry, '{"artifacts": {', end)
 
 
 def _key_of(column: str) -> Column:
@@ -160,10 +171,8 @@ def write_task_state(
     summary = summarize(tasks).select(F.to_json(F.struct("*"))).first()[0]
     numbered = _numbered(tasks, "task_id", documents)
     entry = F.struct(*[F.col(c) for c in tasks.columns])
-    texts = numbered.groupBy("_document").agg(_entry_map("task_id", entry).alias("entries"))
-    head = json.dumps(_task_head(run_id, root, created_at, updated_at, fingerprint))
-    text = F.concat(F.lit(head.removesuffix("}")), F.lit(f', "summary": {summary}, "tasks": {{\n'), "entries", F.lit("\n}}"))
-    _write(texts.select(text.alias("value")), path)
+    head = json.dumps(_task_head(run_id, root, created_at, updated_at, fingerprint)).removesuffix("}")
+    _write_entries(numbered, path, "task_id", entry, f'{head}, "summary": {summary}, "tasks": {{', "}}")
 
 
 def write_errors(errors: DataFrame, path: str, exported_at: str) -> None:

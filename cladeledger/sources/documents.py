@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeledger.fixed_values import MANIFEST_SCHEMA_VERSION
-from cladeledger.sources.lines import file_path
+from cladeledger.sources.lines import file_path, position
+from cladeledger.workspace import materialize
 
 # Field names of the JSON documents.
 ARTIFACT_FIELDS = (
@@ -40,19 +43,73 @@ def _json(spark: SparkSession, path, schema: str, whole: bool, mode: str = "PERM
     return reader.option("columnNameOfCorruptRecord", "_corrupt").options(**options).json(path)
 
 
+# An entry on a line of its own: its name and its fields.
+_ENTRY_LINE = '^("[^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+"): (\\{.*\\}),?$'
+
+
+def _split_documents(
+    spark: SparkSession, path: str | list[str], schema: str, entries: str, fields: str, options: dict
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Lines of documents with an entry per line; the documents without their entries; the paths of all others.
+
+    Such a document opens its map of ``entries`` at the end of its first line and closes it at the start of its last;
+    every line between is an entry that can be read by itself. So all tasks read it, each its share of the lines.
+    """
+    at = position()
+    lines = spark.read.options(**options).text(path).select("value", file_path().alias("document"), at["block"].alias("block"), at["row"].alias("row"))
+    read = F.from_json(F.regexp_extract("value", _ENTRY_LINE, 2), f"{fields}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    judged = lines.withColumn("bad", read["_corrupt"].isNotNull() | ~F.rlike("value", F.lit(_ENTRY_LINE))).withColumn("goes_on", F.endswith("value", F.lit(",")))
+    fits, ends = ~F.col("bad"), ~F.col("bad") & ~F.col("goes_on")
+    # Numbers alone, so that they are counted without sorting the lines; one row per document and split.
+    parts = judged.groupBy("document", "block").agg(
+        F.min("row").alias("first"), F.max("row").alias("last"), F.count("*").alias("n"), F.count_if(fits).alias("n_fit"), F.count_if(ends).alias("n_ends"),
+        F.max(F.when(fits, F.col("row"))).alias("last_fit"), F.max(F.when(ends, F.col("row"))).alias("last_end"),
+    )
+    place = {c: F.when(F.col(c).isNotNull(), F.struct("block", c)) for c in ("last_fit", "last_end")}
+    found = parts.groupBy("document").agg(
+        F.min(F.struct("block", F.col("first").alias("row"))).alias("first"), F.max(F.struct("block", F.col("last").alias("row"))).alias("last"), F.sum("n").alias("n"),
+        F.sum("n_fit").alias("n_fit"), F.sum("n_ends").alias("n_ends"), F.max(place["last_fit"]).alias("last_fit"), F.max(place["last_end"]).alias("last_end"),
+    )
+    found = materialize(found, "documents")
+    edges = found.select("document", F.explode(F.array(F.struct(F.lit(0).alias("end"), "first.*"), F.struct(F.lit(1).alias("end"), "last.*"))).alias("e")).select("document", "e.*")
+    edges = lines.filter(~F.startswith("value", F.lit('"'))).join(edges, ["document", "block", "row"])
+    edges = edges.groupBy("document").agg(F.min_by("value", "end").alias("head"), F.max_by("value", "end").alias("tail"))
+    opened = F.col("head").rlike(f'^\\{{.*"{entries}": \\{{$') & F.startswith("tail", F.lit("}"))
+    closed = (F.col("n_ends") == 1) & (F.col("last_fit.block") == F.col("last_end.block")) & (F.col("last_fit.last_fit") == F.col("last_end.last_end"))
+    whole = (F.col("n_fit") == F.col("n") - 2) & (closed | (F.col("n_fit") == 0))
+    frame = F.from_json(F.concat("head", "tail"), schema if "_corrupt" in schema else f"{schema}, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt"})
+    known = found.join(edges, "document", "left").select("document", frame.alias("frame"), F.coalesce(opened & whole, F.lit(False)).alias("split"))
+    # One row per document.
+    known = materialize(known.withColumn("split", F.col("split") & F.col("frame._corrupt").isNull()), "documents")
+    others = [re.sub(r"([][{}*?\\])", r"\\\1", r.document) for r in known.filter("NOT split").select("document").collect()]
+    frames = known.filter("split").select("document", "frame.*").drop("_corrupt")
+    return lines.select("value", "document").filter(F.startswith("value", F.lit('"'))), frames, others
+
+
+def _entries_of(lines: DataFrame, frames: DataFrame, fields: str) -> DataFrame:
+    """``document``, ``name`` and ``entry`` of each entry of the documents in ``frames``."""
+    name = F.from_json(F.concat(F.lit('{"k": '), F.regexp_extract("value", _ENTRY_LINE, 1), F.lit("}")), "k STRING")["k"]
+    rows = lines.join(frames.select("document"), "document")
+    return rows.select("document", name.alias("name"), F.from_json(F.regexp_extract("value", _ENTRY_LINE, 2), fields).alias("entry"))
+
+
 def read_manifest(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Artifact rows of manifest documents; other schema versions fail (SRC-8)."""
-    documents = _json(spark, path, MANIFEST_SCHEMA, True, "FAILFAST", **options)
     problem = F.concat(
         F.lit("Unsupported accession manifest schema: "),
         F.coalesce(F.col("schema_version").cast("string"), F.lit("none")),
     )
-    checked = F.when(
-        F.col("schema_version").eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION)), F.col("artifacts")
-    ).otherwise(F.raise_error(problem).cast(f"map<string, struct<{ARTIFACT_FIELDS}>>"))
-    return documents.select(
-        file_path().alias("document"), F.explode(checked).alias("name", "artifact")
-    ).select("document", F.col("name").alias("filename"), *[
+    right = F.col("schema_version").eqNullSafe(F.lit(MANIFEST_SCHEMA_VERSION))
+    kind = f"map<string, struct<{ARTIFACT_FIELDS}>>"
+    fields = ARTIFACT_FIELDS.replace(": ", " ")
+    lines, frames, others = _split_documents(spark, path, MANIFEST_SCHEMA, "artifacts", fields, options)
+    frames = frames.filter(F.when(right, True).otherwise(F.raise_error(problem).cast("boolean")))
+    rows = _entries_of(lines, frames, fields).withColumnRenamed("entry", "artifact")
+    if others:
+        documents = _json(spark, others, MANIFEST_SCHEMA, True, "FAILFAST", **options)
+        checked = F.when(right, F.col("artifacts")).otherwise(F.raise_error(problem).cast(kind))
+        rows = rows.unionByName(documents.select(file_path().alias("document"), F.explode(checked).alias("name", "artifact")))
+    return rows.select("document", F.col("name").alias("filename"), *[
         f"artifact.{c}" for c in ("accession", "include_type", "expected_md5", "checksum_source", "committed_at")
     ])
 
@@ -91,8 +148,13 @@ def read_task_rows(spark: SparkSession, path: str | list[str], **options) -> Dat
 
 def read_task_heads(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
     """Run id, directory, times, input fingerprint and summary of task documents (SNK-9)."""
-    documents = _json(spark, path, TASK_STATE_SCHEMA, True, **options).filter("_corrupt IS NULL")
-    return documents.drop("tasks", "_corrupt").withColumn("document", file_path())
+    # No field of a task is wanted, so none needs to have the right type.
+    _, frames, others = _split_documents(spark, path, TASK_STATE_SCHEMA, "tasks", "task_id STRING", options)
+    heads = frames.drop("tasks")
+    if not others:
+        return heads.select(*heads.drop("document").columns, "document")
+    documents = _json(spark, others, TASK_STATE_SCHEMA, True, **options).filter("_corrupt IS NULL")
+    return documents.drop("tasks", "_corrupt").withColumn("document", file_path()).unionByName(heads)
 
 
 def read_progress(spark: SparkSession, path: str | list[str], **options) -> DataFrame:
@@ -111,11 +173,17 @@ def read_progress(spark: SparkSession, path: str | list[str], **options) -> Data
 
 def read_task_state(spark: SparkSession, path: str | list[str], version: int = 1, **options) -> DataFrame:
     """Task rows; unreadable documents are ignored, other versions fail (SRC-10)."""
-    documents = _json(spark, path, TASK_STATE_SCHEMA, True, **options).filter("_corrupt IS NULL")
-    checked = F.when(F.col("schema_version").eqNullSafe(F.lit(version)), F.col("tasks")).otherwise(
-        F.raise_error(F.lit("Unsupported task state version")).cast(f"map<string, struct<{TASK_FIELDS}>>")
-    )
-    return documents.select(F.explode(checked).alias("id", "task")).select("task.*")
+    kind = f"map<string, struct<{TASK_FIELDS}>>"
+    right, problem = F.col("schema_version").eqNullSafe(F.lit(version)), F.raise_error(F.lit("Unsupported task state version"))
+    fields = TASK_FIELDS.replace(": ", " ")
+    lines, frames, others = _split_documents(spark, path, TASK_STATE_SCHEMA, "tasks", fields, options)
+    frames = frames.filter(F.when(right, True).otherwise(problem.cast("boolean")))
+    tasks = _entries_of(lines, frames, fields).select("entry.*")
+    if not others:
+        return tasks
+    documents = _json(spark, others, TASK_STATE_SCHEMA, True, **options).filter("_corrupt IS NULL")
+    checked = F.when(right, F.col("tasks")).otherwise(problem.cast(kind))
+    return tasks.unionByName(documents.select(F.explode(checked).alias("id", "task")).select("task.*"))
 
 
 def read_error_log(spark: SparkSession, path: str | list[str], **options) -> DataFrame:

@@ -517,3 +517,53 @@ def test_task_events_out_of_order_late_and_twice(spark, tmp_path):
     assert state == ("DOWNLOAD_QUEUED", 0, 6, 1) and ("late", 6) in apart
 
 
+
+
+def _json_tasks(n):
+    fields = [f.split(":")[0] for f in documents.TASK_FIELDS.split(", ")]
+    given = {"task_id": "concat('t', id)", "status": "'FIXED'", "original_path": "concat('a\"', id, '\\\\n{')", "attempts": "id"}
+    return [f"{given.get(f, 'cast(null as string)')} as {f}" for f in fields], n
+
+
+def test_no_task_holds_a_document_of_tasks(spark, tmp_path, monkeypatch):
+    columns, n = _json_tasks(3000)
+    rows = spark.range(n).selectExpr(*columns)
+    rows = rows.union(rows.filter("attempts % 500 = 0"))
+    path = str(tmp_path / "tasks")
+    for _ in range(2):
+        document_sinks.write_task_state(rows, path, "run", "/d", "a", "b", documents=2, fingerprint={"list": "x"})
+    texts = [json.loads(p.read_text()) for p in sorted((tmp_path / "tasks").glob("part*"))]
+    assert len(texts) == 2 and sum(len(t["tasks"]) for t in texts) == n
+    assert all(list(t["tasks"]) == sorted(t["tasks"]) for t in texts)
+    # Many tasks read one document, each a share of its lines.
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        found = documents.read_task_state(spark, path)
+        assert found.rdd.getNumPartitions() > 4
+        assert sorted(map(str, found.collect())) == sorted(map(str, rows.collect()))
+        heads = documents.read_task_heads(spark, path).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(heads) == 2 and {h.summary["total"] for h in heads} == {n + 6} and {h.input_fingerprint["list"] for h in heads} == {"x"}
+
+
+def test_documents_of_any_form_are_read_together(spark, tmp_path):
+    head = '{"schema_version": 1, "run_id": "%s", "tasks": {'
+    entries = ['"a": {"task_id": "a", "attempts": 1}', '"b": {"task_id": "b", "attempts": 2}']
+    whole = {"schema_version": 1, "run_id": "indented", "tasks": {"c": {"task_id": "c"}}}
+    texts = {
+        "lines": head % "lines" + "\n" + ",\n".join(entries) + "\n}}\n",
+        "empty": head % "empty" + "\n\n}}\n",
+        "indented": json.dumps(whole, indent=1),
+        "cut": head % "cut" + "\n" + entries[0] + ",\n",
+        "no comma": head % "comma" + "\n" + "\n".join([*entries, entries[0] + ","]) + "\n}}\n",
+        "bad type": head % "type" + '\n"a": {"task_id": "a", "attempts": "x"}\n}}\n',
+        "none": "",
+    }
+    (tmp_path / "d").mkdir()
+    for name, text in texts.items():
+        (tmp_path / "d" / f"{name}.json").write_text(text)
+    assert sorted(r.task_id for r in documents.read_task_state(spark, str(tmp_path / "d")).collect()) == ["a", "b", "c"]
+    assert sorted(r.run_id for r in documents.read_task_heads(spark, str(tmp_path / "d")).collect()) == ["empty", "indented", "lines", "type"]
+    with pytest.raises(Exception, match="Unsupported task state version"):
+        documents.read_task_state(spark, str(tmp_path / "d" / "lines.json"), version=2).collect()
