@@ -59,7 +59,8 @@ def pack_all(
 
     Items without a size keep a null bin.
     """
-    packed = pack(items, capacity, size, item, keys, chunk_rows, max_sizes)
+    # Read several times below; the bins should be found only once.
+    packed = materialize(pack(items, capacity, size, item, keys, chunk_rows, max_sizes), "packed")
     last = packed.groupBy(*keys).agg(F.coalesce(F.max("bin"), F.lit(0)).alias("_last"))
     over = with_row_number(packed.filter(F.col(size) > capacity), keys, [F.col(item)], "_extra")
     over = over.join(last, list(keys)).withColumn("bin", F.col("_last") + F.col("_extra"))

@@ -67,18 +67,24 @@ def list_entries(spark: SparkSession, root: str, shared_from: int = SHARED_FROM)
 
 
 def _list_directories(batches: Iterator[pd.DataFrame], limit: int) -> Iterator[pd.DataFrame]:
-    columns = ["path", "is_directory", "size", "modified", "error"]
-    for batch in batches:
-        for directory, share, shares in zip(batch["path"], batch["share"], batch["shares"]):
-            entries = _entries(directory, int(share), int(shares))
-            if shares == 1:
-                first = list(islice(entries, limit + 1))
-                if len(first) > limit:
-                    yield pd.DataFrame([(directory, True, 0, 0.0, None)], columns=columns).assign(more=True)
-                    continue
-                entries = iter(first)
-            for some in batched(entries, _ENTRIES_PER_BATCH):
-                yield pd.DataFrame(some, columns=columns).assign(more=False)
+    columns = ["path", "is_directory", "size", "modified", "error", "more"]
+
+    def found() -> Iterator[tuple]:
+        for batch in batches:
+            for directory, share, shares in zip(batch["path"], batch["share"], batch["shares"]):
+                entries = _entries(directory, int(share), int(shares))
+                if shares == 1:
+                    first = list(islice(entries, limit + 1))
+                    if len(first) > limit:
+                        yield directory, True, 0, 0.0, None, True
+                        continue
+                    entries = iter(first)
+                for entry in entries:
+                    yield *entry, False
+
+    # A frame for many small directories together.
+    for some in batched(found(), _ENTRIES_PER_BATCH):
+        yield pd.DataFrame(some, columns=columns)
 
 
 def _entries(directory: str, share: int = 0, shares: int = 1) -> Iterator[tuple[str, bool, int, float, str | None]]:

@@ -13,6 +13,7 @@ from cladeledger.fixed_values import ERROR, FAIL, MISSING
 from cladeledger.functions.checksums import parse_checksum_line, resolve_path
 from cladeledger.functions.text import dirname, strip
 from cladeledger.operators.dedup import first_wins
+from cladeledger.sources.inventory import list_tree
 
 # Bytes of a list that one task reads at a time.
 RANGE_BYTES = 16 * 1024**2
@@ -94,6 +95,18 @@ def read_many_lists(lists: DataFrame) -> DataFrame:
     return lines.select("value", "list_path", place.alias("line"))
 
 
+def read_folders(spark: SparkSession, path: str, folder: str) -> DataFrame:
+    """``value``, ``folder`` (a text) and ``line`` (position) of all files in the folders of its values below ``path``.
+
+    Tasks list the folders and read the files, so there may be as many as there are rows.
+    """
+    files = list_tree(spark, path).filter(~F.startswith("name", F.lit("_")) & ~F.startswith("name", F.lit(".")))
+    value = F.url_decode(F.replace(F.regexp_extract("list_path", f"/{folder}=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+    # Fixed value: the folder of null.
+    value = F.nullif(value, F.lit("__HIVE_DEFAULT_PARTITION__"))
+    return read_many_lists(files.select("path", "size")).select("value", value.alias(folder), "line")
+
+
 def lines_of_range(path: str, start: int, stop: int) -> list[str]:
     """The lines that start at ``start`` or later and before ``stop``; the last one is read to its end."""
     from pyarrow.fs import FileSystem

@@ -431,7 +431,10 @@ def read_back(spark, path):
 
 def read_in_order(spark, path, *folders):
     """The lines with their place ``no`` in the written text, counted over its part files in order, per folder."""
-    rows = spark.read.text(path).select("value", *folders, lines.position().alias("at"))
+    if folders:
+        rows = materialize(lines.read_folders(spark, path, *folders).withColumnRenamed("line", "at"), "lines")
+    else:
+        rows = spark.read.text(path).select("value", lines.position().alias("at"))
     return with_row_number(rows, list(folders), [F.col("at")], "no").select(*folders, "no", F.col("value").alias("line"))
 
 

@@ -567,3 +567,18 @@ def test_documents_of_any_form_are_read_together(spark, tmp_path):
     assert sorted(r.run_id for r in documents.read_task_heads(spark, str(tmp_path / "d")).collect()) == ["empty", "indented", "lines", "type"]
     with pytest.raises(Exception, match="Unsupported task state version"):
         documents.read_task_state(spark, str(tmp_path / "d" / "lines.json"), version=2).collect()
+
+
+def test_very_many_folders_are_written_and_read_by_tasks(spark, tmp_path):
+    names = ["a_1", "b=c/d%", "é+ x", None, "z"]
+    rows = spark.createDataFrame([(names[i % 5], i, f"l{i}" if i % 7 else None) for i in range(500)], "file STRING, no INT, line STRING")
+    path = str(tmp_path / "o")
+    for _ in range(2):
+        write_lines(rows, path, ["no"], folder="file")
+    assert all(p.suffix == ".txt" for p in (tmp_path / "o").rglob("*") if p.is_file())
+    wanted = sorted((names[i % 5] or "", f"l{i}" if i % 7 else "") for i in range(500))
+    assert sorted((r.file or "", r.value) for r in spark.read.text(path).collect()) == wanted
+    found = lines.read_folders(spark, path, "file").collect()
+    assert sorted((r.file or "", r.value) for r in found) == wanted
+    own = [r.value for r in sorted(found, key=lambda r: tuple(r.line)) if r.file == "z"]
+    assert own == [f"l{i}" if i % 7 else "" for i in range(4, 500, 5)]
