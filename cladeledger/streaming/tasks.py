@@ -5,8 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -17,6 +16,7 @@ from cladeledger.operators.task_machine import EVENT_FIELDS, START, function_of_
 from cladeledger.streaming.state import checkpoint_of, use_rocksdb
 
 OUT = "task_id string, section string, event_id bigint, at_millis bigint, status string, attempts bigint, n_events bigint, n_illegal bigint"
+TOLD = ("section", "event_id", "at_millis", "status", "attempts", "n_events", "n_illegal")
 
 
 class TaskState(StatefulProcessor):
@@ -34,15 +34,13 @@ class TaskState(StatefulProcessor):
         # Value states hold flat values only, so the waiting events are kept as JSON.
         self._kept = handle.getValueState("kept", f"{settled}, waiting string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        # Most tasks have a few events in a batch, so plain rows are much cheaper than a frame for each task.
         watermark = timerValues.getCurrentWatermarkInMs() if self._settle else -1
-        *settled, kept = self._kept.get() if self._kept.exists() else (self._start, 0, 0, 0, "[]")
+        *settled, kept = self._kept.get() or (self._start, 0, 0, 0, "[]")
         waiting = {e[1]: e for e in json.loads(kept)}
         told: list[tuple] = []
-        fresh = [
-            (int(at), int(i), [int(x) for x in nexts], [int(x) for x in tries], bool(legal))
-            for batch in rows for at, i, nexts, tries, legal in zip(*(batch[c] for c in ("at_millis", "event_id", "next", "tries", "legal")))
-        ]
+        fresh = [(row.at_millis, row.event_id, *json.loads(row.f), row.legal) for row in rows]
         for event in sorted(fresh, key=lambda e: e[:2]):
             at, event_id, *_, legal = event
             if at < watermark:
@@ -61,10 +59,8 @@ class TaskState(StatefulProcessor):
         state, attempts, n_events, n_illegal = self._after(settled, rest)
         if n_events:
             told.append(("state", None, None, self._states[state], attempts, n_events, n_illegal))
-        names = ["section", "event_id", "at_millis", "status", "attempts", "n_events", "n_illegal"]
-        frame = pd.DataFrame(told, columns=names).astype({n: "Int64" for n in names if n not in ("section", "status")})
-        frame.insert(0, "task_id", key[0])
-        yield frame
+        for row in told:
+            yield Row(task_id=key[0], **dict(zip(TOLD, row)))
 
     @staticmethod
     def _after(now: tuple, events: list) -> tuple:
@@ -95,9 +91,12 @@ def task_states_of_stream(events: DataFrame, delay: str | None = None) -> DataFr
     rows = known.select(
         F.col("task_id").cast("string").alias("task_id"), F.col("event_id").cast("bigint").alias("event_id"),
         F.unix_millis("at").alias("at_millis"), function_of_event().alias("f"), is_legal().alias("legal"),
-    ).select("task_id", "event_id", "at_millis", "f.next", "f.tries", "legal")
+    )
+    # One text per function, as lists are taken to Python number by number.
+    lists = F.to_json(F.array(F.col("f.next").cast("array<bigint>"), F.col("f.tries")))
+    rows = rows.select("task_id", "event_id", "at_millis", lists.alias("f"), "legal")
     machine = TaskState(TASK_STATES, START, delay is not None)
-    return rows.groupBy("task_id").transformWithStateInPandas(machine, OUT, "Update", "EventTime" if delay is not None else "None")
+    return rows.groupBy("task_id").transformWithState(machine, OUT, "Update", "EventTime" if delay is not None else "None")
 
 
 def track_tasks(events: DataFrame, path: str, delay: str | None = None, **trigger) -> StreamingQuery:

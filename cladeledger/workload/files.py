@@ -816,7 +816,7 @@ def _(spark, sf):
     sent = events.withColumn("phase", own + F.when(F.col("event_id") % 17 == 3, 1).otherwise(0))
     sent = sent.unionByName(events.withColumn("phase", own + 1).filter("event_id % 19 = 5"))
     for phase in range(4):
-        sent.filter(F.col("phase") == phase).drop("phase").coalesce(1).write.mode("append").parquet(source)
+        sent.filter(F.col("phase") == phase).drop("phase").write.mode("append").parquet(source)
         stream = stream_of(spark, source, events.schema)
         task_streams.track_tasks(stream, path, "100 seconds", availableNow=True).awaitTermination()
     sections = spark.read.parquet(f"{path}/sections")

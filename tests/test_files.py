@@ -582,3 +582,22 @@ def test_very_many_folders_are_written_and_read_by_tasks(spark, tmp_path):
     assert sorted((r.file or "", r.value) for r in found) == wanted
     own = [r.value for r in sorted(found, key=lambda r: tuple(r.line)) if r.file == "z"]
     assert own == [f"l{i}" if i % 7 else "" for i in range(4, 500, 5)]
+
+
+def test_task_state_takes_and_gives_rows():
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from cladeledger.streaming.tasks import TaskState
+
+    kept = []
+    state = SimpleNamespace(get=lambda: kept[-1] if kept else None, update=kept.append)
+    machine = TaskState(["PENDING", "FIXED"], "PENDING", True)
+    machine.init(SimpleNamespace(getValueState=lambda name, schema: state))
+    event = lambda at, i, nexts, legal=True: Row(task_id="t", event_id=i, at_millis=at, f=json.dumps([nexts, [0, 1]]), legal=legal)
+    timer = lambda at: SimpleNamespace(getCurrentWatermarkInMs=lambda: at)
+    first = list(machine.handleInputRows(("t",), iter([event(5, 2, [1, 1]), event(3, 1, [0, 0]), event(5, 2, [1, 1])]), timer(0)))
+    assert [(r.section, r.event_id, r.status, r.attempts, r.n_events) for r in first] == [("repeated", 2, None, None, None), ("state", None, "FIXED", 0, 2)]
+    second = list(machine.handleInputRows(("t",), iter([event(1, 9, [0, 0]), event(9, 3, [0, 0], False)]), timer(4)))
+    assert [(r.section, r.event_id, r.status, r.attempts, r.n_illegal) for r in second] == [("late", 9, None, None, None), ("illegal", 3, None, None, None), ("state", None, "PENDING", 1, 1)]
