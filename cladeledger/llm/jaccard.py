@@ -2,25 +2,27 @@
 
 All sets are ordered the same way, the rarest shingles first. Two sets that are similar enough share a shingle among
 the first few of both, so only sets that meet there are compared. A meeting must also pass the length filter, the
-positional filter (what can still follow in both) and the suffix filter (how the rest of both falls between the same
-pivots); what is left is verified once per pair.
+positional filter (what can still follow in both), the bitmap filter (shingles that leave an odd count under some bit
+are in one of the two only) and the suffix filter (how the rest of both falls between the same pivots); what is left is
+verified once per pair.
 
 A shingle of one set alone can join nothing. It takes up room at the front of its set, and a set with enough of them
 has no candidates at all. ``screened`` finds most such sets before any shingle travels as a row.
 
 Copies meet as one set. Only connected components are wanted, so a cell of sets that meet at a shingle first offers
-each of its sets a few pairs, with pivots of the cell; sets that are connected already need no more pairs. When most
-pairs with pivots are no links any more, all that are open are verified.
+each of its sets a few pairs, with pivots of the cell; sets that are connected already need no more pairs. When pairs
+with pivots yield few links any more, all that are open are verified.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeledger.llm.common import texts
@@ -32,15 +34,20 @@ from cladeledger.workspace import materialize
 NUMERATOR, DENOMINATOR = 4, 5
 # Screening: the share of all shingles that is looked at, how many a task counts and a batch holds, bytes of each.
 SCREENED = 0.4
-PART_TOKENS = 4_000_000
+PART_TOKENS = 1_500_000
 CHUNK_TOKENS = 1_500_000
 CUT_BYTES = 5
 SALTS = 64
 PIVOTS = 7
 CELL_PIVOTS = 4
+# Numbers of 64 bits that tell of each set which bits an odd count of its shingles falls on.
+WORDS = 8
+# Rows of texts or of pairs of sets that go to a task's Python at once.
+BATCH_ROWS = 1000
 # So many keys of sets that are compared are sent to the tasks that read the texts.
 SENT_KINDS = 1_000_000
-LEAST_YIELD = 0.75
+# Links of a round of pivots for each set, at most, when the rounds end.
+LEAST_YIELD = 0.1
 
 _SET = "kind bigint, n bigint, tokens array<bigint>"
 _PRINT = "doc_id bigint, key_a bigint, key_b bigint, kind bigint, n bigint, possible boolean"
@@ -79,7 +86,7 @@ def screened(docs: DataFrame) -> DataFrame:
         for batch in batches:
             values = batch.column("text").cast(pa.binary()).to_pylist()
             for start, stop, sets in grouped(values):
-                held.append((batch.slice(start, stop - start), sets))
+                held.append((batch.select(["doc_id", "key_a", "key_b"]).slice(start, stop - start), sets))
                 size += len(sets.hashes)
                 if size > CHUNK_TOKENS:
                     yield packed(base, held)
@@ -191,19 +198,29 @@ def ordered(sets: DataFrame) -> DataFrame:
 
 
 def cells(lists: DataFrame) -> DataFrame:
-    """``token``, ``kind``, ``n``, ``alone`` (shingles no other set has, which come first) and ``k``, the place among the others."""
+    """``token``, ``kind``, ``n``, ``alone`` (shingles no other set has, which come first), ``k``, the place among the others, and ``bits``.
+
+    Bit *i* of all ``bits`` is 1 if an odd count of the others falls on it.
+    """
+    bit = "if((shiftright(t, 6) & {}) = {}, x ^ shiftleft(1L, cast(t & 63 as int)), x)"
+    bits = F.array(*(F.expr(f"aggregate(tokens, 0L, (x, t) -> {bit.format(WORDS - 1, w)})") for w in range(WORDS)))
     alone = F.expr("n - size(tokens)")
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_least_overlap('n')} + 1 as int))")
-    found = lists.select("kind", "n", alone.alias("alone"), F.posexplode(prefix).alias("k", "token"))
+    found = lists.select("kind", "n", alone.alias("alone"), bits.alias("bits"), F.posexplode(prefix).alias("k", "token"))
     met = found.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low < high")
     return materialize(found.join(met.select("token"), "token"), "cells")
 
 
 def _may_be_similar(a: str, b: str) -> Column:
-    """Length and positional filter of two members ``a`` and ``b`` of a cell."""
+    """Length, positional and bitmap filter of two members ``a`` and ``b`` of a cell."""
     most = f"least({a}.k, {b}.k) + least({a}.n - {a}.alone - {a}.k, {b}.n - {b}.alone - {b}.k)"
     least = f"(({a}.n + {b}.n) * {NUMERATOR} + {NUMERATOR + DENOMINATOR - 1}) div {NUMERATOR + DENOMINATOR}"
-    return F.expr(f"{a}.n * {DENOMINATOR} >= {b}.n * {NUMERATOR} and {b}.n * {DENOMINATOR} >= {a}.n * {NUMERATOR} and {most} >= {least}")
+    # A bit that differs stands for a shingle that only one of both has, as do those that no other set has.
+    differ = " + ".join([f"{a}.alone + {b}.alone", *(f"bit_count({a}.bits[{w}] ^ {b}.bits[{w}])" for w in range(WORDS))])
+    return F.expr(
+        f"{a}.n * {DENOMINATOR} >= {b}.n * {NUMERATOR} and {b}.n * {DENOMINATOR} >= {a}.n * {NUMERATOR} and {most} >= {least} "
+        f"and {differ} <= {a}.n + {b}.n - 2 * ({least})"
+    )
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -264,12 +281,16 @@ def _placed(found: DataFrame, reach: DataFrame | None) -> DataFrame:
     return found.join(named, "kind", "left").withColumn("root", F.coalesce("root", "kind"))
 
 
-_MEMBER = ("kind", "n", "alone", "k", "root")
+_MEMBER = ("kind", "n", "alone", "k", "bits", "root")
 
 
 def _star_pairs(placed: DataFrame, turn: int) -> DataFrame:
-    """Each member of a cell of several components with a few pivots of the cell, chosen by hashes of their own each turn."""
-    pivots = [F.min(F.struct(F.xxhash64(F.lit(turn * CELL_PIVOTS + i), "kind").alias("order"), *_MEMBER)) for i in range(CELL_PIVOTS)]
+    """Each member of a cell of several components with a few pivots of the cell.
+
+    The first has the least share of shingles of its own, so it is similar to the most; hashes choose the others anew each turn.
+    """
+    orders = [F.col("alone") / F.col("n"), *(F.xxhash64(F.lit(turn * CELL_PIVOTS + i), "kind").cast("double") for i in range(1, CELL_PIVOTS))]
+    pivots = [F.min(F.struct(order.alias("order"), *_MEMBER)) for order in orders]
     mixed = placed.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.array(*pivots).alias("ys"))
     mixed = mixed.filter("low < high").select("token", F.explode(F.array_distinct("ys")).alias("y"))
     met = placed.select("token", F.struct(*_MEMBER).alias("x")).join(mixed, "token")
@@ -290,10 +311,11 @@ def _open_pairs(placed: DataFrame) -> DataFrame:
 def links(lists: DataFrame, least_yield: float = LEAST_YIELD) -> DataFrame | None:
     """``node`` and ``component`` of each kind that is linked to another; None without any links.
 
-    Rounds of pairs with pivots go on while at least a share ``least_yield`` of the pairs are links, then all open pairs are
-    verified. The share decides about the work, not the result.
+    Rounds of pairs with pivots go on while they find more than ``least_yield`` links for each set, then all open pairs are
+    verified. The yield decides about the work, not the result.
     """
     found = cells(lists)
+    enough = least_yield * lists.count()
     reach, known, tested = None, None, None
     turn, done = 0, False
     while True:
@@ -310,7 +332,19 @@ def links(lists: DataFrame, least_yield: float = LEAST_YIELD) -> DataFrame | Non
             reach = materialize(components(known, "a", "b"), "reach")
         if done:
             return reach
-        turn, done = turn + 1, n_new <= least_yield * pairs.count()
+        turn, done = turn + 1, n_new <= enough
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Within, batches of ``BATCH_ROWS`` go to Python: whole texts and pairs of whole sets are wide rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -322,6 +356,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     all of its component are null. Long texts are taken whole, other columns do not matter, an empty table gives no
     rows. Shingles are told apart by 64-bit hashes, 56 of them where sets are compared.
     """
+    with _small_batches(docs.sparkSession):
+        return _near_duplicates(docs)
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
     found = screened(docs)
     first = F.min(F.struct(F.col("doc_id").isNull(), "key_a", "key_b")).alias("first")
     kinds = found.filter("n > 0").groupBy("kind").agg(F.min("doc_id").alias("first_doc"), first, F.bool_and("possible").alias("possible"))

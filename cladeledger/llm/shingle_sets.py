@@ -11,7 +11,7 @@ from cladeledger.llm.common import LOWER, UPPER
 
 SHINGLE_WORDS = 5
 SPACES = b"\x20\t\n\x0b\x0c\r"
-GROUP_BYTES = 2_000_000
+GROUP_BYTES = 500_000
 _BASE = 0x9E3779B97F4A7C15
 
 

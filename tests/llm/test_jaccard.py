@@ -100,6 +100,54 @@ def test_rounds_of_pivots_and_all_pairs_agree(spark, monkeypatch):
     assert ways[0] == ways[1] and ways[0]
 
 
+def test_a_family_of_many_dissimilar_sets_leaves_few_pairs_open(spark):
+    """Members that meet at shingles of the family but are similar to none: pairs must not grow with the family's square."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(204)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for at in rng.sample(range(20), 4):  # 4 of 20 places 10 apart, in one of two ways that others have too
+            words[10 * at + 4] = f"u{at}_{rng.randrange(2)}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kinds = jaccard.screened(docs).filter("possible").groupBy("kind").agg(F.min("key_a").alias("key_a"), F.min_by("key_b", "key_a").alias("key_b"))
+    lists = jaccard.materialize(jaccard.ordered(jaccard.sets_of(docs, kinds)))
+    pairs = jaccard.materialize(jaccard._open_pairs(jaccard._placed(jaccard.cells(lists), None)), "pairs")
+    similar = jaccard.verified(pairs, lists).count()
+    sets = [plain_set(t) for _, t in rows]
+    want = sum(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) for b in sets[:i])
+    assert similar == want and 0 < want < 3000
+    assert pairs.count() <= 2 * want
+    assert got(jaccard.near_duplicates(docs)) == brute(rows)
+
+
+def test_a_bitmap_bounds_the_difference(spark):
+    """Sets of every size up to many times the bits: no pair that is similar may be lost."""
+    rng = random.Random(10)
+    rows = []
+    for size in (8, 60, 500, 4000):
+        words = [f"b{size}_{i}" for i in range(size)]
+        for changed in (0, size // 100, size // 60, size // 45, size // 40):
+            copy = list(words)
+            for at in rng.sample(range(size), changed):
+                copy[at] = f"c{size}_{at}_{changed % 2}"
+            rows.append((len(rows), " ".join(copy)))
+    assert got(jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_small_batches_only_while_it_runs(spark, monkeypatch):
+    rng = random.Random(11)
+    rows = list(enumerate(near_copies(rng, 20, 2)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen, screened = spark.conf.get(name), [], jaccard.screened
+    monkeypatch.setattr(jaccard, "screened", lambda d: seen.append(int(spark.conf.get(name))) or screened(d))
+    monkeypatch.setattr(jaccard, "BATCH_ROWS", 2)
+    assert got(jaccard.near_duplicates(docs)) == brute(rows)
+    assert seen == [2] and spark.conf.get(name) == before
+
+
 def test_at_the_threshold(spark):
     """Sets of 40 shingles of which 4 and 5 differ: 36 / 44 is over 0.8, 35 / 45 is not."""
     rows = []
