@@ -184,7 +184,7 @@ def least_overlap(n_a, n_b):
 
 
 def ordered(sets: DataFrame) -> DataFrame:
-    """``kind``, ``n`` and ``tokens``: what each set shares with any other, rarest first; sets that share too little go.
+    """``kind``, ``n``, ``tokens`` and ``bits``: what each set shares with any other, rarest first; sets that share too little go.
 
     A token is one number whose upper bits are its frequency class, a third of an octave wide, and whose lower 56
     are bits of the shingle's hash.
@@ -194,19 +194,31 @@ def ordered(sets: DataFrame) -> DataFrame:
     rank = F.expr("shiftleft(least(cast(floor(3 * log2(df)) as bigint), 126L), 56) | shiftrightunsigned(token, 8)")
     lists = tokens.join(shared, "token").select("kind", "n", rank.alias("token"))
     lists = lists.groupBy("kind").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("token")).alias("tokens"))
-    return materialize(lists.filter(F.expr(f"size(tokens) >= {_least_overlap('n')}")), "ordered")
+    return materialize(_with_bits(lists.filter(F.expr(f"size(tokens) >= {_least_overlap('n')}"))), "ordered")
 
 
-def cells(lists: DataFrame) -> DataFrame:
-    """``token``, ``kind``, ``n``, ``alone`` (shingles no other set has, which come first), ``k``, the place among the others, and ``bits``.
+def _with_bits(lists: DataFrame) -> DataFrame:
+    """``lists`` with ``bits``, numbers of 64 bits; a bit is 1 if an odd count of the set's tokens falls on it."""
 
-    Bit *i* of all ``bits`` is 1 if an odd count of the others falls on it.
-    """
-    bit = "if((shiftright(t, 6) & {}) = {}, x ^ shiftleft(1L, cast(t & 63 as int)), x)"
-    bits = F.array(*(F.expr(f"aggregate(tokens, 0L, (x, t) -> {bit.format(WORDS - 1, w)})") for w in range(WORDS)))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            owners = np.repeat(np.arange(batch.num_rows), tokens.value_lengths().to_numpy())
+            places = owners * (64 * WORDS) + tokens.flatten().to_numpy() % (64 * WORDS)
+            odd = (np.bincount(places, minlength=batch.num_rows * 64 * WORDS) & 1).astype(np.uint8)
+            bits = pa.array(np.packbits(odd, bitorder="little").view("<i8"))
+            bounds = pa.array(np.arange(batch.num_rows + 1) * WORDS, pa.int32())
+            columns = [batch.column(c) for c in ("kind", "n", "tokens")]
+            yield pa.record_batch([*columns, pa.ListArray.from_arrays(bounds, bits)], names=["kind", "n", "tokens", "bits"])
+
+    return lists.select("kind", "n", "tokens").mapInArrow(run, f"{_SET}, bits array<bigint>")
+
+
+def cells(lists: DataFrame) -> DataFrame:
+    """``token``, ``kind``, ``n``, ``alone`` (shingles no other set has, which come first), ``bits`` and ``k``, the place among the others."""
     alone = F.expr("n - size(tokens)")
     prefix = F.expr(f"slice(tokens, 1, cast(size(tokens) - {_least_overlap('n')} + 1 as int))")
-    found = lists.select("kind", "n", alone.alias("alone"), bits.alias("bits"), F.posexplode(prefix).alias("k", "token"))
+    found = lists.select("kind", "n", alone.alias("alone"), "bits", F.posexplode(prefix).alias("k", "token"))
     met = found.groupBy("token").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).filter("low < high")
     return materialize(found.join(met.select("token"), "token"), "cells")
 
